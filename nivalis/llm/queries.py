@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from nivalis.llm.fingerprints import op9_fingerprints
 from nivalis.llm.mixing import op10_mixing
+from nivalis.llm.phrases import op7_phrases
 from nivalis.llm.secrets import op8_secrets
 from nivalis.llm.sharding import op6_sharding
 
 QUERIES = {
     "op6_sharding": op6_sharding,
+    "op7_phrases": op7_phrases,
     "op8_secrets": op8_secrets,
     "op9_fingerprints": op9_fingerprints,
     "op10_mixing": op10_mixing,
