@@ -7,8 +7,10 @@ from nivalis.llm.mixing import op10_mixing
 from nivalis.llm.phrases import op7_phrases
 from nivalis.llm.secrets import op8_secrets
 from nivalis.llm.sharding import op6_sharding
+from nivalis.llm.suffixes import op2_suffixes
 
 QUERIES = {
+    "op2_suffixes": op2_suffixes,
     "op6_sharding": op6_sharding,
     "op7_phrases": op7_phrases,
     "op8_secrets": op8_secrets,
