@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from nivalis.llm.decontaminate import op1_decontaminate
 from nivalis.llm.fingerprints import op9_fingerprints
 from nivalis.llm.mixing import op10_mixing
 from nivalis.llm.phrases import op7_phrases
@@ -10,6 +11,7 @@ from nivalis.llm.sharding import op6_sharding
 from nivalis.llm.suffixes import op2_suffixes
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_suffixes": op2_suffixes,
     "op6_sharding": op6_sharding,
     "op7_phrases": op7_phrases,
