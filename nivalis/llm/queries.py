@@ -7,6 +7,7 @@ from nivalis.llm.fingerprints import op9_fingerprints
 from nivalis.llm.mixing import op10_mixing
 from nivalis.llm.neardup import op3_jaccard
 from nivalis.llm.phrases import op7_phrases
+from nivalis.llm.quality import op4_quality
 from nivalis.llm.secrets import op8_secrets
 from nivalis.llm.sharding import op6_sharding
 from nivalis.llm.suffixes import op2_suffixes
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_suffixes": op2_suffixes,
     "op3_jaccard": op3_jaccard,
+    "op4_quality": op4_quality,
     "op6_sharding": op6_sharding,
     "op7_phrases": op7_phrases,
     "op8_secrets": op8_secrets,
