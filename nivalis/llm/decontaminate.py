@@ -195,5 +195,12 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return contaminate(docs, benchmark).mapInArrow(_digest, "row long, doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """`docs`, with all their columns, without contaminated rows."""
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))  # rows of equal id and text are judged alike
+    bad = judged(rows.select(F.col("_row").alias("row"), "doc_id", "text"), benchmark).filter("contaminated").select(F.col("row").alias("_row")).distinct()
+    return rows.join(written(bad), "_row", "left_anti").drop("_row")
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark")).drop("row")

@@ -145,19 +145,19 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mac
     return machine
 
 
-def scored(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
-    """`docs` with `score`, the probability of label 1. A null text is an empty one; it is scored like any other."""
+def scored(docs: DataFrame, machine: Machine, text_col: str = "text", score: str = "score") -> DataFrame:
+    """`docs` with the column `score`, the probability of label 1. A null text is an empty one; it is scored like any other."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             out = np.zeros(len(batch))
             for a, b, texts in batches_of(pa.RecordBatch.from_arrays([pa.array(batch, pa.binary())], ["text"]), 0):
                 out[a:b] = sent.value.score(*features(texts), len(texts))
             yield pd.Series(out)
 
-    return docs.withColumn("score", score(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    return docs.withColumn(score, probability(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from nivalis.llm.decontaminate import op1_decontaminate
 from nivalis.llm.fingerprints import op9_fingerprints
+from nivalis.llm.language import op5_language
 from nivalis.llm.mixing import op10_mixing
 from nivalis.llm.neardup import op3_jaccard
 from nivalis.llm.phrases import op7_phrases
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_suffixes": op2_suffixes,
     "op3_jaccard": op3_jaccard,
     "op4_quality": op4_quality,
+    "op5_language": op5_language,
     "op6_sharding": op6_sharding,
     "op7_phrases": op7_phrases,
     "op8_secrets": op8_secrets,
