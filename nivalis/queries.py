@@ -1,4 +1,255 @@
-"""Queries over the given tables, by name, with their DuckDB equivalents."""
+"""Queries over the given tables, by name, with their DuckDB equivalents (where SQL can express them)."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+import json
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nivalis import models
+from nivalis.functions import atmosphere, calendar, geo, snow, terrain
+from nivalis.operators import forecast, lagged, quality, raster, spatial, temporal, verification
+from nivalis.plans.views import Views, rounded, sql
+from nivalis.sources import resorts, stations, store
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    """Registers a function of the views; its result's numbers are rounded to 6 places."""
+
+    def add(f):
+        QUERIES[name] = lambda spark, sf_dir: rounded(f(Views(spark, sf_dir)))
+        if oracle:
+            ORACLE[name] = sql(oracle)
+        return f
+
+    return add
+
+
+# ---- time (A1-A4, J6, J13, J14, W16-W18, F10-F17) ------------------------------------------------------------------------
+
+DAYS = "days AS (SELECT station_id, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM d GROUP BY station_id)"
+
+
+@query(
+    "a1_daily_rolling",
+    f"""WITH d AS (SELECT station_id, CAST(datetime AS DATE) AS date, avg(value) AS value, sum(k) AS k FROM obs GROUP BY ALL), {DAYS},
+    full_days AS (SELECT days.station_id, days.date, d.value, coalesce(d.k, 0) AS k FROM days LEFT JOIN d USING (station_id, date))
+    SELECT station_id, date, r6(value) AS value, CAST(k AS BIGINT) AS k, r6(avg(value) OVER w) AS value_roll_mean_7d, r6(sum(value) OVER w) AS value_cumsum_7d
+    FROM full_days WINDOW w AS (PARTITION BY station_id ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""",
+)
+def a1_daily_rolling(v):
+    d = temporal.resample_daily(v.obs.select("station_id", "datetime", "value", "k"), "datetime", ["station_id"], {"k": "sum", "value": "mean"}, ["value", "k"], fill_bins=True)
+    return lagged.features(d, ["value"], "station_id", windows=(7,), kinds=("mean", "sum"))
+
+
+@query("a1_resample_rules", "SELECT station_id, CAST(datetime AS DATE) AS date, r6(avg(t2m)) AS temp, r6(max(t2m)) AS temp_max, r6(min(t2m)) AS temp_min, r6(sum(tp)) AS precipitation, r6(avg(sd)) AS snow_depth_cm FROM weather GROUP BY ALL")
+def a1_resample_rules(v):
+    w = v.weather.select("station_id", "datetime", F.col("t2m").alias("temp"), F.col("t2m").alias("temp_max"), F.col("t2m").alias("temp_min"), F.col("tp").alias("precipitation"), F.col("sd").alias("snow_depth_cm"))
+    return temporal.resample_daily(w, "datetime", ["station_id"])
+
+
+@query("a2_first_rule", "SELECT station_id, CAST(datetime AS DATE) AS date, r6(avg(t2m)) AS temp_max, r6(sum(sd)) AS snow_depth_cm FROM weather GROUP BY ALL")
+def a2_first_rule(v):
+    w = v.weather.select("station_id", "datetime", F.col("t2m").alias("temp_max"), F.col("sd").alias("snow_depth_cm"))
+    return temporal.resample_daily(w, "datetime", ["station_id"], pick="first")
+
+
+@query("x1_callable_aggregate", "SELECT station_id, CAST(datetime AS DATE) AS date, r6(max(t2m) - min(t2m)) AS t2m FROM weather GROUP BY ALL")
+def x1_callable_aggregate(v):
+    return temporal.resample_daily(v.weather.select("station_id", "datetime", "t2m"), "datetime", ["station_id"], {"t2m": lambda c: F.max(c) - F.min(c)})
+
+
+@query("a3_grid_daily", "SELECT lat, lon, time AS date, r6(sum(v)) AS v, r6(avg(v + 1)) AS w FROM grid GROUP BY ALL")
+def a3_grid_daily(v):
+    return temporal.grid_daily(v.grid.withColumn("w", F.col("v") + 1), ["v"])
+
+
+A4 = """WITH have AS (SELECT DISTINCT station_id, date FROM daily WHERE date BETWEEN DATE '2024-01-03' AND DATE '2024-01-25'), days AS (SELECT DISTINCT d.station_id, CAST(c AS DATE) AS date FROM daily d, generate_series(DATE '2024-01-03', DATE '2024-01-25', INTERVAL 1 DAY) t(c)),
+miss AS (SELECT station_id, date, date - CAST(row_number() OVER (PARTITION BY station_id ORDER BY date) AS INTEGER) AS i FROM (SELECT * FROM days EXCEPT SELECT * FROM have)), holes AS (SELECT station_id, min(date) AS gap_start, max(date) AS gap_end, count(*) AS days FROM miss GROUP BY station_id, i)"""
+
+
+@query("a4_gaps", f"{A4} SELECT * FROM holes")
+def a4_gaps(v):
+    return temporal.gaps(v.daily, "date", "2024-01-03", "2024-01-25", ["station_id"])
+
+
+@query("a4_coverage", f"{A4} SELECT s.station_id, 23::BIGINT AS total_days, coalesce(n, 0) AS present_days, 23 - coalesce(n, 0) AS missing_days, r6(100.0 * coalesce(n, 0) / 23) AS coverage_pct, coalesce(g, 0) AS n_gaps FROM (SELECT DISTINCT station_id FROM daily) s LEFT JOIN (SELECT station_id, count(*) AS n FROM have GROUP BY 1) USING (station_id) LEFT JOIN (SELECT station_id, count(*) AS g FROM holes GROUP BY 1) USING (station_id)")
+def a4_coverage(v):
+    return temporal.coverage(v.daily, "date", "2024-01-03", "2024-01-25", ["station_id"]).select("station_id", "total_days", "present_days", "missing_days", "coverage_pct", F.size("gaps").alias("n_gaps"))
+
+
+@query("j6_merge_sources", "SELECT coalesce(a.station_id, b.station_id) AS station_id, coalesce(a.date, b.date) AS date, r6(a.value) AS value_a, r6(b.value) AS value_b, r6(b.k) AS k FROM (SELECT station_id, date, value FROM daily WHERE station_id % 3 <> 0) a FULL JOIN (SELECT station_id, date, value + 1 AS value, k FROM daily WHERE station_id % 2 = 0) b ON a.station_id = b.station_id AND a.date = b.date")
+def j6_merge_sources(v):
+    a, b = v.daily.filter("station_id % 3 <> 0").select("station_id", "date", "value"), v.daily.filter("station_id % 2 = 0").select("station_id", "date", (F.col("value") + 1).alias("value"), "k")
+    return temporal.merge_sources({"a": a, "b": b}, ["station_id", "date"])
+
+
+@query("j13_scaffold", "SELECT id AS location_id, CAST(c AS DATE) AS datetime, CAST(NULL AS DOUBLE) AS swe FROM stations, generate_series(DATE '2024-01-01', DATE '2024-01-10', INTERVAL 1 DAY) t(c)")
+def j13_scaffold(v):
+    return temporal.scaffold(v.stations.withColumnRenamed("id", "location_id"), "2024-01-01", "2024-01-10", {"swe": "double"})
+
+
+@query("j14_align", "WITH s AS (SELECT DISTINCT station_id FROM daily), c AS (SELECT CAST(c AS DATE) AS date FROM generate_series(DATE '2023-12-30', DATE '2024-02-02', INTERVAL 1 DAY) t(c)) SELECT s.station_id, c.date, r6(d.value) AS value, r6(d.k) AS k FROM s CROSS JOIN c LEFT JOIN daily d ON d.station_id = s.station_id AND d.date = c.date")
+def j14_align(v):
+    return temporal.align(v.daily, "date", "2023-12-30", "2024-02-02", ["station_id"])
+
+
+@query("w16_first_of_day", "SELECT station_id, CAST(datetime AS DATE) AS date, arg_min(event_id, event_id) AS event_id FROM obs WHERE CAST(datetime AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' GROUP BY ALL")
+def w16_first_of_day(v):
+    d = v.obs.select("station_id", F.col("datetime").cast("date").alias("date"), "event_id")
+    return temporal.align(d, "date", "2024-01-01", "2024-01-31", ["station_id"], "event_id").filter("event_id is not null")
+
+
+@query(
+    "f10_calendar",
+    """SELECT o_orderkey, dayofyear(t) AS day_of_year, r6(sin(dayofyear(t) * 2 * pi() / 365.25)) AS day_of_year_sin, r6(cos(dayofyear(t) * 2 * pi() / 365.25)) AS day_of_year_cos, month(t) AS month, r6(sin(month(t) * 2 * pi() / 12)) AS month_sin, r6(cos(month(t) * 2 * pi() / 12)) AS month_cos,
+    CASE WHEN month(t) IN (12, 1, 2) THEN 'winter' WHEN month(t) <= 5 THEN 'spring' WHEN month(t) <= 8 THEN 'summer' ELSE 'fall' END AS season, CAST(month(t) IN (12, 1, 2) AS BIGINT) AS is_winter, CAST(month(t) IN (11, 12, 1, 2, 3, 4) AS BIGINT) AS is_snow_season,
+    isodow(t) - 1 AS day_of_week, CAST(isodow(t) >= 6 AS BIGINT) AS is_weekend, weekofyear(t) AS week_of_year, year(t) + CAST(month(t) >= 10 AS INTEGER) AS water_year,
+    CAST(t AS DATE) - make_date(year(t) + CAST(month(t) >= 10 AS INTEGER) - 1, 10, 1) + 1 AS day_of_water_year, r6(least(1, (CAST(t AS DATE) - make_date(year(t) + CAST(month(t) >= 10 AS INTEGER) - 1, 10, 1)) / 365.25)) AS water_year_progress
+    FROM (SELECT o_orderkey, o_orderdate AS t FROM orders)""",
+)
+def f10_calendar(v):
+    return calendar.all_features(v.table("orders").select("o_orderkey", F.col("o_orderdate").alias("datetime"))).drop("datetime")
+
+
+@query("f16_to_utc", "SELECT event_id, (ts AT TIME ZONE 'America/Denver') AT TIME ZONE 'UTC' AS utc FROM events")
+def f16_to_utc(v):
+    return v.table("events").select("event_id", calendar.to_utc(F.col("ts").cast("timestamp"), "America/Denver").cast("timestamp_ntz").alias("utc"))
+
+
+# ---- lags and windows (W1-W7, W9, W12, W18) -------------------------------------------------------------------------------
+
+
+def _lags(names: list[str]) -> str:
+    out = []
+    for x in names:
+        out += [f"r6(lag({x}, {n}) OVER o) AS {x}_lag_{n}d" for n in (1, 2, 3, 7)]
+        for n in (3, 7, 14):
+            f = f"OVER (o ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+            out += [f"r6(avg({x}) {f}) AS {x}_roll_mean_{n}d", f"r6(stddev_samp({x}) {f}) AS {x}_roll_std_{n}d", f"r6(min({x}) {f}) AS {x}_roll_min_{n}d", f"r6(max({x}) {f}) AS {x}_roll_max_{n}d", f"r6(sum({x}) {f}) AS {x}_cumsum_{n}d", f"r6({x} - lag({x}, {n}) OVER o) AS {x}_change_{n}d", f"r6(({x} - lag({x}, {n}) OVER o) * 100 / nullif(lag({x}, {n}) OVER o, 0)) AS {x}_pct_change_{n}d"]
+    return ", ".join(out)
+
+
+@query("w7_all_lags", f"SELECT station_id, date, r6(value) AS value, r6(k) AS k, {_lags(['value', 'k'])} FROM daily WINDOW o AS (PARTITION BY station_id ORDER BY date)")
+def w7_all_lags(v):
+    return lagged.features(v.daily, ["value", "k"], "station_id", "date")
+
+
+@query("w1_lags", "SELECT station_id, date, r6(lag(value) OVER o) AS value_lag_1d, r6(lag(value, 5) OVER o) AS value_lag_5d FROM daily WINDOW o AS (PARTITION BY station_id ORDER BY date)")
+def w1_lags(v):
+    return lagged.features(v.daily, ["value"], "station_id", "date", lags=(1, 5), kinds=("lag",)).drop("value", "k")
+
+
+@query("w9_pressure_tendency", "SELECT event_id, r6(sp / 100 - lag(sp / 100, 24) OVER (PARTITION BY station_id ORDER BY datetime, event_id)) AS change FROM weather")
+def w9_pressure_tendency(v):
+    w = v.weather.select("event_id", "station_id", F.struct("datetime", "event_id").alias("o"), (F.col("sp") / 100).alias("p"))
+    return lagged.difference(w, "p", 24, "station_id", "o", "change").select("event_id", "change")
+
+
+@query("w12_sequences", "SELECT * FROM (SELECT station_id, date, r6(value) AS target, r6(sum(value) OVER w) AS total, count(*) OVER w AS length FROM daily WINDOW w AS (PARTITION BY station_id ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) WHERE length = 5")
+def w12_sequences(v):
+    s = lagged.sequences(v.daily, ["value"], 5, "station_id", "date", "value")
+    return s.select("station_id", "date", "target", F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x["value"]).alias("total"), F.size("sequence").alias("length"))
+
+
+@query("w18_largest_gap", "SELECT station_id, r6(max(s) / 3600.0) AS hours FROM (SELECT station_id, date_diff('second', lag(datetime) OVER w, datetime) AS s FROM (SELECT station_id, date_trunc('second', datetime) AS datetime FROM obs) WINDOW w AS (PARTITION BY station_id ORDER BY datetime)) GROUP BY 1")
+def w18_largest_gap(v):
+    return lagged.largest_gap_hours(v.obs.withColumn("datetime", F.date_trunc("second", "datetime")), "datetime", ["station_id"])
+
+
+# ---- quality (W8, P7, A5-A12) ----------------------------------------------------------------------------------------------
+
+PHYS = "CASE WHEN temperature IS NULL THEN 1 WHEN temperature < -60 THEN 2 WHEN temperature > 50 THEN 4 ELSE 0 END AS temperature_physical_flag, CASE WHEN snow_depth IS NULL THEN 1 WHEN snow_depth < 0 THEN 2 ELSE 0 END AS snow_depth_physical_flag, CASE WHEN humidity IS NULL THEN 1 WHEN humidity < 0 THEN 2 WHEN humidity > 100 THEN 4 ELSE 0 END AS humidity_physical_flag"
+OUT = ", ".join(f"CASE WHEN {c} IS NULL THEN 1 WHEN {c} < {c}_q1 - 1.5 * ({c}_q3 - {c}_q1) OR {c} > {c}_q3 + 1.5 * ({c}_q3 - {c}_q1) THEN 8 ELSE 0 END AS {c}_outlier_flag" for c in ("temperature", "snow_depth", "humidity"))
+QUART = "q AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.25) AS {c}_q1, quantile_cont({c}, 0.75) AS {c}_q3" for c in ("temperature", "snow_depth", "humidity")) + " FROM raw_quality)"
+TEMP = ", ".join(f"CASE WHEN {c} IS NULL THEN 1 WHEN hours > 0 AND abs({c} - lag({c}) OVER w) > hours * {m} THEN 16 ELSE 0 END AS {c}_temporal_flag" for c, m in (("temperature", 15.0), ("snow_depth", 30.0)))
+SECONDS = "rq AS (SELECT * REPLACE (date_trunc('second', datetime) AS datetime) FROM raw_quality), h AS (SELECT *, date_diff('second', lag(datetime) OVER (PARTITION BY station_id ORDER BY datetime, event_id), datetime) / 3600 AS hours FROM rq)"
+FLAGGED = f"WITH {QUART}, {SECONDS}, f AS (SELECT h.*, {PHYS}, {OUT}, {TEMP} FROM h CROSS JOIN q WINDOW w AS (PARTITION BY station_id ORDER BY datetime, event_id)), all_flags AS (SELECT *, temperature_physical_flag | snow_depth_physical_flag | humidity_physical_flag | temperature_outlier_flag | snow_depth_outlier_flag | humidity_outlier_flag | temperature_temporal_flag | snow_depth_temporal_flag AS quality_flag FROM f)"
+
+
+def _raw(v):
+    # times to the second, ties by event
+    return v.raw_quality.withColumn("datetime", F.date_trunc("second", "datetime"))
+
+
+def _temporal(df):
+    """Temporal flags with ties in time ordered by event."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("station_id").orderBy("datetime", "event_id")
+    hours = F.timestamp_diff("SECOND", F.lag("datetime").over(w), F.col("datetime")) / 3600.0
+    flag = lambda c, m: F.when(F.col(c).isNull(), 1).when((hours > 0) & (F.abs(F.col(c) - F.lag(c).over(w)) > hours * m), 16).otherwise(0).alias(f"{c}_temporal_flag")
+    return df.select("*", flag("temperature", 15.0), flag("snow_depth", 30.0))
+
+
+@query("w8a_temporal", f"WITH o AS (SELECT station_id, date_trunc('hour', datetime) AS datetime, avg(temperature) AS temperature FROM raw_quality GROUP BY ALL), h AS (SELECT *, date_diff('second', lag(datetime) OVER w, datetime) / 3600 AS hours, lag(temperature) OVER w AS p FROM o WINDOW w AS (PARTITION BY station_id ORDER BY datetime)) SELECT station_id, datetime, r6(temperature) AS temperature, CASE WHEN temperature IS NULL THEN 1 WHEN hours > 0 AND abs(temperature - p) > hours * 15.0 THEN 16 ELSE 0 END AS temperature_temporal_flag FROM h")
+def w8a_temporal(v):
+    hourly = v.raw_quality.groupBy("station_id", F.date_trunc("hour", "datetime").cast("timestamp_ntz").alias("datetime")).agg(F.avg("temperature").alias("temperature"))
+    return quality.temporal(hourly, "datetime", ["station_id"])
+
+
+@query("w8b_outliers_iqr", f"WITH {QUART} SELECT event_id, {OUT} FROM raw_quality CROSS JOIN q")
+def w8b_outliers_iqr(v):
+    return quality.outliers(v.raw_quality, ["temperature", "snow_depth", "humidity"], threshold=1.5).select("event_id", "temperature_outlier_flag", "snow_depth_outlier_flag", "humidity_outlier_flag")
+
+
+@query("w8b_outliers_zscore", "WITH s AS (SELECT station_id, avg(snow_depth) AS m, nullif(stddev_samp(snow_depth), 0) AS d, count(snow_depth) AS n FROM raw_quality GROUP BY 1) SELECT event_id, CASE WHEN snow_depth IS NULL THEN 1 WHEN n >= 3 AND (snow_depth < m - 2 * d OR snow_depth > m + 2 * d) THEN 8 ELSE 0 END AS snow_depth_outlier_flag FROM raw_quality JOIN s USING (station_id)")
+def w8b_outliers_zscore(v):
+    return quality.outliers(v.raw_quality, ["snow_depth"], "zscore", 2.0, ["station_id"]).select("event_id", "snow_depth_outlier_flag")
+
+
+@query("w8c_physical", f"SELECT event_id, {PHYS} FROM raw_quality")
+def w8c_physical(v):
+    return quality.physical(v.raw_quality).drop("station_id", "datetime", "temperature", "snow_depth", "humidity")
+
+
+def _flagged(v, combine="or"):
+    d = quality.outliers(quality.physical(_raw(v)), ["temperature", "snow_depth", "humidity"], threshold=1.5)
+    return quality.combined(_temporal(d), combine)
+
+
+@query("w8d_combined", f"{FLAGGED} SELECT event_id, quality_flag FROM all_flags")
+def w8d_combined(v):
+    return _flagged(v).select("event_id", "quality_flag")
+
+
+@query("w8d_combined_max", f"{FLAGGED} SELECT event_id, greatest(temperature_physical_flag, snow_depth_physical_flag, humidity_physical_flag, temperature_outlier_flag, snow_depth_outlier_flag, humidity_outlier_flag, temperature_temporal_flag, snow_depth_temporal_flag) AS quality_flag FROM all_flags")
+def w8d_combined_max(v):
+    return _flagged(v, "max").select("event_id", "quality_flag")
+
+
+@query("p7_valid_only", f"{FLAGGED} SELECT event_id FROM all_flags WHERE quality_flag = 0 AND (2 + (temperature IS NOT NULL)::INT + (snow_depth IS NOT NULL)::INT + (humidity IS NOT NULL)::INT) / 5 >= 0.8")
+def p7_valid_only(v):
+    return quality.valid_only(_flagged(v)).select("event_id")
+
+
+@query("a12_report", f"{FLAGGED} SELECT count(*) AS total, count(*) FILTER (quality_flag = 0) AS valid, r6((count(*) * 3 - count(temperature) - count(snow_depth) - count(humidity)) * 100.0 / (count(*) * 3)) AS missing_pct, count(*) FILTER (temperature_outlier_flag & 8 > 0) + count(*) FILTER (snow_depth_outlier_flag & 8 > 0) + count(*) FILTER (humidity_outlier_flag & 8 > 0) AS outliers, count(*) FILTER (temperature_physical_flag & 6 > 0) + count(*) FILTER (snow_depth_physical_flag & 6 > 0) + count(*) FILTER (humidity_physical_flag & 6 > 0) AS physical_violations, count(*) FILTER (temperature_temporal_flag & 16 > 0) + count(*) FILTER (snow_depth_temporal_flag & 16 > 0) AS temporal_violations, r6(count(*) FILTER (quality_flag = 0) * 100.0 / count(*)) AS valid_pct FROM all_flags")
+def a12_report(v):
+    return quality.report(_flagged(v), ["temperature", "snow_depth", "humidity"]).drop("issues", "acceptable")
+
+
+@query("a12_column_stats", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, count(*) - count({c}) AS missing, r6(avg({c})) AS mean, r6(stddev_samp({c})) AS std, r6(min({c})) AS min, r6(max({c})) AS max FROM raw_quality" for c in ("temperature", "snow_depth", "humidity")))
+def a12_column_stats(v):
+    return quality.column_stats(v.raw_quality, ["temperature", "snow_depth", "humidity"])
+
+
+def _validate(name: str, source: str, frame: Callable, oracle: str, columns: list[str], limit: float):
+    @query(name, oracle)
+    def run(v):
+        return quality.validate(frame(v), quality.rules_for(source), limit, columns).drop("issues")
+
+    return run
+
+
+_validate("a5_validate_snotel", "snotel", lambda v: v.raw_quality.select(F.col("snow_depth").alias("snow_depth_cm"), (F.col("humidity") * 30).alias("swe_mm"), F.col("temperature").alias("temp_avg_c")), "SELECT count(*) AS total, r6((count(*) * 3 - count(snow_depth) - count(humidity) - count(temperature)) * 100.0 / (count(*) * 3)) AS missing_pct, count(*) FILTER (snow_depth < 0 OR snow_depth > 1000) AS depth_range, count(*) FILTER (humidity * 30 < 0 OR humidity * 30 > 3000) AS swe_range, count(*) FILTER (temperature < -60 OR temperature > 60) AS temp_range, false AS valid FROM raw_quality", ["snow_depth_cm", "swe_mm", "temp_avg_c"], 30.0)
+_validate("a6_validate_ghcn", "ghcn", lambda v: v.obs.select(F.when(F.col("k") % 2 == 0, "TMAX").otherwise("PRCP").alias("element"), (F.col("value") * 10).alias("value")), "SELECT count(*) AS total, r6(0) AS missing_pct, count(*) FILTER (k % 2 = 0 AND value * 10 > 60) AS temp_range, count(*) FILTER (k % 2 <> 0 AND value * 10 > 2000) AS precip_range, false AS valid FROM obs", ["value"], 10.0)
+_validate("a7_validate_era5", "era5", lambda v: v.weather, "SELECT count(*) AS total, r6(0) AS missing_pct, count(*) FILTER (t2m < 180 OR t2m > 350) AS temp_range, count(*) FILTER (tp < 0) AS negative_precip, count(*) FILTER (t2m < 180 OR t2m > 350) + count(*) FILTER (tp < 0) = 0 AS valid FROM weather", ["t2m", "tp"], 30.0)
+_validate("a8_validate_hrrr", "hrrr", lambda v: v.forecasts, "SELECT count(*) AS total, r6(0) AS missing_pct, count(*) FILTER (temp_k < 180 OR temp_k > 340) AS temp_range, true AS valid FROM forecasts", ["temp_k"], 50.0)
+_validate("a9_validate_terrain", "terrain", lambda v: v.terrain, "SELECT count(*) AS total, r6(0) AS missing_pct, count(*) FILTER (elevation < -500 OR elevation > 9000) AS elevation_range, count(*) FILTER (slope < 0 OR slope > 90) AS slope_range, true AS valid FROM terrain", ["elevation", "slope"], 50.0)
+_validate("a10_validate_resorts", "resorts", lambda v: v.resorts.select("lat", "lon", F.col("elevation").alias("base_elevation"), (4000 - F.col("elevation")).alias("summit_elevation")), "SELECT count(*) AS total, r6(0) AS missing_pct, count(*) FILTER (lat < -90 OR lat > 90 OR lon < -180 OR lon > 180) AS place_range, count(*) FILTER (4000 - elevation < elevation) AS elevation_order, false AS valid FROM resorts", ["lat", "lon"], 30.0)
