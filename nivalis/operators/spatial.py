@@ -118,7 +118,7 @@ def merge_variables(long: DataFrame, names: list[str], keys: list[str]) -> DataF
 
 def window_terrain(points: DataFrame, dem: DataFrame, radius: int = 5) -> DataFrame:
     """Elevation, mean, roughness and TPI of the cells around each point's cell (J18). points: point_id, tile, row, col."""
-    p = points.withColumnRenamed("row", "p_row").withColumnRenamed("col", "p_col").withColumn("row", F.explode(F.sequence(F.col("row") - radius, F.col("row") + radius))).withColumn("col", F.explode(F.sequence(F.col("p_col") - radius, F.col("p_col") + radius)))
+    p = points.withColumnRenamed("row", "p_row").withColumnRenamed("col", "p_col").withColumn("row", F.explode(F.sequence(F.col("p_row") - radius, F.col("p_row") + radius))).withColumn("col", F.explode(F.sequence(F.col("p_col") - radius, F.col("p_col") + radius)))
     got = p.join(dem, ["tile", "row", "col"]).groupBy("point_id").agg(F.max(F.when((F.col("row") == F.col("p_row")) & (F.col("col") == F.col("p_col")), F.col("z"))).alias("elevation"), F.avg("z").alias("mean_z"), F.stddev_pop("z").alias("spread"), F.count("*").alias("cells"))
     return points.select("point_id").join(got, "point_id", "left").withColumn("tpi", F.col("elevation") - F.col("mean_z"))
 

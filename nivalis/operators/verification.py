@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 THRESHOLD = 2.5
 TARGETS = {"rmse": 15.0, "f1": 0.85, "improvement": 0.20, "bias": 5.0}
@@ -138,7 +139,7 @@ def _beta_tail(a: float, b: float, x: float) -> float:
     return front * total
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_test_p(t: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p value of Student's t with n - 1 degrees of freedom; for tables of a few rows."""
     return pd.Series([None if pd.isna(x) or m < 2 else _beta_tail((m - 1) / 2, 0.5, (m - 1) / (m - 1 + x * x)) for x, m in zip(t, n, strict=True)], dtype="float64")
