@@ -1,4 +1,4 @@
-"""The queries of this subpackage, by name."""
+"""The queries of this subpackage, by name, and their DuckDB equivalents."""
 
 from __future__ import annotations
 
@@ -7,12 +7,15 @@ from nivalis.llm.fingerprints import op9_fingerprints
 from nivalis.llm.language import op5_language
 from nivalis.llm.mixing import op10_mixing
 from nivalis.llm.neardup import op3_jaccard
+from nivalis.llm.oracles import ORACLE
 from nivalis.llm.phrases import op7_phrases
 from nivalis.llm.quality import op4_quality
 from nivalis.llm.secrets import op8_secrets
 from nivalis.llm.sharding import op6_sharding
 from nivalis.llm.suffixes import op2_suffixes
 
+__all__ = ["ORACLE", "QUERIES"]
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_suffixes": op2_suffixes,
@@ -25,4 +28,3 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op10_mixing": op10_mixing,
 }
-ORACLE: dict[str, str] = {}
