@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nivalis.llm.tables import partitions, written
+from nivalis.llm.tables import partitions, small_batches, written
 
 BLOCK_BYTES = 2 << 20
 NO_ID = (1 << 63) - 1  # a null id, which counts as the largest
@@ -147,6 +147,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Blocks of the texts, written to the shared folder. A null text is an empty one."""
+    small_batches(docs.sparkSession)
     body = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     return written(body.mapInArrow(_pack, "block long, ids binary, sizes binary, data binary"), "none")
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from nivalis.llm import blocks as B
 from nivalis.llm.blocks import U
-from nivalis.llm.tables import read, written
+from nivalis.llm.tables import read, small_batches, written
 
 WINDOW, GRAM = 13, 8
 WINDOW_GRAMS = WINDOW - GRAM + 1
@@ -152,6 +152,7 @@ def contaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     Null texts have no words; items without words are never found; a null item id is left out; repeated rows and items
     are judged each for itself; an empty table gives an empty result, an empty benchmark no hits."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("binary").alias("text")).filter("id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, -(-size // PART_BYTES))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from nivalis.llm import blocks as B
 from nivalis.llm.blocks import U
 from nivalis.llm.components import components
-from nivalis.llm.tables import partitions, read, written
+from nivalis.llm.tables import partitions, read, small_batches, written
 
 WORDS, THRESHOLD = 5, (4, 5)  # similarity is at least 4 / 5
 BANDS, ROWS, STEP = 32, 5, 32
@@ -173,6 +173,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     than five words have one shingle; rows of null doc_id get a class, which is null only if all its ids are."""
     spark = docs.sparkSession
     n = partitions(spark)
+    small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     body = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.cast("binary").alias("text"))
     sketches = written(body.mapInArrow(_sketch, "doc_id long, node long, n long, sig binary, bands array<long>"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from nivalis.llm import blocks as B
 from nivalis.llm.blocks import U
 from nivalis.llm.neardup import batches_of
-from nivalis.llm.tables import read
+from nivalis.llm.tables import read, small_batches
 
 TRAIN_ROWS = 20_000
 BUCKETS, BINS, FACTORS = 1 << 14, 16, 8
@@ -133,6 +133,7 @@ def held_out(id_col: str, n: int, rest: int):
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Machine:
     """Fitted on at most `train_rows` of the labelled rows that aren't held out; without any, every score is 0.5."""
+    small_batches(docs.sparkSession)
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label")).filter(~held_out("doc_id", 5, 0))
     some = known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(train_rows).withColumnRenamed("doc_id", "l_id")
     # at most train_rows pairs of numbers
@@ -147,6 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mac
 
 def scored(docs: DataFrame, machine: Machine, text_col: str = "text", score: str = "score") -> DataFrame:
     """`docs` with the column `score`, the probability of label 1. A null text is an empty one; it is scored like any other."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.pandas_udf("double")
