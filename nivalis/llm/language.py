@@ -27,7 +27,8 @@ from nivalis.llm.tables import read, written
 
 CLASSES = 256
 END, UNKNOWN, START = CLASSES, CLASSES + 1, CLASSES + 2
-SLOTS = 1 << 18  # of each hashed context
+SLOT_BITS = 18
+SLOTS = 1 << SLOT_BITS  # of each hashed context
 AT_ONCE = 1 << 17  # bits
 PARTS = 16  # of the tables, when they are summed
 GATES, DEPTHS, NEAR = 64, 8, 24
@@ -62,10 +63,11 @@ class Tokens:
 
     def told(self, replies: list[bytes]) -> np.ndarray:
         """The count, in all training texts, of each distinct word."""
-        out = np.zeros(len(self.distinct), np.int64)
+        out, asked = np.zeros(len(self.distinct), np.int64), None
         for x in replies:
-            keys, counts = load(x)
-            out[np.searchsorted(self.distinct, keys)] = counts
+            n, bucket, counts = load(x)
+            asked = asked or dict(B.split(n, self.distinct))  # in the order in which they were asked about
+            out[asked[bucket]] = counts
         return out
 
 
@@ -73,23 +75,26 @@ def _words(block: B.Block, _, n: int):
     t = Tokens(block)
     counts = np.bincount(t.which, ~t.held[t.text], len(t.distinct)).astype(np.int64)
     for bucket, at in B.split(n, t.distinct):
-        yield bucket, 0, dump(t.distinct[at], counts[at], t.cls_of[at])
+        yield bucket, 0, dump(n, t.distinct[at], counts[at].astype(np.uint32), t.cls_of[at])
     yield int(block.block % n), 1, dump(int((~t.held).sum()))
 
 
 def _sum(got: list):
     texts = sum(load(x[3])[0] for x in got if x[2] == 1)
-    sent = [(x[1], *load(x[3])) for x in got if x[2] == 0]
+    sent = [(x[0], x[1], *load(x[3])) for x in got if x[2] == 0]
     mass = np.zeros(CLASSES, np.int64)
     stats = [0, 0, 0]
     if sent:
-        keys, first, which = np.unique(np.concatenate([x[1] for x in sent]), return_index=True, return_inverse=True)
+        keys, first, which = np.unique(np.concatenate([x[3] for x in sent]), return_index=True, return_inverse=True)
         counts = np.zeros(len(keys), np.int64)
-        np.add.at(counts, which, np.concatenate([x[2] for x in sent]))
+        np.add.at(counts, which, np.concatenate([x[4] for x in sent]))
         stats = [int((counts > 0).sum()), int(counts.sum()), int((counts == 1).sum())]
-        np.add.at(mass, np.concatenate([x[3] for x in sent])[first], counts)
-        for block, own, _, _ in sent:
-            yield 0, block, 0, dump(own, counts[np.searchsorted(keys, own)])
+        np.add.at(mass, np.concatenate([x[5] for x in sent])[first], counts)
+        told = counts[which].astype(np.uint32)
+        at = 0
+        for bucket, block, n, own, _, _ in sent:
+            yield 0, block, 0, dump(n, bucket, told[at : at + len(own)])
+            at += len(own)
     yield 0, -1, 2, dump(texts, *stats, mass)
 
 
@@ -135,7 +140,7 @@ class Bits:
 
 
 def _slot(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return (B.mix64(context + node.astype(U)) & U(SLOTS - 1)).astype(np.int32)
+    return ((context + node.astype(U) * U(0x9E3779B97F4A7C15)) * U(0xC4CEB9FE1A85EC53) >> U(64 - SLOT_BITS)).astype(np.int32)
 
 
 def _before(values: np.ndarray, text: np.ndarray, back: int, start) -> np.ndarray:
@@ -204,31 +209,30 @@ class Model:
 
     def __init__(self, kind: str, counts: list[np.ndarray]):
         self.kind, self.counts, self.odds, self.sure = kind, counts, [], {}
-        self.weights = np.full((GATES * DEPTHS, len(counts)), 1 / len(counts), np.float32)
+        self.weights = np.full((len(counts), GATES * DEPTHS), 1 / len(counts), np.float32)
         self.near = np.zeros((2, NODES[kind], NEAR))  # ones and all
         self.trained = 0
 
     def ready(self) -> None:
         """Log odds and confidence of every slot, once counting is over."""
-        self.odds = [np.log((x[1::2] + np.float32(PRIOR)) / (x[::2] + np.float32(PRIOR))).astype(np.float32) for x in self.counts]
-        self.sure = {k: np.minimum(np.log2(self.counts[k][1::2] + self.counts[k][::2] + np.float32(1)), 7).astype(np.uint8) for k in (2, 4)}
+        self.odds = [np.log((x[1] + np.float32(PRIOR)) / (x[0] + np.float32(PRIOR))).astype(np.float32) for x in (y.reshape(2, -1) for y in self.counts)]
+        self.sure = {k: np.minimum(np.log2(self.counts[k].reshape(2, -1).sum(0) + np.float32(1)), 7).astype(np.uint8) for k in (2, 4)}
 
     def mixed(self, bits: Bits):
         """(log odds of each context, gate, mixed probability)."""
-        odds, sure = np.empty((len(bits), len(self.counts)), np.float32), {}
+        odds, sure = np.empty((len(self.counts), len(bits)), np.float32), {}
         for k, (table, at) in enumerate(zip(self.counts, bits.contexts, strict=True)):
             if self.odds:
-                odds[:, k] = self.odds[k][at]
+                np.take(self.odds[k], at, out=odds[k])
                 continue
-            n = table.reshape(-1, 2)[at].astype(np.float32)
-            n0, n1 = n[:, 0], n[:, 1]
-            odds[:, k] = np.log((n1 + np.float32(PRIOR)) / (n0 + np.float32(PRIOR)))
+            n0, n1 = (np.take(half, at).astype(np.float32) for half in table.reshape(2, -1))
+            odds[k] = np.log((n1 + np.float32(PRIOR)) / (n0 + np.float32(PRIOR)))
             if k in (2, 4):
                 sure[k] = np.minimum(np.log2(n0 + n1 + np.float32(1)), 7).astype(np.int32)
         if self.odds:
-            sure = {k: x[bits.contexts[k]].astype(np.int32) for k, x in self.sure.items()}
+            sure = {k: np.take(x, bits.contexts[k]).astype(np.int32) for k, x in self.sure.items()}
         gate = (sure[2] * 8 + sure[4]) * DEPTHS + bits.depth
-        z = np.einsum("ij,ij->i", odds, self.weights[gate])
+        z = np.einsum("ij,ij->j", odds, np.take(self.weights, gate, axis=1))
         return odds, gate, 1 / (1 + np.exp(-np.clip(z, -15, 15)))
 
     def cell(self, p: np.ndarray) -> np.ndarray:
@@ -239,7 +243,7 @@ class Model:
         for a in range(0, len(bits), STEP):
             self.step(bits.part(slice(a, a + STEP)))
         for table, at in zip(self.counts, bits.contexts, strict=True):
-            np.add(table, np.bincount(2 * at + bits.bit, minlength=len(table)), out=table, casting="unsafe")
+            np.add(table, np.bincount(at + bits.bit * np.int32(len(table) // 2), minlength=len(table)), out=table, casting="unsafe")
 
     def step(self, bits: Bits) -> None:
         odds, gate, p = self.mixed(bits)
@@ -250,8 +254,8 @@ class Model:
         error = bits.bit - p
         m = GATES * DEPTHS
         times = np.maximum(np.bincount(gate, minlength=m), 16)
-        for k in range(odds.shape[1]):
-            self.weights[:, k] += RATE * np.bincount(gate, error * odds[:, k], m) / times
+        for k in range(len(odds)):
+            self.weights[k] += RATE * np.bincount(gate, error * odds[k], m) / times
         self.trained += len(bits)
 
     def log10(self, bits: Bits) -> np.ndarray:
