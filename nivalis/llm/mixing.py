@@ -82,7 +82,7 @@ def schedule(spark: SparkSession, sources: DataFrame, total: float, block: int =
 
 def lines(sized: DataFrame, n_rows: int, seed: int = 5) -> DataFrame:
     """Rows with `start`: where the row's words begin on its source's line, in seeded random order."""
-    chunks = 1 << max(0, math.ceil(math.log2(max(1, n_rows / 4096))))
+    chunks = 1 << max(0, math.ceil(math.log2(max(1, n_rows / 1024))))
     h = sized.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("chunk", F.pmod("h", F.lit(chunks)))
     return prefix_sums(h, "sid", "chunk", ["h", "doc_id", "size"], F.col("size"), "start").drop("h", "chunk")
 
