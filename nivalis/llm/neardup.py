@@ -183,8 +183,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = bands.join(shared, "band").select("u", F.col("node").alias("v")).filter("u <> v").distinct()
     comps = components(near)
     # one row of each text, with its component and the number of tiles that its component is cut into
-    one = sketches.select("node", "doc_id", "n", "sig").join(comps, "node").groupBy("node", F.col("root").alias("comp")).agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.first("sig").alias("sig"))
-    one = written(one)
+    # (copies are put together before the join, so that no task gets all copies of a text)
+    one = sketches.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.first("sig").alias("sig"))
+    one = written(one.join(comps.withColumnRenamed("root", "comp"), "node"))
     size = one.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / TILE_TEXTS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
     texts = body.withColumnRenamed("node", "t_node").withColumnRenamed("doc_id", "t_id")
     found = one.join(size, "comp").join(texts, (F.col("node") == F.col("t_node")) & F.col("least").eqNullSafe(F.col("t_id")))
