@@ -1,16 +1,18 @@
 """LM scoring by logistic context mixing of bit predictors.
 
-A text is a sequence of symbols: for each word the class of its first and last bytes (256 of them) or, for a word that training texts
-don't have, UNKNOWN, and END. (In training each word is judged without itself: what is there once is UNKNOWN.) Symbols are
-written in Huffman code, and each bit of it is predicted: several contexts (the symbols and words before it) are hashed
-to counts of zeros and ones, whose log odds are combined by weights that a gate chooses, and the result is refined by an
-adaptive table. A word of a class then has its share of the class's count; an UNKNOWN word is
-spelled, and the bits of its bytes are predicted in the same way from the bytes before them. The log of the product of all
-is the text's score; divided by its bytes it is its bits per byte.
-
-What is learnt covers all training texts: the counts of words (summed in buckets by hash, then told to each block), the
-contexts' counts (tables of fixed size, summed over tasks), and the weights and refinements (trained online, block after
-block, and averaged over tasks).
+A text is a sequence of symbols: for each word the word itself or, for a word that training texts don't have, UNKNOWN, and
+END. (In training each word is judged without itself: what is there once is UNKNOWN.) A symbol is written in bits: Huffman
+code of its class (by the word's first and last bytes, 256 of them), then Shannon's code of its group in the class and of
+the word in the group. All of these bits are predicted: several contexts (the classes and words before it) have counts of
+zeros and ones, whose log odds are combined by weights that a gate chooses, and the result is refined by an adaptive table.
+An UNKNOWN word is spelled, and the bits of its bytes are predicted in the same way from the bytes before them. The log of
+the product of all is the text's score; divided by its bytes it is its bits per byte.
+
+What is learnt covers all training texts. Counts of words, and of pairs of a context and the symbol that follows, are
+summed in buckets by hash and told to the blocks that ask for them; they grow with the corpus, and no two contexts share
+counts. A pair's answer is how often the context was followed by symbols whose code begins with the first 0, 1, 2 ... bits
+of this symbol's code. Weights and refinements are trained online, block after block, on counts without the symbol at hand,
+and averaged over tasks.
 """
 
 import heapq
@@ -27,17 +29,17 @@ from nivalis.llm.tables import read, written
 
 CLASSES = 256
 END, UNKNOWN, START = CLASSES, CLASSES + 1, CLASSES + 2
-SLOT_BITS = 18
-SLOTS = 1 << SLOT_BITS  # of each hashed context
+SUBS = 16  # groups of a class
 AT_ONCE = 1 << 17  # bits
-PARTS = 16  # of the tables, when they are summed
-GATES, DEPTHS, NEAR = 64, 8, 24
+FINER = 8  # buckets of contexts for each of words
+GATES, DEPTHS, NEAR = 64, 16, 24
 RATE, PRIOR, STEP = 0.5, 0.4, 1 << 14
 RARE = 1  # words of up to this count teach how unknown words are spelled
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
-#: Number of contexts of each of the two models, and sizes of their tables.
-SIZES = {"symbols": [512, 259 * 512, SLOTS, SLOTS, SLOTS], "bytes": [256, 1 << 16, SLOTS, SLOTS, SLOTS, SLOTS]}
+#: Number of contexts of each of the two models, the two that choose the gate, and nodes that are refined.
+CONTEXTS = {"symbols": 5, "bytes": 6}
+SURE = (2, 4)
 NODES = {"symbols": 512, "bytes": 256}
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
 
@@ -59,41 +61,117 @@ class Tokens:
         last = self.end - 1
         ends = self.bytes[last].astype(U) | self.bytes[np.maximum(last - 1, self.start)].astype(U) << U(8) | self.bytes[self.start].astype(U) << U(16)
         self.cls = (B.mix64(ends) & U(CLASSES - 1)).astype(np.int64)
-        self.cls_of = self.cls[first].astype(np.uint8)
-
-    def told(self, replies: list[bytes]) -> np.ndarray:
-        """The count, in all training texts, of each distinct word."""
-        out, asked = np.zeros(len(self.distinct), np.int64), None
-        for x in replies:
-            n, bucket, counts = load(x)
-            asked = asked or dict(B.split(n, self.distinct))  # in the order in which they were asked about
-            out[asked[bucket]] = counts
-        return out
+        self.cls_of = self.cls[first]
+        self.group = self.cls_of * SUBS + (self.distinct & U(SUBS - 1)).astype(np.int64)
+
+    def buckets(self, n: int):
+        """A group of words is whole in a bucket."""
+        return B.split(n, B.mix64(self.group.astype(U) + U(11)))
+
+    def told(self, replies: list[bytes]) -> None:
+        """Of each distinct word: its count in all training texts, its code in its group, and the counts on the way."""
+        d = len(self.distinct)
+        self.counts, self.tail, self.tail_length, self.path_at = np.zeros(d, np.int64), np.zeros(d, U), np.zeros(d, np.int64), np.zeros(d, np.int64)
+        paths, asked, size = [np.zeros(1, np.uint32)], None, 1
+        for kind, *x in map(load, replies):
+            if kind != "words":
+                continue
+            n, bucket, counts, code, length, path = x
+            asked = asked or dict(self.buckets(n))  # in the order in which they were asked about
+            at = asked[bucket]
+            self.counts[at], self.tail[at], self.tail_length[at] = counts, code, length
+            self.path_at[at] = size + _starts(length.astype(np.int64) + 1)
+            paths.append(_joined(path))
+            size += len(paths[-1])
+        self.path = np.concatenate(paths)
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Counts with their first bytes first, which compresses well."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _joined(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.arange(int(sizes.sum())) + np.repeat(starts - _starts(sizes), sizes)
+
+
+def shannon(group: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A prefix code in each group: bits, from the left, and lengths. Rows are in order of group and falling count."""
+    edges = np.flatnonzero(np.diff(group, prepend=-1))
+    sizes = np.diff(edges, append=len(group))
+    c = counts.astype(np.int64)
+    total = np.repeat(np.add.reduceat(c, edges), sizes) if len(c) else c
+    shift = np.maximum(np.ceil(np.log2(total + 1)).astype(np.int64) - 30, 0)
+    c = np.maximum(c >> shift, 1)
+    ahead = np.cumsum(c) - c
+    ahead -= np.repeat(ahead[edges], sizes)
+    total = np.repeat(np.add.reduceat(c, edges), sizes) if len(c) else c
+    length = np.ceil(np.log2(total / np.maximum(c, 1))).astype(np.int64)
+    length += (c << length) < total
+    code = ((ahead << length) // np.maximum(total, 1)).astype(U)
+    return np.where(length > 0, code << (U(64) - np.maximum(length, 1).astype(U)), U(0)), length
+
+
+def paths(context: np.ndarray, code: np.ndarray, length: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, where each row's begin): for a row and depth 0..length, the sum over its context's rows whose code begins with
+    the same bits. Rows are distinct and in order of context and code."""
+    sizes = length + 1
+    at = _starts(sizes)
+    out = np.zeros(int(sizes.sum()), np.int64)
+    if not len(code):
+        return out, at
+    differ = (code[1:] ^ code[:-1]) >> U(11)
+    common = np.concatenate(([-1], np.where(context[1:] == context[:-1], 53 - np.frexp(differ.astype(float))[1], -1)))
+    rows, sums = np.arange(len(code)), counts.astype(np.int64)
+    for depth in range(int(length.max()) + 1):
+        if depth:
+            keep = length[rows] >= depth
+            rows, sums, common = rows[keep], sums[keep], common[keep]
+        edges = np.flatnonzero(common < depth)
+        out[at[rows] + depth] = np.repeat(np.add.reduceat(sums, edges), np.diff(edges, append=len(rows)))
+    return out, at
 
 
 def _words(block: B.Block, _, n: int):
     t = Tokens(block)
     counts = np.bincount(t.which, ~t.held[t.text], len(t.distinct)).astype(np.int64)
-    for bucket, at in B.split(n, t.distinct):
-        yield bucket, 0, dump(n, t.distinct[at], counts[at].astype(np.uint32), t.cls_of[at])
+    for bucket, at in t.buckets(n):
+        yield bucket, 0, dump(n, t.distinct[at], counts[at].astype(np.uint32), t.cls_of[at].astype(np.uint8))
     yield int(block.block % n), 1, dump(int((~t.held).sum()))
 
 
 def _sum(got: list):
     texts = sum(load(x[3])[0] for x in got if x[2] == 1)
     sent = [(x[0], x[1], *load(x[3])) for x in got if x[2] == 0]
-    mass = np.zeros(CLASSES, np.int64)
+    mass = np.zeros(CLASSES * SUBS, np.int64)
     stats = [0, 0, 0]
     if sent:
         keys, first, which = np.unique(np.concatenate([x[3] for x in sent]), return_index=True, return_inverse=True)
         counts = np.zeros(len(keys), np.int64)
         np.add.at(counts, which, np.concatenate([x[4] for x in sent]))
         stats = [int((counts > 0).sum()), int(counts.sum()), int((counts == 1).sum())]
-        np.add.at(mass, np.concatenate([x[5] for x in sent])[first], counts)
-        told = counts[which].astype(np.uint32)
+        group = np.concatenate([x[5] for x in sent])[first].astype(np.int64) * SUBS + (keys & U(SUBS - 1)).astype(np.int64)
+        np.add.at(mass, group, counts)
+        code, length, path_at = np.zeros(len(keys), U), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        order = np.lexsort((-counts, group))
+        order = order[counts[order] > 0]
+        code[order], length[order] = shannon(group[order], counts[order])
+        order = order[np.lexsort((code[order], group[order]))]
+        path, path_at[order] = paths(group[order], code[order], length[order], counts[order])
+        path = np.concatenate((path, [0]))
+        path_at[counts == 0] = len(path) - 1
         at = 0
         for bucket, block, n, own, _, _ in sent:
-            yield 0, block, 0, dump(n, bucket, told[at : at + len(own)])
+            w = which[at : at + len(own)]
+            yield 0, block, 0, dump("words", n, bucket, counts[w].astype(np.uint32), code[w], length[w].astype(np.uint8), _planes(path[_ragged(path_at[w], length[w] + 1)]))
             at += len(own)
     yield 0, -1, 2, dump(texts, *stats, mass)
 
@@ -126,21 +204,30 @@ class Code:
                 self.node[i, k], self.bit[i, k] = n, b
 
 
-class Bits:
-    """Bits to predict: for each its node, depth, value, the text it is of, and a place in each context's table."""
-
-    def __init__(self, node, depth, bit, text, contexts):
-        self.node, self.depth, self.bit, self.text, self.contexts = node, np.minimum(depth, DEPTHS - 1), bit, text, contexts
-
-    def __len__(self):
-        return len(self.node)
-
-    def part(self, at) -> "Bits":
-        return Bits(self.node[at], self.depth[at], self.bit[at], self.text[at], [x[at] for x in self.contexts])
-
-
-def _slot(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return ((context + node.astype(U) * U(0x9E3779B97F4A7C15)) * U(0xC4CEB9FE1A85EC53) >> U(64 - SLOT_BITS)).astype(np.int32)
+class Heads:
+    """Codes of the groups of words, then UNKNOWN, END and the bare classes; and the counts on the way to each."""
+
+    def __init__(self, mass: np.ndarray, texts: int, single: int):
+        self.mass = mass.reshape(CLASSES, SUBS)
+        whole = np.concatenate([self.mass.sum(1), [texts, single]]) + 1
+        self.classes = Code(whole)
+        n = self.classes.length
+        bits = np.zeros(len(n), U)
+        for k in range(self.classes.bit.shape[1]):
+            bits |= np.where(k < n, self.classes.bit[:, k].astype(U) << U(63 - k), U(0))
+        cls = np.repeat(np.arange(CLASSES), SUBS)
+        sub, sub_length = np.zeros(CLASSES * SUBS, U), np.zeros(CLASSES * SUBS, np.int64)
+        order = np.lexsort((-mass, cls))
+        sub[order], sub_length[order] = shannon(cls[order], mass[order] + 1)
+        self.cls = np.concatenate((cls, [UNKNOWN, END], np.arange(CLASSES)))
+        self.length = n[self.cls] + np.concatenate((sub_length, np.zeros(2 + CLASSES, np.int64)))
+        self.code = bits[self.cls] | np.concatenate((sub, np.zeros(2 + CLASSES, U))) >> n[self.cls].astype(U)
+        self.path, self.path_at = np.zeros(int((self.length + 1).sum()), np.uint32), _starts(self.length + 1)
+        for part, counts in ((slice(0, CLASSES * SUBS + 2), np.concatenate((mass + 1, whole[[UNKNOWN, END]]))), (slice(CLASSES * SUBS + 2, None), whole[:CLASSES])):
+            rows = np.arange(len(self.length))[part]
+            rows, counts = rows[np.argsort(self.code[rows])], counts[np.argsort(self.code[rows])]
+            found, at = paths(np.zeros(len(rows)), self.code[rows], self.length[rows], counts)
+            self.path[_ragged(self.path_at[rows], self.length[rows] + 1)] = found[_ragged(at, self.length[rows] + 1)]
 
 
 def _before(values: np.ndarray, text: np.ndarray, back: int, start) -> np.ndarray:
@@ -152,183 +239,269 @@ def _before(values: np.ndarray, text: np.ndarray, back: int, start) -> np.ndarra
     return out
 
 
-def symbol_bits(t: Tokens, counts: np.ndarray, code: Code, n_texts: int, once: int):
-    """Bits of the symbols, in slices; words of a count up to `once` are UNKNOWN."""
-    c = counts[t.which]
-    own = np.where(c > once, t.cls, UNKNOWN)
-    # an END after each text's words
-    at = np.searchsorted(t.text, np.arange(n_texts), "right")
-    symbol, text = np.insert(own, at, END), np.insert(t.text, at, np.arange(n_texts))
-    word = np.insert(t.hash, at, U(7))
-    last = t.bytes[t.end - 1].astype(U) | (np.minimum((t.end - t.start) >> 1, 15).astype(U) << U(8)) | (t.bytes[t.start].astype(U) << U(12) & U(0xE0000)) if len(t.start) else np.zeros(0, U)
-    shape = np.insert(last, at, U(0))
-    s1, s2 = _before(symbol, text, 1, START), _before(symbol, text, 2, START)
-    w1 = _before(word, text, 1, U(3))
-    h1, h2 = B.mix64(_before(shape, text, 1, U(1)) << U(24)), B.mix64(_before(shape, text, 2, U(1)) << U(28))
-    pair = B.mix64(np.minimum(s1, s2).astype(U) * U(1 << 20) + (np.maximum(s1, s2).astype(U) << U(40)) + U(5))
-    shapes = B.mix64(h1 + (h2 << U(1)) + U(9))
-    n = code.length[symbol]
-    edges = np.concatenate(([0], np.cumsum(n)))
-    a = 0
-    while a < len(symbol):
-        b = max(a + 1, int(np.searchsorted(edges, edges[a] + AT_ONCE, "right")) - 1)
-        k = np.repeat(np.arange(a, b), n[a:b])
-        depth = np.arange(len(k)) - np.repeat(edges[a:b] - edges[a], n[a:b])
-        node = code.node[symbol[k], depth]
-        yield Bits(node, depth, code.bit[symbol[k], depth], text[k], [node, (s1[k] * 512 + node).astype(np.int32), _slot(w1[k], node), _slot(pair[k], node), _slot(shapes[k], node)])
-        a = b
-
-
-def byte_bits(t: Tokens, words: np.ndarray):
-    """Bits of the bytes of `words` and of the end of each."""
-    size = t.end[words] - t.start[words] + 1
-    edges = np.concatenate(([0], np.cumsum(size)))
-    a = 0
-    while a < len(words):
-        b = max(a + 1, int(np.searchsorted(edges, edges[a] + AT_ONCE // 8, "right")) - 1)
-        w = np.repeat(words[a:b], size[a:b])
-        place = np.arange(len(w)) - np.repeat(edges[a:b] - edges[a], size[a:b])
-        at = np.minimum(t.start[w] + place, len(t.bytes) - 1)
-        byte = np.where(place == size[a:b].repeat(size[a:b]) - 1, 0x20, t.bytes[at]).astype(np.int64)
+class Sequence:
+    """What is to be predicted in a block, and what it asks about contexts.
+
+    `symbol` (where words have a count) and `learnt` (where they have one without themselves) are, at each word and at each
+    text's end, rows of `code` and `length`; `spelled` are words whose bytes are predicted. `pairs` has, for each context of
+    symbols, where to find its counts before `symbol`, and `learnt_pairs` before `learnt`; `byte_pairs` before bytes."""
+
+    def __init__(self, block: B.Block, replies: list[bytes], heads: Heads):
+        t = self.t = Tokens(block)
+        t.told(replies)
+        self.heads = heads
+        n, d = len(block.ids), len(t.distinct)
+        g = CLASSES * SUBS
+        # rows: the block's words, UNKNOWN, END, classes, bytes
+        self.head = np.concatenate((t.group, np.arange(g, g + 2 + CLASSES)))
+        self.code = np.concatenate((heads.code[t.group] | t.tail >> heads.length[t.group].astype(U), heads.code[g:], np.arange(256, dtype=U) << U(56)))
+        self.length = np.concatenate((heads.length[t.group] + t.tail_length, heads.length[g:], np.full(256, 8)))
+        unknown, end, bare, byte = d, d + 1, d + 2, d + 2 + CLASSES
+        at = np.searchsorted(t.text, np.arange(n), "right")  # an END after each text's words
+        c = t.counts[t.which]
+        self.text = np.insert(t.text, at, np.arange(n))
+        self.symbol = np.insert(np.where(c > 0, t.which, unknown), at, end)
+        self.learnt = np.insert(np.where(c > 1, t.which, unknown), at, end)
+        self.keep = ~t.held[self.text]
+        cls, word = np.insert(t.cls, at, END), np.insert(t.hash, at, U(7))
+        last = t.bytes[t.end - 1].astype(U) | (np.minimum((t.end - t.start) >> 1, 15).astype(U) << U(8)) | (t.bytes[t.start].astype(U) << U(12) & U(0xE0000)) if len(t.start) else np.zeros(0, U)
+        shape = np.insert(last, at, U(0))
+        s1, s2 = _before(cls, self.text, 1, START), _before(cls, self.text, 2, START)
+        h1, h2 = B.mix64(_before(shape, self.text, 1, U(1)) << U(24)), B.mix64(_before(shape, self.text, 2, U(1)) << U(28))
+        contexts = [s1.astype(U), _before(word, self.text, 1, U(3)), np.minimum(s1, s2).astype(U) << U(20) | np.maximum(s1, s2).astype(U), h1 + (h2 << U(1))]
+        contexts = [B.mix64(B.mix64(x) + U(k + 1)) for k, x in enumerate(contexts)]
+        to_class = lambda x: np.where(x < d, bare + t.cls_of[np.minimum(x, d - 1)], x) if d else x
+        other = np.flatnonzero(self.symbol != self.learnt)
+        parts, own = [], self.keep.astype(np.int64)
+        seen = own.copy()
+        seen[other] = 0
+        for k, x in enumerate(contexts):
+            f = (lambda y: y) if k else to_class
+            parts += [(x, f(self.symbol), seen), (x[other], f(self.learnt[other]), own[other])]
+        self.spelled = np.flatnonzero((c == 0) | ((c <= RARE) & ~t.held[t.text]))
+        self.spelled_learnt = ~t.held[t.text[self.spelled]]
+        size = t.end[self.spelled] - t.start[self.spelled] + 1
+        w = np.repeat(self.spelled, size)
+        place = np.arange(len(w)) - np.repeat(_starts(size), size)
+        where = np.minimum(t.start[w] + place, len(t.bytes) - 1)
+        self.byte = np.where(place == np.repeat(size, size) - 1, 0x20, t.bytes[where]).astype(np.int64)
+        self.byte_text, self.byte_learnt = t.text[w], np.repeat(self.spelled_learnt, size)
         # before the word's first byte stand the last bytes of the word before it
         ahead = np.maximum(t.end[np.maximum(w - 1, 0)], 1)
-        back = [np.where(place >= k, t.bytes[np.maximum(at - k, 0)], np.where(w > 0, t.bytes[np.maximum(ahead - 1 - (k - 1 - place), 0)] & 0x7F | 0x80, 0)).astype(U) for k in (1, 2, 3, 4)]
+        back = [np.where(place >= k, t.bytes[np.maximum(where - k, 0)], np.where(w > 0, t.bytes[np.maximum(ahead - 1 - (k - 1 - place), 0)] & 0x7F | 0x80, 0)).astype(U) for k in (1, 2, 3, 4)]
         two = back[0] | back[1] << U(8)
-        ctx = [B.mix64(x) for x in (two | U(1 << 40), two | back[2] << U(16) | U(2 << 40), two | back[2] << U(16) | back[3] << U(24) | U(3 << 40))]
-        ctx.append(B.mix64(t.prefix.spans(t.start[w], np.minimum(at, t.end[w])) ^ B.mix64(back[0] + U(4 << 40))))  # all of the word so far
-        k = np.repeat(np.arange(len(w)), 8)
-        depth = np.tile(np.arange(8), len(w))
-        node = ((1 << depth) | (byte[k] >> (8 - depth))).astype(np.int32)
-        bit = ((byte[k] >> (7 - depth)) & 1).astype(np.int8)
-        yield Bits(node, depth, bit, t.text[w][k], [node, (back[0][k].astype(np.int32) << 8) | node, *(_slot(x[k], node) for x in ctx)])
-        a = b
+        spelling = [np.zeros(len(w), U), back[0], two, two | back[2] << U(16), two | back[2] << U(16) | back[3] << U(24)]
+        spelling.append(t.prefix.spans(t.start[w], np.minimum(where, t.end[w])) ^ B.mix64(back[0] + U(4 << 40)))  # all of the word so far
+        parts += [(B.mix64(B.mix64(x) + U(k + 101)), byte + self.byte, self.byte_learnt.astype(np.int64)) for k, x in enumerate(spelling)]
+        context, row, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+        distinct, number = np.unique(context, return_inverse=True)
+        pairs, which = np.unique(number.astype(np.int64) << 32 | row, return_inverse=True)
+        self.contexts, self.asked_context, self.asked_row = distinct, pairs >> 32, pairs & 0xFFFFFFFF
+        self.asked_count = np.bincount(which, count, len(pairs)).astype(np.int64)
+        found = iter(np.split(which, np.cumsum([len(x[0]) for x in parts])[:-1]))
+        self.pairs, self.learnt_pairs, self.byte_pairs = [], [], []
+        for _ in contexts:
+            x = next(found)
+            self.pairs.append(x)
+            y = x.copy()
+            y[other] = next(found)
+            self.learnt_pairs.append(y)
+        self.byte_pairs = list(found)
+
+    def ask(self, n: int):
+        """(bucket, what it is asked) in order of context, and so of bucket."""
+        bucket = ((self.contexts >> U(32)) * U(n) >> U(32)).astype(np.int64)
+        of = bucket[self.asked_context]
+        edges = np.flatnonzero(np.diff(of, prepend=-1))
+        for a, b in zip(edges, np.append(edges[1:], len(of)), strict=True):
+            x, row = self.asked_context[a:b], self.asked_row[a:b]
+            yield int(of[a]), 0, dump(self.contexts[x[0] : x[-1] + 1], np.bincount(x - x[0]).astype(np.uint32), self.code[row], self.length[row].astype(np.uint8), self.asked_count[a:b].astype(np.uint32))
+
+    def told(self, replies: list[bytes]) -> None:
+        got = sorted((x[1], x[2]) for x in map(load, replies) if x[0] == "contexts")
+        self.counts = np.concatenate([_joined(x) for _, x in got] or [np.zeros(0, np.uint32)])
+        self.counts = np.append(self.counts, np.zeros(2, np.uint32))
+        self.size = self.length[self.asked_row]
+        self.counts_at = _starts(self.size + 1)
+
+    def _slices(self, size: np.ndarray):
+        edges, a = np.concatenate(([0], np.cumsum(size))), 0
+        while a < len(size):
+            b = max(a + 1, int(np.searchsorted(edges, edges[a] + AT_ONCE, "right")) - 1)
+            k = np.repeat(np.arange(a, b), size[a:b])
+            yield k, np.arange(len(k)) - np.repeat(edges[a:b] - edges[a], size[a:b])
+            a = b
+
+    def _of(self, pair: np.ndarray, depth: np.ndarray):
+        """Counts of a context at a node and at the next."""
+        at = np.where(depth < self.size[pair], self.counts_at[pair] + depth, len(self.counts) - 2)
+        return np.take(self.counts, at), np.take(self.counts, at + 1)
+
+    def symbol_bits(self, learn: bool):
+        rows = np.flatnonzero(self.keep) if learn else np.arange(len(self.text))
+        symbol, pairs = (self.learnt, self.learnt_pairs) if learn else (self.symbol, self.pairs)
+        d, h = len(self.t.distinct), self.heads
+        for k, depth in self._slices(self.length[symbol[rows]]):
+            at = rows[k]
+            s = symbol[at]
+            head = self.head[s]
+            tail = depth - h.length[head]
+            inside = tail >= 0
+            a = np.where(inside, 0, h.path_at[head] + depth)
+            low, high = np.take(h.path, a), np.take(h.path, a + 1)
+            if inside.any():
+                b = self.t.path_at[s[inside]] + tail[inside]
+                low[inside], high[inside] = self.t.path[b], self.t.path[b + 1]
+            counts = [(low, high), *(self._of(x[at], depth) for x in pairs)]
+            cls = h.cls[head]
+            deep = depth - h.classes.length[cls]
+            node = np.where(deep < 0, h.classes.node[cls, np.minimum(depth, h.classes.node.shape[1] - 1)], CLASSES + 2 + np.clip(deep, 0, 200))
+            bit = (self.code[s] >> (63 - depth).astype(U) & U(1)).astype(np.int8)
+            yield Bits(node, np.where(deep < 0, np.minimum(depth, 7), 8 + np.clip(deep, 0, 7)), bit, self.text[at], counts, learn)
+
+    def byte_bits(self, learn: bool):
+        rows = np.flatnonzero(self.byte_learnt) if learn else np.flatnonzero(self.t.counts[self.t.which[self.spelled]][self._spelled_of()] == 0)
+        for k, depth in self._slices(np.full(len(rows), 8)):
+            at = rows[k]
+            byte = self.byte[at]
+            yield Bits((1 << depth) | (byte >> (8 - depth)), depth, ((byte >> (7 - depth)) & 1).astype(np.int8), self.byte_text[at], [self._of(x[at], depth) for x in self.byte_pairs], learn)
+
+    def _spelled_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.spelled)), self.t.end[self.spelled] - self.t.start[self.spelled] + 1)
+
+
+class Bits:
+    """Bits to predict: for each its node, depth, value, the text it is of, and each context's log odds of this value."""
+
+    def __init__(self, node, depth, bit, text, counts, without_itself: bool):
+        self.node, self.depth, self.bit, self.text = node, depth, bit, text
+        self.odds, self.sure = np.empty((len(counts), len(node)), np.float32), {}
+        for k, (low, high) in enumerate(counts):
+            own = (high - np.minimum(high, 1) if without_itself else high).astype(np.float32)
+            other = (low - high).astype(np.float32)
+            self.odds[k] = np.log((own + np.float32(PRIOR)) / (other + np.float32(PRIOR)))
+            if k in SURE:
+                self.sure[k] = np.minimum(np.log2(own + other + np.float32(1)), 7).astype(np.int32)
+
+    def __len__(self):
+        return len(self.node)
 
 
 class Model:
-    """Contexts' counts, the gated weights that mix them, and the table that refines the result."""
+    """The gated weights that mix contexts' counts, and the table that refines the result."""
 
-    def __init__(self, kind: str, counts: list[np.ndarray]):
-        self.kind, self.counts, self.odds, self.sure = kind, counts, [], {}
-        self.weights = np.full((len(counts), GATES * DEPTHS), 1 / len(counts), np.float32)
+    def __init__(self, kind: str):
+        self.kind = kind
+        self.weights = np.full((CONTEXTS[kind], GATES * DEPTHS), 1 / CONTEXTS[kind], np.float32)
         self.near = np.zeros((2, NODES[kind], NEAR))  # ones and all
         self.trained = 0
 
-    def ready(self) -> None:
-        """Log odds and confidence of every slot, once counting is over."""
-        self.odds = [np.log((x[1] + np.float32(PRIOR)) / (x[0] + np.float32(PRIOR))).astype(np.float32) for x in (y.reshape(2, -1) for y in self.counts)]
-        self.sure = {k: np.minimum(np.log2(self.counts[k].reshape(2, -1).sum(0) + np.float32(1)), 7).astype(np.uint8) for k in (2, 4)}
-
-    def mixed(self, bits: Bits):
-        """(log odds of each context, gate, mixed probability)."""
-        odds, sure = np.empty((len(self.counts), len(bits)), np.float32), {}
-        for k, (table, at) in enumerate(zip(self.counts, bits.contexts, strict=True)):
-            if self.odds:
-                np.take(self.odds[k], at, out=odds[k])
-                continue
-            n0, n1 = (np.take(half, at).astype(np.float32) for half in table.reshape(2, -1))
-            odds[k] = np.log((n1 + np.float32(PRIOR)) / (n0 + np.float32(PRIOR)))
-            if k in (2, 4):
-                sure[k] = np.minimum(np.log2(n0 + n1 + np.float32(1)), 7).astype(np.int32)
-        if self.odds:
-            sure = {k: np.take(x, bits.contexts[k]).astype(np.int32) for k, x in self.sure.items()}
-        gate = (sure[2] * 8 + sure[4]) * DEPTHS + bits.depth
-        z = np.einsum("ij,ij->j", odds, np.take(self.weights, gate, axis=1))
-        return odds, gate, 1 / (1 + np.exp(-np.clip(z, -15, 15)))
+    def mixed(self, bits: Bits, at=slice(None)):
+        """(gate, probability of a one)."""
+        a, b = SURE
+        gate = (bits.sure[a][at] * 8 + bits.sure[b][at]) * DEPTHS + bits.depth[at]
+        z = np.clip(np.einsum("ij,ij->j", bits.odds[:, at], np.take(self.weights, gate, axis=1)), -15, 15)
+        return gate, 1 / (1 + np.exp(np.where(bits.bit[at] == 1, -z, z)))
 
     def cell(self, p: np.ndarray) -> np.ndarray:
         return np.clip((np.log(p / (1 - p)) + 12).astype(np.int32), 0, NEAR - 1)
 
     def train(self, bits: Bits) -> None:
-        """Predicts the bits from what came before, learns the weights from the error, and then counts the bits."""
+        """Predicts the bits, and learns the weights from the error."""
         for a in range(0, len(bits), STEP):
-            self.step(bits.part(slice(a, a + STEP)))
-        for table, at in zip(self.counts, bits.contexts, strict=True):
-            np.add(table, np.bincount(at + bits.bit * np.int32(len(table) // 2), minlength=len(table)), out=table, casting="unsafe")
+            self.step(bits, slice(a, a + STEP))
 
-    def step(self, bits: Bits) -> None:
-        odds, gate, p = self.mixed(bits)
-        near = bits.node * NEAR + self.cell(p)
+    def step(self, bits: Bits, at: slice) -> None:
+        gate, p = self.mixed(bits, at)
+        bit = bits.bit[at]
+        near = bits.node[at] * NEAR + self.cell(p)
         n = NODES[self.kind] * NEAR
-        self.near[0] += np.bincount(near, bits.bit, n).reshape(-1, NEAR)
+        self.near[0] += np.bincount(near, bit, n).reshape(-1, NEAR)
         self.near[1] += np.bincount(near, minlength=n).reshape(-1, NEAR)
-        error = bits.bit - p
+        error = np.abs(bit - p)  # odds are those of the bit's value
         m = GATES * DEPTHS
         times = np.maximum(np.bincount(gate, minlength=m), 16)
-        for k in range(len(odds)):
-            self.weights[k] += RATE * np.bincount(gate, error * odds[k], m) / times
-        self.trained += len(bits)
+        for k in range(len(bits.odds)):
+            self.weights[k] += RATE * np.bincount(gate, error * bits.odds[k, at], m) / times
+        self.trained += len(bit)
 
     def log10(self, bits: Bits) -> np.ndarray:
-        _, _, p = self.mixed(bits)
+        _, p = self.mixed(bits)
         ones, every = (x[bits.node, self.cell(p)] for x in self.near)
         p = (p + (ones + 4 * p) / (every + 4)) / 2
         p = np.clip(p, 1e-6, 1 - 1e-6)
         return np.log10(np.where(bits.bit == 1, p, 1 - p))
 
 
-def _training(block: B.Block, replies: list[bytes], code: Code):
-    """(kind, slices of bits) of the block's training texts."""
-    t = Tokens(block)
-    counts = t.told(replies)
-    keep = ~t.held
-    for bits in symbol_bits(t, counts, code, len(block.ids), 1):
-        own = keep[bits.text]
-        yield "symbols", bits.part(own)
-    rare = np.flatnonzero((counts[t.which] <= RARE) & keep[t.text])
-    for bits in byte_bits(t, rare):
-        yield "bytes", bits
+def _pairs(sent):
+    def ask(block: B.Block, replies: list[bytes], n: int):
+        yield from Sequence(block, replies, sent.value).ask(n * FINER)
+
+    return ask
+
+
+def _count(got: list):
+    """Sums of the pairs of each bucket, one bucket after another."""
+    by: dict[int, list] = {}
+    for bucket, block, _, blob in got:
+        by.setdefault(bucket, []).append((block, blob))
+    for bucket, sent in by.items():
+        asked = [load(x) for _, x in sent]
+        context = np.concatenate([np.repeat(x[0], x[1]) for x in asked])
+        code, length, count = (np.concatenate([x[k] for x in asked]) for k in (2, 3, 4))
+        order = np.lexsort((code, context))
+        context, code = context[order], code[order]
+        new = np.concatenate(([True], (context[1:] != context[:-1]) | (code[1:] != code[:-1])))
+        edges = np.flatnonzero(new)
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        size = length[order][edges].astype(np.int64)
+        path, at = paths(context[edges], code[edges], size, np.add.reduceat(count[order].astype(np.int64), edges))
+        a = 0
+        for (block, _), x in zip(sent, asked, strict=True):
+            w = which[a : a + len(x[2])]
+            a += len(w)
+            yield bucket, block, 0, dump("contexts", bucket, _planes(path[_ragged(at[w], size[w] + 1)]))
 
 
 def _learn(sent):
-    """A task's tables, in PARTS parts, and its weights and refinements times the bits they come from, as part PARTS."""
+    """A task's weights times the bits they come from, and its refinements."""
 
     def run(batches):
-        code = sent.value
-        models = {k: Model(k, [np.zeros(2 * n, np.uint32) for n in sizes]) for k, sizes in SIZES.items()}
+        models = {k: Model(k) for k in CONTEXTS}
         for block, replies in B._blocks(batches):
-            for kind, bits in _training(block, replies, code):
-                if len(bits):
+            s = Sequence(block, replies, sent.value)
+            s.told(replies)
+            for kind, found in (("symbols", s.symbol_bits(True)), ("bytes", s.byte_bits(True))):
+                for bits in found:
                     models[kind].train(bits)
         if any(m.trained for m in models.values()):
-            for part in range(PARTS):
-                cut = {k: [x[part * len(x) // PARTS : (part + 1) * len(x) // PARTS].astype(np.uint32) for x in m.counts] for k, m in models.items()}
-                yield B.rows(B._ASK, [[part], [part], [0], [dump(cut)]])
             learnt = {k: [m.weights.astype(float) * m.trained, m.near, np.array([m.trained])] for k, m in models.items()}
-            yield B.rows(B._ASK, [[PARTS], [PARTS], [0], [dump(learnt)]])
+            yield B.rows(B._ASK, [[0], [0], [0], [dump(learnt)]])
 
     return run
 
 
 def _add(got: list):
-    """The sum of what all tasks have, for each part."""
-    by: dict[int, dict] = {}
-    for part, _, _, blob in got:
-        (tables,) = load(blob)
-        if part not in by:
-            by[part] = {k: [x.astype(float) for x in v] for k, v in tables.items()}
-        else:
-            for k, v in tables.items():
-                for x, y in zip(by[part][k], v, strict=True):
-                    x += y
-    for part, tables in by.items():
-        yield part, part, 0, dump(tables)
+    """The sum of what all tasks have."""
+    whole: dict = {}
+    for _, _, _, blob in got:
+        for k, v in load(blob)[0].items():
+            whole[k] = [x + y for x, y in zip(whole[k], v, strict=True)] if k in whole else v
+    yield 0, 0, 0, dump(whole)
 
 
 def _scores(sent):
     def score(block: B.Block, replies: list[bytes]):
-        code, models, texts, v, n, mass, single = sent.value
-        t = Tokens(block)
-        m = len(block.ids)
-        counts = t.told(replies)
-        c = counts[t.which]
+        heads, models, texts, v, n = sent.value
+        s = Sequence(block, replies, heads)
+        s.told(replies)
+        t, m = s.t, len(block.ids)
+        c = t.counts[t.which]
         total = np.zeros(m)
-        for bits in symbol_bits(t, counts, code, m, 0):
-            total += np.bincount(bits.text, models["symbols"].log10(bits), m)
-        known = c > 0
-        cls = t.cls[known]
-        total += np.bincount(t.text[known], np.log10(c[known] / np.maximum(mass[cls], 1)), m)
-        for bits in byte_bits(t, np.flatnonzero(~known)):
-            total += np.bincount(bits.text, models["bytes"].log10(bits), m)
+        for kind, got in (("symbols", s.symbol_bits(False)), ("bytes", s.byte_bits(False))):
+            for bits in got:
+                total += np.bincount(bits.text, models[kind].log10(bits), m)
         size = np.bincount(t.text, minlength=m)
         whole = np.log10(n + v + 1)
         base = np.bincount(t.text, np.log10(c + 1) - whole, m) + np.log10(texts + 1) - whole
@@ -355,24 +528,20 @@ def score_texts(docs: DataFrame) -> DataFrame:
     stats = _one(replies.filter("kind = 2"))
     texts, v, n, single = (int(sum(x[k] for x in stats)) for k in range(4))
     n, v = n + texts, v + (texts > 0)
-    mass = sum((x[4] for x in stats), np.zeros(CLASSES, np.int64))
-    code = Code(np.concatenate([mass, [texts, single]]) + 1)
-    told = B.told(blocks, replies.filter("kind = 0"))
-    models = {k: Model(k, [np.zeros(2 * s, np.uint32) for s in sizes]) for k, sizes in SIZES.items()}
-    sums = B.answer(told.mapInArrow(_learn(broadcast(code)), B.ASK), _add)
-    for part, tables in ((r["bucket"], load(bytes(r["blob"]))[0]) for r in sums.collect()):  # PARTS + 1 rows, some MB in all
-        for k, pieces in tables.items():
+    heads = Heads(sum((x[4] for x in stats), np.zeros(CLASSES * SUBS, np.int64)), texts, single)
+    words, head = replies.filter("kind = 0"), broadcast(heads)
+    about = written(B.answer(B.ask(B.told(blocks, words), _pairs(head)), _count), "none")
+    told = B.told(blocks, words.unionByName(about))
+    sums = B.answer(told.mapInArrow(_learn(head), B.ASK), _add)
+    models = {k: Model(k) for k in CONTEXTS}
+    for learnt in (load(bytes(r["blob"]))[0] for r in sums.collect()):  # one row
+        for k, pieces in learnt.items():
             m = models[k]
-            if part == PARTS:
-                m.trained = pieces[2][0]
-                m.weights, m.near = (pieces[0] / max(m.trained, 1)).astype(np.float32), pieces[1]
-                continue
-            for x, piece in zip(m.counts, pieces, strict=True):
-                x[part * len(x) // PARTS : (part + 1) * len(x) // PARTS] = piece
-    for m in models.values():
-        m.ready()
-        m.counts = [x[:0] for x in m.counts]  # no longer needed
-    sent = broadcast((code, models, texts, v, n, mass, single))
+            m.trained = pieces[2][0]
+            if m.trained:
+                m.weights = (pieces[0] / m.trained).astype(np.float32)
+            m.near = pieces[1]
+    sent = broadcast((heads, models, texts, v, n))
     return B.each(told, _scores(sent), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long", _OUT)
 
 

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,6 +181,55 @@ def test_language(docs, empty):
     assert language.score_texts(empty).count() == 0
 
 
+def _held_and_not(n):
+    return [i for i in range(9 * n) if language.is_held_out(i)][:n], [i for i in range(9 * n) if not language.is_held_out(i)][:n]
+
+
+def _margin(spark, train, right, wrong):
+    """By how much held-out texts `right` score above `wrong`, each."""
+    held, ids = _held_and_not(len(train) + len(right) + len(wrong))
+    rows = [*zip(ids, train), *zip(held, [*right, *wrong])]
+    got = {r.doc_id: r.score for r in language.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    scores = [got[i] for i in held[: len(right) + len(wrong)]]
+    return sum(scores[: len(right)]) - sum(scores[len(right) :])
+
+
+def test_language_keeps_many_contexts_apart(spark):
+    rng = random.Random(3)
+    first = sorted({"".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(60000)})
+    after = {w: rng.choice(["left", "right"]) for w in first}
+    other = {"left": "right", "right": "left"}
+    train = [" ".join(f"{w} {after[w]}" for w in rng.sample(first, len(first))) for _ in range(2)]
+    some = rng.sample(first, 2000)
+    margin = _margin(spark, train, [" ".join(f"{w} {after[w]}" for w in some)], [" ".join(f"{w} {other[after[w]]}" for w in some)])
+    assert margin / len(some) > 1
+
+
+def test_language_predicts_words_of_a_class(spark):
+    rng = random.Random(4)
+    after = {"alpha": "mabcun", "beta": "mxyzun"}  # first and last bytes are the same
+    text = lambda f: " ".join(f"{w} {f(w)}" for w in rng.choices(list(after), k=50))
+    train = [text(after.get) for _ in range(40)]
+    margin = _margin(spark, train, [text(after.get)], [text(lambda w: after["beta" if w == "alpha" else "alpha"])])
+    assert margin / 50 > 1
+
+
+def test_paths_are_exact():
+    rng = random.Random(5)
+    group = sorted(rng.choices(range(6), k=300))
+    count = [c for g in range(6) for c in sorted((rng.choice([1, 1, 2, 5, 400]) for x in group if x == g), reverse=True)]
+    g, c = np.array(group), np.array(count)
+    code, length = language.shannon(g, c)
+    bits = [format(int(x), "064b")[:n] for x, n in zip(code, length, strict=True)]
+    order = np.lexsort((code, g))
+    found, at = language.paths(g[order], code[order], length[order], c[order])
+    for i, a in zip(order.tolist(), at.tolist(), strict=True):
+        same = [j for j in range(300) if group[j] == group[i]]
+        assert sum(bits[j].startswith(bits[i]) for j in same) == 1
+        for d in range(len(bits[i]) + 1):
+            assert found[a + d] == sum(count[j] for j in same if bits[j][:d] == bits[i][:d])
+
+
 def test_quality(spark, docs):
     rows = [(i, " ".join(["good", "plain", "words", f"w{i % 9}"] * 9) if i % 2 else "BAD!!! ### || " * 9) for i in range(400)]
     df = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string")
