@@ -52,12 +52,27 @@ def _buckets(lat: Column, lon: Column, size: float) -> Column:
 
 def nearest_cell_map(points: DataFrame, cells: DataFrame, size: float = 1.0) -> DataFrame:
     """(point_id, cell_id): nearest in degrees on a curvilinear grid, longitudes taken modulo 360 (J3). Compute once and
-    keep, for the grid doesn't move. Cells farther than `size` degrees may be missed: such points have no row."""
+    keep, for the grid doesn't move. The nine buckets around a point hold all cells within `size` degrees; points without a
+    cell so near are looked up again in buckets of twice the size, until none is left. Only points without a place have no row."""
     shift = lambda lon: F.pmod(lon, F.lit(360.0))
-    p = points.select("point_id", F.col("lat").alias("p_lat"), shift(F.col("lon")).alias("p_lon")).withColumn("b", _buckets(F.col("p_lat"), F.col("p_lon"), size)).select("point_id", "p_lat", "p_lon", "b.ba", "b.bb")
-    c = cells.select("cell_id", F.col("lat").alias("c_lat"), shift(F.col("lon")).alias("c_lon")).withColumn("ba", F.floor(F.col("c_lat") / size)).withColumn("bb", F.floor(F.col("c_lon") / size))
+    left = points.select("point_id", F.col("lat").alias("p_lat"), shift(F.col("lon")).alias("p_lon")).filter("p_lat is not null and p_lon is not null")
+    c = cells.select("cell_id", F.col("lat").alias("c_lat"), shift(F.col("lon")).alias("c_lon")).filter("c_lat is not null and c_lon is not null")
+    places = left.select(F.col("p_lat").alias("lat"), F.col("p_lon").alias("lon")).unionByName(c.select(F.col("c_lat").alias("lat"), F.col("c_lon").alias("lon")))
+    span = places.agg(F.greatest(F.max("lat") - F.min("lat"), F.max("lon") - F.min("lon")).cast("double")).first()[0] or 0.0
     d = F.sqrt(F.pow(F.col("p_lat") - F.col("c_lat"), 2) + F.pow(F.col("p_lon") - F.col("c_lon"), 2))
-    return p.join(c, ["ba", "bb"]).groupBy("point_id").agg(F.min_by("cell_id", F.struct(d, "cell_id")).alias("cell_id"))
+    found = None
+    while True:
+        p = left.withColumn("b", _buckets(F.col("p_lat"), F.col("p_lon"), size)).select("point_id", "p_lat", "p_lon", "b.ba", "b.bb")
+        at = c.withColumn("ba", F.floor(F.col("c_lat") / size)).withColumn("bb", F.floor(F.col("c_lon") / size))
+        best = p.join(at, ["ba", "bb"]).groupBy("point_id").agg(F.min(F.struct(d.alias("d"), "cell_id")).alias("m"))
+        last = not size <= span  # the nine buckets hold all cells
+        sure = (best if last else best.filter(F.col("m.d") <= size)).select("point_id", "m.cell_id")
+        sure = sure.checkpoint() if sure.sparkSession.sparkContext.getCheckpointDir() else sure.localCheckpoint()  # a row a point
+        found = sure if found is None else found.unionByName(sure)
+        left = left.join(sure.select("point_id"), "point_id", "left_anti")
+        if last or left.isEmpty():
+            return found
+        size *= 2
 
 
 def near_stations(places: DataFrame, stations: DataFrame, radius_km: float, place_id: str = "id", station_id: str = "station_id") -> DataFrame:

@@ -150,6 +150,18 @@ def test_t_test(spark):
     assert verification._beta_tail(1, 1, 0.3) == pytest.approx(0.3) and verification._beta_tail(4.5, 0.5, 9 / (9 + 2.262157**2)) == pytest.approx(0.05, abs=1e-5)
 
 
+def test_nearest_cell_is_nearest_of_all(spark):
+    import random
+
+    rng = random.Random(6)
+    cells = [(i, rng.uniform(30, 50), rng.uniform(-125, -100)) for i in range(60)] + [(60, -0.01, 1.01), (61, 2.99, 2.99)]
+    # between cells, off the grid, and one whose nearest cell (60) is beyond the nine buckets while a farther one (61) is in them
+    points = [(i, rng.uniform(-60, 80), rng.uniform(-179, 179)) for i in range(60)] + [(60, 1.01, 1.01), (61, None, 5.0), (62, 90.0, 0.0)]
+    got = spatial.nearest_cell_map(spark.createDataFrame(points, "point_id long, lat double, lon double"), spark.createDataFrame(cells, "cell_id long, lat double, lon double"))
+    want = {i: min((math.sqrt((a - c) ** 2 + (b % 360 - d % 360) ** 2), j) for j, c, d in cells)[1] for i, a, b in points if a is not None}
+    assert {r.point_id: r.cell_id for r in got.collect()} == want and got.count() == len(want)
+
+
 def test_bootstrap_covers(spark):
     df = spark.range(2000).select((F.col("id") % 50).cast("double").alias("y_true"), (F.col("id") % 50 + F.col("id") % 11 - 5).cast("double").alias("y_pred"), "id")
     ci = {r.metric: r for r in verification.bootstrap(df, 200, row_id=["id"]).collect()}
