@@ -82,6 +82,13 @@ def stacked(df: DataFrame, features: list[str], target: str, fold: str, fitters:
     return ridge(oof, names, target, alpha), {n: fit(df, features, target) for n, fit in fitters.items()}, oof
 
 
+def stacked_predictions(meta: PipelineModel, base: dict[str, PipelineModel], df: DataFrame, name: str = "prediction") -> DataFrame:
+    """`df` with the base models' predictions, by name, and the meta model's on them."""
+    for n, model in base.items():
+        df = predict(model, df).withColumnRenamed("prediction", n).drop("features")
+    return predict(meta, df).withColumnRenamed("prediction", name).drop("features")
+
+
 def weights_table(spark, weights: dict[str, float]) -> DataFrame:
     """(model, weight), normalised (M5)."""
     total = sum(weights.values())

@@ -814,7 +814,7 @@ def a29_significance(v):
 
 @query("a17_bootstrap")
 def a17_bootstrap(v):
-    return verification.bootstrap(v.preds, 200)
+    return verification.bootstrap(v.preds)
 
 
 @query("a30_fold_summary", "WITH f AS (SELECT station_id % 5 AS fold, sqrt(avg(pow(y_pred - y_true, 2))) AS value FROM preds GROUP BY 1) SELECT 'rmse' AS metric, r6(avg(value)) AS mean, r6(stddev_pop(value)) AS std, r6(min(value)) AS min, r6(max(value)) AS max FROM f")
@@ -845,7 +845,12 @@ def m1_ridge(v):
 
 @query("m2_boosted_trees")
 def m2_boosted_trees(v):
-    return _scored(v, lambda d: models.boosted(d, FEATURES, "y_true", maxIter=5))
+    def fit(train):
+        early, late = models.temporal_holdout(train, "date", 1)  # the last year stops the training
+        rows = early.withColumn("stop", F.lit(False)).unionByName(late.withColumn("stop", F.lit(True)))
+        return models.boosted(rows, FEATURES, "y_true", validation="stop", maxIter=1000)
+
+    return _scored(v, fit)
 
 
 @query("m3_ensemble", "SELECT station_id, date, r6(sum(0.75 * y_pred + 0.25 * y_base)) AS prediction FROM preds GROUP BY ALL")
@@ -855,9 +860,10 @@ def m3_ensemble(v):
 
 @query("m4_stacking")
 def m4_stacking(v):
-    d = v.preds.withColumn("fold", F.col("station_id") % 3)
-    _, _, oof = models.stacked(d, FEATURES, "y_true", "fold", {"ridge": models.ridge, "weak": lambda t, f, y: models.ridge(t, f, y, 1000.0)})
-    return verification.compare(oof, {"ridge": "ridge", "weak": "weak"})
+    train, test = models.temporal_holdout(v.preds, "date", 2)
+    meta, base, _ = models.stacked(train.withColumn("fold", F.col("station_id") % 3), FEATURES, "y_true", "fold", {"ridge": models.ridge, "boosted": models.boosted})
+    out = models.stacked_predictions(meta, base, test, "stacked")
+    return verification.compare(out, {m: m for m in ("ridge", "boosted", "stacked")})
 
 
 @query("m6_temporal_holdout", "WITH c AS (SELECT max(date) - INTERVAL 2 YEAR AS cutoff FROM preds) SELECT date >= cutoff AS is_test, count(*) AS n FROM preds, c GROUP BY 1")

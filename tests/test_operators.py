@@ -168,6 +168,19 @@ def test_bootstrap_covers(spark):
     assert ci["rmse"].lower < math.sqrt(10) < ci["rmse"].upper and ci["bias"].lower < 0.01 and ci["bias"].upper > -0.01
 
 
+def test_model_queries_run_whole(spark, monkeypatch):
+    from nivalis.queries import QUERIES
+
+    sf, seen = "/root/testdata/sf0.001", {}
+    boot, trees = verification.bootstrap, models.boosted
+    monkeypatch.setattr(verification, "bootstrap", lambda df, n=1000, **a: seen.update(n=n) or boot(df, n, **a))
+    monkeypatch.setattr(models, "boosted", lambda *a, **k: seen.update(k) or trees(*a, **k))
+    assert QUERIES["a17_bootstrap"](spark, sf).count() == 4 and seen["n"] == 1000
+    assert QUERIES["m2_boosted_trees"](spark, sf).count() == 1 and seen["maxIter"] == 1000 and seen["validation"]
+    rows = {r.model: r for r in QUERIES["m4_stacking"](spark, sf).collect()}
+    assert set(rows) == {"ridge", "boosted", "stacked"} and rows["stacked"].rmse < 1.2 * min(r.rmse for r in rows.values())
+
+
 def test_ridge_is_closed_form(spark):
     import numpy as np
 
