@@ -29,17 +29,26 @@ def external_shuffle(df: DataFrame, key: str, n_shards: int = SHARDS, seed: int
 
     `row_bytes` estimates a row's size (64 if not given); buckets get about `bucket_bytes`. Existing columns named
     `shard` or `slot` are replaced. An empty table stays empty; null and repeated keys are kept, equal rows each get
-    a slot of their own. The order is a function of the rows, `seed` and the number of buckets."""
+    a slot of their own. The order is a function of the rows, `seed` and the numbers of buckets.
+
+    A key's rows are all in its shard, but its bucket depends on all columns and, where rows are equal, on a number: so
+    no bucket is large because a key is null or often repeated. Equal rows are counted and dealt out again."""
     df = df.drop("shard", "slot")
-    total = df.agg(F.sum(row_bytes if row_bytes is not None else F.lit(64).cast("long"))).first()[0] or 0
-    buckets = max(1, math.ceil(total / n_shards / bucket_bytes))
-    named = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    shard = rendezvous(F.col(f"`{key}`"), n_shards, seed)
+    sizes = df.groupBy(shard.alias("shard")).agg(F.sum(row_bytes if row_bytes is not None else F.lit(64).cast("long")).alias("s")).collect()  # a row a shard
+    of_shard = {r["shard"]: max(1, math.ceil((r["s"] or 0) / bucket_bytes)) for r in sizes}
+    buckets = F.element_at(F.array(*[F.lit(of_shard.get(i, 1)) for i in range(n_shards)]), F.col("shard") + 1)
+    number, times = "_number", "_times"
+    names = [F.col(f"`{c}`") for c in df.columns]
+    df = df.groupBy(*names).agg(F.count("*").alias(times)).select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(number))
+    named = {c: f"c{i}" for i, c in enumerate(df.columns) if c != number}
     cells = F.struct(F.xxhash64(F.col(f"`{key}`"), F.lit(seed + 2)).alias("h"), *[F.col(f"`{c}`").alias(a) for c, a in named.items()])
-    placed = df.select(rendezvous(F.col(f"`{key}`"), n_shards, seed).alias("shard"), F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit(seed + 1)), F.lit(buckets)).cast("int").alias("bucket"), cells.alias("row"))
+    placed = df.select(shard.alias("shard"), F.xxhash64(*names, number, F.lit(seed + 1)).alias("at"), cells.alias("row"))
+    placed = placed.select("shard", F.pmod("at", buckets).cast("int").alias("bucket"), "row")
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("base"))
-    gathered = placed.repartition(max(n_shards * buckets, partitions(df.sparkSession)), "shard", "bucket").groupBy("shard", "bucket").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    gathered = placed.repartition(max(sum(of_shard.values()), partitions(df.sparkSession)), "shard", "bucket").groupBy("shard", "bucket").agg(F.sort_array(F.collect_list("row")).alias("rows"))
     out = gathered.join(offsets, ["shard", "bucket"]).select("shard", "base", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("at", "row"))
     return out.select(*[F.col(f"row.{a}").alias(c) for c, a in named.items()], "shard", (F.col("base") + F.col("at")).alias("slot"))
 

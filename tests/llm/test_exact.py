@@ -269,6 +269,16 @@ def test_sharding(docs, empty, spark):
     assert sharding.external_shuffle(same, "doc_id", 2).count() == 6
 
 
+def test_sharding_spreads_a_key(spark, monkeypatch):
+    df = spark.createDataFrame([(None, f"t{i}") for i in range(300)] + [(None, "copy")] * 300, "doc_id long, text string")
+    largest, shuffle = [], F.shuffle
+    monkeypatch.setattr(sharding.F, "shuffle", lambda c, seed: largest.append(c) or F.transform(shuffle(c, seed), lambda x: x.withField("c1", F.concat(x["c1"], F.lit(":"), F.size(c).cast("string")))))
+    rows = sharding.external_shuffle(df, "doc_id", 4, bucket_bytes=64 * 20).collect()
+    assert largest and len({r.shard for r in rows}) == 1 and sorted(r.slot for r in rows) == list(range(600))
+    assert max(int(r.text.split(":")[1]) for r in rows) < 60  # rows of a bucket; 20 on average
+    assert sorted(r.text.split(":")[0] for r in rows) == sorted(r.text for r in df.collect())
+
+
 def test_written_shards(docs, spark, tmp_path):
     sharding.write_shards(sharding.external_shuffle(docs, "doc_id", 3), str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(ROWS)
