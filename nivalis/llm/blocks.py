@@ -9,13 +9,14 @@ texts hold is asked about once a block.
 
 from __future__ import annotations
 
+import itertools
 import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nivalis.llm.tables import partitions, small_batches, written
@@ -121,7 +122,7 @@ def rows(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part, n, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
@@ -139,17 +140,17 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(i)
             texts.append(text)
             size += len(text)
-            if size >= BLOCK_BYTES:
+            if size >= most:
                 yield flush()
     if ids:
         yield flush()
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Blocks of the texts, written to the shared folder. A null text is an empty one."""
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK_BYTES) -> DataFrame:
+    """Blocks of at least `size` bytes of texts, written to the shared folder. A null text is an empty one."""
     small_batches(docs.sparkSession)
     body = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    return written(body.mapInArrow(_pack, "block long, ids binary, sizes binary, data binary"), "none")
+    return written(body.mapInArrow(lambda x: _pack(x, size), "block long, ids binary, sizes binary, data binary"), "none")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, list[bytes]]]:
@@ -161,9 +162,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, list[byt
             yield Block(x["block"], np.frombuffer(x["ids"], np.int64), np.frombuffer(x["sizes"], np.int64), data), x.get("replies") or []
 
 
-def ask(blocks: DataFrame, question: Callable) -> DataFrame:
-    """`question(block, replies, n_buckets)` yields (bucket, kind, blob)."""
-    n = partitions(blocks.sparkSession)
+def buckets(spark: SparkSession, n_blocks: int) -> int:
+    """As many buckets that what blocks ask one about fits a task, however many partitions there are."""
+    return max(partitions(spark), n_blocks // 4)
+
+
+def ask(blocks: DataFrame, question: Callable, n: int) -> DataFrame:
+    """`question(block, replies, n)` yields (bucket, kind, blob), for buckets 0 to n - 1."""
 
     def run(batches):
         for block, replies in _blocks(batches):
@@ -175,15 +180,18 @@ def ask(blocks: DataFrame, question: Callable) -> DataFrame:
 
 
 def answer(asked: DataFrame, reply: Callable) -> DataFrame:
-    """`reply(rows)` gets all (bucket, block, kind, blob) of some buckets, and yields (bucket, block, kind, blob)."""
+    """`reply(rows)` gets all (bucket, block, kind, blob) of one bucket, and yields (bucket, block, kind, blob).
+
+    A task holds one bucket at a time: rows come in order of buckets, sorted by Spark."""
 
     def run(batches):
-        got = [x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("bucket", "block", "kind", "blob")), strict=True)]
-        out = list(reply(got)) if got else []
-        for i in range(0, len(out), 1000):
-            yield rows(_ASK, [list(c) for c in zip(*out[i : i + 1000], strict=True)])
+        rows_of = (x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("bucket", "block", "kind", "blob")), strict=True))
+        for _, got in itertools.groupby(rows_of, key=lambda x: x[0]):
+            out = list(reply(list(got)))
+            for i in range(0, len(out), 1000):
+                yield rows(_ASK, [list(c) for c in zip(*out[i : i + 1000], strict=True)])
 
-    return asked.repartition(partitions(asked.sparkSession), "bucket").mapInArrow(run, ASK)
+    return asked.repartition(partitions(asked.sparkSession), "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, ASK)
 
 
 def told(blocks: DataFrame, replies: DataFrame, how: str = "left") -> DataFrame:

@@ -1,22 +1,23 @@
 """LM scoring by logistic context mixing of bit predictors.
 
-A text is a sequence of symbols: for each word the word itself or, for a word that training texts don't have, UNKNOWN, and
-END. (In training each word is judged without itself: what is there once is UNKNOWN.) A symbol is written in bits: Huffman
-code of its class (by the word's first and last bytes, 256 of them), then Shannon's code of its group in the class and of
-the word in the group. All of these bits are predicted: several contexts (the classes and words before it) have counts of
-zeros and ones, whose log odds are combined by weights that a gate chooses, and the result is refined by an adaptive table.
-An UNKNOWN word is spelled, and the bits of its bytes are predicted in the same way from the bytes before them. The log of
-the product of all is the text's score; divided by its bytes it is its bits per byte.
+A text is a sequence of symbols: a known word (one that training texts have at least twice), UNKNOWN for any other word,
+and END. A symbol is written in bits: Huffman code of its class (by the word's first and last bytes, 256 of them), Huffman
+code of its group in the class, and a code of the word in the group; only bits at which the code branches are written. Each
+bit is predicted: the counts of zeros and ones that each context has seen there (all symbols; the classes of each of three
+words before; the word before; the two words before) are log odds, which are combined by weights that a gate chooses, and the
+result is refined by an adaptive table. An UNKNOWN word is spelled, and the bits of its bytes are predicted in the same way
+from one to four bytes before them. The log of the product of all is the text's score; divided by its bytes it is its bits
+per byte.
 
 What is learnt covers all training texts. Counts of words, and of pairs of a context and the symbol that follows, are
-summed in buckets by hash and told to the blocks that ask for them; they grow with the corpus, and no two contexts share
-counts. A pair's answer is how often the context was followed by symbols whose code begins with the first 0, 1, 2 ... bits
-of this symbol's code. Weights and refinements are trained online, block after block, on counts without the symbol at hand,
-and averaged over tasks.
+summed in buckets by hash and told to the blocks that ask for them; they grow with the corpus, and contexts are told apart
+by hashes that grow with it too. Weights and refinements are trained online, in each block from the same beginning, on the
+summed counts without the symbol at hand, and are averaged over blocks; scores are taken with all counts.
 """
 
 import heapq
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,464 +29,542 @@ from nivalis.llm.blocks import U, dump, load
 from nivalis.llm.tables import read, written
 
 CLASSES = 256
-END, UNKNOWN, START = CLASSES, CLASSES + 1, CLASSES + 2
 SUBS = 16  # groups of a class
-AT_ONCE = 1 << 17  # bits
-FINER = 8  # buckets of contexts for each of words
-GATES, DEPTHS, NEAR = 64, 16, 24
-RATE, PRIOR, STEP = 0.5, 0.4, 1 << 14
-RARE = 1  # words of up to this count teach how unknown words are spelled
+UNKNOWN, END, START = CLASSES, CLASSES + 1, CLASSES + 2
+KINDS = CLASSES + 2  # classes, UNKNOWN and END
+BLOCK_BYTES = 4 << 20
+STEP = 1 << 13  # symbols or bytes that are predicted with the same weights
+PRIOR = 0.4
+CELLS = 24
+CODE_BITS = 40
+WORDS_OF_CLASS, WORDS = 3, 2  # contexts of single classes, and of one and two words
+ORDERS = 4  # contexts of bytes
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
-#: Number of contexts of each of the two models, the two that choose the gate, and nodes that are refined.
-CONTEXTS = {"symbols": 5, "bytes": 6}
-SURE = (2, 4)
-NODES = {"symbols": 512, "bytes": 256}
+_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
 
+# ---- counts as states ----------------------------------------------------------------------------------------------
+
+#: A count's level is the last of these that it reaches; a level stands for the count in MIDDLE.
+LEVELS = np.array([0, 1, 2, 3, 4, 5, 7, 10, 15, 23, 41, 81, 201, 601, 2001, 10001])
+MIDDLE = np.array([0, 1, 2, 3, 4, 5.5, 8, 12, 18, 31, 58, 130, 350, 1100, 4500, 30000])
+_LEVEL = (np.searchsorted(LEVELS, np.arange(LEVELS[-1] + 1), "right") - 1).astype(np.uint8)
+#: A state is 16 times the level of the bit's value plus the level of the other.
+ODDS = np.log((MIDDLE[:, None] + PRIOR) / (MIDDLE + PRIOR)).ravel().astype(np.float32)
+_SURE = np.maximum(np.arange(256) >> 4, np.arange(256) & 15)
+#: How sure two contexts are, in eight and in four steps, chooses the gate.
+GATE = (np.array([0, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 6, 6, 7, 7, 7], np.uint8)[_SURE] * np.uint8(4), np.array([0, 1, 1, 2, 2, 2, 3], np.uint8)[np.minimum(_SURE, 6)])
+#: The same without the bit at hand; a count above 6 stays as it is.
+_OTHERS = (np.array([0, 0, 1, 2, 3, 4, *range(6, 16)])[:, None] * 16 + np.arange(16)).ravel()
+ODDS_OF_OTHERS, GATE_OF_OTHERS = ODDS[_OTHERS], tuple(x[_OTHERS] for x in GATE)
+FINE = 8  # steps of the log odds of all symbols, to a nat
+
+
+def level(counts: np.ndarray) -> np.ndarray:
+    return _LEVEL.take(np.minimum(counts, LEVELS[-1]))
+
+
+def fine(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(FINE * np.log(np.maximum(own, PRIOR) / np.maximum(other, PRIOR))), -127, 127).astype(np.int8)
+
+
+# ---- codes ---------------------------------------------------------------------------------------------------------
+
+
+def huffman(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of at most some 16 bits, from the left of 64, and their lengths; none where there is no mass."""
+    code, length = np.zeros(len(mass), U), np.zeros(len(mass), np.int64)
+    heap = [(max(int(m), int(mass.sum()) >> 13), i, [i]) for i, m in enumerate(mass) if m > 0]
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        for bit, side in ((0, a[2]), (1, b[2])):
+            code[side] = code[side] >> U(1) | U(bit << 63)
+            length[side] += 1
+        heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
+    return code, length
+
+
+def shannon(group: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A prefix code in each group, from the left of 64 bits. Rows are in order of group and falling count."""
+    edges = np.flatnonzero(np.diff(group, prepend=-1))
+    sizes = np.diff(edges, append=len(group))
+    if not len(edges):
+        return np.zeros(0, U)
+    c = counts.astype(np.int64)
+    total = np.repeat(np.add.reduceat(c, edges), sizes)
+    c = np.maximum(c >> np.maximum(np.ceil(np.log2(total + 1)).astype(np.int64) - 18, 0), 1)
+    total = np.repeat(np.add.reduceat(c, edges), sizes)
+    ahead = np.cumsum(c) - c
+    ahead -= np.repeat(ahead[edges], sizes)
+    length = np.ceil(np.log2(total / c)).astype(np.int64)
+    length += (c << length) < total
+    return np.where(length > 0, ((ahead << length) // total).astype(U) << (U(64) - np.maximum(length, 1).astype(U)), U(0))
+
+
+def walk(key: np.ndarray, code: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each depth: rows of which another row of the same key has the same first bits; the sum of counts of the rows
+    with these bits; and of those that have the next bit too. Rows are distinct and in order of key and code, and codes
+    have at most CODE_BITS."""
+    if not len(code):
+        return
+    differ = ((code[1:] ^ code[:-1]) >> U(64 - CODE_BITS)).astype(np.float64)
+    common = np.full(len(code) + 1, -1, np.int8)
+    common[1:-1] = np.where(key[1:] == key[:-1], CODE_BITS - np.frexp(differ)[1], -1)
+    alone = np.maximum(common[:-1], common[1:]) + 1
+    rows = np.flatnonzero(alone > 0)
+    depth = 0
+    while len(rows):
+        c, own = common[rows], counts[rows]
+        sums = []
+        for d in (depth, depth + 1):
+            edges = np.flatnonzero(c < d)
+            sums.append(np.repeat(np.add.reduceat(own, edges), np.diff(edges, append=len(rows))))
+        yield depth, rows, *sums
+        depth += 1
+        rows = rows[alone[rows] > depth]
+
+
+class Heads:
+    """What all blocks know: codes of classes, groups, UNKNOWN and END, and the counts on the way to them.
+
+    Rows: the groups of words; UNKNOWN; END. `classes` has the codes of classes, UNKNOWN and END alone."""
+
+    def __init__(self, mass: np.ndarray, single: int, texts: int):
+        mass = np.concatenate((mass, [single, texts]))
+        cls = np.concatenate((np.repeat(np.arange(CLASSES), SUBS), [UNKNOWN, END]))
+        whole = np.bincount(cls, mass, KINDS).astype(np.int64)
+        whole[CLASSES:] += 1
+        self.classes, self.class_length = huffman(whole)
+        group, size = np.zeros(len(mass), U), np.zeros(len(mass), np.int64)
+        for c in np.flatnonzero(whole[:CLASSES]):
+            at = slice(c * SUBS, c * SUBS + SUBS)
+            group[at], size[at] = huffman(mass[at])
+        self.cls, self.mass = cls, np.maximum(mass, 1)
+        self.code = self.classes[cls] | group >> self.class_length[cls].astype(U)
+        self.length = self.class_length[cls] + size
+        self.low, self.high = np.zeros((2, int(self.length.max(initial=0)) + 1, len(mass)), np.int64)
+        there = np.flatnonzero((mass > 0) | (cls >= CLASSES))
+        there = there[np.argsort(self.code[there])]
+        for depth, rows, low, high in walk(np.zeros(len(there)), self.code[there], self.mass[there]):
+            self.low[depth, there[rows]], self.high[depth, there[rows]] = low, high
+
+
+# ---- words ---------------------------------------------------------------------------------------------------------
+
 
 def is_held_out(doc_id: int) -> bool:
     return doc_id != B.NO_ID and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """Order of 64-bit keys. Sorting keys with their places in the last bits is faster than sorting places, and right unless
+    two keys differ in those bits alone, which is checked."""
+    bits = U(max(len(keys) - 1, 1).bit_length())
+    packed = keys >> bits << bits | np.arange(len(keys), dtype=U)
+    packed.sort()
+    order = (packed & ((U(1) << bits) - U(1))).astype(np.int64)
+    found = keys[order]
+    return order if (found[1:] >= found[:-1]).all() else np.argsort(keys, kind="stable")
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where the first of each distinct key is, in order of key; which of them each key is)."""
+    order = order_of(keys)
+    found = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = found[1:] != found[:-1]
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+def _planes(x: np.ndarray, n: int) -> bytes:
+    """The first n bytes of each number, first bytes first, which compresses well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1)[:, :n].T).tobytes()
+
+
+def _joined(planes: bytes, n: int, kind: type) -> np.ndarray:
+    size = len(planes) // n
+    out = np.zeros((size, np.dtype(kind).itemsize), np.uint8)
+    out[:, :n] = np.frombuffer(planes, np.uint8).reshape(n, size).T
+    return out.view(kind).reshape(-1)
+
+
 class Tokens:
-    """A block's words: hash, class, first and end byte, text; and for each text whether it is held out."""
+    """A block's words: hash, class, text; and for each text whether it is held out."""
 
     def __init__(self, block: B.Block):
         self.bytes = LOWER[block.bytes]
         self.start, self.end, self.text = block.words()
-        self.prefix = B.Prefix(B.BYTES[self.bytes])
-        self.hash = B.mix64(self.prefix.spans(self.start, self.end))
+        self.hash = B.mix64(B.Prefix(B.BYTES[self.bytes]).spans(self.start, self.end))
         self.held = np.fromiter((is_held_out(i) for i in block.ids.tolist()), bool, len(block.ids))
-        self.distinct, first, self.which = np.unique(self.hash, return_index=True, return_inverse=True)
+        first, self.which = distinct(self.hash)
+        self.distinct = self.hash[first]
         last = self.end - 1
         ends = self.bytes[last].astype(U) | self.bytes[np.maximum(last - 1, self.start)].astype(U) << U(8) | self.bytes[self.start].astype(U) << U(16)
         self.cls = (B.mix64(ends) & U(CLASSES - 1)).astype(np.int64)
-        self.cls_of = self.cls[first]
-        self.group = self.cls_of * SUBS + (self.distinct & U(SUBS - 1)).astype(np.int64)
+        self.group = self.cls[first] * SUBS + (self.distinct & U(SUBS - 1)).astype(np.int64)
 
     def buckets(self, n: int):
         """A group of words is whole in a bucket."""
         return B.split(n, B.mix64(self.group.astype(U) + U(11)))
 
     def told(self, replies: list[bytes]) -> None:
-        """Of each distinct word: its count in all training texts, its code in its group, and the counts on the way."""
+        """Of each distinct word: its count in all training texts, its code in its group, and its odds on the way."""
         d = len(self.distinct)
-        self.counts, self.tail, self.tail_length, self.path_at = np.zeros(d, np.int64), np.zeros(d, U), np.zeros(d, np.int64), np.zeros(d, np.int64)
-        paths, asked, size = [np.zeros(1, np.uint32)], None, 1
+        self.counts, self.tail, self.tail_length = np.zeros(d, np.int64), np.zeros(d, U), np.zeros(d, np.int64)
+        asked: dict | None = None
+        odds: list[np.ndarray] = []
         for kind, *x in map(load, replies):
             if kind != "words":
                 continue
-            n, bucket, counts, code, length, path = x
-            asked = asked or dict(self.buckets(n))  # in the order in which they were asked about
+            n, bucket, counts, tail, length, deep = x
+            asked = asked or dict(self.buckets(n))
             at = asked[bucket]
-            self.counts[at], self.tail[at], self.tail_length[at] = counts, code, length
-            self.path_at[at] = size + _starts(length.astype(np.int64) + 1)
-            paths.append(_joined(path))
-            size += len(paths[-1])
-        self.path = np.concatenate(paths)
-
-
-def _starts(sizes: np.ndarray) -> np.ndarray:
-    return np.cumsum(sizes) - sizes
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """Counts with their first bytes first, which compresses well."""
-    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _joined(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
-
-
-def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    return np.arange(int(sizes.sum())) + np.repeat(starts - _starts(sizes), sizes)
-
-
-def shannon(group: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A prefix code in each group: bits, from the left, and lengths. Rows are in order of group and falling count."""
-    edges = np.flatnonzero(np.diff(group, prepend=-1))
-    sizes = np.diff(edges, append=len(group))
-    c = counts.astype(np.int64)
-    total = np.repeat(np.add.reduceat(c, edges), sizes) if len(c) else c
-    shift = np.maximum(np.ceil(np.log2(total + 1)).astype(np.int64) - 30, 0)
-    c = np.maximum(c >> shift, 1)
-    ahead = np.cumsum(c) - c
-    ahead -= np.repeat(ahead[edges], sizes)
-    total = np.repeat(np.add.reduceat(c, edges), sizes) if len(c) else c
-    length = np.ceil(np.log2(total / np.maximum(c, 1))).astype(np.int64)
-    length += (c << length) < total
-    code = ((ahead << length) // np.maximum(total, 1)).astype(U)
-    return np.where(length > 0, code << (U(64) - np.maximum(length, 1).astype(U)), U(0)), length
-
-
-def paths(context: np.ndarray, code: np.ndarray, length: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(counts, where each row's begin): for a row and depth 0..length, the sum over its context's rows whose code begins with
-    the same bits. Rows are distinct and in order of context and code."""
-    sizes = length + 1
-    at = _starts(sizes)
-    out = np.zeros(int(sizes.sum()), np.int64)
-    if not len(code):
-        return out, at
-    differ = (code[1:] ^ code[:-1]) >> U(11)
-    common = np.concatenate(([-1], np.where(context[1:] == context[:-1], 53 - np.frexp(differ.astype(float))[1], -1)))
-    rows, sums = np.arange(len(code)), counts.astype(np.int64)
-    for depth in range(int(length.max()) + 1):
-        if depth:
-            keep = length[rows] >= depth
-            rows, sums, common = rows[keep], sums[keep], common[keep]
-        edges = np.flatnonzero(common < depth)
-        out[at[rows] + depth] = np.repeat(np.add.reduceat(sums, edges), np.diff(edges, append=len(rows)))
-    return out, at
+            self.counts[at], self.tail[at], self.tail_length[at] = counts, _joined(tail, 4, np.uint64) << U(32), length
+            for depth, got in enumerate(deep):
+                if depth == len(odds):
+                    odds.append(np.zeros(d, np.int8))
+                odds[depth][at[length > depth]] = np.frombuffer(got, np.int8)
+        self.odds = odds
 
 
 def _words(block: B.Block, _, n: int):
     t = Tokens(block)
-    counts = np.bincount(t.which, ~t.held[t.text], len(t.distinct)).astype(np.int64)
+    counts = np.bincount(t.which, ~t.held[t.text], len(t.distinct))
     for bucket, at in t.buckets(n):
-        yield bucket, 0, dump(n, t.distinct[at], counts[at].astype(np.uint32), t.cls_of[at].astype(np.uint8))
+        yield bucket, 0, dump(n, _planes(t.distinct[at], 8), counts[at].astype(np.uint32), t.group[at].astype(np.uint16))
     yield int(block.block % n), 1, dump(int((~t.held).sum()))
 
 
 def _sum(got: list):
+    """Of a bucket's groups: counts of words, and codes of the known ones."""
     texts = sum(load(x[3])[0] for x in got if x[2] == 1)
     sent = [(x[0], x[1], *load(x[3])) for x in got if x[2] == 0]
-    mass = np.zeros(CLASSES * SUBS, np.int64)
+    mass: tuple = ([], [])
     stats = [0, 0, 0]
     if sent:
-        keys, first, which = np.unique(np.concatenate([x[3] for x in sent]), return_index=True, return_inverse=True)
-        counts = np.zeros(len(keys), np.int64)
-        np.add.at(counts, which, np.concatenate([x[4] for x in sent]))
+        keys = np.concatenate([_joined(x[3], 8, np.uint64) for x in sent])
+        first, which = distinct(keys)
+        group = np.concatenate([x[5] for x in sent])[first]
+        counts = np.bincount(which, np.concatenate([x[4] for x in sent])).astype(np.int64)
         stats = [int((counts > 0).sum()), int(counts.sum()), int((counts == 1).sum())]
-        group = np.concatenate([x[5] for x in sent])[first].astype(np.int64) * SUBS + (keys & U(SUBS - 1)).astype(np.int64)
-        np.add.at(mass, group, counts)
-        code, length, path_at = np.zeros(len(keys), U), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        order = np.lexsort((-counts, group))
-        order = order[counts[order] > 0]
-        code[order], length[order] = shannon(group[order], counts[order])
-        order = order[np.lexsort((code[order], group[order]))]
-        path, path_at[order] = paths(group[order], code[order], length[order], counts[order])
-        path = np.concatenate((path, [0]))
-        path_at[counts == 0] = len(path) - 1
+        known = np.flatnonzero(counts > 1)
+        known = known[np.lexsort((-counts[known], group[known]))]
+        code = shannon(group[known].astype(np.int64), counts[known])
+        order = np.lexsort((code, group[known]))
+        known, code = known[order], code[order]
+        # only bits at which the code branches are kept
+        tail, length = np.zeros(len(counts), np.uint64), np.zeros(len(counts), np.int64)
+        odds: list[np.ndarray] = []
+        for depth, rows, low, high in walk(group[known], code, counts[known]):
+            fork = high < low
+            rows, low, high = rows[fork], low[fork], high[fork]
+            w, bit = known[rows], code[rows] >> U(63 - depth) & U(1)
+            at = length[w]
+            tail[w] |= bit << (U(63) - at.astype(U))
+            for k in np.unique(at):
+                if k == len(odds):
+                    odds.append(np.zeros(len(counts), np.int8))
+                odds[k][w[at == k]] = fine(high[at == k], (low - high)[at == k])
+            length[w] += 1
+        groups, at = np.unique(group[known], return_inverse=True)
+        mass = (groups, np.bincount(at, counts[known], len(groups)).astype(np.int64))
         at = 0
-        for bucket, block, n, own, _, _ in sent:
-            w = which[at : at + len(own)]
-            yield 0, block, 0, dump("words", n, bucket, counts[w].astype(np.uint32), code[w], length[w].astype(np.uint8), _planes(path[_ragged(path_at[w], length[w] + 1)]))
-            at += len(own)
-    yield 0, -1, 2, dump(texts, *stats, mass)
-
-
-class Code:
-    """Huffman code of the symbols: for each its length, and the tree's nodes and bits on the way."""
-
-    def __init__(self, mass: np.ndarray):
-        heap = [(int(m), i, None) for i, m in enumerate(mass)]
-        heapq.heapify(heap)
-        made = len(mass)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            heapq.heappush(heap, (a[0] + b[0], made, (a, b)))
-            made += 1
-        way: dict[int, list] = {}
-        stack, node = [(heap[0], [])], 0
-        while stack:
-            (_, i, kids), path = stack.pop()
-            if kids is None:
-                way[i] = path
-            else:
-                stack += [(kids[0], [*path, (node, 0)]), (kids[1], [*path, (node, 1)])]
-                node += 1
-        most = max(map(len, way.values()))
-        self.length = np.array([len(way[i]) for i in range(len(mass))])
-        self.node, self.bit = np.zeros((len(mass), most), np.int32), np.zeros((len(mass), most), np.int8)
-        for i, path in way.items():
-            for k, (n, b) in enumerate(path):
-                self.node[i, k], self.bit[i, k] = n, b
+        for bucket, block, n, own, *_ in sent:
+            w = which[at : at + len(own) // 8]
+            at += len(w)
+            deep = [x[w[length[w] > k]].tobytes() for k, x in enumerate(odds)]
+            yield 0, block, 0, dump("words", n, bucket, counts[w].astype(np.uint32), _planes(tail[w] >> U(32), 4), length[w].astype(np.uint8), deep)
+    yield 0, -1, 2, dump(texts, *stats, *mass)
 
 
-class Heads:
-    """Codes of the groups of words, then UNKNOWN, END and the bare classes; and the counts on the way to each."""
-
-    def __init__(self, mass: np.ndarray, texts: int, single: int):
-        self.mass = mass.reshape(CLASSES, SUBS)
-        whole = np.concatenate([self.mass.sum(1), [texts, single]]) + 1
-        self.classes = Code(whole)
-        n = self.classes.length
-        bits = np.zeros(len(n), U)
-        for k in range(self.classes.bit.shape[1]):
-            bits |= np.where(k < n, self.classes.bit[:, k].astype(U) << U(63 - k), U(0))
-        cls = np.repeat(np.arange(CLASSES), SUBS)
-        sub, sub_length = np.zeros(CLASSES * SUBS, U), np.zeros(CLASSES * SUBS, np.int64)
-        order = np.lexsort((-mass, cls))
-        sub[order], sub_length[order] = shannon(cls[order], mass[order] + 1)
-        self.cls = np.concatenate((cls, [UNKNOWN, END], np.arange(CLASSES)))
-        self.length = n[self.cls] + np.concatenate((sub_length, np.zeros(2 + CLASSES, np.int64)))
-        self.code = bits[self.cls] | np.concatenate((sub, np.zeros(2 + CLASSES, U))) >> n[self.cls].astype(U)
-        self.path, self.path_at = np.zeros(int((self.length + 1).sum()), np.uint32), _starts(self.length + 1)
-        for part, counts in ((slice(0, CLASSES * SUBS + 2), np.concatenate((mass + 1, whole[[UNKNOWN, END]]))), (slice(CLASSES * SUBS + 2, None), whole[:CLASSES])):
-            rows = np.arange(len(self.length))[part]
-            rows, counts = rows[np.argsort(self.code[rows])], counts[np.argsort(self.code[rows])]
-            found, at = paths(np.zeros(len(rows)), self.code[rows], self.length[rows], counts)
-            self.path[_ragged(self.path_at[rows], self.length[rows] + 1)] = found[_ragged(at, self.length[rows] + 1)]
+# ---- contexts ------------------------------------------------------------------------------------------------------
 
 
 def _before(values: np.ndarray, text: np.ndarray, back: int, start) -> np.ndarray:
     """The value `back` places before, in the same text; else `start`."""
     out = np.full(len(values), start, values.dtype)
     if len(values) > back:
-        same = text[back:] == text[:-back]
-        out[back:][same] = values[:-back][same]
+        out[back:] = np.where(text[back:] == text[:-back], values[:-back], out[back:])
     return out
 
 
 class Sequence:
     """What is to be predicted in a block, and what it asks about contexts.
 
-    `symbol` (where words have a count) and `learnt` (where they have one without themselves) are, at each word and at each
-    text's end, rows of `code` and `length`; `spelled` are words whose bytes are predicted. `pairs` has, for each context of
-    symbols, where to find its counts before `symbol`, and `learnt_pairs` before `learnt`; `byte_pairs` before bytes."""
+    `symbol` has, for each word and each text's end, a row of `code` and `length`: distinct words, UNKNOWN and END; `own` says
+    whether it is in the counts. `byte` has the bytes of the words that are spelled. `pairs` are, for each context of
+    symbols and then of bytes, where to find what is told about it before each of them."""
 
     def __init__(self, block: B.Block, replies: list[bytes], heads: Heads):
         t = self.t = Tokens(block)
         t.told(replies)
         self.heads = heads
         n, d = len(block.ids), len(t.distinct)
-        g = CLASSES * SUBS
-        # rows: the block's words, UNKNOWN, END, classes, bytes
-        self.head = np.concatenate((t.group, np.arange(g, g + 2 + CLASSES)))
-        self.code = np.concatenate((heads.code[t.group] | t.tail >> heads.length[t.group].astype(U), heads.code[g:], np.arange(256, dtype=U) << U(56)))
-        self.length = np.concatenate((heads.length[t.group] + t.tail_length, heads.length[g:], np.full(256, 8)))
-        unknown, end, bare, byte = d, d + 1, d + 2, d + 2 + CLASSES
+        self.head = np.concatenate((t.group, [CLASSES * SUBS, CLASSES * SUBS + 1]))
+        self.head_length = heads.length[self.head]
+        self.code = heads.code[self.head]
+        self.code[:d] |= t.tail >> self.head_length[:d].astype(U)
+        self.length = self.head_length.copy()
+        self.length[:d] += t.tail_length
         at = np.searchsorted(t.text, np.arange(n), "right")  # an END after each text's words
-        c = t.counts[t.which]
+        known = t.counts[t.which] > 1
         self.text = np.insert(t.text, at, np.arange(n))
-        self.symbol = np.insert(np.where(c > 0, t.which, unknown), at, end)
-        self.learnt = np.insert(np.where(c > 1, t.which, unknown), at, end)
-        self.keep = ~t.held[self.text]
-        cls, word = np.insert(t.cls, at, END), np.insert(t.hash, at, U(7))
-        last = t.bytes[t.end - 1].astype(U) | (np.minimum((t.end - t.start) >> 1, 15).astype(U) << U(8)) | (t.bytes[t.start].astype(U) << U(12) & U(0xE0000)) if len(t.start) else np.zeros(0, U)
-        shape = np.insert(last, at, U(0))
-        s1, s2 = _before(cls, self.text, 1, START), _before(cls, self.text, 2, START)
-        h1, h2 = B.mix64(_before(shape, self.text, 1, U(1)) << U(24)), B.mix64(_before(shape, self.text, 2, U(1)) << U(28))
-        contexts = [s1.astype(U), _before(word, self.text, 1, U(3)), np.minimum(s1, s2).astype(U) << U(20) | np.maximum(s1, s2).astype(U), h1 + (h2 << U(1))]
-        contexts = [B.mix64(B.mix64(x) + U(k + 1)) for k, x in enumerate(contexts)]
-        to_class = lambda x: np.where(x < d, bare + t.cls_of[np.minimum(x, d - 1)], x) if d else x
-        other = np.flatnonzero(self.symbol != self.learnt)
-        parts, own = [], self.keep.astype(np.int64)
-        seen = own.copy()
-        seen[other] = 0
-        for k, x in enumerate(contexts):
-            f = (lambda y: y) if k else to_class
-            parts += [(x, f(self.symbol), seen), (x[other], f(self.learnt[other]), own[other])]
-        self.spelled = np.flatnonzero((c == 0) | ((c <= RARE) & ~t.held[t.text]))
-        self.spelled_learnt = ~t.held[t.text[self.spelled]]
-        size = t.end[self.spelled] - t.start[self.spelled] + 1
-        w = np.repeat(self.spelled, size)
-        place = np.arange(len(w)) - np.repeat(_starts(size), size)
-        where = np.minimum(t.start[w] + place, len(t.bytes) - 1)
-        self.byte = np.where(place == np.repeat(size, size) - 1, 0x20, t.bytes[where]).astype(np.int64)
-        self.byte_text, self.byte_learnt = t.text[w], np.repeat(self.spelled_learnt, size)
-        # before the word's first byte stand the last bytes of the word before it
-        ahead = np.maximum(t.end[np.maximum(w - 1, 0)], 1)
-        back = [np.where(place >= k, t.bytes[np.maximum(where - k, 0)], np.where(w > 0, t.bytes[np.maximum(ahead - 1 - (k - 1 - place), 0)] & 0x7F | 0x80, 0)).astype(U) for k in (1, 2, 3, 4)]
-        two = back[0] | back[1] << U(8)
-        spelling = [np.zeros(len(w), U), back[0], two, two | back[2] << U(16), two | back[2] << U(16) | back[3] << U(24)]
-        spelling.append(t.prefix.spans(t.start[w], np.minimum(where, t.end[w])) ^ B.mix64(back[0] + U(4 << 40)))  # all of the word so far
-        parts += [(B.mix64(B.mix64(x) + U(k + 101)), byte + self.byte, self.byte_learnt.astype(np.int64)) for k, x in enumerate(spelling)]
-        context, row, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-        distinct, number = np.unique(context, return_inverse=True)
-        pairs, which = np.unique(number.astype(np.int64) << 32 | row, return_inverse=True)
-        self.contexts, self.asked_context, self.asked_row = distinct, pairs >> 32, pairs & 0xFFFFFFFF
-        self.asked_count = np.bincount(which, count, len(pairs)).astype(np.int64)
-        found = iter(np.split(which, np.cumsum([len(x[0]) for x in parts])[:-1]))
-        self.pairs, self.learnt_pairs, self.byte_pairs = [], [], []
-        for _ in contexts:
-            x = next(found)
-            self.pairs.append(x)
-            y = x.copy()
-            y[other] = next(found)
-            self.learnt_pairs.append(y)
-        self.byte_pairs = list(found)
-
-    def ask(self, n: int):
-        """(bucket, what it is asked) in order of context, and so of bucket."""
-        bucket = ((self.contexts >> U(32)) * U(n) >> U(32)).astype(np.int64)
-        of = bucket[self.asked_context]
-        edges = np.flatnonzero(np.diff(of, prepend=-1))
-        for a, b in zip(edges, np.append(edges[1:], len(of)), strict=True):
-            x, row = self.asked_context[a:b], self.asked_row[a:b]
-            yield int(of[a]), 0, dump(self.contexts[x[0] : x[-1] + 1], np.bincount(x - x[0]).astype(np.uint32), self.code[row], self.length[row].astype(np.uint8), self.asked_count[a:b].astype(np.uint32))
+        self.symbol = np.insert(np.where(known, t.which, d), at, d + 1)
+        self.own = ~t.held[self.text]
+        self.cls = heads.cls[self.head]
+        self.class_length = heads.class_length[self.cls]
+        parts = [*self._classes(np.insert(t.cls, at, END)), *self._words(np.insert(t.hash, at, U(7)))]
+        self._spelled(np.flatnonzero(~known))
+        parts += self._bytes()
+        self.pairs = [x[3] for x in parts]
+        sizes = [len(x[0]) for x in parts]
+        self.asked = [np.concatenate([x[k] for x in parts]) for k in range(3)]  # context, code, own count
+        for x, a in zip(self.pairs, np.cumsum(sizes) - sizes, strict=True):
+            x += a
+
+    def _classes(self, cls: np.ndarray):
+        """(context, code, count, pair before each symbol) of pairs of a class and the class of the symbol."""
+        to = self.cls[self.symbol]
+        for back in range(1, WORDS_OF_CLASS + 1):
+            x = _before(cls, self.text, back, START) * KINDS + to
+            there = np.flatnonzero(np.bincount(x, minlength=(START + 1) * KINDS))
+            number = np.zeros((START + 1) * KINDS, np.int64)
+            number[there] = np.arange(len(there))
+            yield B.mix64((there // KINDS).astype(U) + U(back << 32)), self.heads.classes[there % KINDS], np.bincount(number[x], self.own, len(there)), number[x]
+
+    def _words(self, word: np.ndarray):
+        """The same of pairs of one or two words and the symbol."""
+        one, two = _before(word, self.text, 1, U(3)), _before(word, self.text, 2, U(5))
+        rank = np.empty(len(self.code), U)
+        rank[np.argsort(self.code)] = np.arange(len(self.code), dtype=U)
+        low = U(max(len(rank) - 1, 1).bit_length())
+        for context in (B.mix64(one + U(101)), B.mix64(one * U(3) + B.mix64(two + U(102)))):
+            first, which = distinct(context >> low << low | rank[self.symbol])  # contexts that differ in the last bits alone are one here
+            yield context[first], self.code[self.symbol[first]], np.bincount(which, self.own, len(first)), which
+
+    def _spelled(self, words: np.ndarray) -> None:
+        """Bytes of the words at hand, each with the space that ends it."""
+        t = self.t
+        size = t.end[words] - t.start[words] + 1
+        w = np.repeat(words, size)
+        self.place = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
+        at = np.minimum(t.start[w] + self.place, len(t.bytes) - 1)
+        self.byte = np.where(self.place == np.repeat(size, size) - 1, 0x20, t.bytes[at]).astype(np.int64)
+        self.byte_text, self.byte_own = t.text[w], ~t.held[t.text[w]]
+
+    def _bytes(self):
+        """The same of pairs of one to four bytes before, in the word, and the byte."""
+        before = np.zeros(len(self.byte), U)
+        for back in range(1, ORDERS + 1):
+            before = before << U(8)
+            inside = self.place >= back
+            before[inside] |= self.byte[np.flatnonzero(inside) - back].astype(U)
+            before[~inside] |= U(0x20)
+            context = B.mix64(before + U((200 + back) << 40))
+            first, which = distinct(context >> U(8) << U(8) | self.byte.astype(U))
+            yield context[first], self.byte[first].astype(U) << U(56), np.bincount(which, self.byte_own, len(first)), which
+
+    def _buckets(self, n: int):
+        """Pairs in order of the bucket of their context, and (bucket, from, to)."""
+        bucket = (self.asked[0] >> U(32)) * U(n) >> U(32)
+        order = np.argsort(bucket.astype(np.uint16 if n <= 1 << 16 else np.uint64), kind="stable")
+        edges = np.flatnonzero(np.diff(bucket[order].astype(np.int64), prepend=-1))
+        return order, [*zip(bucket[order[edges]].tolist(), edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True)]
+
+    def ask(self, n: int, bits: int):
+        order, buckets = self._buckets(n)
+        context, code, count = (x[order] for x in self.asked)
+        context >>= U(64 - bits)
+        new = np.ones(len(order), bool)
+        new[1:] = context[1:] != context[:-1]
+        for bucket, a, b in buckets:
+            new[a] = True
+            x = context[a:b][new[a:b]]
+            yield bucket, 0, dump(n, np.packbits(new[a:b]).tobytes(), _planes(np.diff(x, prepend=U(0)), 8), _planes(code[a:b] >> U(64 - CODE_BITS), 5), _planes(count[a:b].astype(np.uint32), 4))
 
     def told(self, replies: list[bytes]) -> None:
-        got = sorted((x[1], x[2]) for x in map(load, replies) if x[0] == "contexts")
-        self.counts = np.concatenate([_joined(x) for _, x in got] or [np.zeros(0, np.uint32)])
-        self.counts = np.append(self.counts, np.zeros(2, np.uint32))
-        self.size = self.length[self.asked_row]
-        self.counts_at = _starts(self.size + 1)
-
-    def _slices(self, size: np.ndarray):
-        edges, a = np.concatenate(([0], np.cumsum(size))), 0
-        while a < len(size):
-            b = max(a + 1, int(np.searchsorted(edges, edges[a] + AT_ONCE, "right")) - 1)
-            k = np.repeat(np.arange(a, b), size[a:b])
-            yield k, np.arange(len(k)) - np.repeat(edges[a:b] - edges[a], size[a:b])
-            a = b
-
-    def _of(self, pair: np.ndarray, depth: np.ndarray):
-        """Counts of a context at a node and at the next."""
-        at = np.where(depth < self.size[pair], self.counts_at[pair] + depth, len(self.counts) - 2)
-        return np.take(self.counts, at), np.take(self.counts, at + 1)
-
-    def symbol_bits(self, learn: bool):
-        rows = np.flatnonzero(self.keep) if learn else np.arange(len(self.text))
-        symbol, pairs = (self.learnt, self.learnt_pairs) if learn else (self.symbol, self.pairs)
-        d, h = len(self.t.distinct), self.heads
-        for k, depth in self._slices(self.length[symbol[rows]]):
-            at = rows[k]
-            s = symbol[at]
-            head = self.head[s]
-            tail = depth - h.length[head]
-            inside = tail >= 0
-            a = np.where(inside, 0, h.path_at[head] + depth)
-            low, high = np.take(h.path, a), np.take(h.path, a + 1)
-            if inside.any():
-                b = self.t.path_at[s[inside]] + tail[inside]
-                low[inside], high[inside] = self.t.path[b], self.t.path[b + 1]
-            counts = [(low, high), *(self._of(x[at], depth) for x in pairs)]
-            cls = h.cls[head]
-            deep = depth - h.classes.length[cls]
-            node = np.where(deep < 0, h.classes.node[cls, np.minimum(depth, h.classes.node.shape[1] - 1)], CLASSES + 2 + np.clip(deep, 0, 200))
-            bit = (self.code[s] >> (63 - depth).astype(U) & U(1)).astype(np.int8)
-            yield Bits(node, np.where(deep < 0, np.minimum(depth, 7), 8 + np.clip(deep, 0, 7)), bit, self.text[at], counts, learn)
-
-    def byte_bits(self, learn: bool):
-        rows = np.flatnonzero(self.byte_learnt) if learn else np.flatnonzero(self.t.counts[self.t.which[self.spelled]][self._spelled_of()] == 0)
-        for k, depth in self._slices(np.full(len(rows), 8)):
-            at = rows[k]
-            byte = self.byte[at]
-            yield Bits((1 << depth) | (byte >> (8 - depth)), depth, ((byte >> (7 - depth)) & 1).astype(np.int8), self.byte_text[at], [self._of(x[at], depth) for x in self.byte_pairs], learn)
-
-    def _spelled_of(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.spelled)), self.t.end[self.spelled] - self.t.start[self.spelled] + 1)
+        """`states` has, for each depth and pair, what the pair's context has seen there; `last`, what it has deeper."""
+        got = [x[1:] for x in map(load, replies) if x[0] == "contexts"]
+        size = len(self.asked[0])
+        self.last, self.states, self.odds = np.zeros(size, np.uint8), [], []
+        deep = np.zeros(size, np.uint8)
+        if got:
+            order, buckets = self._buckets(got[0][0])
+            place = np.empty(size, np.int64)
+            place[order] = np.arange(size)
+            self.pairs = [place[x] for x in self.pairs]
+            at = {bucket: slice(a, b) for bucket, a, b in buckets}
+            for _, bucket, last, depths, _ in got:
+                self.last[at[bucket]], deep[at[bucket]] = np.frombuffer(last, np.uint8), np.frombuffer(depths, np.uint8)
+            self.states = [self.last.copy() for _ in range(int(deep.max(initial=0)))]
+            for _, bucket, _, _, states in got:
+                rows, a = deep[at[bucket]], at[bucket].start
+                for depth, x in enumerate(states):
+                    self.states[depth][a + np.flatnonzero(rows > depth)] = np.frombuffer(x, np.uint8)
+        h, head, tail = self.heads, self.head, self.length - self.head_length
+        for depth in range(len(h.low)):
+            self.odds.append(fine(h.high[depth], h.low[depth] - h.high[depth])[head])
+        self.odds += [np.zeros(len(head), np.int8) for _ in range(int(self.length.max()) - len(self.odds))]
+        for k, x in enumerate(self.t.odds):
+            rows = np.flatnonzero(tail[: len(x)] > k)
+            for depth in np.unique(self.head_length[rows] + k):
+                r = rows[self.head_length[rows] + k == depth]
+                self.odds[depth][r] = x[r]
+
+    def _state(self, depth: int, pair: np.ndarray) -> np.ndarray:
+        return (self.states[depth] if depth < len(self.states) else self.last).take(pair)
+
+    def symbol_bits(self, learn: bool) -> Iterator["Bits"]:
+        """Bits of the class, of which all contexts know something, and bits of the word, of which some do."""
+        rows = np.flatnonzero(self.own) if learn else np.arange(len(self.symbol))
+        length, class_length = self.length[self.symbol], self.class_length[self.symbol]
+        for depth in range(int(length.max(initial=0))):
+            rows = rows[length[rows] > depth]
+            of_class = class_length[rows] > depth
+            for kind, part in (("class", rows[of_class]), ("word", rows[~of_class])):
+                for at in np.split(part, range(STEP, len(part), STEP)) if len(part) else []:
+                    s = self.symbol[at]
+                    states = [self._state(depth, x[at]) for x in (self.pairs[: WORDS_OF_CLASS + WORDS] if kind == "class" else self.pairs[WORDS_OF_CLASS : WORDS_OF_CLASS + WORDS])]
+                    yield Bits(kind, depth, self.code[s], self.text[at], learn, states, self.odds[depth].take(s))
+
+    def byte_bits(self, learn: bool) -> Iterator["Bits"]:
+        rows = np.flatnonzero(self.byte_own) if learn else np.arange(len(self.byte))
+        for depth in range(8):
+            for at in np.split(rows, range(STEP, len(rows), STEP)) if len(rows) else []:
+                yield Bits("byte", depth, self.byte[at].astype(U) << U(56), self.byte_text[at], learn, [self._state(depth, x[at]) for x in self.pairs[-ORDERS:]])
+
+
+# ---- mixing --------------------------------------------------------------------------------------------------------
+
+INPUTS = {"class": 1 + WORDS_OF_CLASS + WORDS, "word": 1 + WORDS, "byte": ORDERS}
+GATES = 32
+PREFIX = 9  # bits before this one choose the cell of the refinement
+PLACES = (1 << PREFIX) + CODE_BITS
+_FINE = (np.arange(256, dtype=np.uint8).view(np.int8) / FINE).astype(np.float32)
 
 
 class Bits:
-    """Bits to predict: for each its node, depth, value, the text it is of, and each context's log odds of this value."""
-
-    def __init__(self, node, depth, bit, text, counts, without_itself: bool):
-        self.node, self.depth, self.bit, self.text = node, depth, bit, text
-        self.odds, self.sure = np.empty((len(counts), len(node)), np.float32), {}
-        for k, (low, high) in enumerate(counts):
-            own = (high - np.minimum(high, 1) if without_itself else high).astype(np.float32)
-            other = (low - high).astype(np.float32)
-            self.odds[k] = np.log((own + np.float32(PRIOR)) / (other + np.float32(PRIOR)))
-            if k in SURE:
-                self.sure[k] = np.minimum(np.log2(own + other + np.float32(1)), 7).astype(np.int32)
-
-    def __len__(self):
-        return len(self.node)
+    """Bits of one depth: the log odds that each context gives their values, which gate chooses the weights, the place of
+    the refinement."""
+
+    def __init__(self, kind: str, depth: int, code: np.ndarray, text: np.ndarray, of_others: bool, states: list[np.ndarray], every: np.ndarray | None = None):
+        self.kind, self.depth, self.text = kind, depth, text
+        self.bit = (code >> U(63 - depth) & U(1)).astype(bool)
+        self.place = ((code >> U(64 - depth) if depth else np.zeros(len(code), U)) + U((1 << depth) - 1)).astype(np.int32) if depth < PREFIX else np.full(len(code), (1 << PREFIX) + depth, np.int32)
+        self.odds = np.empty((INPUTS[kind], len(code)), np.float32)
+        if every is not None:
+            np.take(_FINE, every.view(np.uint8), out=self.odds[0])
+        for k, x in enumerate(states, INPUTS[kind] - len(states)):
+            np.take(ODDS_OF_OTHERS if of_others else ODDS, x, out=self.odds[k])
+        gates = GATE_OF_OTHERS if of_others else GATE
+        self.gate = gates[0].take(states[-2]) + gates[1].take(states[-1])
 
 
 class Model:
-    """The gated weights that mix contexts' counts, and the table that refines the result."""
+    """The weights that mix contexts' log odds, for each depth and gate, and the table that refines the result."""
 
-    def __init__(self, kind: str):
-        self.kind = kind
-        self.weights = np.full((CONTEXTS[kind], GATES * DEPTHS), 1 / CONTEXTS[kind], np.float32)
-        self.near = np.zeros((2, NODES[kind], NEAR))  # ones and all
-        self.trained = 0
+    def __init__(self):
+        self.weights = {k: np.full((CODE_BITS, n, GATES), 1 / n, np.float32) for k, n in INPUTS.items()}
+        self.weights["word"][:, :, 0] = [1, 0, 0]
+        self.trained = {k: np.zeros((CODE_BITS, GATES)) for k in INPUTS}
+        self.near = {k: np.zeros((2, PLACES * CELLS)) for k in INPUTS}  # ones and all
 
-    def mixed(self, bits: Bits, at=slice(None)):
-        """(gate, probability of a one)."""
-        a, b = SURE
-        gate = (bits.sure[a][at] * 8 + bits.sure[b][at]) * DEPTHS + bits.depth[at]
-        z = np.clip(np.einsum("ij,ij->j", bits.odds[:, at], np.take(self.weights, gate, axis=1)), -15, 15)
-        return gate, 1 / (1 + np.exp(np.where(bits.bit[at] == 1, -z, z)))
+    def mixed(self, bits: Bits) -> np.ndarray:
+        """Log odds of each bit's value."""
+        z = np.einsum("ij,ij->j", bits.odds, self.weights[bits.kind][bits.depth].take(bits.gate, axis=1))
+        return np.clip(z, -11.9, 11.9, out=z)
 
-    def cell(self, p: np.ndarray) -> np.ndarray:
-        return np.clip((np.log(p / (1 - p)) + 12).astype(np.int32), 0, NEAR - 1)
+    @staticmethod
+    def cell(bits: Bits, z: np.ndarray) -> np.ndarray:
+        return bits.place * CELLS + (np.where(bits.bit, z, -z) + 12).astype(np.int32)
 
     def train(self, bits: Bits) -> None:
-        """Predicts the bits, and learns the weights from the error."""
-        for a in range(0, len(bits), STEP):
-            self.step(bits, slice(a, a + STEP))
-
-    def step(self, bits: Bits, at: slice) -> None:
-        gate, p = self.mixed(bits, at)
-        bit = bits.bit[at]
-        near = bits.node[at] * NEAR + self.cell(p)
-        n = NODES[self.kind] * NEAR
-        self.near[0] += np.bincount(near, bit, n).reshape(-1, NEAR)
-        self.near[1] += np.bincount(near, minlength=n).reshape(-1, NEAR)
-        error = np.abs(bit - p)  # odds are those of the bit's value
-        m = GATES * DEPTHS
-        times = np.maximum(np.bincount(gate, minlength=m), 16)
-        for k in range(len(bits.odds)):
-            self.weights[k] += RATE * np.bincount(gate, error * bits.odds[k, at], m) / times
-        self.trained += len(bit)
+        """Predicts the bits, and learns the weights from the error: steps are as long as the odds' size allows."""
+        z = self.mixed(bits)
+        cell = self.cell(bits, z)
+        near = self.near[bits.kind]
+        near[0] += np.bincount(cell[bits.bit], minlength=PLACES * CELLS)
+        near[1] += np.bincount(cell, minlength=PLACES * CELLS)
+        error = 1 / (1 + np.exp(z))
+        size = np.bincount(bits.gate, error * (1 - error) * np.einsum("ij,ij->j", bits.odds, bits.odds), GATES) + 4
+        w = self.weights[bits.kind][bits.depth]
+        for k, odds in enumerate(bits.odds):
+            w[k] += np.bincount(bits.gate, error * odds, GATES) / size
+        self.trained[bits.kind][bits.depth] += np.bincount(bits.gate, minlength=GATES)
 
     def log10(self, bits: Bits) -> np.ndarray:
-        _, p = self.mixed(bits)
-        ones, every = (x[bits.node, self.cell(p)] for x in self.near)
-        p = (p + (ones + 4 * p) / (every + 4)) / 2
-        p = np.clip(p, 1e-6, 1 - 1e-6)
-        return np.log10(np.where(bits.bit == 1, p, 1 - p))
+        z = self.mixed(bits)
+        cell = self.cell(bits, z)
+        p = 1 / (1 + np.exp(-z))
+        ones, every = (x.take(cell) for x in self.near[bits.kind])
+        hits = np.where(bits.bit, ones, every - ones)
+        return np.log10(np.clip((p + (hits + 4 * p) / (every + 4)) / 2, 1e-6, 1 - 1e-6))
+
+    def learnt(self) -> dict:
+        return {k: [self.weights[k] * self.trained[k][:, None], self.trained[k], self.near[k]] for k in INPUTS}
 
+    def use(self, learnt: dict) -> None:
+        """Takes the means of what blocks have learnt; where no bit was seen, things stay as they are."""
+        for k, (weighted, trained, near) in learnt.items():
+            self.weights[k] = np.where(trained[:, None] > 0, weighted / np.maximum(trained[:, None], 1), self.weights[k]).astype(np.float32)
+            self.near[k] = near
 
-def _pairs(sent):
+
+def _pairs(sent, bits: int):
     def ask(block: B.Block, replies: list[bytes], n: int):
-        yield from Sequence(block, replies, sent.value).ask(n * FINER)
+        yield from Sequence(block, replies, sent.value).ask(n, bits)
 
     return ask
 
 
 def _count(got: list):
-    """Sums of the pairs of each bucket, one bucket after another."""
-    by: dict[int, list] = {}
-    for bucket, block, _, blob in got:
-        by.setdefault(bucket, []).append((block, blob))
-    for bucket, sent in by.items():
-        asked = [load(x) for _, x in sent]
-        context = np.concatenate([np.repeat(x[0], x[1]) for x in asked])
-        code, length, count = (np.concatenate([x[k] for x in asked]) for k in (2, 3, 4))
-        order = np.lexsort((code, context))
-        context, code = context[order], code[order]
-        new = np.concatenate(([True], (context[1:] != context[:-1]) | (code[1:] != code[:-1])))
-        edges = np.flatnonzero(new)
-        which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
-        size = length[order][edges].astype(np.int64)
-        path, at = paths(context[edges], code[edges], size, np.add.reduceat(count[order].astype(np.int64), edges))
-        a = 0
-        for (block, _), x in zip(sent, asked, strict=True):
-            w = which[a : a + len(x[2])]
-            a += len(w)
-            yield bucket, block, 0, dump("contexts", bucket, _planes(path[_ragged(at[w], size[w] + 1)]))
+    """What a bucket's contexts have seen, for each pair that was asked about."""
+    asked = [load(x[3]) for x in got]
+    new = [np.unpackbits(np.frombuffer(x[1], np.uint8), count=len(x[3]) // 5) for x in asked]
+    edges = np.cumsum([0, *map(len, new)])
+    _, number = distinct(np.concatenate([np.cumsum(_joined(x[2], 8, np.uint64)) for x in asked]))
+    keys = number[np.cumsum(np.concatenate(new)) - 1].astype(U) << U(CODE_BITS) | np.concatenate([_joined(x[3], 5, np.uint64) for x in asked])
+    first, which = distinct(keys)
+    counts = np.bincount(which, np.concatenate([_joined(x[4], 4, np.uint32) for x in asked])).astype(np.int64)
+    last = (level(counts) << 4)[which]
+    depths, states = np.zeros(len(first), np.uint8), []
+    seen, there = np.zeros(len(first), np.uint8), np.zeros(len(first), bool)
+    keys, rest = keys[first], np.arange(len(which))
+    for depth, rows, low, high in walk(keys >> U(CODE_BITS), keys << U(64 - CODE_BITS), counts):
+        depths[rows] += 1
+        seen[rows] = level(high) << 4 | level(low - high)
+        there[:] = False
+        there[rows] = True
+        rest = rest[there[which[rest]]]
+        states.append((rest, seen[which[rest]]))
+    depths = depths[which]
+    cuts = [np.searchsorted(rest, edges) for rest, _ in states]
+    for i, (bucket, block, *_) in enumerate(got):
+        a, b = edges[i], edges[i + 1]
+        yield bucket, block, 0, dump("contexts", asked[i][0], bucket, last[a:b].tobytes(), depths[a:b].tobytes(), [x[c[i] : c[i + 1]].tobytes() for (_, x), c in zip(states, cuts, strict=True) if c[i] < c[i + 1]])
 
 
 def _learn(sent):
-    """A task's weights times the bits they come from, and its refinements."""
+    """What is learnt from each block."""
 
-    def run(batches):
-        models = {k: Model(k) for k in CONTEXTS}
-        for block, replies in B._blocks(batches):
-            s = Sequence(block, replies, sent.value)
-            s.told(replies)
-            for kind, found in (("symbols", s.symbol_bits(True)), ("bytes", s.byte_bits(True))):
-                for bits in found:
-                    models[kind].train(bits)
-        if any(m.trained for m in models.values()):
-            learnt = {k: [m.weights.astype(float) * m.trained, m.near, np.array([m.trained])] for k, m in models.items()}
-            yield B.rows(B._ASK, [[0], [0], [0], [dump(learnt)]])
+    def learn(block: B.Block, replies: list[bytes], n: int):
+        s = Sequence(block, replies, sent.value)
+        s.told(replies)
+        model = Model()
+        for bits in (*s.symbol_bits(True), *s.byte_bits(True)):
+            model.train(bits)
+        yield block.block % n, 0, dump(model.learnt())
 
-    return run
+    return learn
 
 
 def _add(got: list):
-    """The sum of what all tasks have."""
     whole: dict = {}
-    for _, _, _, blob in got:
+    for *_, blob in got:
         for k, v in load(blob)[0].items():
             whole[k] = [x + y for x, y in zip(whole[k], v, strict=True)] if k in whole else v
     yield 0, 0, 0, dump(whole)
@@ -493,15 +572,14 @@ def _add(got: list):
 
 def _scores(sent):
     def score(block: B.Block, replies: list[bytes]):
-        heads, models, texts, v, n = sent.value
+        heads, model, texts, v, n = sent.value
         s = Sequence(block, replies, heads)
         s.told(replies)
         t, m = s.t, len(block.ids)
-        c = t.counts[t.which]
         total = np.zeros(m)
-        for kind, got in (("symbols", s.symbol_bits(False)), ("bytes", s.byte_bits(False))):
-            for bits in got:
-                total += np.bincount(bits.text, models[kind].log10(bits), m)
+        for bits in (*s.symbol_bits(False), *s.byte_bits(False)):
+            total += np.bincount(bits.text, model.log10(bits), m)
+        c = t.counts[t.which]
         size = np.bincount(t.text, minlength=m)
         whole = np.log10(n + v + 1)
         base = np.bincount(t.text, np.log10(c + 1) - whole, m) + np.log10(texts + 1) - whole
@@ -511,38 +589,35 @@ def _scores(sent):
     return score
 
 
-def _one(df: DataFrame) -> list[tuple]:
-    """Blobs of one row for each bucket or part: of fixed size, however much was summed."""
-    return [load(bytes(r["blob"])) for r in df.select("blob").collect()]
-
-
 def score_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes), one row for each row of `docs`.
 
     Scores are log10 probabilities. A null text is an empty one and has one token, the end; a null doc_id is not held
-    out. Without training texts, words are spelled with even odds. Other columns are left out."""
+    out. Without training texts, words are spelled with even odds. Equal texts have equal scores. Other columns are left
+    out."""
     spark = docs.sparkSession
     broadcast = spark.sparkContext.broadcast
-    blocks = B.pack(docs)
-    replies = written(B.answer(B.ask(blocks, _words), _sum), "none")
-    stats = _one(replies.filter("kind = 2"))
-    texts, v, n, single = (int(sum(x[k] for x in stats)) for k in range(4))
-    n, v = n + texts, v + (texts > 0)
-    heads = Heads(sum((x[4] for x in stats), np.zeros(CLASSES * SUBS, np.int64)), texts, single)
-    words, head = replies.filter("kind = 0"), broadcast(heads)
-    about = written(B.answer(B.ask(B.told(blocks, words), _pairs(head)), _count), "none")
-    told = B.told(blocks, words.unionByName(about))
-    sums = B.answer(told.mapInArrow(_learn(head), B.ASK), _add)
-    models = {k: Model(k) for k in CONTEXTS}
-    for learnt in (load(bytes(r["blob"]))[0] for r in sums.collect()):  # one row
-        for k, pieces in learnt.items():
-            m = models[k]
-            m.trained = pieces[2][0]
-            if m.trained:
-                m.weights = (pieces[0] / m.trained).astype(np.float32)
-            m.near = pieces[1]
-    sent = broadcast((heads, models, texts, v, n))
-    return B.each(told, _scores(sent), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long", _OUT)
+    blocks = B.pack(docs, size=BLOCK_BYTES)
+    n_blocks = blocks.count()
+    n = B.buckets(spark, n_blocks)
+    words = written(B.answer(B.ask(blocks, _words, n), _sum), "none")
+    stats = [load(bytes(r["blob"])) for r in words.filter("kind = 2").select("blob").collect()]  # of all buckets, a row for each group
+    texts, v, tokens, single = (int(sum(x[k] for x in stats)) for k in range(4))
+    mass = np.zeros(CLASSES * SUBS, np.int64)
+    for x in stats:
+        np.add.at(mass, x[4], x[5])
+    tokens, v = tokens + texts, v + (texts > 0)
+    head = broadcast(Heads(mass, single, texts))
+    words = words.filter("kind = 0")
+    contexts = written(B.answer(B.ask(B.told(blocks, words), _pairs(head, min(64, 40 + n_blocks.bit_length())), n), _count), "none")
+    told = B.told(blocks, words.unionByName(contexts))
+    model = Model()
+    whole: dict = {}
+    for r in B.answer(B.ask(told, _learn(head), 16), _add).collect():  # 16 rows of fixed size
+        for k, x in load(bytes(r["blob"]))[0].items():
+            whole[k] = [a + b for a, b in zip(whole[k], x, strict=True)] if k in whole else x
+    model.use(whole)
+    return B.each(told, _scores(broadcast((head.value, model, texts, v, tokens))), _SCHEMA, _OUT)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

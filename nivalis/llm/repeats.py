@@ -141,8 +141,9 @@ def _compare(resolve: Callable, length: int) -> Callable:
 
 def repeated(blocks: DataFrame, contexts: Callable, resolve: Callable, length: int, same_doc: bool) -> DataFrame:
     """Blocks with `replies`: dumped arrays of starts and ends of covered tokens."""
-    again = B.answer(B.ask(blocks, _count(contexts)), _recurring)
-    asked = B.ask(B.told(blocks, again, "inner"), _send(contexts, length, same_doc))
+    n = B.buckets(blocks.sparkSession, blocks.count())
+    again = B.answer(B.ask(blocks, _count(contexts), n), _recurring)
+    asked = B.ask(B.told(blocks, again, "inner"), _send(contexts, length, same_doc), n)
     return B.told(blocks, B.answer(asked, _compare(resolve, length)))
 
 

@@ -219,15 +219,78 @@ def test_paths_are_exact():
     group = sorted(rng.choices(range(6), k=300))
     count = [c for g in range(6) for c in sorted((rng.choice([1, 1, 2, 5, 400]) for x in group if x == g), reverse=True)]
     g, c = np.array(group), np.array(count)
-    code, length = language.shannon(g, c)
-    bits = [format(int(x), "064b")[:n] for x, n in zip(code, length, strict=True)]
+    code = language.shannon(g, c)
     order = np.lexsort((code, g))
-    found, at = language.paths(g[order], code[order], length[order], c[order])
-    for i, a in zip(order.tolist(), at.tolist(), strict=True):
-        same = [j for j in range(300) if group[j] == group[i]]
-        assert sum(bits[j].startswith(bits[i]) for j in same) == 1
-        for d in range(len(bits[i]) + 1):
-            assert found[a + d] == sum(count[j] for j in same if bits[j][:d] == bits[i][:d])
+    g, c, code = g[order], c[order], code[order]
+    bits = [format(int(x), "064b") for x in code]
+    deepest = [0] * 300
+    for depth, rows, low, high in language.walk(g, code, c):
+        for i, x, y in zip(rows.tolist(), low.tolist(), high.tolist(), strict=True):
+            deepest[i] = depth + 1
+            same = [j for j in range(300) if g[j] == g[i] and bits[j][:depth] == bits[i][:depth]]
+            assert len(same) > 1 and x == sum(c[j] for j in same) and y == sum(c[j] for j in same if bits[j][depth] == bits[i][depth])
+    for i in range(300):
+        assert not any(g[j] == g[i] and bits[j][: deepest[i]] == bits[i][: deepest[i]] for j in range(300) if j != i)
+
+
+def _rounds(blocks, n=3):
+    """What the job does, without Spark: (heads, model, sequences)."""
+
+    def asked(question, told):
+        by = collections.defaultdict(list)
+        for b in blocks:
+            for bucket, kind, blob in question(b, told[b.block], n):
+                by[bucket].append((bucket, b.block, kind, blob))
+        return by
+
+    told = collections.defaultdict(list)
+    words = [x for got in asked(language._words, told).values() for x in language._sum(got)]
+    stats = [language.load(x[3]) for x in words if x[2] == 2]
+    mass = np.zeros(language.CLASSES * language.SUBS, np.int64)
+    for x in stats:
+        np.add.at(mass, x[4], x[5])
+    heads = language.Heads(mass, sum(x[3] for x in stats), sum(x[0] for x in stats))
+    for x in words:
+        if x[2] == 0:
+            told[x[1]].append(x[3])
+    sent = type("Sent", (), {"value": heads})
+    for got in asked(language._pairs(sent, 46), told).values():
+        for x in language._count(got):
+            told[x[1]].append(x[3])
+    model = language.Model()
+    (whole,) = language._add([(0, 0, 0, blob) for b in blocks for *_, blob in language._learn(sent)(b, told[b.block], 1)])
+    model.use(language.load(whole[3])[0])
+    found = []
+    for b in blocks:
+        s = language.Sequence(b, told[b.block], heads)
+        s.told(told[b.block])
+        found.append(s)
+    return heads, model, found
+
+
+def _block(number, rows):
+    texts = [t.encode() for _, t in rows]
+    return language.B.Block(number, np.array([i for i, _ in rows]), np.array([len(t) for t in texts]), b"\n".join([*texts, b""]))
+
+
+def test_language_is_a_distribution():
+    """After any word, the probabilities of all known words, UNKNOWN and END add up to one."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcde", k=rng.randint(1, 4))) for _ in range(150)]
+    train = [" ".join(rng.choices(words, weights=range(1, 151), k=60)) for _ in range(30)]
+    counts = collections.Counter(w for t in train for w in t.split())
+    known = sorted(w for w, c in counts.items() if c > 1)
+    held, ids = _held_and_not(len(known) + 40)
+    for first in (known[0], max(counts, key=counts.get), "unseen"):
+        texts = [*(f"{first} {w}" for w in known), f"{first} notknown", first]
+        blocks = [_block(0, list(zip(ids, train[:15], strict=False))), _block(1, list(zip(ids[15:], train[15:], strict=False))), _block(2, list(zip(held, texts, strict=False)))]
+        _, model, (*_, s) = _rounds(blocks)
+        second = np.searchsorted(s.text, np.arange(len(texts))) + 1
+        s.text = np.arange(len(s.text))  # scores of places instead of texts
+        score = np.zeros(len(s.text))
+        for bits in s.symbol_bits(False):
+            score += np.bincount(bits.text, model.log10(bits), len(score))
+        assert (10 ** score[second]).sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_quality(spark, docs):
