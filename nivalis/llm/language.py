@@ -18,6 +18,7 @@ summed counts without the symbol at hand, and are averaged over blocks; scores a
 import heapq
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -555,7 +556,7 @@ def _learn(sent):
         s = Sequence(block, replies, sent.value)
         s.told(replies)
         model = Model()
-        for bits in (*s.symbol_bits(True), *s.byte_bits(True)):
+        for bits in chain(s.symbol_bits(True), s.byte_bits(True)):
             model.train(bits)
         yield block.block % n, 0, dump(model.learnt())
 
@@ -577,7 +578,7 @@ def _scores(sent):
         s.told(replies)
         t, m = s.t, len(block.ids)
         total = np.zeros(m)
-        for bits in (*s.symbol_bits(False), *s.byte_bits(False)):
+        for bits in chain(s.symbol_bits(False), s.byte_bits(False)):
             total += np.bincount(bits.text, model.log10(bits), m)
         c = t.counts[t.which]
         size = np.bincount(t.text, minlength=m)
