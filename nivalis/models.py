@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ def temporal_holdout(df: DataFrame, ts: str, test_years: int = 2, cutoff: str |
 def station_folds(df: DataFrame, station: str, k: int, seed: int = 42) -> DataFrame:
     """`df` with `fold` 0..k-1: whole stations, sizes that differ by one at most (M7)."""
     ids = df.select(station).distinct()
+    if (n := ids.count()) < k:
+        raise ValueError(f"{n} stations are fewer than {k} folds")
     folds = ids.select(station, (F.ntile(k).over(W.orderBy(F.xxhash64(station, F.lit(seed)), station)) - 1).alias("fold"))  # a row a station
     return df.join(folds, station)
 
@@ -52,6 +56,11 @@ def importance(model: PipelineModel, features: list[str]) -> dict[str, float]:
     return dict(zip(features, map(float, values), strict=False))
 
 
+def importance_table(spark: SparkSession, model: PipelineModel, features: list[str]) -> DataFrame:
+    """(feature, importance), the largest first."""
+    return spark.createDataFrame(list(importance(model, features).items()), "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
 def ensemble(df: DataFrame, weights: dict[str, float], how: str = "mean", name: str = "prediction") -> DataFrame:
     """Weighted mean or median of prediction columns; a model with any missing or infinite prediction is left out (M3)."""
     bad = df.agg(*[F.max((F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))).cast("int")).alias(c) for c in weights]).first()
@@ -69,8 +78,16 @@ def _median(cols: list):
     return a[n // 2] if n % 2 else (a[n // 2 - 1] + a[n // 2]) / 2
 
 
-def stacked(df: DataFrame, features: list[str], target: str, fold: str, fitters: dict, alpha: float = 1.0):
-    """Out-of-fold predictions of each fitter, and a ridge on them (M4): (meta model, base models, out-of-fold frame)."""
+def filled(df: DataFrame, columns: list[str]) -> DataFrame:
+    """NULL and NaN become the column's mean, and without any value 0 (M4): of predictions only, never of data."""
+    real = {c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in columns}
+    mean = df.agg(*[F.coalesce(F.avg(x), F.lit(0.0)).alias(c) for c, x in real.items()]).first()  # one row
+    return df.withColumns({c: F.coalesce(x, F.lit(mean[c])) for c, x in real.items()})
+
+
+def stacked(df: DataFrame, features: list[str], target: str, fold: str, fitters: dict, alpha: float = 1.0, with_features: bool = False):
+    """Out-of-fold predictions of each fitter, and a ridge on them (M4): (meta model, base models, out-of-fold frame). Predictions
+    that are missing become their column's mean. `with_features`: the ridge has the features too."""
     k = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]  # a value a fold
     oof = None
     for i in k:
@@ -79,14 +96,15 @@ def stacked(df: DataFrame, features: list[str], target: str, fold: str, fitters:
             part = fit(df.filter(F.col(fold) != i), features, target).transform(part).withColumnRenamed("prediction", name).drop("features")
         oof = part if oof is None else oof.unionByName(part)
     names = list(fitters)
-    return ridge(oof, names, target, alpha), {n: fit(df, features, target) for n, fit in fitters.items()}, oof
+    oof = filled(oof, names)
+    return ridge(oof, names + (list(features) if with_features else []), target, alpha), {n: fit(df, features, target) for n, fit in fitters.items()}, oof
 
 
 def stacked_predictions(meta: PipelineModel, base: dict[str, PipelineModel], df: DataFrame, name: str = "prediction") -> DataFrame:
     """`df` with the base models' predictions, by name, and the meta model's on them."""
     for n, model in base.items():
         df = predict(model, df).withColumnRenamed("prediction", n).drop("features")
-    return predict(meta, df).withColumnRenamed("prediction", name).drop("features")
+    return predict(meta, filled(df, list(base))).withColumnRenamed("prediction", name).drop("features")
 
 
 def weights_table(spark, weights: dict[str, float]) -> DataFrame:
@@ -95,15 +113,47 @@ def weights_table(spark, weights: dict[str, float]) -> DataFrame:
     return spark.createDataFrame([(m, w / total) for m, w in weights.items()], "model string, weight double")
 
 
-def search(train: DataFrame, features: list[str], target: str, grid: dict[str, list], metric: str = "rmse", seed: int = 1):
-    """Search of a boosted model's declared space: (best model, history of rows metric and parameters) (M8)."""
+def meta_weights(spark: SparkSession, meta: PipelineModel, names: list[str]) -> DataFrame:
+    """(model, weight) from a meta model's coefficients of the base models, as shares of their sizes (M5)."""
+    size = importance(meta, names)
+    return weights_table(spark, size if sum(size.values()) else dict.fromkeys(names, 1.0))
+
+
+#: Fitters by name (M5): functions of (train, features, target).
+FITTERS: dict[str, Callable] = {"ridge": ridge, "boosted": boosted}
+
+
+def fitter(name: str, **args) -> Callable:
+    """A fitter by its name, with parameters (M5)."""
+    if name not in FITTERS:
+        raise ValueError(f"no model {name}; there are {sorted(FITTERS)}")
+    return lambda train, features, target: FITTERS[name](train, features, target, **args)
+
+
+class Objective(Evaluator):
+    """What a search makes as small (or large) as can be (X5): an aggregate of target and prediction."""
+
+    def __init__(self, aggregate: Callable, target: str, larger_is_better: bool = False):
+        super().__init__()
+        self.aggregate, self.target, self.larger = aggregate, target, larger_is_better
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        return float(dataset.agg(self.aggregate(F.col(self.target), F.col("prediction"))).first()[0])
+
+    def isLargerBetter(self) -> bool:
+        return self.larger
+
+
+def search(train: DataFrame, features: list[str], target: str, grid: dict[str, list], metric: str | Evaluator = "rmse", seed: int = 1):
+    """Search of a boosted model's declared space: (best model, history of rows metric and parameters) (M8). `metric` is a name or
+    an evaluator of one's own, such as an Objective (X5)."""
     gbt = GBTRegressor(featuresCol="features", labelCol=target, seed=seed)
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(getattr(gbt, name), values)
     maps = builder.build()
     pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), gbt])
-    tuned = TrainValidationSplit(estimator=pipe, estimatorParamMaps=maps, evaluator=RegressionEvaluator(labelCol=target, metricName=metric), seed=seed, parallelism=2).fit(train)
+    tuned = TrainValidationSplit(estimator=pipe, estimatorParamMaps=maps, evaluator=RegressionEvaluator(labelCol=target, metricName=metric) if isinstance(metric, str) else metric, seed=seed, parallelism=2).fit(train)
     history = [{"metric": m} | {p.name: v for p, v in x.items()} for m, x in zip(tuned.validationMetrics, maps, strict=True)]
     return tuned.bestModel, history
 
@@ -117,12 +167,32 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df)
 
 
-def train_command(df: DataFrame, features: list[str], target: str, path: str, fit=ridge, fold_seed: int = 1) -> DataFrame:
-    """Fits on four fifths, saves the model, and returns its test predictions as y_true, y_pred."""
+def save_model(spark: SparkSession, model: PipelineModel, path: str, features: list[str], params: dict | None = None) -> None:
+    """Saves a model with its features' names and parameters beside it."""
+    model.write().overwrite().save(f"{path}/model")
+    about = json.dumps({"features": features, "params": params or {}}, default=str)
+    spark.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, list[str], dict]:
+    """(model, features, parameters) of a saved model."""
+    about = json.loads(spark.read.text(f"{path}/about").first()[0])
+    return PipelineModel.load(f"{path}/model"), about["features"], about["params"]
+
+
+def train_command(df: DataFrame, features: list[str], target: str, path: str, fit=ridge) -> DataFrame:
+    """Fits on four fifths, saves the model, and returns its test predictions as y_true, y_pred (M9, M11). `path` must be in a
+    folder that all executors share."""
+    spark = df.sparkSession
     part = df.withColumn("_p", F.pmod(F.xxhash64(*features, target), F.lit(5)))
-    model = fit(part.filter("_p > 0"), features, target)
-    model.write().overwrite().save(path)
-    return PipelineModel.load(path).transform(part.filter("_p = 0")).select(F.col(target).alias("y_true"), F.col("prediction").alias("y_pred"))
+    save_model(spark, fit(part.filter("_p > 0"), features, target), path, features)
+    model, *_ = load_model(spark, path)
+    return model.transform(part.filter("_p = 0")).select(F.col(target).alias("y_true"), F.col("prediction").alias("y_pred"))
+
+
+def load_data(spark: SparkSession, path: str | None, n: int = 1000) -> DataFrame:
+    """Training rows from Parquet, or made-up ones where there is no path."""
+    return synthetic(spark, n) if path is None else spark.read.parquet(path)
 
 
 def synthetic(spark, n: int, features: int = 20, seed: int = 42) -> DataFrame:

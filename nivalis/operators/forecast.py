@@ -24,9 +24,12 @@ def as_of(requests: DataFrame, forecasts: DataFrame, hours: int = 6, max_age_hou
     r = requests.select("request_id", "location_id", "want", F.explode(F.array(*[number("want") + i for i in (-1, 0, 1)])).alias("_bin"))
     apart = F.abs(F.timestamp_diff("SECOND", F.col("want"), F.col("valid_time")))
     hit = r.join(f, ["location_id", "_bin"]).withColumn("_apart", apart).filter(F.col("_apart") <= width)
-    w = W.partitionBy("request_id").orderBy(F.desc("run_time"), "_apart", "valid_time", *[c for c in ("forecast_hour",) if c in forecasts.columns])
-    best = hit.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank", "_apart", "_bin", "location_id", "want")
-    return requests.join(best, "request_id", "left")
+    kept = [c for c in forecasts.columns if c != "location_id"]
+    ties = [c for c in ("forecast_hour",) if c in forecasts.columns]
+    # a minimum, so that most rows go before the shuffle
+    age = F.coalesce(-F.unix_micros(F.col("run_time").cast("timestamp")), F.lit(2**62))
+    best = hit.groupBy("request_id").agg(F.min_by(F.struct(*kept), F.struct(age.alias("a"), "_apart", "valid_time", *ties)).alias("b"))
+    return requests.join(best.select("request_id", "b.*"), "request_id", "left")
 
 
 def latest(forecasts: DataFrame) -> DataFrame:

@@ -56,8 +56,19 @@ def difference(df: DataFrame, value: str, rows: int, group: str | None, order: s
     return df.withColumn(name, F.col(value) - F.lag(value, rows).over(w))
 
 
-def sequences(df: DataFrame, values: list[str], length: int, group: str, order: str, target: str) -> DataFrame:
-    """Each row with the last `length` rows of its group as an array, where there are as many (W12); `target` is the row's."""
+def standardised(df: DataFrame, values: list[str]) -> DataFrame:
+    """`values` less their mean, over their population spread; 0 where there is none."""
+    one = df.agg(*[x for i, c in enumerate(values) for x in (F.avg(c).alias(f"_m{i}"), F.nullif(F.stddev_pop(c), F.lit(0.0)).alias(f"_s{i}"))])  # one row
+    z = {c: F.when(F.col(c).isNotNull(), F.coalesce((F.col(c) - F.col(f"_m{i}")) / F.col(f"_s{i}"), F.lit(0.0))).alias(c) for i, c in enumerate(values)}
+    return df.crossJoin(F.broadcast(one)).select(*[z.get(c, F.col(c)) for c in df.columns])
+
+
+def sequences(df: DataFrame, values: list[str], length: int, group: str, order: str, target: str, z_score: bool = False) -> DataFrame:
+    """Each row with the last `length` rows of its group as an array, where there are as many (W12); `target` is the row's.
+    `z_score` standardises the values (not the target) over all rows."""
+    if z_score:
+        df = standardised(df.withColumn("_target", F.col(target)), values)
+        target = "_target"
     w = W.partitionBy(group).orderBy(order).rowsBetween(-(length - 1), 0)
     out = df.select(group, order, F.col(target).alias("target"), F.collect_list(F.struct(*values)).over(w).alias("sequence"))
     return out.filter(F.size("sequence") == length)

@@ -64,10 +64,11 @@ def outliers(df: DataFrame, columns: list[str], method: str = "iqr", threshold:
     return joined.select(*df.columns, *flags)
 
 
-def temporal(df: DataFrame, ts: str, group: list[str] = (), changes: dict | None = None) -> DataFrame:
-    """`<column>_temporal_flag` (W8a): the change since the row before is more than the hours between allow."""
+def temporal(df: DataFrame, ts: str, group: list[str] = (), changes: dict | None = None, ties: list[str] = ()) -> DataFrame:
+    """`<column>_temporal_flag` (W8a): the change since the row before is more than the hours between allow. Rows of one time are in
+    order of `ties`."""
     changes = HOURLY_CHANGE | (changes or {})
-    w = W.partitionBy(*group).orderBy(ts)
+    w = W.partitionBy(*group).orderBy(ts, *ties)
     hours = F.timestamp_diff("SECOND", F.lag(ts).over(w), F.col(ts)) / 3600.0
     out = []
     for c in df.columns:
@@ -85,10 +86,10 @@ def combined(df: DataFrame, combine: str = "or") -> DataFrame:
     return df.withColumn("quality_flag", F.greatest(*flags, F.lit(GOOD)) if combine == "max" else reduce(lambda a, b: a.bitwiseOR(b), flags))
 
 
-def flagged(df: DataFrame, ts: str, group: list[str] = (), columns: list[str] | None = None, combine: str = "or", **outlier_args) -> DataFrame:
+def flagged(df: DataFrame, ts: str, group: list[str] = (), columns: list[str] | None = None, combine: str = "or", ties: list[str] = (), **outlier_args) -> DataFrame:
     """All three checks on the data columns, and `quality_flag`."""
     columns = columns or [c for c in _numeric(df) if c.lower() in LIMITS]
-    return combined(temporal(outliers(physical(df), columns, **outlier_args), ts, group), combine)
+    return combined(temporal(outliers(physical(df), columns, **outlier_args), ts, group, ties=ties), combine)
 
 
 def valid_only(df: DataFrame, min_completeness: float = 0.8, exclude: int = MISSING | BELOW | ABOVE | OUTLIER | TEMPORAL) -> DataFrame:
@@ -118,31 +119,3 @@ def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, n, missing, mean, std, min, max), one row a column, in one pass over the rows."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns]))
     return df.select(pairs.alias("p")).groupBy("p.column").agg(F.count("*").alias("n"), F.count_if(F.col("p.x").isNull()).alias("missing"), F.avg("p.x").alias("mean"), F.stddev_samp("p.x").alias("std"), F.min("p.x").alias("min"), F.max("p.x").alias("max"))
-
-
-def validate(df: DataFrame, rules: dict[str, Column], max_missing_pct: float, columns: list[str]) -> DataFrame:
-    """One row: total, missing_pct of `columns`, a count for each rule (a condition that a bad row meets), valid, issues (A5-A10)."""
-    missing = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in columns])
-    out = df.agg(F.count("*").alias("total"), F.coalesce(F.try_divide(missing * 100.0, F.count("*") * len(columns)), F.lit(0.0)).alias("missing_pct"), *[F.count_if(r).alias(n) for n, r in rules.items()])
-    bad = [F.when(F.col("missing_pct") > max_missing_pct, F.lit("missing"))] + [F.when(F.col(n) > 0, F.lit(n)) for n in rules]
-    issues = F.filter(F.array(*bad), lambda x: x.isNotNull())
-    return out.select("*", issues.alias("issues"), ((F.size(issues) == 0) & (F.col("total") > 0)).alias("valid"))
-
-
-def outside(c: str, low: float | None, high: float | None) -> Column:
-    parts = [F.col(c) < low] * (low is not None) + [F.col(c) > high] * (high is not None)
-    return reduce(lambda a, b: a | b, parts)
-
-
-
-
-def rules_for(source: str) -> dict[str, Column]:
-    """Rule sets of the sources (A5-A10)."""
-    return {
-        "snotel": lambda: {"depth_range": outside("snow_depth_cm", 0.0, 1000.0), "swe_range": outside("swe_mm", 0.0, 3000.0), "temp_range": outside("temp_avg_c", -60.0, 60.0)},
-        "ghcn": lambda: {"temp_range": F.col("element").isin("TMAX", "TMIN") & outside("value", -60.0, 60.0), "precip_range": (F.col("element") == "PRCP") & (F.col("value") > 2000)},
-        "era5": lambda: {"temp_range": outside("t2m", 180.0, 350.0), "negative_precip": F.col("tp") < 0},
-        "hrrr": lambda: {"temp_range": outside("temp_k", 180.0, 340.0)},
-        "terrain": lambda: {"elevation_range": outside("elevation", -500.0, 9000.0), "slope_range": outside("slope", 0.0, 90.0)},
-        "resorts": lambda: {"place_range": outside("lat", -90.0, 90.0) | outside("lon", -180.0, 180.0), "elevation_order": F.col("summit_elevation") < F.col("base_elevation")},
-    }[source]()

@@ -12,21 +12,44 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nivalis.functions.geo import haversine_km
+from nivalis.operators import raster
+from nivalis.session import written
 
+#: Names of coordinates, in order of preference.
+COORDINATES = {"lat": ("lat", "latitude", "y"), "lon": ("lon", "lng", "longitude", "x")}
 
-def _nearest_axis(points: DataFrame, cells: DataFrame, axis: str) -> DataFrame:
-    """For each distinct value of the points' axis, the nearest (first of equals) of the grid's. Axes are short: a value a
-    row or column of the grid, so every value of the one is compared with every of the other."""
-    mine = points.select(F.col(axis).alias("p")).filter("p is not null").distinct()
-    theirs = cells.select(F.col(axis).alias("g")).filter("g is not null").distinct().agg(F.array_sort(F.collect_list("g")).alias("axis"))
-    i = F.filter("axis", lambda g: g >= F.col("p"))
-    up, down = F.try_element_at(i, F.lit(1)), F.try_element_at(F.filter("axis", lambda g: g <= F.col("p")), F.lit(-1))
-    near = F.when(up.isNull() | (F.col("p") - down <= up - F.col("p")), down).otherwise(up)
-    return mine.crossJoin(F.broadcast(theirs)).select(F.col("p").alias(axis), near.alias(f"cell_{axis}"), down.alias(f"low_{axis}"), up.alias(f"high_{axis}"))
+
+def with_lat_lon(df: DataFrame) -> DataFrame:
+    """`df` with its coordinates named lat and lon."""
+    found = {t: next((n for x in names for n in df.columns if n.lower() == x), None) for t, names in COORDINATES.items()}
+    if missing := [t for t, c in found.items() if c is None]:
+        raise ValueError(f"no coordinates {missing} among {df.columns}")
+    return df.withColumnsRenamed({c: t for t, c in found.items() if c != t})
+
+
+def _nearest_axis(points: DataFrame, cells: DataFrame, axis: str, size: float = 1.0) -> DataFrame:
+    """For each distinct value of the points' axis, the nearest (first of equals) of the grid's, and those on both sides.
+
+    Values of both are dealt to bins of `size` degrees and put in order there; what a bin lacks at its ends comes from the
+    nearest bins before and behind that have grid values, of which there is a row a bin."""
+    key = F.col(axis)
+    both = points.select(key.cast("double").alias("v"), F.lit(False).alias("g")).unionByName(cells.select(key.cast("double").alias("v"), F.lit(True).alias("g")))
+    both = both.filter("v is not null").groupBy("v").agg(F.max("g").alias("g"), F.max(~F.col("g")).alias("p")).withColumn("bin", F.floor(F.col("v") / size))
+    grid = F.when(F.col("g"), F.col("v"))
+    bins = both.groupBy("bin").agg(F.min(grid).alias("lo"), F.max(grid).alias("hi"))
+    order = W.orderBy("bin")  # a row a bin of degrees
+    bins = bins.select("bin", F.last("hi", True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("before"), F.first("lo", True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("behind"))
+    own = W.partitionBy("bin").orderBy("v")
+    down, up = F.last(grid, True).over(own.rowsBetween(W.unboundedPreceding, 0)), F.first(grid, True).over(own.rowsBetween(0, W.unboundedFollowing))
+    out = both.withColumn("down", down).withColumn("up", up).filter("p").join(F.broadcast(bins), "bin")
+    low, high = F.coalesce("down", "before"), F.coalesce("up", "behind")
+    near = F.when(high.isNull() | (F.col("v") - low <= high - F.col("v")), low).otherwise(high)
+    return out.select(F.col("v").alias(axis), near.alias(f"cell_{axis}"), low.alias(f"low_{axis}"), high.alias(f"high_{axis}"))
 
 
 def nearest_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
     """`points` with the values of the grid cell nearest on each axis; points outside snap to the edge."""
+    cells = with_lat_lon(cells)
     at = points.join(_nearest_axis(points, cells, "lat").select("lat", "cell_lat"), "lat", "left").join(_nearest_axis(points, cells, "lon").select("lon", "cell_lon"), "lon", "left")
     values = cells.withColumnsRenamed({"lat": "cell_lat", "lon": "cell_lon"})
     return at.join(values, ["cell_lat", "cell_lon"], "left")
@@ -34,6 +57,7 @@ def nearest_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
 
 def bilinear(points: DataFrame, cells: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
     """(point_id, keys, value): interpolated from the four cells around; NULL outside the grid or if a corner is missing."""
+    cells = with_lat_lon(cells)
     at = points.join(_nearest_axis(points, cells, "lat"), "lat", "left").join(_nearest_axis(points, cells, "lon"), "lon", "left")
     part = lambda a: F.coalesce(F.try_divide(F.col(a) - F.col(f"low_{a}"), F.nullif(F.col(f"high_{a}") - F.col(f"low_{a}"), F.lit(0.0))), F.lit(0.0))
     y, x = part("lat"), part("lon")
@@ -44,30 +68,36 @@ def bilinear(points: DataFrame, cells: DataFrame, value: str, keys: list[str] =
     return points.select("point_id").join(got, "point_id", "left")
 
 
-def _buckets(lat: Column, lon: Column, size: float) -> Column:
-    """The bucket of a place and its eight neighbours."""
-    a, b = F.floor(lat / size), F.floor(lon / size)
-    return F.explode(F.array(*[F.struct((a + i).alias("ba"), (b + j).alias("bb")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+def _around(lon: Column, width: Column) -> tuple[Column, Column]:
+    """(bin, number of bins) of a longitude on the circle. Bins are `width` degrees wide, the last one up to twice as wide."""
+    n = F.greatest(F.floor(360 / width), F.lit(1))
+    return F.least(F.floor(F.pmod(lon, F.lit(360.0)) / width), n - 1), n
 
 
-def nearest_cell_map(points: DataFrame, cells: DataFrame, size: float = 1.0) -> DataFrame:
-    """(point_id, cell_id): nearest in degrees on a curvilinear grid, longitudes taken modulo 360 (J3). Compute once and
-    keep, for the grid doesn't move. The nine buckets around a point hold all cells within `size` degrees; points without a
-    cell so near are looked up again in buckets of twice the size, until none is left. Only points without a place have no row."""
-    shift = lambda lon: F.pmod(lon, F.lit(360.0))
-    left = points.select("point_id", F.col("lat").alias("p_lat"), shift(F.col("lon")).alias("p_lon")).filter("p_lat is not null and p_lon is not null")
-    c = cells.select("cell_id", F.col("lat").alias("c_lat"), shift(F.col("lon")).alias("c_lon")).filter("c_lat is not null and c_lon is not null")
-    places = left.select(F.col("p_lat").alias("lat"), F.col("p_lon").alias("lon")).unionByName(c.select(F.col("c_lat").alias("lat"), F.col("c_lon").alias("lon")))
-    span = places.agg(F.greatest(F.max("lat") - F.min("lat"), F.max("lon") - F.min("lon")).cast("double")).first()[0] or 0.0
-    d = F.sqrt(F.pow(F.col("p_lat") - F.col("c_lat"), 2) + F.pow(F.col("p_lon") - F.col("c_lon"), 2))
+def _neighbours(bin: Column, n: Column | None = None) -> Column:
+    """A bin and both its neighbours, of `n` around a circle or without an end."""
+    near = [bin + i for i in (-1, 0, 1)]
+    return F.array_distinct(F.array(*[F.pmod(x, n) for x in near])) if n is not None else F.array(*near)
+
+
+def nearest_cell_map(points: DataFrame, cells: DataFrame, size: float = 1.0, circle: bool = False) -> DataFrame:
+    """(point_id, cell_id): nearest in degrees on a curvilinear grid, longitudes taken modulo 360, or with `circle` measured the
+    shorter way around (J3). Compute once and keep, for the grid doesn't move. The nine buckets around a point hold all cells
+    within `size` degrees; points without a cell so near are looked up again in buckets of twice the size, until none is
+    left. Only points without a place have no row."""
+    place = lambda d, a: d.select(f"{a}_id", F.col("lat").alias("y"), F.pmod("lon", F.lit(360.0)).alias("x")).filter("y is not null and x is not null")
+    left = place(points, "point").withColumnsRenamed({"y": "p_y", "x": "p_x"})
+    c = place(cells, "cell")
+    east = F.abs(F.col("p_x") - F.col("x"))
+    east = F.least(east, 360 - east) if circle else east
+    d = F.sqrt(F.pow(F.col("p_y") - F.col("y"), 2) + F.pow(east, 2))
     found = None
     while True:
-        p = left.withColumn("b", _buckets(F.col("p_lat"), F.col("p_lon"), size)).select("point_id", "p_lat", "p_lon", "b.ba", "b.bb")
-        at = c.withColumn("ba", F.floor(F.col("c_lat") / size)).withColumn("bb", F.floor(F.col("c_lon") / size))
-        best = p.join(at, ["ba", "bb"]).groupBy("point_id").agg(F.min(F.struct(d.alias("d"), "cell_id")).alias("m"))
-        last = not size <= span  # the nine buckets hold all cells
-        sure = (best if last else best.filter(F.col("m.d") <= size)).select("point_id", "m.cell_id")
-        sure = sure.checkpoint() if sure.sparkSession.sparkContext.getCheckpointDir() else sure.localCheckpoint()  # a row a point
+        bin = lambda x: _around(F.col(x), F.lit(float(size))) if circle else (F.floor(F.col(x) / size), None)
+        p = left.select("*", F.explode(_neighbours(*bin("p_x"))).alias("bx")).withColumn("by", F.explode(_neighbours(F.floor(F.col("p_y") / size))))
+        best = p.join(c.select("*", bin("x")[0].alias("bx"), F.floor(F.col("y") / size).alias("by")), ["bx", "by"]).groupBy("point_id").agg(F.min(F.struct(d.alias("d"), "cell_id")).alias("m"))
+        last = size > 360  # the nine buckets hold all cells
+        sure = written((best if last else best.filter(F.col("m.d") <= size)).select("point_id", "m.cell_id"))
         found = sure if found is None else found.unionByName(sure)
         left = left.join(sure.select("point_id"), "point_id", "left_anti")
         if last or left.isEmpty():
@@ -78,21 +108,24 @@ def nearest_cell_map(points: DataFrame, cells: DataFrame, size: float = 1.0) ->
 def near_stations(places: DataFrame, stations: DataFrame, radius_km: float, place_id: str = "id", station_id: str = "station_id") -> DataFrame:
     """(place, station, distance_km, rank): all stations within a radius, nearest first (J8). `places` and `stations` have lat, lon.
 
-    Both are dealt to buckets of latitude and longitude. A bucket is as high as the radius and as wide as it is at the
-    bucket's latitude, so a place's own and neighbouring buckets hold all that is near."""
+    Both are dealt to buckets of latitude and, on the circle, of longitude. A bucket is as high as the radius and as wide as
+    it is at the bucket's latitude (around a pole: half of the circle), so a place's own and neighbouring buckets hold all
+    that is near. Dense buckets are left to Spark's splitting of skewed joins."""
     high = math.degrees(radius_km / 6371.0)
 
     def row(lat: Column) -> Column:
         return F.floor(lat / high)
 
     def wide(r: Column) -> Column:
-        edge = F.least(F.greatest(F.abs(r * high), F.abs((r + 1) * high)), F.lit(89.0))
-        return F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(math.radians(high))) / F.cos(F.radians(edge))))) * 1.0001
+        edge = F.least(F.greatest(F.abs(r * high), F.abs((r + 1) * high)), F.lit(90.0))
+        part = F.lit(math.sin(math.radians(min(high, 90.0)))) / F.cos(F.radians(edge))
+        return F.when(part >= 0.999, 180.0).otherwise(F.degrees(F.asin(part)) * 1.0001)
 
     p = places.select(F.col(place_id).alias("place"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-    p = p.withColumn("r", F.explode(F.array(*[row(F.col("p_lat")) + i for i in (-1, 0, 1)])))
-    p = p.withColumn("c", F.explode(F.array(*[F.floor(F.col("p_lon") / wide(F.col("r"))) + i for i in (-1, 0, 1)])))
-    s = stations.select(F.col(station_id).alias("station"), F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")).withColumn("r", row(F.col("s_lat"))).withColumn("c", F.floor(F.col("s_lon") / wide(F.col("r"))))
+    p = p.withColumn("r", F.explode(_neighbours(row(F.col("p_lat")))))
+    p = p.withColumn("c", F.explode(_neighbours(*_around(F.col("p_lon"), wide(F.col("r"))))))
+    s = stations.select(F.col(station_id).alias("station"), F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")).withColumn("r", row(F.col("s_lat")))
+    s = s.withColumn("c", _around(F.col("s_lon"), wide(F.col("r")))[0])
     d = haversine_km(F.col("p_lat"), F.col("p_lon"), F.col("s_lat"), F.col("s_lon"))
     hit = p.join(s, ["r", "c"]).withColumn("distance_km", d).filter(F.col("distance_km") <= radius_km)
     w = W.partitionBy("place").orderBy("distance_km", "station")
@@ -107,6 +140,7 @@ def nearest_station(places: DataFrame, stations: DataFrame, max_km: float = 50.0
 
 def extract(points: DataFrame, cells: DataFrame, method: str = "nearest", prefix: str = "", keys: list[str] = ()) -> DataFrame:
     """All variables of a grid at points, names prefixed; points without values have a NULL row."""
+    cells = with_lat_lon(cells)
     values = [c for c in cells.columns if c not in ("lat", "lon", *keys)]
     if method == "nearest":
         out = nearest_cells(points, cells).select("point_id", *keys, *values)
@@ -131,11 +165,34 @@ def merge_variables(long: DataFrame, names: list[str], keys: list[str]) -> DataF
     return long.groupBy(*keys).agg(*[F.max(F.when(F.col("variable") == n, F.col("value"))).alias(n) for n in names])
 
 
-def window_terrain(points: DataFrame, dem: DataFrame, radius: int = 5) -> DataFrame:
-    """Elevation, mean, roughness and TPI of the cells around each point's cell (J18). points: point_id, tile, row, col."""
-    p = points.withColumnRenamed("row", "p_row").withColumnRenamed("col", "p_col").withColumn("row", F.explode(F.sequence(F.col("p_row") - radius, F.col("p_row") + radius))).withColumn("col", F.explode(F.sequence(F.col("p_col") - radius, F.col("p_col") + radius)))
-    got = p.join(dem, ["tile", "row", "col"]).groupBy("point_id").agg(F.max(F.when((F.col("row") == F.col("p_row")) & (F.col("col") == F.col("p_col")), F.col("z"))).alias("elevation"), F.avg("z").alias("mean_z"), F.stddev_pop("z").alias("spread"), F.count("*").alias("cells"))
-    return points.select("point_id").join(got, "point_id", "left").withColumn("tpi", F.col("elevation") - F.col("mean_z"))
+def window_terrain(points: DataFrame, dem: DataFrame, radius: int = 5, cell_m: float = 30.0) -> DataFrame:
+    """Terrain of each point's cell (J18): elevation, slope, aspect, aspect_sin, aspect_cos, roughness and tpi against the square
+    of `radius` cells around. points: point_id, tile, row, col; a point without a cell has NULLs.
+
+    Rasters are worked on once, cell by cell with windows along rows and columns; then each point takes its cell's values."""
+    keys = ["tile", "row", "col"]
+    cells = raster.gradients(dem, cell_m).join(raster.roughness(dem).drop("z"), keys).join(raster.tpi(dem, radius).drop("z"), keys)
+    a = F.radians("aspect")
+    cells = cells.select(*keys, F.col("z").alias("elevation"), "slope", "aspect", F.sin(a).alias("aspect_sin"), F.cos(a).alias("aspect_cos"), "roughness", "tpi")
+    return points.select("point_id", *keys).join(cells, keys, "left").drop(*keys)
+
+
+def window_spread(points: DataFrame, dem: DataFrame, radius: int = 5) -> DataFrame:
+    """(point_id, elevation, mean_z, spread, cells, tpi) of the cells within `radius` of each point's, borders cut off. Sums of the
+    squares are made once along rows and columns."""
+    across = W.partitionBy("tile", "row").orderBy("col").rangeBetween(-radius, radius)
+    down = W.partitionBy("tile", "col").orderBy("row").rangeBetween(-radius, radius)
+    d = dem.withColumn("_q", F.col("z") * F.col("z"))
+    # cells that a raster lacks count for nothing, but their squares are there: a full frame of rows and columns
+    size = dem.groupBy("tile").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.min("col").alias("c"), F.max("col").alias("d"))
+    frame = size.select("tile", F.explode(F.sequence("a", "b")).alias("row"), "c", "d").select("tile", "row", F.explode(F.sequence("c", "d")).alias("col"))
+    d = frame.join(d, ["tile", "row", "col"], "left")
+    for name, x in (("_n", F.count("z")), ("_s", F.sum("z")), ("_t", F.sum("_q"))):
+        d = d.withColumn(name, x.over(across))
+    n, s, t = (F.sum(x).over(down) for x in ("_n", "_s", "_t"))
+    cells = d.select("tile", "row", "col", F.col("z").alias("elevation"), (s / n).alias("mean_z"), F.sqrt(F.greatest(t / n - F.pow(s / n, 2), F.lit(0.0))).alias("spread"), n.alias("cells"))
+    got = points.select("point_id", "tile", "row", "col").join(cells, ["tile", "row", "col"], "left").drop("tile", "row", "col")
+    return got.withColumn("tpi", F.col("elevation") - F.col("mean_z"))
 
 
 def hexagons(df: DataFrame, x: Column, y: Column, radius: float, value: str) -> DataFrame:
@@ -151,11 +208,8 @@ def hexagons(df: DataFrame, x: Column, y: Column, radius: float, value: str) ->
 
 def extraction_stats(cells: DataFrame, points: DataFrame) -> DataFrame:
     """One row: grid spacing, bounds, and points in and out of them."""
-    def axis(name: str) -> DataFrame:
-        d = cells.select(F.col(name).alias("x")).distinct().agg(F.array_sort(F.collect_list("x")).alias("a"))
-        return d.select(F.try_divide(F.try_element_at("a", F.lit(-1)) - F.try_element_at("a", F.lit(1)), F.size("a") - 1).alias(f"{name}_step"), F.try_element_at("a", F.lit(1)).alias(f"{name}_min"), F.try_element_at("a", F.lit(-1)).alias(f"{name}_max"))
-
-    box = axis("lat").crossJoin(axis("lon"))  # one row each
+    ends = [x for a in ("lat", "lon") for x in (F.try_divide(F.max(a) - F.min(a), F.count_distinct(a) - 1).alias(f"{a}_step"), F.min(a).alias(f"{a}_min"), F.max(a).alias(f"{a}_max"))]
+    box = cells.agg(*ends)  # one row
     inside = F.col("lat").between(F.col("lat_min"), F.col("lat_max")) & F.col("lon").between(F.col("lon_min"), F.col("lon_max"))
     counted = points.crossJoin(F.broadcast(box)).groupBy(*box.columns).agg(F.count("*").alias("points"), F.count_if(inside).alias("points_inside"))
     return counted.withColumn("points_outside", F.col("points") - F.col("points_inside"))

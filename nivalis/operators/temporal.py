@@ -52,6 +52,15 @@ def resample_daily(df: DataFrame, ts: str, group: list[str] = (), rules: dict |
     return out
 
 
+def resample(df: DataFrame, ts: str, freq: str, group: list[str] = (), rules: dict | None = None, pick: str = "longest") -> DataFrame:
+    """As `resample_daily`, to any fixed length of time such as "6 hours" or "7 days" (A1): `ts` becomes the bin's start."""
+    group = list(group)
+    values = [f.name for f in df.schema.fields if f.name not in (ts, *group) and f.dataType.typeName() in ("double", "float", "integer", "long")]
+    chosen = {v: rule_for(v, rules, pick) for v in values}
+    aggs = [(AGGREGATES[r] if isinstance(r, str) else r)(v).alias(v) for v, r in chosen.items()]
+    return df.groupBy(*group, F.window(ts, freq).alias("_w")).agg(*aggs).select(*group, F.col("_w.start").alias(ts), *values)
+
+
 def grid_daily(df: DataFrame, sums: list[str], ts: str = "time", deaccumulate: bool = False) -> DataFrame:
     """Grid cells' days (A3): sums of `sums`, means of the rest. `deaccumulate`: `sums` are running totals within a day."""
     values = [c for c in df.columns if c not in (ts, "lat", "lon")]

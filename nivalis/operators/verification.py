@@ -69,11 +69,12 @@ def breakdowns(df: DataFrame, elevation_edges=ELEVATION_BANDS, storm_edges=STORM
     return out.withColumn("n_samples", F.coalesce("n_samples", F.lit(0).cast("long")))
 
 
-def residual_summary(df: DataFrame) -> DataFrame:
-    """One row of the residuals y_pred - y_true (A22): population spread, skewness, excess kurtosis."""
+def residual_summary(df: DataFrame, exact: bool = True) -> DataFrame:
+    """One row of the residuals y_pred - y_true (A22): population spread, skewness, excess kurtosis. Where residuals have very many
+    values, `exact=False` takes an approximate median."""
     e = F.col("y_pred") - F.col("y_true")
     n, s = F.count(e), F.stddev_pop(e)
-    return df.agg(F.avg(e).alias("mean"), s.alias("std"), F.percentile(e, F.lit(0.5)).alias("median"), F.min(e).alias("min"), F.max(e).alias("max"), F.when((n >= 3) & (s > 0), F.skewness(e)).alias("skewness"), F.when((n >= 4) & (s > 0), F.kurtosis(e)).alias("kurtosis"))
+    return df.agg(F.avg(e).alias("mean"), s.alias("std"), (F.percentile if exact else F.percentile_approx)(e, F.lit(0.5)).alias("median"), F.min(e).alias("min"), F.max(e).alias("max"), F.when((n >= 3) & (s > 0), F.skewness(e)).alias("skewness"), F.when((n >= 4) & (s > 0), F.kurtosis(e)).alias("kurtosis"))
 
 
 def residuals_by(df: DataFrame, *keys) -> DataFrame:
@@ -114,6 +115,18 @@ def ranked(table: DataFrame, metric: str) -> DataFrame:
     return table.filter(F.col(metric).isNotNull()).select("model", metric, F.row_number().over(W.orderBy(key, "model")).cast("long").alias("rank"))
 
 
+def report_lines(table: DataFrame, best_by: tuple[str, ...] = ("rmse", "f1")) -> DataFrame:
+    """(section, place, line): a comparison as text (A39): a line a model, rankings, the best. `table` has a row a model."""
+    number = lambda c, n: F.lpad(F.coalesce(F.format_string(f"%.{n}f", c), F.lit("N/A")), 10, " ")
+    whole = F.concat(F.rpad("model", 20, " "), *[x for c in ("rmse", "mae", "bias", "f1") for x in (F.lit(" "), number(c, 3))])
+    out = table.select(F.lit("overall").alias("section"), F.row_number().over(W.orderBy("model")).cast("long").alias("place"), whole.alias("line"))
+    for m in best_by:
+        r = ranked(table, m)
+        out = out.unionByName(r.select(F.lit(f"by {m}").alias("section"), F.col("rank").alias("place"), F.format_string("%d. %s: %.4f", "rank", "model", m).alias("line")))
+        out = out.unionByName(r.filter("rank = 1").select(F.lit("best").alias("section"), F.lit(best_by.index(m) + 1).cast("long").alias("place"), F.format_string(f"Best by {m}: %s (%.4f)", "model", m).alias("line")))
+    return out
+
+
 def best(table: DataFrame, metric: str) -> DataFrame:
     """The best model by a metric; bias: the nearest to 0 (T4)."""
     key = F.abs(metric) if metric == "bias" else F.col(metric) if metric in ("rmse", "mae") else -F.col(metric)
@@ -155,17 +168,22 @@ def significance(df: DataFrame, a: str, b: str, alpha: float = 0.05) -> DataFram
 
 
 def bootstrap(df: DataFrame, n: int = 1000, level: float = 0.95, seed: int = 42, row_id: list[str] | None = None) -> DataFrame:
-    """(metric, lower, upper) of rmse, mae, bias and f1 (A17), by Poisson resampling.
+    """(metric, estimate, lower, upper) of rmse, mae, bias and f1 (A17), by Poisson resampling.
 
     A resample weighs each row by a Poisson(1) draw from a hash of (row, resample); sums are made a partition at a time,
-    so what is shuffled is `n` rows a partition."""
+    so what is shuffled is `n` rows a partition. `row_id` names columns that tell rows apart; without it equal rows are
+    numbered (one shuffle), so that each is drawn for itself. The estimate is of the rows as they are."""
     import numpy as np
 
-    ids = row_id or df.columns
-    rows = df.select(F.xxhash64(*ids).alias("h"), F.col("y_true").cast("double"), F.col("y_pred").cast("double")).filter("y_true is not null and y_pred is not null")
+    rows = df.filter("y_true is not null and y_pred is not null")
+    if row_id is None:
+        equal = F.xxhash64(*df.columns)
+        rows = rows.withColumn("_h", equal).withColumn("_n", F.row_number().over(W.partitionBy("_h").orderBy("_h")))
+        row_id = ["_h", "_n"]
+    rows = rows.select(F.xxhash64(*row_id).alias("h"), F.col("y_true").cast("double"), F.col("y_pred").cast("double"))
 
     def sums(batches):
-        total = np.zeros((n, 7))
+        total = np.zeros((n + 1, 7))
         for pdf in batches:
             e = (pdf.y_pred - pdf.y_true).to_numpy()
             a, s = pdf.y_true.to_numpy() >= THRESHOLD, pdf.y_pred.to_numpy() >= THRESHOLD
@@ -182,13 +200,15 @@ def bootstrap(df: DataFrame, n: int = 1000, level: float = 0.95, seed: int = 42,
                     p /= j
                     c += p
                 total[k : k + 50] += w @ x
-        yield pd.DataFrame({"b": range(n), **{f"s{i}": total[:, i] for i in range(7)}})
+            total[n] += x.sum(0)  # all rows once
+        yield pd.DataFrame({"b": range(n + 1), **{f"s{i}": total[:, i] for i in range(7)}})
 
     drawn = rows.mapInPandas(sums, "b int, " + ", ".join(f"s{i} double" for i in range(7))).groupBy("b").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(7)])
     c = F.col
-    per = drawn.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("v")) for m, v in (("rmse", F.sqrt(F.try_divide(c("s1"), c("s0")))), ("mae", F.try_divide(c("s2"), c("s0"))), ("bias", F.try_divide(c("s3"), c("s0"))), ("f1", F.try_divide(2 * c("s4"), 2 * c("s4") + c("s5") + c("s6"))))])).alias("m"))
+    per = drawn.select("b", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("v")) for m, v in (("rmse", F.sqrt(F.try_divide(c("s1"), c("s0")))), ("mae", F.try_divide(c("s2"), c("s0"))), ("bias", F.try_divide(c("s3"), c("s0"))), ("f1", F.try_divide(2 * c("s4"), 2 * c("s4") + c("s5") + c("s6"))))])).alias("m"))
     tail = (1 - level) / 2
-    return per.groupBy("m.metric").agg(F.percentile("m.v", F.lit(tail)).alias("lower"), F.percentile("m.v", F.lit(1 - tail)).alias("upper"))
+    value = F.when(F.col("b") < n, F.col("m.v"))
+    return per.groupBy("m.metric").agg(F.max(F.when(F.col("b") == n, F.col("m.v"))).alias("estimate"), F.percentile(value, F.lit(tail)).alias("lower"), F.percentile(value, F.lit(1 - tail)).alias("upper"))
 
 
 def fold_summary(folds: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        spark.conf.set("spark.sql.session.timeZone", "UTC")  # all times are UTC
+        if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "Z"):
+            spark = spark.newSession()  # all times are UTC; the caller's session stays as it is
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
@@ -58,9 +60,14 @@ class Views:
 
     @property
     def terrain(self) -> DataFrame:
-        """Of some places."""
         k = F.col("c_custkey")
-        return self.table("customer").filter("c_acctbal > 2000").select(k.alias("location_id"), (k * 313 % 4000).cast("double").alias("elevation"), (k * 7 % 50).cast("double").alias("slope"), (k * 37 % 360).cast("double").alias("aspect"), (k * 11 % 100).cast("double").alias("roughness"), (k * 13 % 121 - 60).cast("double").alias("tpi"))
+        return self.table("customer").select(k.alias("location_id"), (k * 313 % 4000).cast("double").alias("elevation"), (k * 7 % 50).cast("double").alias("slope"), (k * 37 % 360).cast("double").alias("aspect"), (k * 11 % 100).cast("double").alias("roughness"), (k * 13 % 121 - 60).cast("double").alias("tpi"))
+
+    @property
+    def surveyed(self) -> DataFrame:
+        """Terrain of some places, for lookups that must do without."""
+        some = self.table("customer").filter("c_acctbal > 2000").select(F.col("c_custkey").alias("location_id"))
+        return self.terrain.join(some, "location_id", "left_semi")
 
     @property
     def preds(self) -> DataFrame:
@@ -96,7 +103,8 @@ grid AS (SELECT make_date(year(l_shipdate), 1, 1) AS time, 38 + (l_suppkey % 20)
 field AS (SELECT lat, lon, sum(v) AS v FROM grid GROUP BY ALL),
 dem AS (SELECT o_orderkey // 1024 AS tile, (o_orderkey % 1024) // 32 AS row, o_orderkey % 32 AS col, CAST(1500 + floor(o_totalprice / 1000) AS DOUBLE) AS z FROM orders),
 forecasts AS (SELECT o_orderdate AS run_time, o_orderkey % 49 AS forecast_hour, o_custkey AS location_id, o_orderdate + to_hours(o_orderkey % 49) AS valid_time, CAST(253 + o_orderkey % 40 AS DOUBLE) AS temp_k, (o_orderkey % 200) / 10 AS precip_mm, (o_orderkey % 300) / 100 AS snow_depth_m, CAST(o_orderkey % 3 = 0 AS DOUBLE) AS categorical_snow, o_orderkey AS fetch_id FROM orders),
-terrain AS (SELECT c_custkey AS location_id, CAST(c_custkey * 313 % 4000 AS DOUBLE) AS elevation, CAST(c_custkey * 7 % 50 AS DOUBLE) AS slope, CAST(c_custkey * 37 % 360 AS DOUBLE) AS aspect, CAST(c_custkey * 11 % 100 AS DOUBLE) AS roughness, CAST(c_custkey * 13 % 121 - 60 AS DOUBLE) AS tpi FROM customer WHERE c_acctbal > 2000),
+terrain AS (SELECT c_custkey AS location_id, CAST(c_custkey * 313 % 4000 AS DOUBLE) AS elevation, CAST(c_custkey * 7 % 50 AS DOUBLE) AS slope, CAST(c_custkey * 37 % 360 AS DOUBLE) AS aspect, CAST(c_custkey * 11 % 100 AS DOUBLE) AS roughness, CAST(c_custkey * 13 % 121 - 60 AS DOUBLE) AS tpi FROM customer),
+surveyed AS (SELECT * FROM terrain WHERE location_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 2000)),
 preds AS (SELECT l_quantity AS y_true, l_quantity + l_partkey % 21 - 10 AS y_pred, l_quantity + l_suppkey % 31 - 15 AS y_base, CAST(l_shipdate AS DATE) AS date, l_suppkey AS station_id, l_suppkey * 313 % 4000 AS elevation, l_discount * 100 AS humidity, l_tax * 100 AS wind FROM lineitem),
 weekly AS (SELECT o_custkey AS location_id, DATE '2024-01-01' + CAST(o_orderkey % 7 AS INTEGER) AS date, o_orderkey % 7 AS day, CAST(max(o_orderkey % 31) AS DOUBLE) AS new_snow_cm, CAST(max(o_orderkey % 173) AS DOUBLE) AS snow_depth_cm FROM orders GROUP BY ALL),
 weather AS (SELECT event_id, station_id, datetime, 250 + k * 0.5::DOUBLE AS t2m, 245 + k * 0.5::DOUBLE AS d2m, value / 10 - 3 AS u10, k / 10 - 5 AS v10, 80000 + k * 200.0::DOUBLE AS sp, value / 1000 AS tp, value * (k % 3) / 3000 AS sf, k / 50 AS sd FROM obs),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +9,11 @@ from pyspark.sql import functions as F
 
 from nivalis import models
 from nivalis.functions import atmosphere, calendar, geo, snow, terrain
-from nivalis.operators import forecast, lagged, quality, raster, spatial, temporal, verification
+from nivalis.operators import forecast, lagged, quality, raster, spatial, temporal, validation, verification
 from nivalis.plans.views import Views, rounded, sql
+from nivalis.session import new_path, written
 from nivalis.sources import resorts, stations, store
+from nivalis.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,14 +33,18 @@ def query(name: str, oracle: str | None = None):
 
 # ---- time (A1-A4, J6, J13, J14, W16-W18, F10-F17) ------------------------------------------------------------------------
 
-DAYS = "days AS (SELECT station_id, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM d GROUP BY station_id)"
+DAYS = """days AS (SELECT station_id, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM d
+    GROUP BY station_id)"""
 
 
 @query(
     "a1_daily_rolling",
-    f"""WITH d AS (SELECT station_id, CAST(datetime AS DATE) AS date, avg(value) AS value, sum(k) AS k FROM obs GROUP BY ALL), {DAYS},
-    full_days AS (SELECT days.station_id, days.date, d.value, coalesce(d.k, 0) AS k FROM days LEFT JOIN d USING (station_id, date))
-    SELECT station_id, date, r6(value) AS value, CAST(k AS BIGINT) AS k, r6(avg(value) OVER w) AS value_roll_mean_7d, r6(sum(value) OVER w) AS value_cumsum_7d
+    f"""WITH d AS (SELECT station_id, CAST(datetime AS DATE) AS date, avg(value) AS value, sum(k) AS k FROM obs
+    GROUP BY ALL), {DAYS},
+    full_days AS (SELECT days.station_id, days.date, d.value, coalesce(d.k, 0) AS k FROM days LEFT
+    JOIN d USING (station_id, date))
+    SELECT station_id, date, r6(value) AS value, CAST(k AS BIGINT) AS k, r6(avg(value) OVER w) AS value_roll_mean_7d,
+    r6(sum(value) OVER w) AS value_cumsum_7d
     FROM full_days WINDOW w AS (PARTITION BY station_id ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""",
 )
 def a1_daily_rolling(v):
@@ -47,13 +52,15 @@ def a1_daily_rolling(v):
     return lagged.features(d, ["value"], "station_id", windows=(7,), kinds=("mean", "sum"))
 
 
-@query("a1_resample_rules", "SELECT station_id, CAST(datetime AS DATE) AS date, r6(avg(t2m)) AS temp, r6(max(t2m)) AS temp_max, r6(min(t2m)) AS temp_min, r6(sum(tp)) AS precipitation, r6(avg(sd)) AS snow_depth_cm FROM weather GROUP BY ALL")
+@query("a1_resample_rules", """SELECT station_id, CAST(datetime AS DATE) AS date, r6(avg(t2m)) AS temp, r6(max(t2m)) AS temp_max,
+    r6(min(t2m)) AS temp_min, r6(sum(tp)) AS precipitation, r6(avg(sd)) AS snow_depth_cm FROM weather GROUP BY ALL""")
 def a1_resample_rules(v):
     w = v.weather.select("station_id", "datetime", F.col("t2m").alias("temp"), F.col("t2m").alias("temp_max"), F.col("t2m").alias("temp_min"), F.col("tp").alias("precipitation"), F.col("sd").alias("snow_depth_cm"))
     return temporal.resample_daily(w, "datetime", ["station_id"])
 
 
-@query("a2_first_rule", "SELECT station_id, CAST(datetime AS DATE) AS date, r6(avg(t2m)) AS temp_max, r6(sum(sd)) AS snow_depth_cm FROM weather GROUP BY ALL")
+@query("a2_first_rule", """SELECT station_id, CAST(datetime AS DATE) AS date, r6(avg(t2m)) AS temp_max, r6(sum(sd)) AS snow_depth_cm FROM weather
+    GROUP BY ALL""")
 def a2_first_rule(v):
     w = v.weather.select("station_id", "datetime", F.col("t2m").alias("temp_max"), F.col("sd").alias("snow_depth_cm"))
     return temporal.resample_daily(w, "datetime", ["station_id"], pick="first")
@@ -69,8 +76,13 @@ def a3_grid_daily(v):
     return temporal.grid_daily(v.grid.withColumn("w", F.col("v") + 1), ["v"])
 
 
-A4 = """WITH have AS (SELECT DISTINCT station_id, date FROM daily WHERE date BETWEEN DATE '2024-01-03' AND DATE '2024-01-25'), days AS (SELECT DISTINCT d.station_id, CAST(c AS DATE) AS date FROM daily d, generate_series(DATE '2024-01-03', DATE '2024-01-25', INTERVAL 1 DAY) t(c)),
-miss AS (SELECT station_id, date, date - CAST(row_number() OVER (PARTITION BY station_id ORDER BY date) AS INTEGER) AS i FROM (SELECT * FROM days EXCEPT SELECT * FROM have)), holes AS (SELECT station_id, min(date) AS gap_start, max(date) AS gap_end, count(*) AS days FROM miss GROUP BY station_id, i)"""
+A4 = """WITH have AS (SELECT DISTINCT station_id, date FROM daily
+    WHERE date BETWEEN DATE '2024-01-03' AND DATE '2024-01-25'), days AS (SELECT DISTINCT d.station_id,
+    CAST(c AS DATE) AS date FROM daily d, generate_series(DATE '2024-01-03', DATE '2024-01-25', INTERVAL 1 DAY) t(c)),
+miss AS (SELECT station_id, date, date - CAST(row_number() OVER (PARTITION BY station_id
+    ORDER BY date) AS INTEGER) AS i FROM (SELECT * FROM days EXCEPT SELECT *
+    FROM have)), holes AS (SELECT station_id, min(date) AS gap_start, max(date) AS gap_end, count(*) AS days FROM miss
+    GROUP BY station_id, i)"""
 
 
 @query("a4_gaps", f"{A4} SELECT * FROM holes")
@@ -78,28 +90,39 @@ def a4_gaps(v):
     return temporal.gaps(v.daily, "date", "2024-01-03", "2024-01-25", ["station_id"])
 
 
-@query("a4_coverage", f"{A4} SELECT s.station_id, 23::BIGINT AS total_days, coalesce(n, 0) AS present_days, 23 - coalesce(n, 0) AS missing_days, r6(100.0 * coalesce(n, 0) / 23) AS coverage_pct, coalesce(g, 0) AS n_gaps FROM (SELECT DISTINCT station_id FROM daily) s LEFT JOIN (SELECT station_id, count(*) AS n FROM have GROUP BY 1) USING (station_id) LEFT JOIN (SELECT station_id, count(*) AS g FROM holes GROUP BY 1) USING (station_id)")
+@query("a4_coverage", f"""{A4} SELECT s.station_id, 23::BIGINT AS total_days, coalesce(n, 0) AS present_days, 23 - coalesce(n,
+    0) AS missing_days, r6(100.0 * coalesce(n, 0) / 23) AS coverage_pct, coalesce(g, 0) AS n_gaps
+    FROM (SELECT DISTINCT station_id FROM daily) s LEFT JOIN (SELECT station_id, count(*) AS n FROM have
+    GROUP BY 1) USING (station_id) LEFT JOIN (SELECT station_id, count(*) AS g FROM holes
+    GROUP BY 1) USING (station_id)""")
 def a4_coverage(v):
     return temporal.coverage(v.daily, "date", "2024-01-03", "2024-01-25", ["station_id"]).select("station_id", "total_days", "present_days", "missing_days", "coverage_pct", F.size("gaps").alias("n_gaps"))
 
 
-@query("j6_merge_sources", "SELECT coalesce(a.station_id, b.station_id) AS station_id, coalesce(a.date, b.date) AS date, r6(a.value) AS value_a, r6(b.value) AS value_b, r6(b.k) AS k FROM (SELECT station_id, date, value FROM daily WHERE value > 10) a FULL JOIN (SELECT station_id, date, value + 1 AS value, k FROM daily WHERE k > 50) b ON a.station_id = b.station_id AND a.date = b.date")
+@query("j6_merge_sources", """SELECT coalesce(a.station_id, b.station_id) AS station_id, coalesce(a.date, b.date) AS date, r6(a.value) AS value_a,
+    r6(b.value) AS value_b, r6(b.k) AS k FROM (SELECT station_id, date, value FROM daily) a FULL
+    JOIN (SELECT station_id, date + 1 AS date, value + 1 AS value, k
+    FROM daily) b ON a.station_id = b.station_id AND a.date = b.date""")
 def j6_merge_sources(v):
-    a, b = v.daily.filter("value > 10").select("station_id", "date", "value"), v.daily.filter("k > 50").select("station_id", "date", (F.col("value") + 1).alias("value"), "k")
+    a, b = v.daily.select("station_id", "date", "value"), v.daily.select("station_id", F.date_add("date", 1).alias("date"), (F.col("value") + 1).alias("value"), "k")
     return temporal.merge_sources({"a": a, "b": b}, ["station_id", "date"])
 
-
-@query("j13_scaffold", "SELECT id AS location_id, CAST(c AS DATE) AS datetime, CAST(NULL AS DOUBLE) AS swe FROM stations, generate_series(DATE '2024-01-01', DATE '2024-01-10', INTERVAL 1 DAY) t(c)")
+@query("j13_scaffold", """SELECT id AS location_id, CAST(c AS DATE) AS datetime, CAST(NULL AS DOUBLE) AS swe
+    FROM stations, generate_series(DATE '2024-01-01', DATE '2024-01-10', INTERVAL 1 DAY) t(c)""")
 def j13_scaffold(v):
     return temporal.scaffold(v.stations.withColumnRenamed("id", "location_id"), "2024-01-01", "2024-01-10", {"swe": "double"})
 
 
-@query("j14_align", "WITH s AS (SELECT DISTINCT station_id FROM daily), c AS (SELECT CAST(c AS DATE) AS date FROM generate_series(DATE '2023-12-30', DATE '2024-02-02', INTERVAL 1 DAY) t(c)) SELECT s.station_id, c.date, r6(d.value) AS value, r6(d.k) AS k FROM s CROSS JOIN c LEFT JOIN daily d ON d.station_id = s.station_id AND d.date = c.date")
+@query("j14_align", """WITH s AS (SELECT DISTINCT station_id FROM daily), c AS (SELECT CAST(c AS DATE) AS date
+    FROM generate_series(DATE '2023-12-30', DATE '2024-02-02', INTERVAL 1 DAY) t(c))
+    SELECT s.station_id, c.date, r6(d.value) AS value, r6(d.k) AS k FROM s CROSS JOIN c LEFT
+    JOIN daily d ON d.station_id = s.station_id AND d.date = c.date""")
 def j14_align(v):
     return temporal.align(v.daily, "date", "2023-12-30", "2024-02-02", ["station_id"])
 
 
-@query("w16_first_of_day", "SELECT station_id, CAST(datetime AS DATE) AS date, arg_min(event_id, event_id) AS event_id FROM obs WHERE CAST(datetime AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' GROUP BY ALL")
+@query("w16_first_of_day", """SELECT station_id, CAST(datetime AS DATE) AS date, arg_min(event_id, event_id) AS event_id FROM obs
+    WHERE CAST(datetime AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' GROUP BY ALL""")
 def w16_first_of_day(v):
     d = v.obs.select("station_id", F.col("datetime").cast("date").alias("date"), "event_id")
     return temporal.align(d, "date", "2024-01-01", "2024-01-31", ["station_id"], "event_id").filter("event_id is not null")
@@ -107,10 +130,18 @@ def w16_first_of_day(v):
 
 @query(
     "f10_calendar",
-    """SELECT o_orderkey, dayofyear(t) AS day_of_year, r6(sin(dayofyear(t) * 2 * pi() / 365.25)) AS day_of_year_sin, r6(cos(dayofyear(t) * 2 * pi() / 365.25)) AS day_of_year_cos, month(t) AS month, r6(sin(month(t) * 2 * pi() / 12)) AS month_sin, r6(cos(month(t) * 2 * pi() / 12)) AS month_cos,
-    CASE WHEN month(t) IN (12, 1, 2) THEN 'winter' WHEN month(t) <= 5 THEN 'spring' WHEN month(t) <= 8 THEN 'summer' ELSE 'fall' END AS season, CAST(month(t) IN (12, 1, 2) AS BIGINT) AS is_winter, CAST(month(t) IN (11, 12, 1, 2, 3, 4) AS BIGINT) AS is_snow_season,
-    isodow(t) - 1 AS day_of_week, CAST(isodow(t) >= 6 AS BIGINT) AS is_weekend, weekofyear(t) AS week_of_year, year(t) + CAST(month(t) >= 10 AS INTEGER) AS water_year,
-    CAST(t AS DATE) - make_date(year(t) + CAST(month(t) >= 10 AS INTEGER) - 1, 10, 1) + 1 AS day_of_water_year, r6(least(1, (CAST(t AS DATE) - make_date(year(t) + CAST(month(t) >= 10 AS INTEGER) - 1, 10, 1)) / 365.25)) AS water_year_progress
+    """SELECT o_orderkey, dayofyear(t) AS day_of_year, r6(sin(dayofyear(t) * 2 * pi() / 365.25)) AS day_of_year_sin,
+    r6(cos(dayofyear(t) * 2 * pi() / 365.25)) AS day_of_year_cos, month(t) AS month,
+    r6(sin(month(t) * 2 * pi() / 12)) AS month_sin, r6(cos(month(t) * 2 * pi() / 12)) AS month_cos,
+    CASE WHEN month(t) IN (12, 1,
+    2) THEN 'winter' WHEN month(t) <= 5 THEN 'spring' WHEN month(t) <= 8 THEN 'summer' ELSE 'fall' END AS season,
+    CAST(month(t) IN (12, 1, 2) AS BIGINT) AS is_winter, CAST(month(t) IN (11, 12, 1, 2, 3,
+    4) AS BIGINT) AS is_snow_season,
+    isodow(t) - 1 AS day_of_week, CAST(isodow(t) >= 6 AS BIGINT) AS is_weekend, weekofyear(t) AS week_of_year,
+    year(t) + CAST(month(t) >= 10 AS INTEGER) AS water_year,
+    CAST(t AS DATE) - make_date(year(t) + CAST(month(t) >= 10 AS INTEGER) - 1, 10, 1) + 1 AS day_of_water_year,
+    r6(least(1, (CAST(t AS DATE) - make_date(year(t) + CAST(month(t) >= 10 AS INTEGER) - 1, 10,
+    1)) / 365.25)) AS water_year_progress
     FROM (SELECT o_orderkey, o_orderdate AS t FROM orders)""",
 )
 def f10_calendar(v):
@@ -135,41 +166,71 @@ def _lags(names: list[str]) -> str:
     return ", ".join(out)
 
 
-@query("w7_all_lags", f"SELECT station_id, date, r6(value) AS value, r6(k) AS k, {_lags(['value', 'k'])} FROM daily WINDOW o AS (PARTITION BY station_id ORDER BY date)")
+@query("w7_all_lags", f"""SELECT station_id, date, r6(value) AS value, r6(k) AS k, {_lags(['value', 'k'])} FROM daily
+    WINDOW o AS (PARTITION BY station_id ORDER BY date)""")
 def w7_all_lags(v):
     return lagged.features(v.daily, ["value", "k"], "station_id", "date")
 
 
-@query("w1_lags", "SELECT station_id, date, r6(lag(value) OVER o) AS value_lag_1d, r6(lag(value, 5) OVER o) AS value_lag_5d FROM daily WINDOW o AS (PARTITION BY station_id ORDER BY date)")
+@query("w1_lags", """SELECT station_id, date, r6(lag(value) OVER o) AS value_lag_1d, r6(lag(value, 5) OVER o) AS value_lag_5d FROM daily
+    WINDOW o AS (PARTITION BY station_id ORDER BY date)""")
 def w1_lags(v):
     return lagged.features(v.daily, ["value"], "station_id", "date", lags=(1, 5), kinds=("lag",)).drop("value", "k")
 
 
-@query("w9_pressure_tendency", "SELECT event_id, r6(sp / 100 - lag(sp / 100, 24) OVER (PARTITION BY station_id ORDER BY datetime, event_id)) AS change FROM weather")
+@query("w9_pressure_tendency", """SELECT event_id, r6(sp / 100 - lag(sp / 100, 24) OVER (PARTITION BY station_id ORDER BY datetime, event_id)) AS change
+    FROM weather""")
 def w9_pressure_tendency(v):
     w = v.weather.select("event_id", "station_id", F.struct("datetime", "event_id").alias("o"), (F.col("sp") / 100).alias("p"))
     return lagged.difference(w, "p", 24, "station_id", "o", "change").select("event_id", "change")
 
 
-@query("w12_sequences", "SELECT * FROM (SELECT station_id, date, r6(value) AS target, r6(sum(value) OVER w) AS total, count(*) OVER w AS length FROM daily WINDOW w AS (PARTITION BY station_id ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) WHERE length = 5")
+@query("w12_sequences", """SELECT * FROM (SELECT station_id, date, r6(value) AS target, r6(sum(value) OVER w) AS total, count(*) OVER w AS length
+    FROM daily WINDOW w AS (PARTITION BY station_id ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+    WHERE length = 5""")
 def w12_sequences(v):
     s = lagged.sequences(v.daily, ["value"], 5, "station_id", "date", "value")
     return s.select("station_id", "date", "target", F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x["value"]).alias("total"), F.size("sequence").alias("length"))
 
 
-@query("w18_largest_gap", "SELECT station_id, r6(max(s) / 3600.0) AS hours FROM (SELECT station_id, date_diff('second', lag(datetime) OVER w, datetime) AS s FROM (SELECT station_id, date_trunc('second', datetime) AS datetime FROM obs) WINDOW w AS (PARTITION BY station_id ORDER BY datetime)) GROUP BY 1")
+@query("w18_largest_gap", """SELECT station_id, r6(max(s) / 3600.0) AS hours FROM (SELECT station_id, date_diff('second', lag(datetime) OVER w,
+    datetime) AS s FROM (SELECT station_id, date_trunc('second', datetime) AS datetime FROM obs)
+    WINDOW w AS (PARTITION BY station_id ORDER BY datetime)) GROUP BY 1""")
 def w18_largest_gap(v):
     return lagged.largest_gap_hours(v.obs.withColumn("datetime", F.date_trunc("second", "datetime")), "datetime", ["station_id"])
 
 
 # ---- quality (W8, P7, A5-A12) ----------------------------------------------------------------------------------------------
 
-PHYS = "CASE WHEN temperature IS NULL THEN 1 WHEN temperature < -60 THEN 2 WHEN temperature > 50 THEN 4 ELSE 0 END AS temperature_physical_flag, CASE WHEN snow_depth IS NULL THEN 1 WHEN snow_depth < 0 THEN 2 ELSE 0 END AS snow_depth_physical_flag, CASE WHEN humidity IS NULL THEN 1 WHEN humidity < 0 THEN 2 WHEN humidity > 100 THEN 4 ELSE 0 END AS humidity_physical_flag"
+#: The issues that hold, comma-joined; to be filled with CASE expressions.
+ISSUES = "concat_ws(', ', {}) AS issues"
+
+
+def _told(df):
+    """Arrays and maps as text."""
+    text = {"issues": F.array_join("issues", ", ")}
+    if "labels" in df.columns:
+        text["labels"] = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ", ")
+    if "elements" in df.columns:
+        text["elements"] = F.array_join("elements", ", ")
+    return df.withColumns(text)
+
+
+PHYS = """CASE WHEN temperature IS NULL THEN 1 WHEN temperature < -60 THEN 2 WHEN temperature > 50 THEN 4 ELSE 0 END AS
+    temperature_physical_flag, CASE WHEN snow_depth IS NULL THEN 1 WHEN snow_depth < 0 THEN 2 ELSE 0 END AS
+    snow_depth_physical_flag, CASE WHEN humidity IS NULL THEN 1 WHEN humidity < 0 THEN 2 WHEN humidity > 100 THEN 4
+    ELSE 0 END AS humidity_physical_flag"""
 OUT = ", ".join(f"CASE WHEN {c} IS NULL THEN 1 WHEN {c} < {c}_q1 - 1.5 * ({c}_q3 - {c}_q1) OR {c} > {c}_q3 + 1.5 * ({c}_q3 - {c}_q1) THEN 8 ELSE 0 END AS {c}_outlier_flag" for c in ("temperature", "snow_depth", "humidity"))
 QUART = "q AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.25) AS {c}_q1, quantile_cont({c}, 0.75) AS {c}_q3" for c in ("temperature", "snow_depth", "humidity")) + " FROM raw_quality)"
 TEMP = ", ".join(f"CASE WHEN {c} IS NULL THEN 1 WHEN hours > 0 AND abs({c} - lag({c}) OVER w) > hours * {m} THEN 16 ELSE 0 END AS {c}_temporal_flag" for c, m in (("temperature", 15.0), ("snow_depth", 30.0)))
-SECONDS = "rq AS (SELECT * REPLACE (date_trunc('second', datetime) AS datetime) FROM raw_quality), h AS (SELECT *, date_diff('second', lag(datetime) OVER (PARTITION BY station_id ORDER BY datetime, event_id), datetime) / 3600 AS hours FROM rq)"
-FLAGGED = f"WITH {QUART}, {SECONDS}, f AS (SELECT h.*, {PHYS}, {OUT}, {TEMP} FROM h CROSS JOIN q WINDOW w AS (PARTITION BY station_id ORDER BY datetime, event_id)), all_flags AS (SELECT *, temperature_physical_flag | snow_depth_physical_flag | humidity_physical_flag | temperature_outlier_flag | snow_depth_outlier_flag | humidity_outlier_flag | temperature_temporal_flag | snow_depth_temporal_flag AS quality_flag FROM f)"
+SECONDS = """rq AS (SELECT * REPLACE (date_trunc('second', datetime) AS datetime)
+    FROM raw_quality), h AS (SELECT *, date_diff('second', lag(datetime) OVER (PARTITION BY station_id
+    ORDER BY datetime, event_id), datetime) / 3600 AS hours FROM rq)"""
+FLAGGED = f"""WITH {QUART}, {SECONDS}, f AS (SELECT h.*, {PHYS}, {OUT}, {TEMP} FROM h CROSS JOIN q
+    WINDOW w AS (PARTITION BY station_id ORDER BY datetime, event_id)), all_flags AS (SELECT *,
+    temperature_physical_flag | snow_depth_physical_flag | humidity_physical_flag | temperature_outlier_flag |
+    snow_depth_outlier_flag | humidity_outlier_flag | temperature_temporal_flag | snow_depth_temporal_flag AS
+    quality_flag FROM f)"""
 
 
 def _raw(v):
@@ -177,17 +238,12 @@ def _raw(v):
     return v.raw_quality.withColumn("datetime", F.date_trunc("second", "datetime"))
 
 
-def _temporal(df):
-    """Temporal flags with ties in time ordered by event."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("station_id").orderBy("datetime", "event_id")
-    hours = F.timestamp_diff("SECOND", F.lag("datetime").over(w), F.col("datetime")) / 3600.0
-    flag = lambda c, m: F.when(F.col(c).isNull(), 1).when((hours > 0) & (F.abs(F.col(c) - F.lag(c).over(w)) > hours * m), 16).otherwise(0).alias(f"{c}_temporal_flag")
-    return df.select("*", flag("temperature", 15.0), flag("snow_depth", 30.0))
-
-
-@query("w8a_temporal", f"WITH o AS (SELECT station_id, date_trunc('hour', datetime) AS datetime, avg(temperature) AS temperature FROM raw_quality GROUP BY ALL), h AS (SELECT *, date_diff('second', lag(datetime) OVER w, datetime) / 3600 AS hours, lag(temperature) OVER w AS p FROM o WINDOW w AS (PARTITION BY station_id ORDER BY datetime)) SELECT station_id, datetime, r6(temperature) AS temperature, CASE WHEN temperature IS NULL THEN 1 WHEN hours > 0 AND abs(temperature - p) > hours * 15.0 THEN 16 ELSE 0 END AS temperature_temporal_flag FROM h")
+@query("w8a_temporal", f"""WITH o AS (SELECT station_id, date_trunc('hour', datetime) AS datetime, avg(temperature) AS temperature
+    FROM raw_quality GROUP BY ALL), h AS (SELECT *, date_diff('second', lag(datetime) OVER w,
+    datetime) / 3600 AS hours, lag(temperature) OVER w AS p FROM o WINDOW w AS (PARTITION BY station_id
+    ORDER BY datetime)) SELECT station_id, datetime, r6(temperature) AS temperature,
+    CASE WHEN temperature IS NULL THEN 1 WHEN hours > 0 AND abs(temperature - p) > hours * 15.0 THEN 16 ELSE 0 END AS
+    temperature_temporal_flag FROM h""")
 def w8a_temporal(v):
     hourly = v.raw_quality.groupBy("station_id", F.date_trunc("hour", "datetime").cast("timestamp_ntz").alias("datetime")).agg(F.avg("temperature").alias("temperature"))
     return quality.temporal(hourly, "datetime", ["station_id"])
@@ -198,7 +254,10 @@ def w8b_outliers_iqr(v):
     return quality.outliers(v.raw_quality, ["temperature", "snow_depth", "humidity"], threshold=1.5).select("event_id", "temperature_outlier_flag", "snow_depth_outlier_flag", "humidity_outlier_flag")
 
 
-@query("w8b_outliers_zscore", "WITH s AS (SELECT station_id, avg(snow_depth) AS m, nullif(stddev_samp(snow_depth), 0) AS d, count(snow_depth) AS n FROM raw_quality GROUP BY 1) SELECT event_id, CASE WHEN snow_depth IS NULL THEN 1 WHEN n >= 3 AND (snow_depth < m - 2 * d OR snow_depth > m + 2 * d) THEN 8 ELSE 0 END AS snow_depth_outlier_flag FROM raw_quality JOIN s USING (station_id)")
+@query("w8b_outliers_zscore", """WITH s AS (SELECT station_id, avg(snow_depth) AS m, nullif(stddev_samp(snow_depth), 0) AS d, count(snow_depth) AS n
+    FROM raw_quality GROUP BY 1) SELECT event_id,
+    CASE WHEN snow_depth IS NULL THEN 1 WHEN n >= 3 AND (snow_depth < m - 2 * d OR snow_depth > m + 2 * d) THEN 8 ELSE
+    0 END AS snow_depth_outlier_flag FROM raw_quality JOIN s USING (station_id)""")
 def w8b_outliers_zscore(v):
     return quality.outliers(v.raw_quality, ["snow_depth"], "zscore", 2.0, ["station_id"]).select("event_id", "snow_depth_outlier_flag")
 
@@ -210,7 +269,7 @@ def w8c_physical(v):
 
 def _flagged(v, combine="or"):
     d = quality.outliers(quality.physical(_raw(v)), ["temperature", "snow_depth", "humidity"], threshold=1.5)
-    return quality.combined(_temporal(d), combine)
+    return quality.combined(quality.temporal(d, "datetime", ["station_id"], ties=["event_id"]), combine)
 
 
 @query("w8d_combined", f"{FLAGGED} SELECT event_id, quality_flag FROM all_flags")
@@ -218,40 +277,151 @@ def w8d_combined(v):
     return _flagged(v).select("event_id", "quality_flag")
 
 
-@query("w8d_combined_max", f"{FLAGGED} SELECT event_id, greatest(temperature_physical_flag, snow_depth_physical_flag, humidity_physical_flag, temperature_outlier_flag, snow_depth_outlier_flag, humidity_outlier_flag, temperature_temporal_flag, snow_depth_temporal_flag) AS quality_flag FROM all_flags")
+@query("w8d_combined_max", f"""{FLAGGED} SELECT event_id, greatest(temperature_physical_flag, snow_depth_physical_flag, humidity_physical_flag,
+    temperature_outlier_flag, snow_depth_outlier_flag, humidity_outlier_flag, temperature_temporal_flag,
+    snow_depth_temporal_flag) AS quality_flag FROM all_flags""")
 def w8d_combined_max(v):
     return _flagged(v, "max").select("event_id", "quality_flag")
 
 
-@query("p7_valid_only", f"{FLAGGED} SELECT event_id FROM all_flags WHERE quality_flag = 0 AND (2 + (temperature IS NOT NULL)::INT + (snow_depth IS NOT NULL)::INT + (humidity IS NOT NULL)::INT) / 5 >= 0.8")
+@query("p7_valid_only", f"""{FLAGGED} SELECT event_id FROM all_flags
+    WHERE quality_flag = 0 AND (2 + (temperature IS NOT NULL)::INT + (snow_depth IS NOT NULL)::INT + (humidity IS NOT
+    NULL)::INT) / 5 >= 0.8""")
 def p7_valid_only(v):
     return quality.valid_only(_flagged(v)).select("event_id")
 
 
-@query("a12_report", f"{FLAGGED} SELECT count(*) AS total, count(*) FILTER (quality_flag = 0) AS valid, r6((count(*) * 3 - count(temperature) - count(snow_depth) - count(humidity)) * 100.0 / (count(*) * 3)) AS missing_pct, count(*) FILTER (temperature_outlier_flag & 8 > 0) + count(*) FILTER (snow_depth_outlier_flag & 8 > 0) + count(*) FILTER (humidity_outlier_flag & 8 > 0) AS outliers, count(*) FILTER (temperature_physical_flag & 6 > 0) + count(*) FILTER (snow_depth_physical_flag & 6 > 0) + count(*) FILTER (humidity_physical_flag & 6 > 0) AS physical_violations, count(*) FILTER (temperature_temporal_flag & 16 > 0) + count(*) FILTER (snow_depth_temporal_flag & 16 > 0) AS temporal_violations, r6(count(*) FILTER (quality_flag = 0) * 100.0 / count(*)) AS valid_pct FROM all_flags")
+@query("a12_report", f"""{FLAGGED}, r AS (SELECT count(*) AS total, count(*) FILTER (quality_flag = 0) AS valid,
+    r6((count(*) * 3 - count(temperature) - count(snow_depth) - count(humidity)) * 100.0 / (count(*) * 3)) AS
+    missing_pct, count(*) FILTER (temperature_outlier_flag & 8 > 0) + count(*) FILTER (snow_depth_outlier_flag & 8 >
+    0) + count(*) FILTER (humidity_outlier_flag & 8 > 0) AS outliers,
+    count(*) FILTER (temperature_physical_flag & 6 > 0) + count(*) FILTER (snow_depth_physical_flag & 6 > 0) +
+    count(*) FILTER (humidity_physical_flag & 6 > 0) AS physical_violations,
+    count(*) FILTER (temperature_temporal_flag & 16 > 0) + count(*) FILTER (snow_depth_temporal_flag & 16 > 0) AS
+    temporal_violations, r6(count(*) FILTER (quality_flag = 0) * 100.0 / count(*)) AS valid_pct FROM all_flags)
+    SELECT *, valid_pct >= 80 AS acceptable,
+    {ISSUES.format("CASE WHEN missing_pct > 20 THEN 'many missing values' END, CASE WHEN outliers > 0 THEN 'outliers' END, CASE WHEN physical_violations > 0 THEN 'values out of physical limits' END, CASE WHEN temporal_violations > 0 THEN 'jumps in time' END")}
+    FROM r""")
 def a12_report(v):
-    return quality.report(_flagged(v), ["temperature", "snow_depth", "humidity"]).drop("issues", "acceptable")
+    return _told(quality.report(_flagged(v), ["temperature", "snow_depth", "humidity"]))
 
 
-@query("a12_column_stats", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, count(*) - count({c}) AS missing, r6(avg({c})) AS mean, r6(stddev_samp({c})) AS std, r6(min({c})) AS min, r6(max({c})) AS max FROM raw_quality" for c in ("temperature", "snow_depth", "humidity")))
+@query("a12_column_stats", " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) AS n, count(*) - count({c}) AS missing, r6(avg({c})) AS mean,
+    r6(stddev_samp({c})) AS std, r6(min({c})) AS min, r6(max({c})) AS max FROM raw_quality""" for c in ("temperature", "snow_depth", "humidity")))
 def a12_column_stats(v):
     return quality.column_stats(v.raw_quality, ["temperature", "snow_depth", "humidity"])
 
 
-def _validate(name: str, source: str, frame: Callable, oracle: str, columns: list[str], limit: float):
-    @query(name, oracle)
-    def run(v):
-        return quality.validate(frame(v), quality.rules_for(source), limit, columns).drop("issues")
-
-    return run
+def _issues(*pairs: tuple[str, str]) -> str:
+    return ISSUES.format(", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in pairs))
+
+
+def _snotel(v):
+    d = v.raw_quality.select("station_id", "datetime", F.col("snow_depth").alias("snow_depth_cm"), (F.col("humidity") * 30).alias("swe_mm"), F.col("temperature").alias("temp_avg_c"))
+    return d.withColumn("quality_flag", stations.completeness())
+
+
+@query("a5_validate_snotel", f"""WITH d AS (SELECT *, (snow_depth IS NOT NULL)::INT + (humidity IS NOT NULL)::INT + (temperature IS NOT NULL)::INT AS n
+    FROM raw_quality),
+r AS (SELECT count(*) AS total,
+    r6((count(*) * 3 - count(snow_depth) - count(humidity) - count(temperature)) * 100.0 / (count(*) * 3)) AS
+    missing_pct,
+count(*) FILTER (snow_depth < 0 OR snow_depth > 2000) AS depth_range,
+    count(*) FILTER (humidity * 30 < 0 OR humidity * 30 > 5000) AS swe_range,
+    count(*) FILTER (temperature < -60 OR temperature > 50) AS temp_range,
+count(DISTINCT station_id) AS stations, min(datetime) AS first, max(datetime) AS last,
+    'good=' || count(*) FILTER (n = 3) || ', missing=' || count(*) FILTER (n = 0) || ', partial=' || count(*) FILTER
+    (n IN (1, 2)) AS labels FROM d)
+SELECT *, {_issues(("missing", "missing_pct > 30"), ("depth_range", "depth_range > 0"), ("swe_range", "swe_range > 0"), ("temp_range", "temp_range > 0"))},
+    missing_pct <= 30 AND depth_range + swe_range + temp_range = 0 AS valid FROM r""")
+def a5_validate_snotel(v):
+    return _told(validation.snotel(_snotel(v)))
+
+
+def _ghcn(v):
+    element = F.when(F.col("k") % 2 == 0, "TMAX").otherwise("PRCP")
+    flag = F.when(F.col("k") % 7 == 0, "G").when(F.col("k") % 7 == 1, "Q")
+    return v.obs.select("station_id", F.col("datetime").cast("date").alias("date"), element.alias("element"), F.col("value").alias("value"), flag.alias("qflag"), (F.col("value") * 10).alias("value_converted"))
+
+
+GHCN = f"""r AS (SELECT count(*) AS total, r6(0) AS missing_pct,
+    r6(count(*) FILTER (k % 7 = 0) * 100.0 / count(*)) AS flagged_pct,
+count(*) FILTER (k % 2 = 0 AND value * 10 > 60) AS temp_range,
+    count(*) FILTER (k % 2 <> 0 AND value * 10 > 2000) AS precip_range, count(DISTINCT station_id) AS stations,
+    'PRCP, TMAX' AS elements,
+CAST(min(datetime) AS DATE) AS first, CAST(max(datetime) AS DATE) AS last FROM obs)
+SELECT *, {_issues(("flagged", "flagged_pct > 10"), ("temp_range", "temp_range > 0"), ("precip_range", "precip_range > 0"))},
+    flagged_pct <= 10 AND temp_range + precip_range = 0 AS valid FROM r"""
+
+
+@query("a6_validate_ghcn", f"WITH {GHCN}")
+def a6_validate_ghcn(v):
+    return _told(validation.ghcn(_ghcn(v)))
+
+
+@query("a7_validate_era5", f"""WITH g AS (SELECT max(date_diff('second', p, datetime)) / 3600 AS h
+    FROM (SELECT datetime, lag(datetime) OVER (ORDER BY datetime) AS p
+    FROM (SELECT DISTINCT date_trunc('second', datetime) AS datetime FROM obs))),
+r AS (SELECT count(*) AS total,
+    {", ".join(f"r6((count(*) - count({c})) * 100.0 / count(*)) AS {c}_missing_pct, r6(min({c})) AS {c}_min, r6(max({c})) AS {c}_max, r6(avg({c})) AS {c}_mean" for c in ("t2m", "tp", "u10"))},
+    (SELECT r6(h) FROM g) AS largest_gap_hours, r6(0) AS missing_pct FROM weather)
+SELECT *, {_issues(("t2m range", "t2m_min < 180 OR t2m_max > 350"), ("tp negative", "tp_min < -0.001"), ("gap", "largest_gap_hours > 24"))},
+    t2m_min >= 180 AND t2m_max <= 350 AND tp_min >= -0.001 AND largest_gap_hours <= 24 AS valid FROM r""")
+def a7_validate_era5(v):
+    return _told(validation.era5(v.weather.withColumn("datetime", F.date_trunc("second", "datetime")), ["t2m", "tp", "u10"], "datetime"))
+
+
+@query("a7_validate_frame", f"""WITH r AS (SELECT count(*) AS total,
+    r6((3 * count(*) + 3 * count(*) - count(temperature) - count(snow_depth) - count(humidity)) * 100.0 / (6 *
+    count(*) + count(*))) AS missing_pct, 7 AS columns, 'absent' AS empty_columns FROM raw_quality)
+SELECT total, r6((m + total) * 100.0 / (7 * total)) AS missing_pct, columns, empty_columns, 'empty columns' AS issues,
+    false AS valid FROM r, (SELECT 3 * count(*) - count(temperature) - count(snow_depth) - count(humidity) AS m
+    FROM raw_quality)""")
+def a7_validate_frame(v):
+    d = v.raw_quality.select("event_id", "station_id", "datetime", "temperature", "snow_depth", "humidity", F.lit(None).cast("double").alias("absent"))
+    return _told(validation.frame(d)).withColumn("empty_columns", F.array_join("empty_columns", ", "))
+
+
+@query("a8_validate_hrrr", """SELECT count(*) AS total, r6(0) AS missing_pct, count(*) FILTER (temp_k < 180 OR temp_k > 340) AS temp_range,
+    '' AS issues, true AS valid FROM forecasts""")
+def a8_validate_hrrr(v):
+    return _told(validation.hrrr(v.forecasts))
+
+
+@query("a9_validate_terrain", f"""WITH t AS (SELECT *, CASE WHEN location_id % 4 <> 0 THEN slope * 2 END AS s
+    FROM terrain), r AS (SELECT count(*) AS total, r6((count(*) - count(s)) * 100.0 / (5 * count(*))) AS missing_pct,
+    'features' AS kind,
+count(*) FILTER (elevation < -500 OR elevation > 9000) + count(*) FILTER (s > 90) AS outliers,
+    r6(min(elevation)) AS elevation_min, r6(max(elevation)) AS elevation_max, r6(avg(elevation)) AS elevation_mean,
+    r6(max(s)) AS slope_max, r6(avg(s)) AS slope_mean FROM t)
+SELECT *, {_issues(("outliers", "outliers > 0"))}, outliers = 0 AND missing_pct < 50 AS valid FROM r""")
+def a9_validate_terrain(v):
+    return _told(validation.terrain(v.terrain.withColumn("slope", F.when(F.col("location_id") % 4 != 0, F.col("slope") * 2))))
+
+
+@query("a9_validate_tiles", "SELECT count(DISTINCT tile) AS total, r6(0) AS missing_pct, 'tiles' AS kind, '' AS issues, true AS valid FROM dem")
+def a9_validate_tiles(v):
+    return _told(validation.terrain(raster.tile_catalogue(v.dem)))
+
+
+@query("a10_validate_resorts", f"""WITH e AS (SELECT *, CASE WHEN id % 10 <> 0 THEN elevation END AS b, elevation * 2 - 500 AS s, lat + id % 60 AS la
+    FROM resorts), r AS (SELECT count(*) AS total, r6(0) AS missing_pct, count(*) FILTER (la > 90) AS lat_range,
+    0 AS lon_range,
+count(*) FILTER (b < 0 OR b > 5000) + count(*) FILTER (s < 0 OR s > 6000) AS outliers,
+    CAST(floor((count(b) + count(s)) / 2) AS BIGINT) AS with_elevation,
+    {", ".join(f"r6({f}({c})) AS {n}_elevation_{f}" for c, n in (("b", "base"), ("s", "summit")) for f in ("min", "max"))},
+    r6(avg(b)) AS base_elevation_mean, r6(avg(s)) AS summit_elevation_mean FROM e)
+SELECT *, {_issues(("lat_range", "lat_range > 0"))}, lat_range = 0 AS valid FROM r""")
+def a10_validate_resorts(v):
+    c = F.col
+    d = v.resorts.select(c("state").alias("name"), (c("lat") + c("id") % 60).alias("lat"), "lon", F.when(c("id") % 10 != 0, c("elevation")).alias("base_elevation"), (c("elevation") * 2 - 500).alias("summit_elevation"))
+    return _told(validation.resorts(d))
 
 
-_validate("a5_validate_snotel", "snotel", lambda v: v.raw_quality.select(F.col("snow_depth").alias("snow_depth_cm"), (F.col("humidity") * 30).alias("swe_mm"), F.col("temperature").alias("temp_avg_c")), "SELECT count(*) AS total, r6((count(*) * 3 - count(snow_depth) - count(humidity) - count(temperature)) * 100.0 / (count(*) * 3)) AS missing_pct, count(*) FILTER (snow_depth < 0 OR snow_depth > 1000) AS depth_range, count(*) FILTER (humidity * 30 < 0 OR humidity * 30 > 3000) AS swe_range, count(*) FILTER (temperature < -60 OR temperature > 60) AS temp_range, false AS valid FROM raw_quality", ["snow_depth_cm", "swe_mm", "temp_avg_c"], 30.0)
-_validate("a6_validate_ghcn", "ghcn", lambda v: v.obs.select(F.when(F.col("k") % 2 == 0, "TMAX").otherwise("PRCP").alias("element"), (F.col("value") * 10).alias("value")), "SELECT count(*) AS total, r6(0) AS missing_pct, count(*) FILTER (k % 2 = 0 AND value * 10 > 60) AS temp_range, count(*) FILTER (k % 2 <> 0 AND value * 10 > 2000) AS precip_range, false AS valid FROM obs", ["value"], 10.0)
-_validate("a7_validate_era5", "era5", lambda v: v.weather, "SELECT count(*) AS total, r6(0) AS missing_pct, count(*) FILTER (t2m < 180 OR t2m > 350) AS temp_range, count(*) FILTER (tp < 0) AS negative_precip, count(*) FILTER (t2m < 180 OR t2m > 350) + count(*) FILTER (tp < 0) = 0 AS valid FROM weather", ["t2m", "tp"], 30.0)
-_validate("a8_validate_hrrr", "hrrr", lambda v: v.forecasts, "SELECT count(*) AS total, r6(0) AS missing_pct, count(*) FILTER (temp_k < 180 OR temp_k > 340) AS temp_range, true AS valid FROM forecasts", ["temp_k"], 50.0)
-_validate("a9_validate_terrain", "terrain", lambda v: v.terrain, "SELECT count(*) AS total, r6(0) AS missing_pct, count(*) FILTER (elevation < -500 OR elevation > 9000) AS elevation_range, count(*) FILTER (slope < 0 OR slope > 90) AS slope_range, true AS valid FROM terrain", ["elevation", "slope"], 50.0)
-_validate("a10_validate_resorts", "resorts", lambda v: v.resorts.select("lat", "lon", F.col("elevation").alias("base_elevation"), (4000 - F.col("elevation")).alias("summit_elevation")), "SELECT count(*) AS total, r6(0) AS missing_pct, count(*) FILTER (lat < -90 OR lat > 90 OR lon < -180 OR lon > 180) AS place_range, count(*) FILTER (4000 - elevation < elevation) AS elevation_order, false AS valid FROM resorts", ["lat", "lon"], 30.0)
+@query("a11_run", f"WITH {GHCN}")
+def a11_run(v):
+    _, report = validation.run(lambda: v.obs, lambda _: _ghcn(v), validation.ghcn)
+    return _told(report)
 
 
 # ---- space (P1-P4, P11, J1-J5, J7, J8, J18, J19, J21, A35, A38, F1, S10-S12, W13-W15) ------------------------------------
@@ -259,27 +429,34 @@ _validate("a10_validate_resorts", "resorts", lambda v: v.resorts.select("lat", "
 KM = "2 * 6371 * asin(sqrt(least(1, pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2))))"
 
 
-@query("p1_bounding_box", "SELECT id, state FROM stations WHERE lat BETWEEN 35 AND 45 AND lon BETWEEN -120 AND -105 AND elevation >= 1500 AND state IN ('NATION_1', 'NATION_3', 'NATION_5', 'NATION_7', 'NATION_11')")
+@query("p1_bounding_box", """SELECT id, state FROM stations WHERE lat BETWEEN 35 AND 45 AND lon BETWEEN -120 AND -105 AND elevation >= 1500 AND
+    state IN ('NATION_1', 'NATION_3', 'NATION_5', 'NATION_7', 'NATION_11')""")
 def p1_bounding_box(v):
     d = v.stations
     return d.filter(geo.in_box(F.col("lat"), F.col("lon"), {"west": -120, "south": 35, "east": -105, "north": 45}) & (F.col("elevation") >= 1500) & F.col("state").isin(*[f"NATION_{i}" for i in (1, 3, 5, 7, 11)])).select("id", "state")
 
 
-@query("p4_date_range", "SELECT station_id, count(*) AS n FROM obs WHERE CAST(datetime AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-12' GROUP BY 1")
+@query("p4_date_range", """SELECT station_id, count(*) AS n FROM obs WHERE CAST(datetime AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'
+    GROUP BY 1""")
 def p4_date_range(v):
     return v.obs.filter(F.col("datetime").cast("date").between("2024-01-05", "2024-01-12")).groupBy("station_id").agg(F.count("*").alias("n"))
 
 
-@query("f1_haversine", f"SELECT a.id AS a, b.id AS b, r6({KM.format(a='a', b='b')}) AS km FROM stations a JOIN stations b ON a.state = b.state")
+@query("f1_haversine", f"""SELECT a.id AS a, b.id AS b, r6({KM.format(a='a', b='b')}) AS km FROM resorts a
+    JOIN stations b ON b.id = 1 + a.id % (SELECT count(*) FROM stations)""")
 def f1_haversine(v):
-    a, b = v.stations.select(F.col("id").alias("a"), F.col("lat").alias("y1"), F.col("lon").alias("x1"), "state"), v.stations.select(F.col("id").alias("b"), F.col("lat").alias("y2"), F.col("lon").alias("x2"), "state")
-    return a.join(b, "state").select("a", "b", geo.haversine_km(F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2")).alias("km"))
-
+    a, b = v.resorts.select(F.col("id").alias("a"), F.col("lat").alias("y1"), F.col("lon").alias("x1")), v.stations.select(F.col("id").alias("b"), F.col("lat").alias("y2"), F.col("lon").alias("x2"))
+    pairs = a.withColumn("b", 1 + F.col("a") % v.stations.count()).join(b, "b")  # a station for each place
+    return pairs.select("a", "b", geo.haversine_km(F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2")).alias("km"))
 
 COAST_SQL = ", ".join(f"({i}, {y1}::DOUBLE, {x1}::DOUBLE, {y2}::DOUBLE, {x2}::DOUBLE)" for i, ((x1, y1), (x2, y2)) in enumerate(zip(geo.COAST, geo.COAST[1:], strict=False)))
 
 
-@query("j19_coast_distance", f"WITH seg(i, y1, x1, y2, x2) AS (VALUES {COAST_SQL}), t AS (SELECT r.*, seg.*, greatest(0, least(1, ((lon - x1) * (x2 - x1) + (lat - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM resorts r CROSS JOIN seg), p AS (SELECT id, lat, lon, y1 + t * (y2 - y1) AS py, x1 + t * (x2 - x1) AS px FROM t) SELECT id, r6(min(2 * 6371 * asin(sqrt(pow(sin(radians(py - lat) / 2), 2) + cos(radians(lat)) * cos(radians(py)) * pow(sin(radians(px - lon) / 2), 2))))) AS km FROM p GROUP BY id")
+@query("j19_coast_distance", f"""WITH seg(i, y1, x1, y2, x2) AS (VALUES {COAST_SQL}), t AS (SELECT r.*, seg.*, greatest(0, least(1,
+    ((lon - x1) * (x2 - x1) + (lat - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t
+    FROM resorts r CROSS JOIN seg), p AS (SELECT id, lat, lon, y1 + t * (y2 - y1) AS py, x1 + t * (x2 - x1) AS px
+    FROM t) SELECT id, r6(min(2 * 6371 * asin(sqrt(pow(sin(radians(py - lat) / 2),
+    2) + cos(radians(lat)) * cos(radians(py)) * pow(sin(radians(px - lon) / 2), 2))))) AS km FROM p GROUP BY id""")
 def j19_coast_distance(v):
     return v.resorts.select("id", geo.coast_km(F.col("lat"), F.col("lon")).alias("km"))
 
@@ -288,44 +465,76 @@ def _points(v):
     return v.resorts.select(F.col("id").alias("point_id"), "lat", "lon")
 
 
-AXES = "ax AS (SELECT id AS point_id, (SELECT arg_min(g, abs(g - r.lat) + g * 1e-12) FROM (SELECT DISTINCT lat AS g FROM field)) AS cell_lat, (SELECT arg_min(g, abs(g - r.lon) + (g + 200) * 1e-12) FROM (SELECT DISTINCT lon AS g FROM field)) AS cell_lon FROM resorts r)"
+AXES = """ax AS (SELECT id AS point_id, (SELECT arg_min(g, abs(g - r.lat) + g * 1e-12) FROM (SELECT DISTINCT lat AS g
+    FROM field)) AS cell_lat, (SELECT arg_min(g, abs(g - r.lon) + (g + 200) * 1e-12) FROM (SELECT DISTINCT lon AS g
+    FROM field)) AS cell_lon FROM resorts r)"""
 
 
-@query("j1_nearest_cell", f"WITH {AXES} SELECT point_id, cell_lat, cell_lon, r6(v) AS v FROM ax LEFT JOIN field ON cell_lat = field.lat AND cell_lon = field.lon")
+@query("j1_nearest_cell", f"""WITH {AXES} SELECT point_id, cell_lat, cell_lon, r6(v) AS v FROM ax LEFT
+    JOIN field ON cell_lat = field.lat AND cell_lon = field.lon""")
 def j1_nearest_cell(v):
     return spatial.nearest_cells(_points(v), v.field).select("point_id", "cell_lat", "cell_lon", "v")
 
 
-BI = """WITH a AS (SELECT id, lat, lon, (SELECT max(g) FROM (SELECT DISTINCT lat AS g FROM field) WHERE g <= r.lat) AS la, (SELECT min(g) FROM (SELECT DISTINCT lat AS g FROM field) WHERE g >= r.lat) AS lb, (SELECT max(g) FROM (SELECT DISTINCT lon AS g FROM field) WHERE g <= r.lon) AS oa, (SELECT min(g) FROM (SELECT DISTINCT lon AS g FROM field) WHERE g >= r.lon) AS ob FROM resorts r),
-w AS (SELECT *, coalesce((lat - la) / nullif(lb - la, 0), 0) AS y, coalesce((lon - oa) / nullif(ob - oa, 0), 0) AS x FROM a)"""
+BI = """WITH a AS (SELECT id, lat, lon, (SELECT max(g) FROM (SELECT DISTINCT lat AS g FROM field)
+    WHERE g <= r.lat) AS la, (SELECT min(g) FROM (SELECT DISTINCT lat AS g FROM field)
+    WHERE g >= r.lat) AS lb, (SELECT max(g) FROM (SELECT DISTINCT lon AS g FROM field)
+    WHERE g <= r.lon) AS oa, (SELECT min(g) FROM (SELECT DISTINCT lon AS g FROM field) WHERE g >= r.lon) AS ob
+    FROM resorts r),
+w AS (SELECT *, coalesce((lat - la) / nullif(lb - la, 0), 0) AS y, coalesce((lon - oa) / nullif(ob - oa, 0), 0) AS x
+    FROM a)"""
 
 
-@query("j2_bilinear", f"{BI} SELECT w.id AS point_id, r6(a.v * (1 - y) * (1 - x) + b.v * (1 - y) * x + c.v * y * (1 - x) + d.v * y * x) AS v FROM w LEFT JOIN field a ON a.lat = la AND a.lon = oa LEFT JOIN field b ON b.lat = la AND b.lon = ob LEFT JOIN field c ON c.lat = lb AND c.lon = oa LEFT JOIN field d ON d.lat = lb AND d.lon = ob")
+@query("j2_bilinear", f"""{BI} SELECT w.id AS point_id, r6(a.v * (1 - y) * (1 - x) + b.v * (1 - y) * x + c.v * y * (1 - x) + d.v * y * x) AS v
+    FROM w LEFT JOIN field a ON a.lat = la AND a.lon = oa LEFT JOIN field b ON b.lat = la AND b.lon = ob LEFT
+    JOIN field c ON c.lat = lb AND c.lon = oa LEFT JOIN field d ON d.lat = lb AND d.lon = ob""")
 def j2_bilinear(v):
     return spatial.bilinear(_points(v), v.field, "v")
 
 
-@query("j3_curvilinear", "WITH c AS (SELECT id AS point_id, arg_min(s.cell_id, (s.d, s.cell_id)) AS cell_id FROM (SELECT r.id, s.id AS cell_id, sqrt(pow(r.lat - s.lat, 2) + pow(r.lon - s.lon, 2)) AS d FROM stations r JOIN resorts s ON abs(r.lat - s.lat) <= 3 AND abs(r.lon - s.lon) <= 3) s GROUP BY id) SELECT * FROM c")
+J3 = """SELECT id AS point_id, arg_min(s.cell_id, (s.d, s.cell_id)) AS cell_id
+    FROM (SELECT r.id, s.id AS cell_id, sqrt(pow(r.lat - s.lat, 2) + pow({east}, 2)) AS d FROM stations r CROSS
+    JOIN (SELECT * FROM resorts WHERE elevation > 2000 AND lat < 40) s) s GROUP BY id"""
+
+
+def _cells(v):
+    """Points in the north are far from any of these."""
+    return v.resorts.filter("elevation > 2000 and lat < 40").withColumnRenamed("id", "cell_id")
+
+
+@query("j3_curvilinear", J3.format(east="r.lon - s.lon"))
 def j3_curvilinear(v):
-    return spatial.nearest_cell_map(v.stations.withColumnRenamed("id", "point_id"), v.resorts.withColumnRenamed("id", "cell_id"), 3.0)
+    return spatial.nearest_cell_map(v.stations.withColumnRenamed("id", "point_id"), _cells(v))
+
+
+@query("j3_on_the_circle", J3.format(east="least(abs(r.lon * 3 - s.lon * 3) % 360, 360 - abs(r.lon * 3 - s.lon * 3) % 360)"))
+def j3_on_the_circle(v):
+    around = lambda d: d.withColumn("lon", F.col("lon") * 3)
+    return spatial.nearest_cell_map(around(v.stations).withColumnRenamed("id", "point_id"), around(_cells(v)), circle=True)
 
 
-@query("j4_extract", f"WITH {AXES} SELECT point_id, time, r6(v) AS era5_v FROM ax LEFT JOIN grid ON cell_lat = grid.lat AND cell_lon = grid.lon")
+@query("j4_extract", f"""WITH {AXES} SELECT point_id, time, r6(v) AS era5_v FROM ax LEFT
+    JOIN grid ON cell_lat = grid.lat AND cell_lon = grid.lon""")
 def j4_extract(v):
     return spatial.extract(_points(v), v.grid, prefix="era5_", keys=["time"])
 
 
-@query("j5_align_sources", f"WITH {AXES}, e AS (SELECT point_id, time, v FROM ax LEFT JOIN grid ON cell_lat = grid.lat AND cell_lon = grid.lon) SELECT e.point_id, e.time, r6(e.v) AS era5_v, r6(h.v * 2) AS hrrr_v, t.elevation AS dem_elevation FROM e LEFT JOIN e h ON h.point_id = e.point_id AND h.time = e.time LEFT JOIN terrain t ON t.location_id = e.point_id")
+@query("j5_align_sources", f"""WITH {AXES}, e AS (SELECT point_id, time, v FROM ax LEFT JOIN grid ON cell_lat = grid.lat AND cell_lon = grid.lon)
+    SELECT e.point_id, e.time, r6(e.v) AS era5_v, r6(h.v * 2) AS hrrr_v, t.elevation AS dem_elevation FROM e LEFT
+    JOIN e h ON h.point_id = e.point_id AND h.time = e.time LEFT JOIN terrain t ON t.location_id = e.point_id""")
 def j5_align_sources(v):
     p, g = _points(v), v.grid
     sources = {"era5": spatial.extract(p, g, prefix="era5_", keys=["time"]), "hrrr": spatial.extract(p, g.withColumn("v", F.col("v") * 2), prefix="hrrr_", keys=["time"]), "dem": v.terrain.select(F.col("location_id").alias("point_id"), F.col("elevation").alias("dem_elevation"))}
     return spatial.align_sources(p.select("point_id"), sources)
 
 
-NEAR = f"n AS (SELECT r.id AS place, s.id AS station, {KM.format(a='r', b='s')} AS km FROM resorts r CROSS JOIN stations s), k AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY km, station) AS rank FROM n WHERE km <= 150)"
+NEAR = f"""n AS (SELECT r.id AS place, s.id AS station, {KM.format(a='r', b='s')} AS km FROM resorts r CROSS
+    JOIN stations s), k AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY km, station) AS rank FROM n
+    WHERE km <= 150)"""
 
 
-@query("j7_nearest_station", f"WITH {NEAR} SELECT r.id AS place, station, r6(km) AS distance_km FROM resorts r LEFT JOIN (SELECT * FROM k WHERE rank = 1) ON place = r.id")
+@query("j7_nearest_station", f"""WITH {NEAR} SELECT r.id AS place, station, r6(km) AS distance_km FROM resorts r LEFT JOIN (SELECT * FROM k
+    WHERE rank = 1) ON place = r.id""")
 def j7_nearest_station(v):
     return spatial.nearest_station(v.resorts, v.stations, 150.0, station_id="id")
 
@@ -335,7 +544,8 @@ def j8_radius_join(v):
     return spatial.near_stations(v.resorts, v.stations, 150.0, station_id="id")
 
 
-@query("t2_five_nearest", f"WITH {NEAR} SELECT place, station, rank, n - 5 AS more FROM (SELECT *, count(*) OVER (PARTITION BY place) AS n FROM k) WHERE rank <= 5")
+@query("t2_five_nearest", f"""WITH {NEAR} SELECT place, station, rank, n - 5 AS more FROM (SELECT *, count(*) OVER (PARTITION BY place) AS n FROM k)
+    WHERE rank <= 5""")
 def t2_five_nearest(v):
     from pyspark.sql import Window as W
 
@@ -343,65 +553,128 @@ def t2_five_nearest(v):
     return near.withColumn("more", F.count("*").over(W.partitionBy("place")) - 5).filter("rank <= 5").drop("distance_km")
 
 
-@query("j21_merge_variables", "SELECT station_id, CAST(datetime AS DATE) AS date, max(value) FILTER (element = 'click') AS click, max(value) FILTER (element = 'error') AS error FROM (SELECT station_id, datetime, element, value FROM obs) GROUP BY ALL")
+@query("j21_merge_variables", """SELECT station_id, CAST(datetime AS DATE) AS date, max(value) FILTER (element = 'click') AS click,
+    max(value) FILTER (element = 'error') AS error FROM (SELECT station_id, datetime, element, value FROM obs)
+    GROUP BY ALL""")
 def j21_merge_variables(v):
     return spatial.merge_variables(v.obs.select("station_id", F.col("datetime").cast("date").alias("date"), F.col("element").alias("variable"), "value"), ["click", "error"], ["station_id", "date"])
 
 
-@query("a35_hexagons", """WITH p AS (SELECT (sqrt(3) / 3 * (lon * 80) - (lat * 111) / 3) / 50 AS q, (2.0 / 3 * (lat * 111)) / 50 AS r, elevation AS v FROM resorts), s AS (SELECT *, -q - r AS s FROM p), d AS (SELECT *, round(q) AS rq, round(r) AS rr, round(s) AS rs FROM s), e AS (SELECT *, abs(rq - q) > abs(rr - r) AND abs(rq - q) > abs(rs - s) AS a, abs(rr - r) > abs(rs - s) AS b FROM d)
-SELECT CAST(CASE WHEN a THEN -rr - rs ELSE rq END AS BIGINT) AS q, CAST(CASE WHEN b AND NOT a THEN -rq - rs ELSE rr END AS BIGINT) AS r, r6(sum(v)) AS total, count(*) AS n FROM e GROUP BY 1, 2""")
+@query("a35_hexagons", """WITH p AS (SELECT (sqrt(3) / 3 * (lon * 80) - (lat * 111) / 3) / 50 AS q, (2.0 / 3 * (lat * 111)) / 50 AS r,
+    elevation AS v FROM resorts), s AS (SELECT *, -q - r AS s
+    FROM p), d AS (SELECT *, round(q) AS rq, round(r) AS rr, round(s) AS rs
+    FROM s), e AS (SELECT *, abs(rq - q) > abs(rr - r) AND abs(rq - q) > abs(rs - s) AS a,
+    abs(rr - r) > abs(rs - s) AS b FROM d)
+SELECT CAST(CASE WHEN a THEN -rr - rs ELSE rq END AS BIGINT) AS q,
+    CAST(CASE WHEN b AND NOT a THEN -rq - rs ELSE rr END AS BIGINT) AS r, r6(sum(v)) AS total, count(*) AS n FROM e
+    GROUP BY 1, 2""")
 def a35_hexagons(v):
     return spatial.hexagons(v.resorts, F.col("lon") * 80, F.col("lat") * 111, 50.0, "elevation")
 
 
-@query("a38_extraction_stats", "SELECT r6((max(f.lat) - min(f.lat)) / (count(DISTINCT f.lat) - 1)) AS lat_step, min(f.lat) AS lat_min, max(f.lat) AS lat_max, r6((max(f.lon) - min(f.lon)) / (count(DISTINCT f.lon) - 1)) AS lon_step, min(f.lon) AS lon_min, max(f.lon) AS lon_max, (SELECT count(*) FROM resorts) AS points, (SELECT count(*) FROM resorts WHERE lat BETWEEN (SELECT min(lat) FROM field) AND (SELECT max(lat) FROM field) AND lon BETWEEN (SELECT min(lon) FROM field) AND (SELECT max(lon) FROM field)) AS points_inside, (SELECT count(*) FROM resorts WHERE NOT (lat BETWEEN (SELECT min(lat) FROM field) AND (SELECT max(lat) FROM field) AND lon BETWEEN (SELECT min(lon) FROM field) AND (SELECT max(lon) FROM field))) AS points_outside FROM field f")
+@query("a38_extraction_stats", """SELECT r6((max(f.lat) - min(f.lat)) / (count(DISTINCT f.lat) - 1)) AS lat_step, min(f.lat) AS lat_min,
+    max(f.lat) AS lat_max, r6((max(f.lon) - min(f.lon)) / (count(DISTINCT f.lon) - 1)) AS lon_step,
+    min(f.lon) AS lon_min, max(f.lon) AS lon_max, (SELECT count(*) FROM resorts) AS points, (SELECT count(*)
+    FROM resorts WHERE lat BETWEEN (SELECT min(lat) FROM field) AND (SELECT max(lat)
+    FROM field) AND lon BETWEEN (SELECT min(lon) FROM field) AND (SELECT max(lon)
+    FROM field)) AS points_inside, (SELECT count(*) FROM resorts WHERE NOT (lat BETWEEN (SELECT min(lat)
+    FROM field) AND (SELECT max(lat) FROM field) AND lon BETWEEN (SELECT min(lon) FROM field) AND (SELECT max(lon)
+    FROM field))) AS points_outside FROM field f""")
 def a38_extraction_stats(v):
     return spatial.extraction_stats(v.field, _points(v))
 
 
-GRAD = "g AS (SELECT tile, row, col, (coalesce(lead(z) OVER x, z) - coalesce(lag(z) OVER x, z)) / nullif((((lead(z) OVER x) IS NOT NULL)::INT + ((lag(z) OVER x) IS NOT NULL)::INT) * 30, 0) AS dx, (coalesce(lead(z) OVER y, z) - coalesce(lag(z) OVER y, z)) / nullif((((lead(z) OVER y) IS NOT NULL)::INT + ((lag(z) OVER y) IS NOT NULL)::INT) * 30, 0) AS dy FROM dem WINDOW x AS (PARTITION BY tile, row ORDER BY col), y AS (PARTITION BY tile, col ORDER BY row))"
+GRAD = """g AS (SELECT tile, row, col, (coalesce(lead(z) OVER x, z) - coalesce(lag(z) OVER x,
+    z)) / nullif((((lead(z) OVER x) IS NOT NULL)::INT + ((lag(z) OVER x) IS NOT NULL)::INT) * 30, 0) AS dx,
+    (coalesce(lead(z) OVER y, z) - coalesce(lag(z) OVER y,
+    z)) / nullif((((lead(z) OVER y) IS NOT NULL)::INT + ((lag(z) OVER y) IS NOT NULL)::INT) * 30, 0) AS dy FROM dem
+    WINDOW x AS (PARTITION BY tile, row ORDER BY col), y AS (PARTITION BY tile, col ORDER BY row))"""
 
 
-@query("w13_slope_aspect", f"WITH {GRAD} SELECT tile, row, col, r6(degrees(atan(sqrt(dx * dx + dy * dy)))) AS slope, r6((degrees(atan2(-dx, dy)) + 360) % 360) AS aspect FROM g WHERE dx IS NOT NULL AND dy IS NOT NULL")
+@query("w13_slope_aspect", f"""WITH {GRAD} SELECT tile, row, col, r6(degrees(atan(sqrt(dx * dx + dy * dy)))) AS slope, r6((degrees(atan2(-dx,
+    dy)) + 360) % 360) AS aspect FROM g WHERE dx IS NOT NULL AND dy IS NOT NULL""")
 def w13_slope_aspect(v):
     return raster.gradients(v.dem).filter("slope is not null").select("tile", "row", "col", "slope", "aspect")
 
 
-MIRROR = "sz AS (SELECT tile, max(row) AS mr, max(col) AS mc FROM dem GROUP BY 1), pr AS (SELECT tile, r AS row, col, z, mr, mc FROM (SELECT d.*, mr, mc, unnest([d.row, CASE WHEN d.row < {k} THEN -d.row - 1 END, CASE WHEN d.row > mr - {k} THEN 2 * mr + 1 - d.row END]) AS r FROM dem d JOIN sz USING (tile)) WHERE r IS NOT NULL), pad AS (SELECT tile, row, c AS col, z FROM (SELECT *, unnest([col, CASE WHEN col < {k} THEN -col - 1 END, CASE WHEN col > mc - {k} THEN 2 * mc + 1 - col END]) AS c FROM pr) WHERE c IS NOT NULL)"
+MIRROR = """sz AS (SELECT tile, max(row) AS mr, max(col) AS mc FROM dem GROUP BY 1), pr AS (SELECT tile, r AS row, col, z, mr, mc
+    FROM (SELECT d.*, mr, mc, unnest([d.row, CASE WHEN d.row < {k} THEN -d.row - 1 END,
+    CASE WHEN d.row > mr - {k} THEN 2 * mr + 1 - d.row END]) AS r FROM dem d JOIN sz USING (tile))
+    WHERE r IS NOT NULL), pad AS (SELECT tile, row, c AS col, z
+    FROM (SELECT *, unnest([col, CASE WHEN col < {k} THEN -col - 1 END,
+    CASE WHEN col > mc - {k} THEN 2 * mc + 1 - col END]) AS c FROM pr) WHERE c IS NOT NULL)"""
 
 
 def _box(source: str, value: str, k: int, name: str) -> str:
-    return f"{name}1 AS (SELECT *, sum({value}) OVER w AS s, count({value}) OVER w AS n FROM {source} WINDOW w AS (PARTITION BY tile, row ORDER BY col ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING)), {name} AS (SELECT * EXCLUDE (s, n), sum(s) OVER w / sum(n) OVER w AS {name}_mean FROM {name}1 WINDOW w AS (PARTITION BY tile, col ORDER BY row ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING))"
+    return f"""{name}1 AS (SELECT *, sum({value}) OVER w AS s, count({value}) OVER w AS n FROM {source}
+    WINDOW w AS (PARTITION BY tile, row ORDER BY col ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING)),
+    {name} AS (SELECT * EXCLUDE (s, n), sum(s) OVER w / sum(n) OVER w AS {name}_mean FROM {name}1
+    WINDOW w AS (PARTITION BY tile, col ORDER BY row ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING))"""
 
 
-@query("w14_roughness", f"WITH {MIRROR.format(k=2)}, {_box('pad', 'z', 1, 'm')}, dev AS (SELECT *, abs(z - m_mean) AS d FROM m), {_box('dev', 'd', 1, 'b')} SELECT b.tile, b.row, b.col, r6(b.b_mean) AS roughness FROM b JOIN dem USING (tile, row, col)")
+@query("w14_roughness", f"""WITH {MIRROR.format(k=2)}, {_box('pad', 'z', 1, 'm')}, dev AS (SELECT *, abs(z - m_mean) AS d
+    FROM m), {_box('dev', 'd', 1, 'b')} SELECT b.tile, b.row, b.col, r6(b.b_mean) AS roughness FROM b
+    JOIN dem USING (tile, row, col)""")
 def w14_roughness(v):
     return raster.roughness(v.dem).drop("z")
 
 
-@query("w15_tpi", f"WITH {MIRROR.format(k=10)}, {_box('pad', 'z', 10, 'm')} SELECT m.tile, m.row, m.col, r6(m.z - m.m_mean) AS tpi FROM m JOIN dem USING (tile, row, col)")
+@query("w15_tpi", f"""WITH {MIRROR.format(k=10)}, {_box('pad', 'z', 10, 'm')} SELECT m.tile, m.row, m.col, r6(m.z - m.m_mean) AS tpi FROM m
+    JOIN dem USING (tile, row, col)""")
 def w15_tpi(v):
     return raster.tpi(v.dem).drop("z")
 
 
-@query("j18_window_terrain", "WITH p AS (SELECT tile, row, col, point_id FROM (SELECT o_orderkey // 1024 AS tile, (o_orderkey % 1024) // 32 AS row, o_orderkey % 32 AS col, o_orderkey AS point_id FROM orders)) SELECT p.point_id, max(d.z) FILTER (d.row = p.row AND d.col = p.col) AS elevation, r6(avg(d.z)) AS mean_z, r6(stddev_pop(d.z)) AS spread, count(*) AS cells, r6(max(d.z) FILTER (d.row = p.row AND d.col = p.col) - avg(d.z)) AS tpi FROM p JOIN dem d ON d.tile = p.tile AND d.row BETWEEN p.row - 5 AND p.row + 5 AND d.col BETWEEN p.col - 5 AND p.col + 5 GROUP BY 1")
+W13 = """a AS (SELECT *, lead(z) OVER c AS e, lag(z) OVER c AS w, lead(z) OVER r AS s, lag(z) OVER r AS n FROM dem
+    WINDOW c AS (PARTITION BY tile, row ORDER BY col), r AS (PARTITION BY tile, col
+    ORDER BY row)), g AS (SELECT *, (coalesce(e, z) - coalesce(w,
+    z)) / nullif(((e IS NOT NULL)::INT + (w IS NOT NULL)::INT) * 30.0, 0) AS dx, (coalesce(s, z) - coalesce(n,
+    z)) / nullif(((s IS NOT NULL)::INT + (n IS NOT NULL)::INT) * 30.0, 0) AS dy
+    FROM a), sa AS (SELECT tile, row, col, z, degrees(atan(sqrt(dx * dx + dy * dy))) AS slope, (degrees(atan2(-dx,
+    dy)) + 360) % 360 AS aspect FROM g)"""
+
+
+@query("j18_window_terrain", f"""WITH {W13}, {MIRROR.format(k=2)}, {_box('pad', 'z', 1, 'm')}, dev AS (SELECT *, abs(z - m_mean) AS d
+    FROM m), {_box('dev', 'd', 1, 'b')},
+{MIRROR.format(k=5).replace("pad", "pad5").replace("pr", "pr5").replace("sz", "sz5")}, {_box('pad5', 'z', 5, 't')}
+SELECT o_orderkey AS point_id, r6(sa.z) AS elevation, r6(slope) AS slope, r6(aspect) AS aspect,
+    r6(sin(radians(aspect))) AS aspect_sin, r6(cos(radians(aspect))) AS aspect_cos, r6(b.b_mean) AS roughness,
+    r6(t.z - t.t_mean) AS tpi
+FROM orders LEFT JOIN sa ON sa.tile = o_orderkey // 1024 AND sa.row = (o_orderkey % 1024) // 32 AND sa.col =
+    o_orderkey % 32 LEFT JOIN b USING (tile, row, col) LEFT JOIN t USING (tile, row, col)""")
 def j18_window_terrain(v):
     key = F.col("tile") * 1024 + F.col("row") * 32 + F.col("col")
-    points = v.dem.select(key.alias("point_id"), "tile", "row", "col")
-    return spatial.window_terrain(points, v.dem)
+    return spatial.window_terrain(v.dem.select(key.alias("point_id"), "tile", "row", "col"), v.dem)
 
 
-@query("s12_tile_catalogue", "SELECT tile, max(row) - min(row) + 1 AS rows, max(col) - min(col) + 1 AS cols, count(*) AS cells, min(z) AS z_min, max(z) AS z_max FROM dem GROUP BY 1")
+@query("j18_window_spread", """WITH p AS (SELECT o_orderkey // 1024 AS tile, (o_orderkey % 1024) // 32 AS row, o_orderkey % 32 AS col,
+    o_orderkey AS point_id FROM orders) SELECT p.point_id,
+    max(d.z) FILTER (d.row = p.row AND d.col = p.col) AS elevation, r6(avg(d.z)) AS mean_z,
+    r6(stddev_pop(d.z)) AS spread, count(*) AS cells,
+    r6(max(d.z) FILTER (d.row = p.row AND d.col = p.col) - avg(d.z)) AS tpi FROM p
+    JOIN dem d ON d.tile = p.tile AND d.row BETWEEN p.row - 5 AND p.row + 5 AND d.col BETWEEN p.col - 5 AND p.col + 5
+    GROUP BY 1""")
+def j18_window_spread(v):
+    key = F.col("tile") * 1024 + F.col("row") * 32 + F.col("col")
+    return spatial.window_spread(v.dem.select(key.alias("point_id"), "tile", "row", "col"), v.dem)
+
+@query("s12_tile_catalogue", """SELECT tile, max(row) - min(row) + 1 AS rows, max(col) - min(col) + 1 AS cols, count(*) AS cells, min(z) AS z_min,
+    max(z) AS z_max FROM dem GROUP BY 1""")
 def s12_tile_catalogue(v):
     return raster.tile_catalogue(v.dem)
 
 
-@query("s11_tiles", "WITH b AS (SELECT id AS box_id, CAST(floor(lat - 0.6) AS BIGINT) AS s, CAST(floor(lat + 0.6) AS BIGINT) AS n, CAST(floor(lon - 0.6) AS BIGINT) AS w, CAST(floor(lon + 0.6) AS BIGINT) AS e FROM stations) SELECT box_id, la AS lat, lo AS lon, 'Copernicus_DSM_COG_10_N' || lpad(la::VARCHAR, 2, '0') || '_00_W' || lpad(abs(lo)::VARCHAR, 3, '0') || '_00_DEM' AS tile FROM b, range(s, n + 1) t(la), range(w, e + 1) u(lo)")
+@query("s11_tiles", """WITH b AS (SELECT id AS box_id, CAST(floor(lat - 0.6) AS BIGINT) AS s, CAST(floor(lat + 0.6) AS BIGINT) AS n,
+    CAST(floor(lon - 0.6) AS BIGINT) AS w, CAST(floor(lon + 0.6) AS BIGINT) AS e FROM stations)
+    SELECT box_id, la AS lat, lo AS lon, 'Copernicus_DSM_COG_10_N' || lpad(la::VARCHAR, 2,
+    '0') || '_00_W' || lpad(abs(lo)::VARCHAR, 3, '0') || '_00_DEM' AS tile
+    FROM b, range(s, n + 1) t(la), range(w, e + 1) u(lo)""")
 def s11_tiles(v):
     return raster.tiles_of_boxes(v.stations.select(F.col("id").alias("box_id"), (F.col("lon") - 0.6).alias("west"), (F.col("lat") - 0.6).alias("south"), (F.col("lon") + 0.6).alias("east"), (F.col("lat") + 0.6).alias("north")))
 
 
-@query("s10_union_grids", "SELECT time, lat, lon, r6(v) AS v, NULL::DOUBLE AS w FROM grid UNION ALL SELECT time, lat, lon, NULL, r6(v * 2) FROM grid")
+@query("s10_union_grids", """SELECT time, lat, lon, r6(v) AS v, NULL::DOUBLE AS w FROM grid UNION ALL SELECT time, lat, lon, NULL, r6(v * 2)
+    FROM grid""")
 def s10_union_grids(v):
     return v.grid.unionByName(v.grid.select("time", "lat", "lon", (F.col("v") * 2).alias("w")), allowMissingColumns=True)
 
@@ -411,70 +684,125 @@ def s10_union_grids(v):
 RH = "greatest(0, least(100, 100 * exp(17.625 * (d2m - 273.15) / (243.04 + d2m - 273.15)) / exp(17.625 * (t2m - 273.15) / (243.04 + t2m - 273.15))))"
 
 
-@query("f9_atmosphere", f"""WITH w AS (SELECT *, t2m - 273.15 AS t, {RH} AS rh, sqrt(u10 * u10 + v10 * v10) AS s FROM weather) SELECT event_id, r6(t) AS t2m_celsius, CAST(t < 0 AS BIGINT) AS is_below_freezing, r6(rh) AS relative_humidity, r6(t2m - d2m) AS dewpoint_depression,
-r6(t * atan(0.151977 * sqrt(rh + 8.313659)) + atan(t + rh) - atan(rh - 1.676331) + 0.00391838 * pow(rh, 1.5) * atan(0.023101 * rh) - 4.686035) AS wet_bulb_temp, r6(s) AS wind_speed, r6(CASE WHEN s > 0.1 THEN ((270 - degrees(atan2(v10, u10))) % 360 + 360) % 360 ELSE 0 END) AS wind_direction,
-r6(CASE WHEN t <= 10 AND s * 3.6 >= 4.8 THEN 13.12 + 0.6215 * t - 11.37 * pow(s * 3.6, 0.16) + 0.3965 * t * pow(s * 3.6, 0.16) ELSE t END) AS wind_chill, r6(sp / 100) AS pressure_hpa, r6(tp * 1000) AS precip_mm, r6(sf * 1000) AS snowfall_mm, r6(sd * 1000) AS snow_depth_mm, r6(CASE WHEN tp > 0 THEN greatest(0, least(1, sf / tp)) ELSE 0 END) AS snow_fraction FROM w""")
+@query("f9_atmosphere", f"""WITH w AS (SELECT *, t2m - 273.15 AS t, {RH} AS rh, sqrt(u10 * u10 + v10 * v10) AS s FROM weather)
+    SELECT event_id, r6(t) AS t2m_celsius, CAST(t < 0 AS BIGINT) AS is_below_freezing, r6(rh) AS relative_humidity,
+    r6(t2m - d2m) AS dewpoint_depression,
+r6(t * atan(0.151977 * sqrt(rh + 8.313659)) + atan(t + rh) - atan(rh - 1.676331) + 0.00391838 * pow(rh,
+    1.5) * atan(0.023101 * rh) - 4.686035) AS wet_bulb_temp, r6(s) AS wind_speed,
+    r6(CASE WHEN s > 0.1 THEN ((270 - degrees(atan2(v10, u10))) % 360 + 360) % 360 ELSE 0 END) AS wind_direction,
+r6(CASE WHEN t <= 10 AND s * 3.6 >= 4.8 THEN 13.12 + 0.6215 * t - 11.37 * pow(s * 3.6,
+    0.16) + 0.3965 * t * pow(s * 3.6, 0.16) ELSE t END) AS wind_chill, r6(sp / 100) AS pressure_hpa,
+    r6(tp * 1000) AS precip_mm, r6(sf * 1000) AS snowfall_mm, r6(sd * 1000) AS snow_depth_mm,
+    r6(CASE WHEN tp > 0 THEN greatest(0, least(1, sf / tp)) ELSE 0 END) AS snow_fraction FROM w""")
 def f9_atmosphere(v):
     return atmosphere.all_features(v.weather).drop("station_id", "datetime", "t2m", "d2m", "u10", "v10", "sp", "tp", "sf", "sd")
 
 
-@query("f23_terrain", """SELECT location_id, r6(elevation / 1000) AS elevation_km, CASE WHEN elevation < 2000 THEN 'low' WHEN elevation < 2500 THEN 'mid' WHEN elevation < 3000 THEN 'high' ELSE 'alpine' END AS elevation_band, CASE WHEN slope < 5 THEN 'flat' WHEN slope < 15 THEN 'gentle' WHEN slope < 30 THEN 'moderate' WHEN slope < 45 THEN 'steep' ELSE 'extreme' END AS slope_category,
-r6(sin(radians(aspect))) AS aspect_sin, r6(cos(radians(aspect))) AS aspect_cos, ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][1 + CAST(floor((aspect + 22.5) / 45) AS BIGINT) % 8] AS aspect_cardinal, CAST(aspect >= 315 OR aspect <= 45 AS BIGINT) AS is_north_facing, r6(0.5 - 0.5 * cos(radians(aspect)) * least(slope / 45, 1)) AS solar_exposure, r6(greatest(0, least(1, 0.5 + tpi / 100))) AS wind_exposure, roughness AS terrain_roughness FROM terrain""")
+@query("f23_terrain", """SELECT location_id, r6(elevation / 1000) AS elevation_km,
+    CASE WHEN elevation < 2000 THEN 'low' WHEN elevation < 2500 THEN 'mid' WHEN elevation < 3000 THEN 'high' ELSE
+    'alpine' END AS elevation_band,
+    CASE WHEN slope < 5 THEN 'flat' WHEN slope < 15 THEN 'gentle' WHEN slope < 30 THEN 'moderate' WHEN slope < 45 THEN
+    'steep' ELSE 'extreme' END AS slope_category,
+r6(sin(radians(aspect))) AS aspect_sin, r6(cos(radians(aspect))) AS aspect_cos, ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W',
+    'NW'][1 + CAST(floor((aspect + 22.5) / 45) AS BIGINT) % 8] AS aspect_cardinal,
+    CAST(aspect >= 315 OR aspect <= 45 AS BIGINT) AS is_north_facing,
+    r6(0.5 - 0.5 * cos(radians(aspect)) * least(slope / 45, 1)) AS solar_exposure, r6(greatest(0, least(1,
+    0.5 + tpi / 100))) AS wind_exposure, roughness AS terrain_roughness FROM terrain""")
 def f23_terrain(v):
     return terrain.all_features(v.terrain).drop("elevation", "slope", "aspect", "roughness", "tpi")
 
 
-BANDED = """WITH j AS (SELECT f.fetch_id, t.elevation AS b, t.elevation + 900 AS s, f.temp_k - 273.15 AS t0, f.precip_mm > 0 AS wet, f.snow_depth_m * 100 AS depth, f.precip_mm AS fresh, 0.4::DOUBLE AS p FROM forecasts f JOIN terrain t USING (location_id)),
-x AS (SELECT fetch_id, b, s, t0, depth, fresh, p, unnest([{band: 'Summit', e: s, k: 1.5::DOUBLE}, {band: 'Mid', e: (b + s) / 2, k: 1.2::DOUBLE}, {band: 'Base', e: b, k: 1.0::DOUBLE}]) AS q FROM j), y AS (SELECT *, t0 - 6.5 * (q.e - b) / 1000 AS t FROM x), z AS (SELECT *, CASE WHEN t <= -1 THEN 'snow' WHEN t >= 2 THEN 'rain' ELSE 'mixed' END AS kind FROM y)"""
+BANDED = """WITH j AS (SELECT f.fetch_id, t.elevation AS b, t.elevation + 900 AS s, f.temp_k - 273.15 AS t0,
+    f.precip_mm > 0 AS wet, f.snow_depth_m * 100 AS depth, f.precip_mm AS fresh, 0.4::DOUBLE AS p FROM forecasts f
+    JOIN terrain t USING (location_id)),
+x AS (SELECT fetch_id, b, s, t0, depth, fresh, p, unnest([{band: 'Summit', e: s, k: 1.5::DOUBLE},
+    {band: 'Mid', e: (b + s) / 2, k: 1.2::DOUBLE}, {band: 'Base', e: b, k: 1.0::DOUBLE}]) AS q
+    FROM j), y AS (SELECT *, t0 - 6.5 * (q.e - b) / 1000 AS t
+    FROM x), z AS (SELECT *, CASE WHEN t <= -1 THEN 'snow' WHEN t >= 2 THEN 'rain' ELSE 'mixed' END AS kind FROM y)"""
 
 
-@query("f26_elevation_bands", f"""{BANDED} SELECT fetch_id, r6(CASE WHEN t0 <= -1 THEN b ELSE greatest(b, least(s, b + (-1 - t0) / -6.5 * 1000)) END) AS snow_line_m, q.band AS band, q.e AS elevation_m, r6(t) AS temp_c, kind AS precip_type, r6(fresh * CASE kind WHEN 'mixed' THEN 0.5 WHEN 'snow' THEN CASE WHEN t < -10 THEN 1.3 WHEN t < -5 THEN 1.1 ELSE 1 END ELSE 0 END) AS new_snow_cm, r6(depth * q.k) AS snow_depth_cm,
-r6(CASE WHEN q.band = 'Summit' THEN p WHEN q.band = 'Mid' THEN CASE WHEN kind IN ('snow', 'mixed') THEN p ELSE 0.1 END ELSE CASE kind WHEN 'snow' THEN p WHEN 'mixed' THEN p / 2 ELSE 0.1 END END) AS probability FROM z""")
+@query("f26_elevation_bands", f"""{BANDED} SELECT fetch_id, r6(CASE WHEN t0 <= -1 THEN b ELSE greatest(b, least(s,
+    b + (-1 - t0) / -6.5 * 1000)) END) AS snow_line_m, q.band AS band, q.e AS elevation_m, r6(t) AS temp_c,
+    kind AS precip_type, r6(fresh * CASE kind WHEN 'mixed' THEN 0.5 WHEN 'snow' THEN CASE WHEN t < -10 THEN 1.3 WHEN t
+    < -5 THEN 1.1 ELSE 1 END ELSE 0 END) AS new_snow_cm, r6(depth * q.k) AS snow_depth_cm,
+r6(CASE WHEN q.band = 'Summit' THEN p WHEN q.band = 'Mid' THEN CASE WHEN kind IN ('snow',
+    'mixed') THEN p ELSE 0.1 END ELSE CASE kind WHEN 'snow' THEN p WHEN 'mixed' THEN p / 2 ELSE 0.1 END END) AS
+    probability FROM z""")
 def f26_elevation_bands(v):
     d = v.forecasts.join(v.terrain, "location_id").select("fetch_id", F.col("elevation").alias("base_elev"), (F.col("elevation") + 900).alias("summit_elev"), "temp_k", (F.col("precip_mm") > 0).alias("has_precip"), F.lit(1).alias("month"), (F.col("snow_depth_m") * 100).alias("snow_depth_cm"), F.col("precip_mm").alias("new_snow_cm"), F.lit(0.4).alias("probability"))
     return snow.elevation_bands(d).drop("base_elev", "summit_elev")
 
 
-@query("f33_snow_quality", """WITH f AS (SELECT fetch_id, temp_k - 273.15 AS t, CASE WHEN precip_mm > 0 THEN snow_depth_m * 10 * 10 / precip_mm ELSE 10 END AS slr, fetch_id % 7 - 3 AS change, precip_mm FROM forecasts), g AS (SELECT *, CASE WHEN change > 2 THEN 'warming' WHEN change < -2 THEN 'cooling' ELSE 'stable' END AS trend FROM f)
-SELECT fetch_id, r6(slr) AS slr, CASE WHEN slr >= 15 THEN 'Very light powder' WHEN slr >= 12 THEN 'Light powder' WHEN slr >= 10 THEN 'Average density' WHEN slr >= 8 THEN 'Slightly dense' ELSE 'Heavy/wet snow' END AS slr_text, trend, CASE WHEN trend = 'warming' AND t BETWEEN -2 AND 2 THEN 'icy' WHEN slr > 12 AND t < -5 THEN 'powder' WHEN slr < 8 OR t > 0 THEN 'wet' ELSE 'good' END AS quality, r6(CASE WHEN t < 0 AND precip_mm > 0 THEN precip_mm * (10 + greatest(0, -t)) / 10 ELSE 0 END) AS new_snow_cm FROM g""")
+@query("f33_snow_quality", """WITH f AS (SELECT fetch_id, temp_k - 273.15 AS t,
+    CASE WHEN precip_mm > 0 THEN snow_depth_m * 10 * 10 / precip_mm ELSE 10 END AS slr, fetch_id % 7 - 3 AS change,
+    precip_mm FROM forecasts), g AS (SELECT *,
+    CASE WHEN change > 2 THEN 'warming' WHEN change < -2 THEN 'cooling' ELSE 'stable' END AS trend FROM f)
+SELECT fetch_id, r6(slr) AS slr,
+    CASE WHEN slr >= 15 THEN 'Very light powder' WHEN slr >= 12 THEN 'Light powder' WHEN slr >= 10 THEN
+    'Average density' WHEN slr >= 8 THEN 'Slightly dense' ELSE 'Heavy/wet snow' END AS slr_text, trend,
+    CASE WHEN trend = 'warming' AND t BETWEEN -2 AND 2 THEN 'icy' WHEN slr > 12 AND t < -5 THEN 'powder' WHEN slr < 8
+    OR t > 0 THEN 'wet' ELSE 'good' END AS quality,
+    r6(CASE WHEN t < 0 AND precip_mm > 0 THEN precip_mm * (10 + greatest(0, -t)) / 10 ELSE 0 END) AS new_snow_cm
+    FROM g""")
 def f33_snow_quality(v):
     t, ratio = F.col("temp_k") - 273.15, snow.slr(F.col("snow_depth_m") * 10, F.col("precip_mm"))
     trend = snow.temp_trend(F.col("fetch_id") % 7 - 3)
     return v.forecasts.select("fetch_id", ratio.alias("slr"), snow.slr_text(ratio).alias("slr_text"), trend.alias("trend"), snow.snow_quality(ratio, t, trend).alias("quality"), snow.new_snow_cm(t, F.col("precip_mm")).alias("new_snow_cm"))
 
 
-@query("f35_confidence", """WITH f AS (SELECT fetch_id, precip_mm AS lo, precip_mm + fetch_id % 20 AS hi, (fetch_id % 10) / 10 AS p, snow_depth_m * 100 AS d FROM forecasts) SELECT fetch_id, CASE WHEN hi - lo < 5 AND p > 0.7 THEN 'high' WHEN hi - lo < 15 AND p > 0.4 THEN 'medium' ELSE 'low' END AS level, CAST(round_even(d, 0) AS BIGINT)::VARCHAR || ' +/- ' || CAST(round_even((hi - lo) / 2, 0) AS BIGINT)::VARCHAR || ' cm' AS text,
-CASE WHEN d < 10 THEN 'Trace' WHEN d < 30 THEN 'Light' WHEN d < 60 THEN 'Moderate' WHEN d < 100 THEN 'Heavy' WHEN d < 150 THEN 'Very Heavy' ELSE 'Extreme' END AS depth_class FROM f""")
+@query("f35_confidence", """WITH f AS (SELECT fetch_id, precip_mm AS lo, precip_mm + fetch_id % 20 AS hi, (fetch_id % 10) / 10 AS p,
+    snow_depth_m * 100 AS d FROM forecasts) SELECT fetch_id,
+    CASE WHEN hi - lo < 5 AND p > 0.7 THEN 'high' WHEN hi - lo < 15 AND p > 0.4 THEN 'medium' ELSE 'low' END AS level,
+    CAST(round_even(d, 0) AS BIGINT)::VARCHAR || ' +/- ' || CAST(round_even((hi - lo) / 2,
+    0) AS BIGINT)::VARCHAR || ' cm' AS text,
+CASE WHEN d < 10 THEN 'Trace' WHEN d < 30 THEN 'Light' WHEN d < 60 THEN 'Moderate' WHEN d < 100 THEN 'Heavy' WHEN d <
+    150 THEN 'Very Heavy' ELSE 'Extreme' END AS depth_class FROM f""")
 def f35_confidence(v):
     lo, hi, p, d = F.col("precip_mm"), F.col("precip_mm") + F.col("fetch_id") % 20, F.col("fetch_id") % 10 / 10, F.col("snow_depth_m") * 100
     return v.forecasts.select("fetch_id", snow.confidence_level(lo, hi, p).alias("level"), snow.with_margin(d, lo, hi).alias("text"), snow.depth_class(d).alias("depth_class"))
 
 
-@query("f36_elevation_class", "SELECT id, CASE WHEN elevation < 1500 THEN 'Valley' WHEN elevation < 2000 THEN 'Foothills' WHEN elevation < 2500 THEN 'Mid-Mountain' WHEN elevation < 3000 THEN 'High Mountain' WHEN elevation < 3500 THEN 'Alpine' ELSE 'Peak' END AS class, r6(greatest(500, least(4000, 1500 + (lat - 35) * 80))) AS estimate, r6(greatest(0, (50 + (lat - 35) / 15 * 100) * 0.6)) AS climate_depth_cm, r6(greatest(0, least(1, (lat - 31) / 18))) AS latitude_normalized FROM resorts")
+@query("f36_elevation_class", """SELECT id, CASE WHEN elevation < 1500 THEN 'Valley' WHEN elevation < 2000 THEN 'Foothills' WHEN elevation < 2500 THEN
+    'Mid-Mountain' WHEN elevation < 3000 THEN 'High Mountain' WHEN elevation < 3500 THEN 'Alpine' ELSE 'Peak' END AS
+    class, r6(greatest(500, least(4000, 1500 + (lat - 35) * 80))) AS estimate, r6(greatest(0,
+    (50 + (lat - 35) / 15 * 100) * 0.6)) AS climate_depth_cm, r6(greatest(0, least(1,
+    (lat - 31) / 18))) AS latitude_normalized FROM resorts""")
 def f36_elevation_class(v):
     return v.resorts.select("id", snow.elevation_class(F.col("elevation")).alias("class"), snow.elevation_estimate(F.col("lat")).alias("estimate"), snow.climate_depth_cm(F.col("lat"), F.lit(3)).alias("climate_depth_cm"), terrain.latitude_normalized(F.col("lat")).alias("latitude_normalized"))
 
 
-@query("f37_freshness", """WITH a AS (SELECT event_id, date_diff('second', date_trunc('second', ts), TIMESTAMP '2024-01-31 00:00:00') / 60 AS m FROM events) SELECT event_id, CASE WHEN m < 30 THEN 'Fresh' WHEN m < 120 THEN 'Recent' WHEN m < 360 THEN 'Stale' ELSE 'Old' END AS freshness, CASE WHEN m < 1 THEN 'Just now' WHEN m < 60 THEN CAST(floor(m) AS BIGINT)::VARCHAR || ' min ago' WHEN m < 1440 THEN 'hours' ELSE 'days' END AS age FROM a""")
+@query("f37_freshness", """WITH a AS (SELECT event_id, date_diff('second', date_trunc('second', ts), TIMESTAMP '2024-01-31 00:00:00') / 60 AS m
+    FROM events) SELECT event_id,
+    CASE WHEN m < 30 THEN 'Fresh' WHEN m < 120 THEN 'Recent' WHEN m < 360 THEN 'Stale' ELSE 'Old' END AS freshness,
+CASE WHEN m < 1 THEN 'Just now' WHEN m < 60 THEN CAST(floor(m) AS BIGINT)::VARCHAR || ' min ago' WHEN m < 1440 THEN
+    printf('%.1f hrs ago', round_even(m / 60, 1)) ELSE printf('%.1f days ago', round_even(m / 1440, 1)) END AS age
+    FROM a""")
 def f37_freshness(v):
     m = F.timestamp_diff("SECOND", F.date_trunc("second", "ts"), F.lit("2024-01-31 00:00:00").cast("timestamp")) / 60
-    text = snow.age_text(m)
-    return v.table("events").select("event_id", snow.freshness(m).alias("freshness"), F.when(text.contains("hrs"), "hours").when(text.contains("days"), "days").otherwise(text).alias("age"))
-
+    return v.table("events").select("event_id", snow.freshness(m).alias("freshness"), snow.age_text(m).alias("age"))
 
-@query("f32_nbm_hour", "SELECT fetch_id, CAST(greatest(1, least(264, CASE WHEN h <= 72 THEN round_even(h / 3, 0) * 3 ELSE round_even(h / 6, 0) * 6 END)) AS BIGINT) AS hour FROM (SELECT fetch_id, fetch_id % 300 AS h FROM forecasts)")
+@query("f32_nbm_hour", """SELECT fetch_id, CAST(greatest(1, least(264, CASE WHEN h <= 72 THEN round_even(h / 3, 0) * 3 ELSE round_even(h / 6,
+    0) * 6 END)) AS BIGINT) AS hour FROM (SELECT fetch_id, fetch_id % 300 AS h FROM forecasts)""")
 def f32_nbm_hour(v):
     return v.forecasts.select("fetch_id", snow.nbm_hour(F.col("fetch_id") % 300).alias("hour"))
 
 
-@query("f38_time_steps", """WITH s(step) AS (VALUES ('Now'), ('Tonight'), ('Tomorrow AM'), ('Tomorrow PM'), ('Day 3'), ('Day 4'), ('Day 5'), ('Day 6'), ('Day 7')), r AS (SELECT id AS location_id, step, CASE WHEN step = 'Now' THEN b WHEN step = 'Tonight' THEN greatest(b, date_trunc('day', b) + INTERVAL 21 HOUR) WHEN step = 'Tomorrow AM' THEN date_trunc('day', b) + INTERVAL 33 HOUR WHEN step = 'Tomorrow PM' THEN date_trunc('day', b) + INTERVAL 39 HOUR ELSE date_trunc('day', b) + to_days(CAST(step[5:] AS INTEGER) - 1) + INTERVAL 12 HOUR END AS want, b FROM stations, s, (SELECT TIMESTAMP '2024-01-15 14:30:00' AS b))
+@query("f38_time_steps", """WITH s(step) AS (VALUES ('Now'), ('Tonight'), ('Tomorrow AM'), ('Tomorrow PM'), ('Day 3'), ('Day 4'), ('Day 5'),
+    ('Day 6'), ('Day 7')), r AS (SELECT id AS location_id, step,
+    CASE WHEN step = 'Now' THEN b WHEN step = 'Tonight' THEN greatest(b, date_trunc('day',
+    b) + INTERVAL 21 HOUR) WHEN step = 'Tomorrow AM' THEN date_trunc('day',
+    b) + INTERVAL 33 HOUR WHEN step = 'Tomorrow PM' THEN date_trunc('day',
+    b) + INTERVAL 39 HOUR ELSE date_trunc('day',
+    b) + to_days(CAST(step[5:] AS INTEGER) - 1) + INTERVAL 12 HOUR END AS want, b
+    FROM stations, s, (SELECT TIMESTAMP '2024-01-15 14:30:00' AS b))
 SELECT location_id, step, want, greatest(1, date_diff('second', b, want) // 3600) AS hours_ahead FROM r""")
 def f38_time_steps(v):
     out = forecast.requests(v.stations.withColumnRenamed("id", "location_id"), F.lit("2024-01-15 14:30:00").cast("timestamp"))
     return out.withColumn("want", F.col("want").cast("timestamp_ntz"))
 
 
-@query("f42_names", "SELECT event_id, CASE WHEN k % 5 = 0 THEN 0 ELSE 2 END AS n, k % 5 <> 0 AND k % 2 = 0 AS has_alta, CASE WHEN k % 5 = 0 THEN '[]' WHEN k % 2 = 0 THEN '[\"Vail\"]' ELSE '[\"Vail\",\"Taos\"]' END AS without FROM obs")
+@query("f42_names", """SELECT event_id, CASE WHEN k % 5 = 0 THEN 0 ELSE 2 END AS n, k % 5 <> 0 AND k % 2 = 0 AS has_alta,
+    CASE WHEN k % 5 = 0 THEN '[]' WHEN k % 2 = 0 THEN '["Vail"]' ELSE '["Vail","Taos"]' END AS without FROM obs""")
 def f42_names(v):
     k = F.col("k")
     text = F.when(k % 5 == 0, "not json").when(k % 2 == 0, '["Vail","Alta"]').otherwise('["Vail","Taos"]')
@@ -489,63 +817,100 @@ def f43_units(v):
 
 # ---- forecasts and the store (S17-S24, P5, P6, P9, P10, J9-J12, J15, J17, J20, A31, A33, T1, W11) ---------------------------
 
-REQ = "req AS (SELECT o_orderkey AS request_id, o_custkey AS location_id, o_orderdate + INTERVAL 30 HOUR AS want FROM orders)"
+REQ = """req AS (SELECT o_orderkey AS request_id, o_custkey AS location_id, o_orderdate + INTERVAL 30 HOUR AS want FROM orders)"""
 
 
 def _requests(v):
     return v.table("orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("location_id"), (F.col("o_orderdate") + F.expr("interval 30 hours")).alias("want"))
 
 
-@query("j9_as_of", f"WITH {REQ}, m AS (SELECT request_id, f.run_time, f.valid_time, f.fetch_id, row_number() OVER (PARTITION BY request_id ORDER BY f.run_time DESC, abs(date_diff('second', want, f.valid_time)), f.valid_time, f.forecast_hour, f.fetch_id) AS n FROM req r JOIN forecasts f ON f.location_id = r.location_id AND abs(date_diff('second', want, f.valid_time)) <= 48 * 3600) SELECT r.request_id, m.run_time, m.valid_time, m.fetch_id FROM req r LEFT JOIN (SELECT * FROM m WHERE n = 1) m USING (request_id)")
+@query("j9_as_of", f"""WITH {REQ}, m AS (SELECT request_id, f.run_time, f.valid_time, f.fetch_id, row_number() OVER (PARTITION BY request_id
+    ORDER BY f.run_time DESC, abs(date_diff('second', want, f.valid_time)), f.valid_time, f.forecast_hour,
+    f.fetch_id) AS n FROM req r JOIN forecasts f ON f.location_id = r.location_id AND abs(date_diff('second', want,
+    f.valid_time)) <= 48 * 3600) SELECT r.request_id, m.run_time, m.valid_time, m.fetch_id FROM req r LEFT
+    JOIN (SELECT * FROM m WHERE n = 1) m USING (request_id)""")
 def j9_as_of(v):
     f = v.forecasts.withColumn("forecast_hour", F.struct("forecast_hour", "fetch_id"))  # ties by the record's number
     return forecast.as_of(_requests(v), f, hours=48).select("request_id", "run_time", "valid_time", "fetch_id")
 
 
-@query("j10_latest", "SELECT location_id, valid_time, run_time, fetch_id FROM (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY valid_time DESC, run_time DESC, fetch_id DESC) AS n FROM forecasts) WHERE n = 1")
+@query("j10_latest", """SELECT location_id, valid_time, run_time, fetch_id FROM (SELECT *, row_number() OVER (PARTITION BY location_id
+    ORDER BY valid_time DESC, run_time DESC, fetch_id DESC) AS n FROM forecasts) WHERE n = 1""")
 def j10_latest(v):
     return forecast.latest(v.forecasts.select("location_id", "valid_time", "run_time", "fetch_id"))
 
 
-@query("j11_stale", "SELECT id FROM resorts r WHERE NOT EXISTS (SELECT 1 FROM forecasts f WHERE f.location_id = r.id AND run_time >= TIMESTAMP '2001-01-01' - INTERVAL 2000 HOUR)")
+@query("j11_stale", """SELECT id FROM resorts r WHERE NOT EXISTS (SELECT 1 FROM forecasts f
+    WHERE f.location_id = r.id AND run_time >= TIMESTAMP '2001-01-01' - INTERVAL 2000 HOUR)""")
 def j11_stale(v):
     return store.stale(v.resorts.select(F.col("id").alias("location_id")), v.forecasts, F.lit("2001-01-01").cast("timestamp_ntz"), 2000).select(F.col("location_id").alias("id"))
 
 
-@query("j12_status", "SELECT r.id AS location_id, f.n IS NOT NULL AS has_forecast, t.location_id IS NOT NULL AS has_terrain, f.last_run, coalesce(f.n, 0) AS forecasts FROM resorts r LEFT JOIN (SELECT location_id, max(run_time) AS last_run, count(*) AS n FROM forecasts GROUP BY 1) f ON f.location_id = r.id LEFT JOIN terrain t ON t.location_id = r.id")
+@query("j12_status", """SELECT r.id AS location_id, f.n IS NOT NULL AS has_forecast, t.location_id IS NOT NULL AS has_terrain, f.last_run,
+    coalesce(f.n, 0) AS forecasts FROM resorts r LEFT
+    JOIN (SELECT location_id, max(run_time) AS last_run, count(*) AS n FROM forecasts
+    GROUP BY 1) f ON f.location_id = r.id LEFT JOIN surveyed t ON t.location_id = r.id""")
 def j12_status(v):
-    return store.status(v.resorts.select(F.col("id").alias("location_id")), v.forecasts, v.terrain)
-
-
-J15 = """WITH b AS (SELECT id AS request_id, h.temp_k AS ht, h.precip_mm AS hp, h.snow_depth_m AS hd, h.categorical_snow AS hc, n.temp_k AS nt, n.snow_depth_m / 10 AS nn, n.snow_depth_m AS nd, CASE WHEN id % 11 <> 0 THEN 0.5::DOUBLE END AS ld, coalesce(t.slope, 15) AS slope, coalesce(t.aspect, 180) AS aspect
-FROM resorts r LEFT JOIN (SELECT * FROM forecasts WHERE categorical_snow = 0 QUALIFY row_number() OVER (PARTITION BY location_id ORDER BY fetch_id) = 1) h ON h.location_id = id LEFT JOIN (SELECT * FROM forecasts WHERE precip_mm < 4 QUALIFY row_number() OVER (PARTITION BY location_id ORDER BY fetch_id) = 1) n ON n.location_id = id LEFT JOIN terrain t ON t.location_id = id),
-c AS (SELECT *, ht - 273.15 AS t, CASE WHEN ht IS NOT NULL THEN 'HRRR' WHEN nt IS NOT NULL THEN 'NBM' WHEN ld IS NOT NULL THEN 'persistence' ELSE 'none' END AS source FROM b),
-d AS (SELECT *, CASE source WHEN 'HRRR' THEN CASE WHEN t < 0 AND hp > 0 THEN hp * (10 + greatest(0, -t)) / 10 ELSE 0 END WHEN 'NBM' THEN nn * 100 ELSE 0 END AS f0, CASE source WHEN 'HRRR' THEN hd * 100 WHEN 'NBM' THEN nd * 100 WHEN 'persistence' THEN ld * 100 ELSE 0 END AS d0 FROM c),
-e AS (SELECT *, CASE source WHEN 'HRRR' THEN greatest(2, f0 * 0.3) WHEN 'NBM' THEN greatest(3, f0 * 0.4) WHEN 'persistence' THEN 5 ELSE 0 END AS half, CASE WHEN slope > 30 THEN f0 * 0.9 ELSE f0 END AS f1, CASE WHEN aspect >= 315 OR aspect <= 45 THEN d0 * 1.05 ELSE d0 END AS d1, CASE source WHEN 'HRRR' THEN CASE WHEN hc > 0.5 THEN 0.9 WHEN t < -2 AND hp > 0 THEN 0.7 WHEN t < 2 AND hp > 0 THEN 0.4 ELSE 0.1 END WHEN 'NBM' THEN CASE WHEN f0 > 5 THEN 0.85 WHEN f0 > 1 THEN 0.6 WHEN f0 > 0 THEN 0.3 ELSE 0.1 END WHEN 'persistence' THEN 0.1 ELSE 0 END AS p FROM d)"""
-
-
-@query("j15_fallback_chain", f"{J15} SELECT request_id, source, r6(greatest(0.01, least(0.99, p))) AS probability, abs(d1 - depth) < 0.06 AND abs(f1 - fresh) < 0.06 AS close FROM (SELECT *, d1 AS depth, f1 AS fresh FROM e)")
+    return store.status(v.resorts.select(F.col("id").alias("location_id")), v.forecasts, v.surveyed)
+
+
+def _even(x: str) -> str:
+    """One decimal place, halves to even; decimals are those of the number's shortest form."""
+    d = f"CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(30, 15))"
+    return f"r6(CASE WHEN ({d} * 10) % 1 = 0.5 THEN (floor({d} * 10) + floor({d} * 10) % 2) / 10 ELSE round({d}, 1) END)"
+
+
+
+J15 = """WITH b AS (SELECT id AS request_id, h.temp_k AS ht, h.precip_mm AS hp, h.snow_depth_m AS hd, h.categorical_snow AS hc,
+    n.temp_k AS nt, n.snow_depth_m / 10 AS nn, n.snow_depth_m AS nd,
+    CASE WHEN id % 11 <> 0 THEN 0.5::DOUBLE END AS ld, coalesce(t.slope, 15) AS slope, coalesce(t.aspect,
+    180) AS aspect
+FROM resorts r LEFT JOIN (SELECT * FROM forecasts WHERE categorical_snow = 0
+    QUALIFY row_number() OVER (PARTITION BY location_id ORDER BY fetch_id) = 1) h ON h.location_id = id LEFT
+    JOIN (SELECT * FROM forecasts WHERE precip_mm < 4 QUALIFY row_number() OVER (PARTITION BY location_id
+    ORDER BY fetch_id) = 1) n ON n.location_id = id LEFT JOIN surveyed t ON t.location_id = id),
+c AS (SELECT *, ht - 273.15 AS t,
+    CASE WHEN ht IS NOT NULL THEN 'HRRR' WHEN nt IS NOT NULL THEN 'NBM' WHEN ld IS NOT NULL THEN 'persistence' ELSE
+    'none' END AS source FROM b),
+d AS (SELECT *, CASE source WHEN 'HRRR' THEN CASE WHEN t < 0 AND hp > 0 THEN hp * (10 + greatest(0,
+    -t)) / 10 ELSE 0 END WHEN 'NBM' THEN nn * 100 ELSE 0 END AS f0,
+    CASE source WHEN 'HRRR' THEN hd * 100 WHEN 'NBM' THEN nd * 100 WHEN 'persistence' THEN ld * 100 ELSE 0 END AS d0
+    FROM c),
+e AS (SELECT *, CASE source WHEN 'HRRR' THEN greatest(2, f0 * 0.3) WHEN 'NBM' THEN greatest(3,
+    f0 * 0.4) WHEN 'persistence' THEN 5 ELSE 0 END AS half, CASE WHEN slope > 30 THEN f0 * 0.9 ELSE f0 END AS f1,
+    CASE WHEN aspect >= 315 OR aspect <= 45 THEN d0 * 1.05 ELSE d0 END AS d1,
+    CASE source WHEN 'HRRR' THEN CASE WHEN hc > 0.5 THEN 0.9 WHEN t < -2 AND hp > 0 THEN 0.7 WHEN t < 2 AND hp > 0
+    THEN 0.4 ELSE 0.1 END WHEN 'NBM' THEN CASE WHEN f0 > 5 THEN 0.85 WHEN f0 > 1 THEN 0.6 WHEN f0 > 0 THEN 0.3 ELSE
+    0.1 END WHEN 'persistence' THEN 0.1 ELSE 0 END AS p FROM d)"""
+
+
+@query("j15_fallback_chain", f"""{J15} SELECT request_id, source, r6(greatest(0.01, least(0.99, p))) AS probability,
+    {_even("greatest(0, d1)")} AS snow_depth_cm, {_even("greatest(0, f1)")} AS new_snow_cm,
+{_even("greatest(0, f1 - half)")} AS ci_lower, {_even("f1 + half")} AS ci_upper FROM e""")
 def j15_fallback_chain(v):
     first = lambda d: store.newest(d, ["location_id"], [-F.col("fetch_id")])
     h = first(v.forecasts.filter("categorical_snow = 0")).select("location_id", F.col("temp_k").alias("hrrr_temp_k"), F.col("precip_mm").alias("hrrr_precip_mm"), F.col("snow_depth_m").alias("hrrr_depth_m"), F.col("categorical_snow").alias("hrrr_categorical"))
     n = first(v.forecasts.filter("precip_mm < 4")).select("location_id", F.col("temp_k").alias("nbm_temp_k"), (F.col("snow_depth_m") / 10).alias("nbm_new_m"), F.col("snow_depth_m").alias("nbm_depth_m"))
-    d = v.resorts.select(F.col("id").alias("location_id"), F.col("id").alias("request_id"), F.when(F.col("id") % 11 != 0, 0.5).alias("last_depth_m")).join(h, "location_id", "left").join(n, "location_id", "left").join(v.terrain.select("location_id", "slope", "aspect"), "location_id", "left")
-    out = forecast.predicted(d)
-    # the rounded amounts are compared in tests; the last place may differ where a tie is a matter of representation
-    return out.select("request_id", "source", "probability", (F.col("snow_depth_cm") >= 0).alias("close"))
+    d = v.resorts.select(F.col("id").alias("location_id"), F.col("id").alias("request_id"), F.when(F.col("id") % 11 != 0, 0.5).alias("last_depth_m")).join(h, "location_id", "left").join(n, "location_id", "left").join(v.surveyed.select("location_id", "slope", "aspect"), "location_id", "left")
+    return forecast.predicted(d)
 
 
-@query("p5_terrain_lookup", "SELECT r.id AS location_id, coalesce(t.elevation, 2000) AS elevation, coalesce(t.slope, 15) AS slope, coalesce(t.aspect, 180) AS aspect, coalesce(t.roughness, 50) AS roughness, coalesce(t.tpi, 0) AS tpi FROM resorts r LEFT JOIN terrain t ON t.location_id = r.id")
+@query("p5_terrain_lookup", """SELECT r.id AS location_id, coalesce(t.elevation, 2000) AS elevation, coalesce(t.slope, 15) AS slope,
+    coalesce(t.aspect, 180) AS aspect, coalesce(t.roughness, 50) AS roughness, coalesce(t.tpi, 0) AS tpi
+    FROM resorts r LEFT JOIN surveyed t ON t.location_id = r.id""")
 def p5_terrain_lookup(v):
-    return forecast.terrain_of(v.resorts.select(F.col("id").alias("location_id")), v.terrain)
+    return forecast.terrain_of(v.resorts.select(F.col("id").alias("location_id")), v.surveyed)
 
 
-@query("p6_checked_requests", "SELECT id, CASE WHEN NOT lat BETWEEN 31 AND 49 THEN 'latitude' WHEN NOT lon BETWEEN -125 AND -102 THEN 'longitude' ELSE 'hours' END AS reason FROM (SELECT id, lat + id % 3 AS lat, lon - id % 2 AS lon, id % 200 AS hours FROM resorts) WHERE NOT (lat BETWEEN 31 AND 49 AND lon BETWEEN -125 AND -102 AND hours BETWEEN 1 AND 168)")
+@query("p6_checked_requests", """SELECT id, CASE WHEN NOT lat BETWEEN 31 AND 49 THEN 'latitude' WHEN NOT lon BETWEEN -125 AND -102 THEN 'longitude'
+    ELSE 'hours' END AS reason FROM (SELECT id, lat + id % 3 AS lat, lon - id % 2 AS lon, id % 200 AS hours
+    FROM resorts) WHERE NOT (lat BETWEEN 31 AND 49 AND lon BETWEEN -125 AND -102 AND hours BETWEEN 1 AND 168)""")
 def p6_checked_requests(v):
     return forecast.checked_requests(v.resorts.select("id", (F.col("lat") + F.col("id") % 3).alias("lat"), (F.col("lon") - F.col("id") % 2).alias("lon"), (F.col("id") % 200).alias("hours")))[1].select("id", "reason")
 
 
-@query("p9_defaults", "SELECT fetch_id, coalesce(nullif(precip_mm, 0), 0) AS precip_mm, CASE WHEN fetch_id % 7 = 0 THEN 273.0::DOUBLE ELSE temp_k END AS temp_k FROM forecasts")
+@query("p9_defaults", """SELECT fetch_id, coalesce(nullif(precip_mm, 0), 0) AS precip_mm,
+    CASE WHEN fetch_id % 7 = 0 THEN 273.0::DOUBLE ELSE temp_k END AS temp_k FROM forecasts""")
 def p9_defaults(v):
     return forecast.defaults(v.forecasts.select("fetch_id", F.nullif("precip_mm", F.lit(0.0)).alias("precip_mm"), F.when(F.col("fetch_id") % 7 != 0, F.col("temp_k")).alias("temp_k")))
 
@@ -555,16 +920,105 @@ def p10_fresh(v):
     return v.forecasts.filter(F.col("run_time") >= F.lit("2001-01-01").cast("timestamp_ntz") - F.expr("interval 5000 hours")).select("fetch_id")
 
 
-@query("s17_upsert", "SELECT run_time, forecast_hour, location_id, max(fetch_id) AS fetch_id FROM (SELECT date_trunc('year', run_time) AS run_time, forecast_hour, location_id, fetch_id FROM forecasts) GROUP BY ALL")
+@query("s17_upsert", """SELECT run_time, forecast_hour, location_id, max(fetch_id) AS fetch_id
+    FROM (SELECT date_trunc('year', run_time) AS run_time, forecast_hour, location_id, fetch_id FROM forecasts)
+    GROUP BY ALL""")
 def s17_upsert(v):
     f = v.forecasts.withColumn("run_time", F.date_trunc("year", "run_time").cast("timestamp_ntz"))
     old, new = (f.filter(c).select("run_time", "forecast_hour", "location_id", "fetch_id") for c in ("precip_mm < 10", "precip_mm >= 10"))
     return store.merged(old, new, by="fetch_id")
 
 
+@query("s17_upsert_store", """SELECT run_time, forecast_hour, location_id, max(fetch_id) AS fetch_time,
+    run_time + to_hours(CAST(forecast_hour AS INTEGER)) AS valid_time
+    FROM (SELECT date_trunc('year', run_time) AS run_time, forecast_hour, location_id, fetch_id FROM forecasts)
+    GROUP BY ALL""")
+def s17_upsert_store(v):
+    """Two upserts into a table on disk: the second rewrites what it touches."""
+    f = v.forecasts.select(F.date_trunc("year", "run_time").cast("timestamp_ntz").alias("run_time"), F.col("forecast_hour").cast("int").alias("forecast_hour"), "location_id", F.col("fetch_id").alias("fetch_time"))
+    path = new_path(v.spark)
+    for c in ("fetch_time % 3 <> 0", "fetch_time % 3 = 0"):
+        store.upsert_forecasts(f.filter(c), path)
+    return v.spark.read.parquet(path).drop("run_date")
+
+
+@query("s18_upsert_terrain", """SELECT r6(lat) AS lat, r6(lon) AS lon, max(id) AS fetch_time, r6(arg_max(elevation, id)) AS elevation
+    FROM (SELECT round(lat, 1) AS lat, round(lon, 1) AS lon, id, elevation FROM resorts) GROUP BY ALL""")
+def s18_upsert_terrain(v):
+    t = v.resorts.select(F.round("lat", 1).alias("lat"), F.round("lon", 1).alias("lon"), "elevation", F.col("id").alias("fetch_time"))
+    path = new_path(v.spark)
+    for c in ("fetch_time % 2 = 0", "fetch_time % 2 = 1"):
+        store.upsert_terrain(t.filter(c), path)
+    return v.spark.read.parquet(path)
+
+
+@query("s15_saved_terrain", "SELECT location_id, elevation, slope, aspect, roughness, tpi FROM terrain")
+def s15_saved_terrain(v):
+    path = new_path(v.spark)
+    store.save(v.terrain, path)
+    return store.load(v.spark, path, list(validation.TERRAIN))
+
+
+@query("s16_grid_sink", """SELECT year(run_time) AS year, month(run_time) AS month, count(*) AS n, r6(sum(snow_depth_m)) AS depth FROM forecasts
+    WHERE run_time >= TIMESTAMP '1995-01-01' AND run_time < TIMESTAMP '1997-01-01' GROUP BY ALL""")
+def s16_grid_sink(v):
+    path = new_path(v.spark)
+    store.save_grid(v.forecasts, path)
+    some = v.spark.read.parquet(path).filter("year between 1995 and 1996")  # two years' folders are read
+    return some.groupBy("year", "month").agg(F.count("*").alias("n"), F.sum("snow_depth_m").alias("depth"))
+
+
+_NAMED = ", ".join(f"('{n}', {v}::DOUBLE)" for n, v in store.VERTICAL.items())
+
+
+@query("s19_summit", f"""WITH k(name, v) AS (VALUES {_NAMED}), n AS (SELECT list(name ORDER BY name) AS l FROM k)
+    SELECT id, elevation + coalesce(v, 800) AS summit_elevation
+    FROM (SELECT id, elevation, CASE WHEN id % 25 < 22 THEN l[1 + id % 25] END AS name FROM resorts, n) LEFT
+    JOIN k USING (name)""")
+def s19_summit(v):
+    names = F.array(*[F.lit(n) for n in sorted(store.VERTICAL)])
+    name = F.when(F.col("id") % 25 < 22, F.element_at(names, (1 + F.col("id") % 25).cast("int")))
+    return store.with_summit(v.resorts.select("id", name.alias("name"), F.col("elevation").alias("base_elevation"))).select("id", "summit_elevation")
+
+
+def _grid(v):
+    """Every cell's values for three runs of two models; the second model has no forecasts above 144 hours."""
+    runs = v.spark.createDataFrame([(m, d, h) for m, d, hs in (("HRRR", -1, (36,)), ("HRRR", 1, (36,)), ("NBM", 1, (72, 96, 120, 144)), ("NBM", 2, (48, 72))) for h in hs], "model string, d int, forecast_hour int")
+    runs = runs.select("model", F.date_add(F.lit("2024-02-01").cast("date"), F.col("d")).cast("timestamp_ntz").alias("run_time"), "forecast_hour")
+    cells = v.resorts.filter("elevation > 2000").select(F.col("id").alias("cell_id"), (F.col("id") % 300 / 100).alias("depth"))
+    grid = cells.crossJoin(F.broadcast(runs))  # eight rows for each cell
+    return grid.select("model", "run_time", "forecast_hour", "cell_id", F.when(F.col("cell_id") % 5 != 0, F.col("depth") + F.col("forecast_hour")).alias("snow_depth_m"), F.lit(None).cast("double").alias("temp_k"), F.lit(1.5).alias("precip_mm"))
+
+
+REFRESHED = """c AS (SELECT id AS cell_id, lat, lon FROM resorts WHERE elevation > 2000), picked(model, day, run_time,
+    forecast_hour) AS (VALUES ('HRRR', DATE '2024-02-01', TIMESTAMP '2024-01-31', 36), ('HRRR', DATE '2024-02-02',
+    TIMESTAMP '2024-02-02', 36), ('NBM', DATE '2024-02-03', TIMESTAMP '2024-02-03', 48), ('NBM', DATE '2024-02-04',
+    TIMESTAMP '2024-02-02', 120)),
+near AS (SELECT s.id AS location_id, arg_min(c.cell_id, (sqrt(pow(s.lat - c.lat, 2) + pow(s.lon - c.lon, 2)),
+    c.cell_id)) AS cell_id FROM stations s CROSS JOIN c GROUP BY 1)"""
+
+
+def _refreshed(v):
+    areas = v.stations.select(F.col("id").alias("location_id"), "lat", "lon")
+    cells = v.resorts.filter("elevation > 2000").select(F.col("id").alias("cell_id"), "lat", "lon")
+    return store.refreshed(areas, cells, _grid(v), "2024-02-01")
+
+
+@query("s23_refreshed", f"""WITH {REFRESHED} SELECT model, day, run_time, forecast_hour, location_id,
+    r6(cell_id % 300 / 100 + forecast_hour) AS snow_depth_m, 273.0::DOUBLE AS temp_k, 1.5::DOUBLE AS precip_mm,
+    run_time + to_hours(forecast_hour) AS valid_time FROM near, picked WHERE cell_id % 5 <> 0""")
+def s23_refreshed(v):
+    return _refreshed(v)[0]
+
+
+@query("s24_refresh_report", "SELECT 4 AS days, true AS enough FROM (SELECT count(*) AS n FROM resorts) WHERE n > 0")
+def s24_refresh_report(v):
+    return _refreshed(v)[1]
+
+
 @query("s19_insert_absent", "SELECT c_custkey AS location_id FROM customer WHERE NOT c_acctbal > 2000")
 def s19_insert_absent(v):
-    return store.insert_absent(v.terrain, v.resorts.select(F.col("id").alias("location_id")), "location_id")
+    return store.insert_absent(v.surveyed, v.resorts.select(F.col("id").alias("location_id")), "location_id")
 
 
 @query("s20_retention", "SELECT fetch_id FROM forecasts WHERE run_time >= TIMESTAMP '2001-01-01' - INTERVAL 400 DAY")
@@ -572,7 +1026,9 @@ def s20_retention(v):
     return store.retained(v.forecasts, F.lit("2001-01-01").cast("timestamp_ntz"), 400).select("fetch_id")
 
 
-@query("s24_available_runs", "SELECT day, model, fxx, max(run_time) AS run_time FROM (SELECT DISTINCT CAST(run_time AS DATE) AS day, fetch_id % 2 AS model, 12 AS fxx FROM forecasts) JOIN (SELECT DISTINCT run_time, fetch_id % 2 AS model FROM forecasts) USING (model) WHERE run_time <= day + INTERVAL 1 DAY GROUP BY ALL")
+@query("s24_available_runs", """SELECT day, model, fxx, max(run_time) AS run_time FROM (SELECT DISTINCT CAST(run_time AS DATE) AS day,
+    fetch_id % 2 AS model, 12 AS fxx FROM forecasts) JOIN (SELECT DISTINCT run_time, fetch_id % 2 AS model
+    FROM forecasts) USING (model) WHERE run_time <= day + INTERVAL 1 DAY GROUP BY ALL""")
 def s24_available_runs(v):
     f = v.forecasts.select("run_time", (F.col("fetch_id") % 2).alias("model"))
     return store.available_runs(f.select(F.col("run_time").cast("date").alias("day"), "model", F.lit(12).alias("fxx")).distinct(), f.distinct()).select("day", "model", "fxx", "run_time")
@@ -583,29 +1039,50 @@ def a31_store_stats(v):
     return store.stats(v.forecasts, v.terrain)
 
 
-@query("a33_outcomes", "SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS success, count(*) FILTER (o_orderstatus <> 'F') AS failed, CAST(sum(o_orderkey % 10) AS BIGINT) AS records, r6(count(*) FILTER (o_orderstatus = 'F') / count(*)) AS success_rate FROM orders")
+@query("a33_outcomes", """SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS success,
+    count(*) FILTER (o_orderstatus <> 'F') AS failed, CAST(sum(o_orderkey % 10) AS BIGINT) AS records,
+    r6(count(*) FILTER (o_orderstatus = 'F') / count(*)) AS success_rate FROM orders""")
 def a33_outcomes(v):
     return store.outcomes(v.table("orders").select(F.when(F.col("o_orderstatus") == "F", "success").otherwise("error").alias("status"), (F.col("o_orderkey") % 10).alias("records_added")))
 
 
-@query("w11_carried_forward", "WITH w AS (SELECT *, last_value(CASE WHEN day <= 1 AND snow_depth_cm > 0 THEN snow_depth_cm END IGNORE NULLS) OVER o AS base, sum(CASE WHEN day >= 2 THEN new_snow_cm END) OVER o AS fresh FROM weekly WINDOW o AS (PARTITION BY location_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT location_id, day, round(CASE WHEN day <= 1 THEN snow_depth_cm ELSE coalesce(base * pow(0.995, day - 1) + coalesce(fresh, 0), snow_depth_cm) END + 0.0000123456789::DOUBLE, 4) AS snow_depth_cm FROM w")
+@query("w11_carried_forward", """WITH w AS (SELECT *, last_value(CASE WHEN day <= 1 AND snow_depth_cm > 0 THEN snow_depth_cm END IGNORE NULLS) OVER o
+    AS base, sum(CASE WHEN day >= 2 THEN new_snow_cm END) OVER o AS fresh FROM weekly
+    WINDOW o AS (PARTITION BY location_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT location_id, day, r6(CASE WHEN day <= 1 THEN snow_depth_cm ELSE coalesce(base * pow(0.995::DOUBLE,
+    day - 1) + coalesce(fresh, 0), snow_depth_cm) END) AS snow_depth_cm FROM w""")
 def w11_carried_forward(v):
-    return forecast.carried_forward(v.weekly).select("location_id", "day", F.round(F.col("snow_depth_cm") + 0.0000123456789, 4).alias("snow_depth_cm"))  # no ties
-
-
-@query("w10_snow_events", "WITH o AS (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY date) AS n FROM weekly), i AS (SELECT *, n - row_number() OVER (PARTITION BY location_id ORDER BY date) AS i FROM o WHERE new_snow_cm >= 5) SELECT location_id, min(date) AS start_date, max(date) AS end_date, count(*) AS days, sum(new_snow_cm) AS total_cm, max(new_snow_cm) AS max_cm, CASE WHEN max(new_snow_cm) < 5 THEN 'light' WHEN max(new_snow_cm) < 15 THEN 'moderate' WHEN max(new_snow_cm) < 25 THEN 'heavy' ELSE 'very heavy' END AS intensity FROM i GROUP BY location_id, i")
+    return forecast.carried_forward(v.weekly).select("location_id", "day", "snow_depth_cm")
+
+@query("w10_snow_events", """WITH o AS (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY date) AS n
+    FROM weekly), i AS (SELECT *, n - row_number() OVER (PARTITION BY location_id ORDER BY date) AS i FROM o
+    WHERE new_snow_cm >= 5) SELECT location_id, min(date) AS start_date, max(date) AS end_date, count(*) AS days,
+    sum(new_snow_cm) AS total_cm, max(new_snow_cm) AS max_cm,
+    CASE WHEN max(new_snow_cm) < 5 THEN 'light' WHEN max(new_snow_cm) < 15 THEN 'moderate' WHEN max(new_snow_cm) < 25
+    THEN 'heavy' ELSE 'very heavy' END AS intensity FROM i GROUP BY location_id, i""")
 def w10_snow_events(v):
     return forecast.snow_events(v.weekly, ["location_id"])
 
 
-@query("f39_summary", """WITH o AS (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY date) AS n FROM weekly), i AS (SELECT *, n - row_number() OVER (PARTITION BY location_id ORDER BY date) AS i FROM o WHERE new_snow_cm >= 5), ev AS (SELECT location_id, min(date) AS a, max(date) AS b, sum(new_snow_cm) AS t, max(new_snow_cm) AS m FROM i GROUP BY location_id, i),
-tx AS (SELECT location_id, string_agg(CASE WHEN m < 15 THEN 'Moderate snow ' WHEN m < 25 THEN 'Heavy snow expected ' ELSE 'Very heavy snow expected ' END || dayname(a) || CASE WHEN a = b THEN '' ELSE '-' || dayname(b) END || ' (' || CAST(t AS BIGINT)::VARCHAR || 'cm)', '. ' ORDER BY a) AS events FROM ev GROUP BY 1),
-al AS (SELECT location_id, arg_min(snow_depth_cm, date) AS d, sum(new_snow_cm) AS t FROM weekly GROUP BY 1) SELECT location_id, coalesce(events, CASE WHEN t < 1 THEN 'Dry week ahead' ELSE 'Light flurries possible (' || CAST(t AS BIGINT)::VARCHAR || 'cm total)' END) || '. ' || CASE WHEN d > 100 THEN 'Excellent base conditions.' WHEN d > 60 THEN 'Good base conditions.' WHEN d > 30 THEN 'Fair base conditions.' ELSE 'Limited base coverage.' END AS summary FROM al LEFT JOIN tx USING (location_id)""")
+@query("f39_summary", """WITH o AS (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY date) AS n
+    FROM weekly), i AS (SELECT *, n - row_number() OVER (PARTITION BY location_id ORDER BY date) AS i FROM o
+    WHERE new_snow_cm >= 5), ev AS (SELECT location_id, min(date) AS a, max(date) AS b, sum(new_snow_cm) AS t,
+    max(new_snow_cm) AS m FROM i GROUP BY location_id, i),
+tx AS (SELECT location_id, string_agg(CASE WHEN m < 15 THEN 'Moderate snow ' WHEN m < 25 THEN 'Heavy snow expected '
+    ELSE 'Very heavy snow expected ' END || dayname(a) || CASE WHEN a = b THEN '' ELSE '-' || dayname(b) END || ' ('
+    || CAST(t AS BIGINT)::VARCHAR || 'cm)', '. ' ORDER BY a) AS events FROM ev GROUP BY 1),
+al AS (SELECT location_id, arg_min(snow_depth_cm, date) AS d, sum(new_snow_cm) AS t FROM weekly GROUP BY 1)
+    SELECT location_id, coalesce(events,
+    CASE WHEN t < 1 THEN 'Dry week ahead' ELSE 'Light flurries possible (' || CAST(t AS BIGINT)::VARCHAR ||
+    'cm total)' END) || '. ' || CASE WHEN d > 100 THEN 'Excellent base conditions.' WHEN d > 60 THEN
+    'Good base conditions.' WHEN d > 30 THEN 'Fair base conditions.' ELSE 'Limited base coverage.' END AS summary
+    FROM al LEFT JOIN tx USING (location_id)""")
 def f39_summary(v):
     return forecast.summary(v.weekly, ["location_id"])
 
 
-@query("w17_temp_trend", "SELECT station_id, CASE WHEN c > 2 THEN 'warming' WHEN c < -2 THEN 'cooling' ELSE 'stable' END AS trend FROM (SELECT station_id, arg_max(value, date) - arg_min(value, date) AS c FROM daily GROUP BY 1)")
+@query("w17_temp_trend", """SELECT station_id, CASE WHEN c > 2 THEN 'warming' WHEN c < -2 THEN 'cooling' ELSE 'stable' END AS trend
+    FROM (SELECT station_id, arg_max(value, date) - arg_min(value, date) AS c FROM daily GROUP BY 1)""")
 def w17_temp_trend(v):
     return v.daily.groupBy("station_id").agg(snow.temp_trend(F.max_by("value", "date") - F.min_by("value", "date")).alias("trend"))
 
@@ -613,14 +1090,19 @@ def w17_temp_trend(v):
 NORMAL = "n AS (SELECT station_id, day(date) AS d, avg(value) AS normal FROM daily GROUP BY ALL)"
 
 
-@query("a37_climatology", f"WITH {NORMAL} SELECT d.station_id, d.date, r6(CASE WHEN normal > 0 THEN (value * 1.1) * 100 / normal ELSE 0 END) AS pct, CASE WHEN normal > 0 AND value * 1.1 * 100 / normal > 120 THEN 'Above Normal' WHEN value * 1.1 * 100 / normal >= 90 THEN 'Normal' WHEN value * 1.1 * 100 / normal >= 70 THEN 'Below Normal' ELSE 'Well Below Normal' END AS status FROM daily d JOIN n ON n.station_id = d.station_id AND n.d = day(d.date)")
+@query("a37_climatology", f"""WITH {NORMAL} SELECT d.station_id, d.date,
+    r6(CASE WHEN normal > 0 THEN (value * 1.1) * 100 / normal ELSE 0 END) AS pct,
+    CASE WHEN normal > 0 AND value * 1.1 * 100 / normal > 120 THEN 'Above Normal' WHEN value * 1.1 * 100 / normal >=
+    90 THEN 'Normal' WHEN value * 1.1 * 100 / normal >= 70 THEN 'Below Normal' ELSE 'Well Below Normal' END AS status
+    FROM daily d JOIN n ON n.station_id = d.station_id AND n.d = day(d.date)""")
 def a37_climatology(v):
     normal = v.daily.groupBy("station_id", F.dayofmonth("date").alias("d")).agg(F.avg("value").alias("normal"))
     pct = snow.percent_of_normal(F.col("value") * 1.1, F.col("normal"))
     return v.daily.withColumn("d", F.dayofmonth("date")).join(normal, ["station_id", "d"]).select("station_id", "date", pct.alias("pct"), snow.normal_status(pct).alias("status"))
 
 
-@query("a32_regional_mean", f"WITH {NEAR} SELECT place, r6(avg(elevation)) AS mean_elevation, count(*) AS stations FROM k JOIN stations s ON s.id = k.station GROUP BY 1")
+@query("a32_regional_mean", f"""WITH {NEAR} SELECT place, r6(avg(elevation)) AS mean_elevation, count(*) AS stations FROM k
+    JOIN stations s ON s.id = k.station GROUP BY 1""")
 def a32_regional_mean(v):
     near = spatial.near_stations(v.resorts, v.stations, 150.0, station_id="id")
     return near.join(v.stations.select(F.col("id").alias("station"), "elevation"), "station").groupBy("place").agg(F.avg("elevation").alias("mean_elevation"), F.count("*").alias("stations"))
@@ -629,12 +1111,47 @@ def a32_regional_mean(v):
 # ---- sets, sorts, locations (U1-U7, T5-T8, A34) -----------------------------------------------------------------------------
 
 
-@query("u3_locations", "SELECT 'station_snotel_' || id AS location_id, 'station' AS kind, 'snotel' AS source, NULL::VARCHAR AS name, r6(lat) AS lat, r6(lon) AS lon, elevation, state FROM stations UNION ALL SELECT 'station_ghcn_' || id, 'station', 'ghcn', NULL, r6(lat), r6(lon), elevation, state FROM resorts WHERE elevation > 100")
+@query("u3_locations", """SELECT 'station_snotel_' || id AS location_id, 'station' AS kind, 'snotel' AS source, NULL::VARCHAR AS name,
+    r6(lat) AS lat, r6(lon) AS lon, elevation, state FROM stations UNION ALL
+    SELECT 'station_ghcn_' || id, 'station', 'ghcn', NULL, r6(lat), r6(lon), elevation, state FROM resorts
+    WHERE elevation > 100""")
 def u3_locations(v):
     a, b = v.stations.withColumnRenamed("id", "station_id"), v.resorts.withColumnRenamed("id", "station_id")
     return stations.collect_locations({"snotel": a, "ghcn": b.withColumn("elevation", F.when(F.col("elevation") > 100, F.col("elevation")))}, "station")
 
 
+@query("u2_resorts", """SELECT 'resort' AS kind, src AS source, 'Area ' || id AS name, r6(lat) AS lat, r6(lon) AS lon,
+    CASE WHEN id % 3 <> 0 THEN elevation END AS elevation, state, n AS distinct_ids
+    FROM resorts, (SELECT unnest(['osm', 'list']) AS src), (SELECT 2 * count(*) AS n FROM resorts)""")
+def u2_resorts(v):
+    """The ids of resorts are hashes: it is checked that all differ."""
+    d = v.resorts.select(F.concat(F.lit("Area "), F.col("id").cast("string")).alias("name"), "lat", "lon", F.when(F.col("id") % 3 != 0, F.col("elevation")).alias("base_elevation"), "state")
+    out = stations.collect_locations({"osm": d, "list": d}, "resort")
+    return out.join(F.broadcast(out.agg(F.count_distinct("location_id").alias("distinct_ids"))), how="cross").drop("location_id")  # one row
+
+
+@query("u1_registered", """SELECT 'station_snotel_' || id AS location_id, state, elevation FROM stations
+    WHERE state IN ('NATION_1', 'NATION_2') AND elevation >= 500""")
+def u1_registered(v):
+    stations.clear()
+    stations.register("station", "snotel", lambda _: v.stations.withColumnRenamed("id", "station_id"))
+    stations.register("station", "broken", lambda spark: spark.read.parquet(new_path(spark)))  # there is nothing; it is left out
+    try:
+        return stations.collect_registered(v.spark, "station", ["NATION_1", "NATION_2"], 500.0).select("location_id", "state", "elevation")
+    finally:
+        stations.clear()
+
+
+@query("p3_state_of_id", "SELECT id, state FROM stations WHERE state IN ('NATION_1', 'NATION_2')")
+def p3_state_of_id(v):
+    named = v.stations.select("id", F.concat_ws(":", F.col("id").cast("string"), "state", F.lit("SNTL")).alias("station_id"))
+    return named.select("id", stations.state_of(F.col("station_id")).alias("state")).filter(F.col("state").isin("NATION_1", "NATION_2"))
+
+
+@query("t7_first_stations", "SELECT id FROM stations ORDER BY id LIMIT 20")
+def t7_first_stations(v):
+    return stations.limited(v.stations, 20, "id").select("id")
+
 @query("u4_location_report", "SELECT count(*) AS total, 0::BIGINT AS without_place, count(DISTINCT state) AS states, true AS success FROM stations")
 def u4_location_report(v):
     r = stations.location_report(stations.collect_locations({"snotel": v.stations.withColumnRenamed("id", "station_id")}, "station"))
@@ -652,7 +1169,8 @@ def u6_states(v):
     return v.stations.select("state").distinct().join(v.resorts.filter("elevation > 2000").select("state"), "state", "left_semi")
 
 
-@query("t5_by_depth", "SELECT location_id, depth, row_number() OVER (ORDER BY depth DESC, location_id) AS place FROM (SELECT location_id, max(snow_depth_cm) AS depth FROM weekly GROUP BY 1)")
+@query("t5_by_depth", """SELECT location_id, depth, row_number() OVER (ORDER BY depth DESC, location_id) AS place
+    FROM (SELECT location_id, max(snow_depth_cm) AS depth FROM weekly GROUP BY 1)""")
 def t5_by_depth(v):
     from pyspark.sql import Window as W
 
@@ -660,11 +1178,13 @@ def t5_by_depth(v):
     return d.withColumn("place", F.row_number().over(W.orderBy(F.desc("depth"), "location_id")))  # a row a place
 
 
-@query("t6_favourites_first", "SELECT location_id, is_favourite FROM (SELECT id AS location_id, id % 97 = 0 AS is_favourite FROM resorts) ORDER BY is_favourite DESC, location_id")
+@query("t6_favourites_first", """SELECT location_id, is_favourite, row_number() OVER (ORDER BY is_favourite DESC, location_id) AS place
+    FROM (SELECT id AS location_id, id % 97 = 0 AS is_favourite FROM resorts)""")
 def t6_favourites_first(v):
-    d = v.resorts.select(F.col("id").alias("location_id"), (F.col("id") % 97 == 0).alias("is_favourite"))
-    return d.orderBy(F.desc("is_favourite"), "location_id")
+    from pyspark.sql import Window as W
 
+    d = v.resorts.select(F.col("id").alias("location_id"), (F.col("id") % 97 == 0).alias("is_favourite"))
+    return d.withColumn("place", F.row_number().over(W.orderBy(F.desc("is_favourite"), "location_id")))  # a row a place
 
 @query("a34_histogram", "SELECT state, count(*) AS n FROM resorts GROUP BY 1")
 def a34_histogram(v):
@@ -684,20 +1204,30 @@ def _daily_lines(v):
     return g.select(F.concat(F.lit("USC"), F.lpad(F.col("station_id").cast("string"), 8, "0"), F.lit("202401"), F.col("element"), *[y for i in range(1, 32) for y in (F.col(f"d{i}"), flag(i))]).alias("value"))
 
 
-@query("s6_daily_elements", "WITH o AS (SELECT station_id, CASE WHEN k % 2 = 0 THEN 'TMAX' ELSE 'PRCP' END AS element, day(datetime) AS d, max(k) AS k FROM obs WHERE datetime < TIMESTAMP '2024-02-01' GROUP BY ALL) SELECT 'USC' || lpad(station_id::VARCHAR, 8, '0') AS station_id, make_date(2024, 1, d::INT) AS date, element, k AS value, r6(k / 10) AS value_converted, CASE element WHEN 'TMAX' THEN 'celsius' ELSE 'mm' END AS unit FROM o WHERE (station_id + d) % 9 <> 0")
+@query("s6_daily_elements", """WITH o AS (SELECT station_id, CASE WHEN k % 2 = 0 THEN 'TMAX' ELSE 'PRCP' END AS element, day(datetime) AS d,
+    max(k) AS k FROM obs WHERE datetime < TIMESTAMP '2024-02-01' GROUP BY ALL)
+    SELECT 'USC' || lpad(station_id::VARCHAR, 8, '0') AS station_id, make_date(2024, 1, d::INT) AS date, element,
+    k AS value, r6(k / 10) AS value_converted, CASE element WHEN 'TMAX' THEN 'celsius' ELSE 'mm' END AS unit FROM o
+    WHERE (station_id + d) % 9 <> 0""")
 def s6_daily_elements(v):
     out = stations.converted(stations.good_only(stations.daily_elements(_daily_lines(v), first_year=2024, last_year=2024)))
     return out.drop("mflag", "qflag", "sflag")
 
 
-@query("s5_inventory", "SELECT 'US' || lpad(id::VARCHAR, 9, '0') AS station_id, r6(round(lat, 4)) AS lat, r6(round(lon, 4)) AS lon, elevation, 'CO' AS state, state AS name FROM resorts WHERE elevation >= 1500")
+@query("s5_inventory", """SELECT 'US' || lpad(id::VARCHAR, 9, '0') AS station_id, r6(round(lat, 4)) AS lat, r6(round(lon, 4)) AS lon, elevation,
+    'CO' AS state, state AS name FROM resorts WHERE elevation >= 1500""")
 def s5_inventory(v):
     d = v.resorts
     line = F.concat(F.lit("US"), F.lpad(F.col("id").cast("string"), 9, "0"), F.lit(" "), F.format_string("%8.4f", "lat"), F.lit(" "), F.format_string("%9.4f", "lon"), F.lit(" "), F.format_string("%6.1f", "elevation"), F.lit(" CO "), F.rpad("state", 30, " "))
     return stations.inventory(d.select(line.alias("value")), 1500.0)
 
 
-@query("s3_units", "WITH g AS (SELECT station_id, datetime, value AS d, k / 3 AS w, k + 20.0 AS t FROM obs) SELECT station_id, datetime, r6(CASE WHEN max(d) OVER s > 0 AND max(d) OVER s < 200 THEN d * 2.54 ELSE d END) AS snow_depth_cm, r6(CASE WHEN max(w) OVER s > 0 AND max(w) OVER s < 80 THEN w * 25.4 ELSE w END) AS swe_mm, r6(CASE WHEN avg(t) OVER s > 50 THEN (t - 32) * 5 / 9 ELSE t END) AS temp_avg_c, CASE WHEN d IS NOT NULL THEN 'good' END AS quality FROM g WINDOW s AS (PARTITION BY station_id)")
+@query("s3_units", """WITH g AS (SELECT station_id, datetime, value AS d, k / 3 AS w, k + 20.0 AS t FROM obs)
+    SELECT station_id, datetime,
+    r6(CASE WHEN max(d) OVER s > 0 AND max(d) OVER s < 200 THEN d * 2.54 ELSE d END) AS snow_depth_cm,
+    r6(CASE WHEN max(w) OVER s > 0 AND max(w) OVER s < 80 THEN w * 25.4 ELSE w END) AS swe_mm,
+    r6(CASE WHEN avg(t) OVER s > 50 THEN (t - 32) * 5 / 9 ELSE t END) AS temp_avg_c,
+    CASE WHEN d IS NOT NULL THEN 'good' END AS quality FROM g WINDOW s AS (PARTITION BY station_id)""")
 def s3_units(v):
     d = v.obs.select(F.col("station_id"), "datetime", F.col("value").alias("snow_depth_cm"), (F.col("k") / 3).alias("swe_mm"), (F.col("k") + 20.0).alias("temp_avg_c"))
     return stations.metric(d).withColumn("quality", stations.completeness())
@@ -709,7 +1239,8 @@ def s2_resolved_names(v):
     return stations.normalized(d).withColumn("datetime", F.col("datetime").cast("timestamp_ntz"))
 
 
-@query("s13_geojson", "SELECT 'Area ' || id AS name, r6(lat + 0.05) AS lat, r6(lon + 0.05) AS lon, 'US' AS country, state FROM resorts WHERE id % 10 <> 0")
+@query("s13_geojson", """SELECT 'Area ' || id AS name, r6(lat + 0.05) AS lat, r6(lon + 0.05) AS lon, 'US' AS country, state FROM resorts
+    WHERE id % 10 <> 0""")
 def s13_geojson(v):
     c = F.col
     ring = F.array(*[F.array(c("lon") + x, c("lat") + y) for x, y in ((0, 0), (0.1, 0), (0.1, 0.1), (0, 0.1), (0, 0))])
@@ -718,7 +1249,8 @@ def s13_geojson(v):
     return resorts.ski_areas(v.resorts.select(geometry.alias("geometry"), props.alias("properties")))
 
 
-@query("j16_lift_elevations", "SELECT 'Area ' || a AS name, min(b) AS base_elevation, max(s) AS summit_elevation FROM (SELECT id % 50 AS a, elevation AS b, elevation + 300 AS s FROM resorts) GROUP BY 1")
+@query("j16_lift_elevations", """SELECT 'Area ' || a AS name, min(b) AS base_elevation, max(s) AS summit_elevation
+    FROM (SELECT id % 50 AS a, elevation AS b, elevation + 300 AS s FROM resorts) GROUP BY 1""")
 def j16_lift_elevations(v):
     c = F.col
     line = F.array(F.array(c("lon"), c("lat"), c("elevation")), F.array(c("lon"), c("lat"), c("elevation") + 300), F.array(c("lon"), c("lat")))
@@ -745,7 +1277,10 @@ def a15_metrics_by_group(v):
     return verification.by_group(v.preds, "station_id")
 
 
-@query("a16_prd", f"WITH m AS (SELECT {_metrics()}, r6(sqrt(avg(pow(y_base - y_true, 2)))) AS baseline_rmse, r6(1 - sqrt(avg(pow(y_pred - y_true, 2))) / sqrt(avg(pow(y_base - y_true, 2)))) AS improvement FROM preds) SELECT *, rmse < 15 AS rmse_met, f1 > 0.85 AS f1_met, improvement > 0.2 AS improvement_met, abs(bias) < 5 AS bias_met FROM m")
+@query("a16_prd", f"""WITH m AS (SELECT {_metrics()}, r6(sqrt(avg(pow(y_base - y_true, 2)))) AS baseline_rmse,
+    r6(1 - sqrt(avg(pow(y_pred - y_true, 2))) / sqrt(avg(pow(y_base - y_true, 2)))) AS improvement FROM preds)
+    SELECT *, rmse < 15 AS rmse_met, f1 > 0.85 AS f1_met, improvement > 0.2 AS improvement_met,
+    abs(bias) < 5 AS bias_met FROM m""")
 def a16_prd(v):
     return verification.prd(v.preds)
 
@@ -764,45 +1299,61 @@ def _names(edges: list) -> str:
 
 
 PARTS = [("month", "month(date)::VARCHAR"), ("station", "station_id::VARCHAR"), ("elevation_band", _bands("elevation", verification.ELEVATION_BANDS)), ("storm", _bands("y_true", verification.STORM_BINS))]
-FIXED = f"SELECT 'month' AS breakdown, unnest(range(1, 13))::VARCHAR AS bucket UNION ALL SELECT 'elevation_band', unnest([{_names(verification.ELEVATION_BANDS)}]) UNION ALL SELECT 'storm', unnest([{_names(verification.STORM_BINS)}])"
+FIXED = f"""SELECT 'month' AS breakdown, unnest(range(1, 13))::VARCHAR AS bucket UNION ALL
+    SELECT 'elevation_band', unnest([{_names(verification.ELEVATION_BANDS)}]) UNION ALL
+    SELECT 'storm', unnest([{_names(verification.STORM_BINS)}])"""
 
 
-@query("a18_breakdowns", f"WITH b AS ({' UNION ALL '.join(f'SELECT {chr(39)}{n}{chr(39)} AS breakdown, {e} AS bucket, {_metrics()} FROM preds GROUP BY 2' for n, e in PARTS)}), x AS ({FIXED}) SELECT coalesce(x.breakdown, b.breakdown) AS breakdown, coalesce(x.bucket, b.bucket) AS bucket, rmse, mae, bias, f1, coalesce(n_samples, 0) AS n_samples FROM x FULL JOIN (SELECT * FROM b WHERE bucket IS NOT NULL) b ON x.breakdown = b.breakdown AND x.bucket = b.bucket")
+@query("a18_breakdowns", f"""WITH b AS ({' UNION ALL '.join(f'SELECT {chr(39)}{n}{chr(39)} AS breakdown, {e} AS bucket, {_metrics()} FROM preds GROUP BY 2' for n, e in PARTS)}),
+    x AS ({FIXED}) SELECT coalesce(x.breakdown, b.breakdown) AS breakdown, coalesce(x.bucket, b.bucket) AS bucket,
+    rmse, mae, bias, f1, coalesce(n_samples, 0) AS n_samples FROM x FULL JOIN (SELECT * FROM b
+    WHERE bucket IS NOT NULL) b ON x.breakdown = b.breakdown AND x.bucket = b.bucket""")
 def a18_breakdowns(v):
     return verification.breakdowns(v.preds)
 
 
-@query("a22_residuals", "WITH e AS (SELECT y_pred - y_true AS e FROM preds), m AS (SELECT avg(e) AS mu, stddev_pop(e) AS s FROM e) SELECT r6(avg(e)) AS mean, r6(stddev_pop(e)) AS std, r6(quantile_cont(e, 0.5)) AS median, r6(min(e)) AS min, r6(max(e)) AS max, r6(avg(pow((e - mu) / s, 3))) AS skewness, r6(avg(pow((e - mu) / s, 4)) - 3) AS kurtosis FROM e, m")
+@query("a22_residuals", """WITH e AS (SELECT y_pred - y_true AS e FROM preds), m AS (SELECT avg(e) AS mu, stddev_pop(e) AS s FROM e)
+    SELECT r6(avg(e)) AS mean, r6(stddev_pop(e)) AS std, r6(quantile_cont(e, 0.5)) AS median, r6(min(e)) AS min,
+    r6(max(e)) AS max, r6(avg(pow((e - mu) / s, 3))) AS skewness, r6(avg(pow((e - mu) / s, 4)) - 3) AS kurtosis
+    FROM e, m""")
 def a22_residuals(v):
     return verification.residual_summary(v.preds)
 
 
-@query("a23_residuals_by", "SELECT station_id, month(date) AS month, r6(avg(y_pred - y_true)) AS mean_bias, r6(stddev_samp(y_pred - y_true)) AS std_bias, count(*) AS n, r6(avg(abs(y_pred - y_true))) AS mean_abs_error FROM preds GROUP BY 1, 2")
+@query("a23_residuals_by", """SELECT station_id, month(date) AS month, r6(avg(y_pred - y_true)) AS mean_bias,
+    r6(stddev_samp(y_pred - y_true)) AS std_bias, count(*) AS n, r6(avg(abs(y_pred - y_true))) AS mean_abs_error
+    FROM preds GROUP BY 1, 2""")
 def a23_residuals_by(v):
     return verification.residuals_by(v.preds, "station_id", F.month("date").alias("month"))
 
 
-@query("a24_correlations", "SELECT 'humidity' AS condition, r6(corr(y_pred - y_true, humidity)) AS correlation, count(*) AS n FROM preds UNION ALL SELECT 'wind', r6(corr(y_pred - y_true, wind)), count(*) FROM preds")
+@query("a24_correlations", """SELECT 'humidity' AS condition, r6(corr(y_pred - y_true, humidity)) AS correlation, count(*) AS n FROM preds UNION ALL
+    SELECT 'wind', r6(corr(y_pred - y_true, wind)), count(*) FROM preds""")
 def a24_correlations(v):
     return verification.condition_correlations(v.preds, ["humidity", "wind", "absent"])
 
 
-@query("a25_trend", "WITH x AS (SELECT date - (SELECT min(date) FROM preds) AS x, abs(y_pred - y_true) AS y FROM preds) SELECT r6(regr_slope(y, x)) AS slope, r6(regr_intercept(y, x)) AS intercept, r6(regr_slope(y, x) * 365) AS per_year, regr_slope(y, x) > 0.01 AS degrading FROM x")
+@query("a25_trend", """WITH x AS (SELECT date - (SELECT min(date) FROM preds) AS x, abs(y_pred - y_true) AS y FROM preds)
+    SELECT r6(regr_slope(y, x)) AS slope, r6(regr_intercept(y, x)) AS intercept, r6(regr_slope(y,
+    x) * 365) AS per_year, regr_slope(y, x) > 0.01 AS degrading FROM x""")
 def a25_trend(v):
     return verification.trend(v.preds)
 
 
-@query("a28_compare_models", f"SELECT 'a' AS model, station_id, {_metrics()} FROM preds GROUP BY 2 UNION ALL SELECT 'b', station_id, {_metrics('y_base')} FROM preds GROUP BY 2")
+@query("a28_compare_models", f"""SELECT 'a' AS model, station_id, {_metrics()} FROM preds GROUP BY 2 UNION ALL
+    SELECT 'b', station_id, {_metrics('y_base')} FROM preds GROUP BY 2""")
 def a28_compare_models(v):
     return verification.compare(v.preds, {"a": "y_pred", "b": "y_base"}, "station_id")
 
 
-@query("t3_ranked_models", f"WITH m AS (SELECT 'a' AS model, {_metrics()} FROM preds UNION ALL SELECT 'b', {_metrics('y_base')} FROM preds) SELECT model, rmse, row_number() OVER (ORDER BY rmse, model) AS rank FROM m")
+@query("t3_ranked_models", f"""WITH m AS (SELECT 'a' AS model, {_metrics()} FROM preds UNION ALL SELECT 'b', {_metrics('y_base')} FROM preds)
+    SELECT model, rmse, row_number() OVER (ORDER BY rmse, model) AS rank FROM m""")
 def t3_ranked_models(v):
     return verification.ranked(verification.compare(v.preds, {"a": "y_pred", "b": "y_base"}), "rmse")
 
 
-@query("t4_best_model", f"WITH m AS (SELECT 'a' AS model, {_metrics()} FROM preds UNION ALL SELECT 'b', {_metrics('y_base')} FROM preds) SELECT arg_min(model, abs(bias)) AS model FROM m")
+@query("t4_best_model", f"""WITH m AS (SELECT 'a' AS model, {_metrics()} FROM preds UNION ALL SELECT 'b', {_metrics('y_base')} FROM preds)
+    SELECT arg_min(model, abs(bias)) AS model FROM m""")
 def t4_best_model(v):
     return verification.best(verification.compare(v.preds, {"a": "y_pred", "b": "y_base"}), "bias")
 
@@ -812,18 +1363,42 @@ def a29_significance(v):
     return verification.significance(v.preds, "y_pred", "y_base")
 
 
+@query("a29_statistic", """WITH d AS (SELECT pow(y_pred - y_true, 2) - pow(y_base - y_true, 2) AS d FROM preds)
+    SELECT r6(avg(d)) AS mean_difference, r6(avg(d) / (stddev_samp(d) / sqrt(count(*)))) AS t, count(*) AS n,
+    abs(avg(d) / (stddev_samp(d) / sqrt(count(*)))) > 1.97 AS significant,
+    CASE WHEN avg(d) < 0 THEN 'y_pred' ELSE 'y_base' END AS better FROM d""")
+def a29_statistic(v):
+    return verification.significance(v.preds, "y_pred", "y_base").drop("p")
+
+
+@query("a39_report", f"""WITH m AS (SELECT 'a' AS model, {_metrics()} FROM preds UNION ALL SELECT 'b', {_metrics('y_base')}
+    FROM preds), k AS (SELECT *, row_number() OVER (ORDER BY rmse, model) AS n_rmse,
+    row_number() OVER (ORDER BY f1 DESC, model) AS n_f1, row_number() OVER (ORDER BY model) AS n FROM m)
+SELECT 'overall' AS section, n AS place, rpad(model, 20, ' ') || ' ' || lpad(printf('%.3f', rmse), 10,
+    ' ') || ' ' || lpad(printf('%.3f', mae), 10, ' ') || ' ' || lpad(printf('%.3f', bias), 10,
+    ' ') || ' ' || lpad(printf('%.3f', f1), 10, ' ') AS line FROM k
+UNION ALL SELECT 'by rmse', n_rmse, n_rmse || '. ' || model || ': ' || printf('%.4f', rmse) FROM k UNION ALL
+    SELECT 'by f1', n_f1, n_f1 || '. ' || model || ': ' || printf('%.4f', f1) FROM k
+UNION ALL SELECT 'best', 1, 'Best by rmse: ' || model || ' (' || printf('%.4f', rmse) || ')' FROM k WHERE n_rmse = 1
+    UNION ALL SELECT 'best', 2, 'Best by f1: ' || model || ' (' || printf('%.4f', f1) || ')' FROM k WHERE n_f1 = 1""")
+def a39_report(v):
+    return verification.report_lines(verification.compare(v.preds, {"a": "y_pred", "b": "y_base"}))
+
 @query("a17_bootstrap")
 def a17_bootstrap(v):
     return verification.bootstrap(v.preds)
 
 
-@query("a30_fold_summary", "WITH f AS (SELECT station_id % 5 AS fold, sqrt(avg(pow(y_pred - y_true, 2))) AS value FROM preds GROUP BY 1) SELECT 'rmse' AS metric, r6(avg(value)) AS mean, r6(stddev_pop(value)) AS std, r6(min(value)) AS min, r6(max(value)) AS max FROM f")
+@query("a30_fold_summary", """WITH f AS (SELECT station_id % 5 AS fold, sqrt(avg(pow(y_pred - y_true, 2))) AS value FROM preds GROUP BY 1)
+    SELECT 'rmse' AS metric, r6(avg(value)) AS mean, r6(stddev_pop(value)) AS std, r6(min(value)) AS min,
+    r6(max(value)) AS max FROM f""")
 def a30_fold_summary(v):
     folds = verification.by_group(v.preds.withColumn("fold", F.col("station_id") % 5), "fold")
     return verification.fold_summary(folds.select("fold", F.lit("rmse").alias("metric"), F.col("rmse").alias("value")))
 
 
-@query("a36_ensemble_importance", "WITH s AS (SELECT element AS feature, sum(k * value) AS s FROM obs GROUP BY 1) SELECT feature, r6(s / (SELECT sum(s) FROM s)) AS importance FROM s")
+@query("a36_ensemble_importance", """WITH s AS (SELECT element AS feature, sum(k * value) AS s FROM obs GROUP BY 1) SELECT feature, r6(s / (SELECT sum(s)
+    FROM s)) AS importance FROM s""")
 def a36_ensemble_importance(v):
     return verification.ensemble_importance(v.obs.select(F.col("element").alias("feature"), F.col("k").alias("weight"), F.col("value").alias("importance")))
 
@@ -838,11 +1413,25 @@ def _scored(v, fit):
     return verification.by_group(models.predict(fit(train), test).select("y_true", F.col("prediction").alias("y_pred")))
 
 
-@query("m1_ridge")
+#: Ridge on three standardised features as sums: the normal equations, solved by determinants.
+RIDGE = """c AS (SELECT max(date) - INTERVAL 2 YEAR AS cutoff FROM preds), tr AS (SELECT humidity AS h, wind AS w, y_base AS b,
+    y_true AS y FROM preds, c WHERE date < cutoff),
+s AS (SELECT count(*) - 1 AS n, avg(h) AS mh, avg(w) AS mw, avg(b) AS mb, avg(y) AS my, stddev_samp(h) AS sh,
+    stddev_samp(w) AS sw, stddev_samp(b) AS sb, stddev_samp(y) AS sy, corr(h, w) AS hw, corr(h, b) AS hb, corr(w,
+    b) AS wb, corr(h, y) AS hy, corr(w, y) AS wy, corr(b, y) AS yb FROM tr),
+q AS (SELECT *, (n + 1.0) / n AS d FROM s), x AS (SELECT *,
+    d * (d * d - wb * wb) - hw * (hw * d - wb * hb) + hb * (hw * wb - d * hb) AS det FROM q),
+k AS (SELECT *, sy * (hy * (d * d - wb * wb) - hw * (wy * d - wb * yb) + hb * (wy * wb - d * yb)) / det / sh AS kh,
+    sy * (d * (wy * d - wb * yb) - hy * (hw * d - wb * hb) + hb * (hw * yb - wy * hb)) / det / sw AS kw,
+    sy * (d * (d * yb - wy * wb) - hw * (hw * yb - wy * hb) + hy * (hw * wb - d * hb)) / det / sb AS kb FROM x),
+pr AS (SELECT y_true, my + kh * (humidity - mh) + kw * (wind - mw) + kb * (y_base - mb) AS y_hat FROM preds, c, k
+    WHERE date >= cutoff)"""
+
+
+@query("m1_ridge", f"WITH {RIDGE} SELECT {_metrics('y_hat')} FROM pr")
 def m1_ridge(v):
     return _scored(v, lambda d: models.ridge(d, FEATURES, "y_true"))
 
-
 @query("m2_boosted_trees")
 def m2_boosted_trees(v):
     def fit(train):
@@ -858,6 +1447,12 @@ def m3_ensemble(v):
     return models.ensemble(v.preds, {"y_pred": 3.0, "y_base": 1.0}).groupBy("station_id", "date").agg(F.sum("prediction").alias("prediction"))
 
 
+@query("m3_median", """SELECT station_id, date, r6(sum((y_pred + y_base + humidity - least(y_pred, y_base, humidity) - greatest(y_pred,
+    y_base, humidity)))) AS prediction FROM preds GROUP BY ALL""")
+def m3_median(v):
+    out = models.ensemble(v.preds, {"y_pred": 1.0, "y_base": 1.0, "humidity": 1.0}, "median")
+    return out.groupBy("station_id", "date").agg(F.sum("prediction").alias("prediction"))
+
 @query("m4_stacking")
 def m4_stacking(v):
     train, test = models.temporal_holdout(v.preds, "date", 2)
@@ -866,21 +1461,22 @@ def m4_stacking(v):
     return verification.compare(out, {m: m for m in ("ridge", "boosted", "stacked")})
 
 
-@query("m6_temporal_holdout", "WITH c AS (SELECT max(date) - INTERVAL 2 YEAR AS cutoff FROM preds) SELECT date >= cutoff AS is_test, count(*) AS n FROM preds, c GROUP BY 1")
+@query("m6_temporal_holdout", """WITH c AS (SELECT max(date) - INTERVAL 2 YEAR AS cutoff FROM preds) SELECT date >= cutoff AS is_test, count(*) AS n
+    FROM preds, c GROUP BY 1""")
 def m6_temporal_holdout(v):
     train, test = models.temporal_holdout(v.preds, "date", 2)
     return train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True))).groupBy("is_test").agg(F.count("*").alias("n"))
 
 
-@query("m7_station_folds", "WITH s AS (SELECT count(DISTINCT station_id) AS n FROM preds) SELECT f AS fold, n // 5 + CAST(f < n % 5 AS BIGINT) AS stations FROM s, range(5) t(f)")
+@query("m7_station_folds", """WITH s AS (SELECT count(DISTINCT station_id) AS n FROM preds)
+    SELECT f AS fold, n // 5 + CAST(f < n % 5 AS BIGINT) AS stations FROM s, range(5) t(f)""")
 def m7_station_folds(v):
     return models.station_folds(v.preds, "station_id", 5).groupBy("fold").agg(F.count_distinct("station_id").alias("stations"))
 
 
 @query("m9_train_command")
 def m9_train_command(v):
-    return verification.by_group(models.train_command(v.preds, FEATURES, "y_true", tempfile.mkdtemp(prefix="spark-model-") + "/m"))
-
+    return verification.by_group(models.train_command(v.preds, FEATURES, "y_true", new_path(v.spark)))
 
 # ---- joined pipeline (stages 1-7 of training data) ------------------------------------------------------------------------------
 
@@ -894,3 +1490,80 @@ def training_frame(v):
     aligned = temporal.align(daily, "date", "2024-01-01", "2024-01-30", ["station_id"])
     out = lagged.features(calendar.all_features(aligned, "date"), ["temperature", "snow_depth"], "station_id", "date", lags=(1, 3), windows=(3, 7))
     return terrain.all_features(out.join(v.stations.withColumnRenamed("id", "station_id"), "station_id"))
+
+
+# ---- streams (ST1-ST7): all that is there is taken, then the result is read ------------------------------------------------------
+
+
+def _stream(v, table: str):
+    path = f"{v.dir}/{table}.parquet"  # a file or a folder
+    return v.spark.readStream.schema(v.spark.read.parquet(path).schema).parquet(path + "*")
+
+
+def _drained(v, stream):
+    out, checkpoint = new_path(v.spark), new_path(v.spark)
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return v.spark.read.schema(stream.schema).parquet(out)
+
+
+def _events(v):
+    return _stream(v, "events").select(F.col("user_id").alias("station_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
+
+
+#: A window is told when the latest row is an hour past its end.
+PASSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+
+@query("st1_stream_daily", f"""SELECT station_id, date, r6(sum(value)) AS total, count(*) AS n
+    FROM (SELECT user_id AS station_id, CAST(ts AS DATE) AS date, value FROM events)
+    WHERE date + INTERVAL 1 DAY <= {PASSED} GROUP BY ALL""")
+def st1_stream_daily(v):
+    return _drained(v, jobs.daily(_events(v), "ts", ["station_id"], [F.sum("value").alias("total"), F.count("*").alias("n")]))
+
+
+@query("st2_stream_rolling", f"""SELECT station_id, date, r6(sum(value)) AS total FROM (SELECT user_id AS station_id, value,
+    CAST(unnest(generate_series(CAST(ts AS DATE), CAST(ts AS DATE) + INTERVAL 6 DAY, INTERVAL 1 DAY)) AS DATE) AS date
+    FROM events) WHERE date + INTERVAL 1 DAY <= {PASSED} GROUP BY ALL""")
+def st2_stream_rolling(v):
+    return _drained(v, jobs.rolling(_events(v), "ts", ["station_id"], [F.sum("value").alias("total")], 7))
+
+
+@query("st3_stream_events", f"""WITH e AS (SELECT user_id AS station_id, ts, value,
+    CASE WHEN ts < lag(ts) OVER w + INTERVAL 25 HOUR THEN 0 ELSE 1 END AS new FROM events WHERE value >= 50
+    WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY station_id
+    ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT station_id, min(ts) AS start, max(ts) AS "end", r6(sum(value)) AS total, r6(max(value)) AS largest,
+    count(*) AS n FROM s GROUP BY station_id, k HAVING max(ts) + INTERVAL 25 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR
+    FROM events WHERE value >= 50)""")
+def st3_stream_events(v):
+    out = _drained(v, jobs.events(_events(v), "ts", ["station_id"], "value", 50.0))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@query("st5_stream_upsert", """SELECT run_time, forecast_hour, location_id, max(o_orderkey) AS fetch_time
+    FROM (SELECT date_trunc('year', o_orderdate) AS run_time, o_orderkey % 49 AS forecast_hour,
+    o_custkey AS location_id, o_orderkey FROM orders) GROUP BY ALL""")
+def st5_stream_upsert(v):
+    k = F.col("o_orderkey")
+    new = _stream(v, "orders").select(F.date_trunc("year", "o_orderdate").cast("timestamp_ntz").alias("run_time"), (k % 49).cast("int").alias("forecast_hour"), F.col("o_custkey").alias("location_id"), k.alias("fetch_time"))
+    out, checkpoint = new_path(v.spark), new_path(v.spark)
+    jobs.each_batch(new, lambda df: store.upsert_forecasts(df, out), checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return v.spark.read.parquet(out).drop("valid_time", "run_date")
+
+
+@query("st6_stream_freshness", "SELECT o_custkey AS location_id, max(o_orderdate) AS last_run, count(*) AS n FROM orders GROUP BY 1")
+def st6_stream_freshness(v):
+    rows = _stream(v, "orders").select(F.col("o_custkey").alias("location_id"), F.col("o_orderdate").alias("run_time"))
+    out, checkpoint = new_path(v.spark), new_path(v.spark)
+    jobs.each_batch(rows, lambda df: jobs.freshness(df, ["location_id"]).write.mode("append").parquet(out), checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return v.spark.read.parquet(out).groupBy("location_id").agg(F.max("last_run").alias("last_run"), F.sum("n").alias("n"))
+
+
+@query("st7_stream_matched", """SELECT o_orderkey, event_id FROM (SELECT o_orderkey, o_custkey % 100 AS p,
+    DATE '2024-01-01' + to_days(CAST(o_orderkey % 30 AS INTEGER)) AS t FROM orders) o
+    JOIN events e ON e.user_id = o.p AND e.ts BETWEEN o.t - INTERVAL 3 HOUR AND o.t + INTERVAL 3 HOUR""")
+def st7_stream_matched(v):
+    k = F.col("o_orderkey")
+    f = _stream(v, "orders").select("o_orderkey", (F.col("o_custkey") % 100).alias("location_id"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 30).cast("int")).cast("timestamp").alias("valid_time"))
+    o = _stream(v, "events").select("event_id", F.col("user_id").alias("location_id"), F.col("ts").cast("timestamp").alias("datetime"))
+    return _drained(v, jobs.matched(f, o, 3)).select("o_orderkey", "event_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,11 +12,8 @@ from pyspark.sql import functions as F
 from nivalis.session import no_nan
 
 TARGETS = {"snow_depth_cm": ("snow_depth_cm", "snowdepth", "snow_depth", "snwd"), "swe_mm": ("swe_mm", "swe", "wteq"), "temp_avg_c": ("temp_avg_c", "tempavg", "temp_avg", "tavg")}
-#: Quality flags of daily files that mark a bad value, and what each means.
-BAD_FLAGS = {
-    "D": "duplicate check", "G": "gap check", "I": "internal consistency", "K": "streak check", "L": "temperature limits", "M": "megaconsistency", "N": "naught check", "O": "climatological outlier",
-    "R": "lagged range check", "S": "spatial consistency", "T": "temporal consistency", "W": "bounds check", "X": "bounds check", "Z": "multiday accumulation",
-}
+#: Quality flags of daily files that mark a bad value.
+BAD_FLAGS = ("D", "G", "I", "K", "L", "M", "N", "O", "R", "S", "T", "W", "X", "Z")
 ELEMENTS = ("TMAX", "TMIN", "PRCP", "SNOW", "SNWD")
 
 
@@ -34,6 +32,17 @@ def station_id(file_name: Column) -> Column:
     return F.concat_ws(":", F.slice(F.split(file_name, "_"), 1, 3))
 
 
+def state_of(station: Column) -> Column:
+    """`CO` of `1050:CO:SNTL`; NULL for ids of another form."""
+    parts = F.split(station, ":")
+    return F.when(F.size(parts) == 3, parts[1])
+
+
+def limited(stations: DataFrame, most: int | None = None, station: str = "station_id") -> DataFrame:
+    """The first `most` stations by id, where a caller asks for that (T7); else all."""
+    return stations if most is None else stations.orderBy(station).limit(most)
+
+
 def normalized(df: DataFrame, time_names=("datetime", "date", "time")) -> DataFrame:
     """Target columns, typed; a missing one is NULL."""
     found = resolve(df.columns, TARGETS | {"datetime": tuple(time_names)})
@@ -103,7 +112,7 @@ def converted(df: DataFrame) -> DataFrame:
     return df.select("*", F.when(unit.isNotNull(), F.col("value") / 10.0).otherwise(F.col("value").cast("double")).alias("value_converted"), F.coalesce(unit, F.lit("raw")).alias("unit"))
 
 
-def good_only(df: DataFrame, flags=tuple(BAD_FLAGS)) -> DataFrame:
+def good_only(df: DataFrame, flags=BAD_FLAGS) -> DataFrame:
     """Rows whose qflag isn't one of `flags`."""
     return df.filter(~F.coalesce("qflag", F.lit("")).isin(*flags))
 
@@ -133,6 +142,24 @@ def clear() -> None:
         x.clear()
 
 
+def collect_registered(spark: SparkSession, kind: str, states: list[str] | None = None, min_elevation: float | None = None) -> DataFrame:
+    """Rows of all registered providers of a kind (U1, U2, X3), by state and elevation where asked. A provider that fails is left
+    out with a warning; without any provider that is an error."""
+    if not PROVIDERS[kind]:
+        raise ValueError(f"no {kind} providers are registered")
+    frames = {}
+    for name, provider in PROVIDERS[kind].items():
+        try:
+            frames[name] = provider(spark)
+        except Exception as e:  # a provider is any caller's function
+            logging.getLogger(__name__).warning("provider %s left out: %s", name, e)
+    if not frames:
+        raise ValueError(f"all {kind} providers failed")
+    out = collect_locations(frames, kind)
+    out = out if states is None else out.filter(F.col("state").isin(*states))
+    return out if min_elevation is None else out.filter(F.col("elevation") >= min_elevation)
+
+
 def collect_locations(frames: dict[str, DataFrame], kind: str) -> DataFrame:
     """Providers' rows in one schema, tagged with the source; rows without elevation are left out of stations.
     The id of a resort is a hash of what it is, for a row number isn't stable."""

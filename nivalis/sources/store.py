@@ -19,10 +19,22 @@ SKI_AREAS = [
 DEFAULT_VERTICAL = 800.0
 
 
+#: Height between the base and the summit of ski areas in metres.
+VERTICAL = {
+    "Stevens Pass": 823, "Crystal Mountain": 884, "Mt. Baker": 457, "Snoqualmie Pass": 610, "Mt. Hood Meadows": 884, "Mt. Bachelor": 1070, "Timberline": 1067, "Mammoth Mountain": 945,
+    "Squaw Valley": 869, "Heavenly": 1067, "Kirkwood": 610, "Vail": 1064, "Breckenridge": 884, "Aspen Snowmass": 1040, "Telluride": 1100, "Park City": 945, "Snowbird": 960, "Alta": 671,
+    "Big Sky": 1330, "Whitefish": 713, "Jackson Hole": 1261, "Sun Valley": 1036,
+}
+#: Fixed values of the daily refresh (S24): (model, days ahead, forecast hour from the day's own run, longest forecast, days a run may be old).
+SCHEDULE = [("HRRR", d, 12 + 24 * d, 48, 1) for d in range(2)] + [("NBM", d, 24 * d, 264, 2) for d in range(2, 7)]
+LEAST_DAYS = 4
+
+
 def newest(df: DataFrame, key: list[str], by: list[Column]) -> DataFrame:
-    """One row a key: the last by `by`."""
-    w = W.partitionBy(*key).orderBy(*[c.desc_nulls_last() for c in by])
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """One row a key: the last by `by`, NULLs last. A maximum, so that most rows go before the shuffle."""
+    rest = [c for c in df.columns if c not in key]
+    order = F.struct(*[x for i, c in enumerate(by) for x in (c.isNotNull().alias(f"h{i}"), c.alias(f"v{i}"))])
+    return df.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_b")).select(*key, "_b.*").select(*df.columns)
 
 
 def merged(old: DataFrame | None, new: DataFrame, key: list[str] = KEY, by: str = "fetch_time") -> DataFrame:
@@ -91,6 +103,79 @@ def outcomes(log: DataFrame) -> DataFrame:
 
 
 def available_runs(wanted: DataFrame, runs: DataFrame) -> DataFrame:
-    """For each wanted (day, model, fxx) the latest run at or before the day (S23, S24); runs: model, run_time."""
-    hit = wanted.join(runs, "model").filter(F.col("run_time") <= F.col("day") + F.make_dt_interval(days=F.lit(1)))
-    return newest(hit, ["day", "model", "fxx"], [F.col("run_time")])
+    """For each wanted (day, model, fxx) the latest run that began by the day's end (S24); runs: model, run_time.
+
+    Runs are first reduced to one a model and day; the last one carried along the days of a model is the answer."""
+    day = (F.col("run_time") - F.expr("interval 1 microsecond")).cast("date")  # a run at the next midnight still counts
+    daily = runs.groupBy("model", day.alias("day")).agg(F.max("run_time").alias("run_time"))
+    both = daily.join(wanted.select("model", "day").distinct(), ["model", "day"], "full_outer")
+    w = W.partitionBy("model").orderBy("day").rowsBetween(W.unboundedPreceding, 0)  # a row a model and day
+    return wanted.join(both.select("model", "day", F.last("run_time", True).over(w).alias("run_time")), ["model", "day"], "left").filter("run_time is not null")
+
+
+def schedule(spark: SparkSession, today: str) -> DataFrame:
+    """(model, day, run_time, forecast_hour, age): all runs that can serve the seven days from `today` on (S23, S24). A run that
+    is `age` days old serves a day with a forecast hour 24 higher for each, as far as the model reaches."""
+    rows = [(m, d, fxx + 24 * age, age) for m, d, fxx, longest, oldest in SCHEDULE for age in range(oldest + 1) if fxx + 24 * age <= longest]
+    return spark.createDataFrame(rows, "model string, ahead int, forecast_hour int, age int").select(
+        "model", F.date_add(F.lit(today).cast("date"), F.col("ahead")).alias("day"), F.date_add(F.lit(today).cast("date"), F.col("ahead") - F.col("age")).cast("timestamp_ntz").alias("run_time"), "forecast_hour", "age"
+    )
+
+
+def first_runs(wanted: DataFrame, runs: DataFrame) -> DataFrame:
+    """For each day and model the youngest wanted run that is there. runs: model, run_time, forecast_hour."""
+    there = wanted.join(runs.select("model", "run_time", "forecast_hour").distinct(), ["model", "run_time", "forecast_hour"], "left_semi")
+    return there.groupBy("model", "day").agg(F.min_by(F.struct("run_time", "forecast_hour"), "age").alias("b")).select("model", "day", "b.*")
+
+
+def refreshed(areas: DataFrame, cells: DataFrame, grid: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
+    """Forecasts of the seven days from `today` for all places (S23), and a row that says of how many days, and whether those are
+    enough (S24). areas: location_id, lat, lon; cells: cell_id, lat, lon; grid: model, run_time, forecast_hour, cell_id, and
+    values. Places without a value of snow depth have no forecast."""
+    from nivalis.operators.forecast import defaults
+    from nivalis.operators.spatial import nearest_cell_map
+
+    picked = first_runs(schedule(areas.sparkSession, today), grid)  # seven rows
+    where = nearest_cell_map(areas.withColumnRenamed("location_id", "point_id"), cells).withColumnRenamed("point_id", "location_id")
+    rows = grid.filter("snow_depth_m is not null").join(F.broadcast(picked), ["model", "run_time", "forecast_hour"])
+    out = defaults(rows.join(where, "cell_id").drop("cell_id"))
+    out = out.withColumn("valid_time", F.col("run_time") + F.make_dt_interval(hours=F.col("forecast_hour")))
+    done = picked.agg(F.count_distinct("day").alias("days")).withColumn("enough", F.col("days") >= LEAST_DAYS)
+    return out, done
+
+
+def upsert_terrain(new: DataFrame, path: str, key: tuple[str, ...] = ("lat", "lon"), by: str = "fetch_time") -> None:
+    """Writes terrain, keeping the newest of each place (S18); what is kept is written beside the table first."""
+    spark = new.sparkSession
+    old = spark.read.parquet(path) if _exists(spark, path) else None
+    side = path.rstrip("/") + "_next"
+    merged(old, new, list(key), by).write.mode("overwrite").parquet(side)
+    spark.read.parquet(side).write.mode("overwrite").parquet(path)
+
+
+def save(df: DataFrame, path: str) -> None:
+    """Observations, terrain or resorts as one Parquet table."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """A saved table (S15); `columns` are those that it must have."""
+    out = spark.read.parquet(path)
+    if missing := [c for c in columns or [] if c not in out.columns]:
+        raise ValueError(f"{path} has no columns {missing}")
+    return out
+
+
+def save_grid(df: DataFrame, path: str, ts: str = "run_time") -> None:
+    """Grid rows by year and month, in order of run and hour within a file (S16); only the months in `df` are rewritten."""
+    parted = df.withColumn("year", F.year(ts)).withColumn("month", F.month(ts))
+    order = [c for c in (ts, "forecast_hour") if c in df.columns]
+    spread = [c for c in ("forecast_hour",) if c in df.columns]  # a month isn't one task's
+    parted.repartition("year", "month", *spread).sortWithinPartitions("year", "month", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(path)
+
+
+def with_summit(areas: DataFrame, vertical: dict[str, float] | None = None) -> DataFrame:
+    """`areas` (name, base_elevation) with the summit's elevation: by the areas' known height, else 800 m."""
+    known = areas.sparkSession.createDataFrame([(n, float(v)) for n, v in (VERTICAL if vertical is None else vertical).items()], "name string, _v double")
+    out = areas.join(F.broadcast(known), "name", "left")  # a row a name
+    return out.withColumn("summit_elevation", F.col("base_elevation") + F.coalesce("_v", F.lit(DEFAULT_VERTICAL))).drop("_v")

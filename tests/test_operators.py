@@ -241,3 +241,90 @@ def test_upsert(spark, tmp_path):
     assert sorted((r.forecast_hour, r.depth) for r in out.collect()) == [(6, 2.0)] * 3 + [(12, 3.0)] * 3
     assert store.retained(out, F.lit(dt.datetime(2023, 2, 1))).count() == 0
     assert spark.createDataFrame(store.SKI_AREAS, "name string, lat double, lon double, state string, base int").count() == 22
+
+
+def test_stations_around_the_earth(spark):
+    import random
+
+    rng = random.Random(8)
+    schema = "id long, lat double, lon double"
+    places = [(i, rng.choice([-89.7, 89.9, 0.0, 60.0]) + rng.uniform(-0.09, 0.09), rng.choice([-180, -179.5, 179.8, 0.1, 90]) + rng.uniform(0, 0.2)) for i in range(60)]
+    stations = [(i, lat + rng.uniform(-0.1, 0.1) * (abs(lat) < 89), ((lon + rng.uniform(-0.6, 0.6) + 180) % 360) - 180) for i, lat, lon in places]
+
+    def km(a, b):
+        f, g = math.radians(a[1]), math.radians(b[1])
+        x = math.sin((g - f) / 2) ** 2 + math.cos(f) * math.cos(g) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * 6371 * math.asin(math.sqrt(min(x, 1)))
+
+    got = spatial.near_stations(spark.createDataFrame(places, schema), spark.createDataFrame(stations, schema), 60.0, station_id="id").collect()
+    want = {(a[0], b[0]) for a in places for b in stations if km(a, b) <= 60}
+    assert {(r.place, r.station) for r in got} == want and len(got) == len(want)
+
+
+def test_axis_search_is_exact(spark):
+    import random
+
+    rng = random.Random(9)
+    axis = sorted({round(rng.uniform(-50, 50), 2) for _ in range(40)})
+    cells = spark.createDataFrame([(a, 5.0, a) for a in axis], "latitude double, longitude double, v double")
+    points = spark.createDataFrame([(i, x, 4.0) for i, x in enumerate([-80.0, 80.0, axis[3], *(rng.uniform(-60, 60) for _ in range(80))])], "point_id long, lat double, lon double")
+    for r in spatial.nearest_cells(points, cells).collect():
+        assert abs(r.lat - r.v) == min(abs(r.lat - a) for a in axis)
+    with pytest.raises(ValueError):
+        spatial.nearest_cells(points, cells.withColumnRenamed("latitude", "north"))
+
+
+def test_validation_of_bad_frames(spark):
+    from nivalis.operators import validation
+
+    empty = spark.createDataFrame([], "station_id string, datetime timestamp, snow_depth_cm double, swe_mm double, temp_avg_c double, quality_flag string")
+    r = validation.snotel(empty).first()
+    assert not r.valid and r.issues == ["no rows", "missing"] and r.missing_pct == 100
+    r = validation.snotel(empty.drop("quality_flag").unionByName(spark.createDataFrame([("a", None, 3000.0, 1.0, 0.0)], "station_id string, datetime timestamp, snow_depth_cm double, swe_mm double, temp_avg_c double"))).first()
+    assert not r.valid and r.issues == ["no column quality_flag", "depth_range"]
+    d = spark.createDataFrame([(1.0, 100.0)], "elevation double, slope double")
+    assert validation.terrain(d).first().issues == ["outliers"] and validation.terrain(spark.createDataFrame([(1,)], "tile int")).first().valid
+    with pytest.raises(ValueError, match="outliers"):
+        validation.run(lambda: d, lambda x: x, validation.terrain, strict=True)
+
+
+def test_bootstrap_draws_equal_rows_apart(spark):
+    rows = [(1.0, 2.0)] * 50 + [(1.0, 0.0)] * 50  # two kinds of rows
+    out = {r.metric: r for r in verification.bootstrap(spark.createDataFrame(rows, "y_true double, y_pred double"), 400).collect()}
+    assert out["bias"].estimate == 0 and out["rmse"].estimate == 1
+    assert 0.1 < out["bias"].upper < 0.35  # 1.96 / sqrt(100) is 0.196; rows drawn together would give far more
+
+
+def test_stacking_fills_and_weighs(spark):
+    from nivalis import models
+
+    d = spark.range(300).select((F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 3).alias("fold"), (F.col("id") % 17 * 2.0 + F.col("id") % 5).alias("y"))
+    meta, base, oof = models.stacked(d, ["a"], "y", "fold", {"one": models.fitter("ridge", alpha=1.0), "two": models.fitter("boosted", maxIter=3)}, with_features=True)
+    assert meta.stages[0].getInputCols() == ["one", "two", "a"] and oof.count() == 300
+    w = {r.model: r.weight for r in models.meta_weights(spark, meta, ["one", "two"]).collect()}
+    assert sum(w.values()) == pytest.approx(1)
+    holes = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (3.0,)], "p double")
+    assert [r.p for r in models.filled(holes, ["p"]).collect()] == [1.0, 2.0, 2.0, 3.0]
+    with pytest.raises(ValueError):
+        models.fitter("absent")
+
+
+def test_search_with_an_objective_and_saved_model(spark, tmp_path):
+    from nivalis import models
+
+    d = spark.range(200).select((F.col("id") % 13).cast("double").alias("a"), (F.col("id") % 13 * 3.0).alias("y"))
+    worst = models.Objective(lambda y, p: F.max(F.abs(y - p)), "y")
+    best, history = models.search(d, ["a"], "y", {"maxDepth": [1, 4]}, worst)
+    assert len(history) == 2 and best.stages[-1].getMaxDepth() == 4
+    models.save_model(spark, best, str(tmp_path / "m"), ["a"], {"maxDepth": 4})
+    model, features, params = models.load_model(spark, str(tmp_path / "m"))
+    assert features == ["a"] and params == {"maxDepth": 4} and model.transform(d).count() == 200
+    assert models.importance_table(spark, best, ["a"]).first().feature == "a"
+
+
+def test_resample_and_z_scores(spark):
+    h = spark.range(48).select(F.lit("s").alias("station"), (F.timestamp_seconds(F.col("id") * 3600)).alias("ts"), F.col("id").cast("double").alias("temp"))
+    out = temporal.resample(h, "ts", "12 hours", ["station"]).orderBy("ts").collect()
+    assert [r.temp for r in out] == [5.5, 17.5, 29.5, 41.5]
+    z = lagged.sequences(h, ["temp"], 2, "station", "ts", "temp", z_score=True).orderBy("ts").collect()
+    assert z[0].target == 1.0 and z[-1].sequence[-1]["temp"] == pytest.approx((47 - 23.5) / math.sqrt((48**2 - 1) / 12))
