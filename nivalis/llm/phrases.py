@@ -33,39 +33,40 @@ def contexts(block: B.Block) -> Contexts:
 
 
 def locate(key, off, n, doc, pos, texts):
-    """Windows of each context whose words a document of smaller id has too."""
+    """Windows of each context whose words a document of smaller id has too.
+
+    Windows that two documents have are confirmed by their exact words and compiled to an automaton, each with its smallest
+    document; what is told are the automaton's matches in the contexts. Equal contexts are read once."""
     number: dict[bytes, int] = {}
-    classes: dict[tuple, list[int]] = {}  # equal contexts
+    classes: dict[tuple, list[int]] = {}
     for i, (k, t) in enumerate(zip(key.tolist(), texts, strict=True)):
-        words = tuple([number.setdefault(w, len(number)) for w in t.split()])
-        classes.setdefault((k, words), []).append(i)
-    least, most = {}, {}
-    first = {c: min(int(doc[i]) for i in members) for c, members in classes.items()}
-    for (_, words), d in first.items():
-        for o in range(len(words) - WINDOW + 1):
-            w = words[o : o + WINDOW]
-            if (x := least.setdefault(w, d)) > d:
-                least[w] = d
-            if most.setdefault(w, x) < d:
-                most[w] = d
+        classes.setdefault((k, tuple([number.setdefault(w, len(number)) for w in t.split()])), []).append(i)
+    docs = {c: [int(doc[i]) for i in members] for c, members in classes.items()}
+    least: dict[tuple, int] = {}
+    recurring = set()
+    for c, ids in docs.items():
+        low, several = min(ids), min(ids) < max(ids)
+        for o in range(len(c[1]) - WINDOW + 1):
+            w = c[1][o : o + WINDOW]
+            x = least.setdefault(w, low)
+            if several or x != low:
+                recurring.add(w)
+                least[w] = min(x, low)
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    confirmed = 0
-    for w, d in least.items():
-        if d < most[w]:
-            automaton.add_word(w, d)
-            confirmed += 1
+    for w in recurring:
+        automaton.add_word(w, least[w])
     out: list[tuple[int, int, int]] = []
-    if confirmed:
+    if recurring:
         automaton.make_automaton()
-    for c, members in classes.items():
-        d, last = first[c], len(c[1]) - WINDOW
-        hits = [(end - WINDOW + 1) for end, x in automaton.iter(c[1]) if x < d] if confirmed else []
-        for i in members:
-            if doc[i] > d:
-                out.append((i, 0, last))
-            elif hits:
-                at = np.array(hits)
-                out.extend((i, int(x), int(y)) for _, x, y in zip(*ranges(np.zeros(len(at), np.int64), at), strict=True))
+        for c, members in classes.items():
+            hits = [(end - WINDOW + 1, x) for end, x in automaton.iter(c[1])]
+            if not hits:
+                continue
+            at, low = np.array(hits, np.int64).T
+            for i, d in zip(members, docs[c], strict=True):
+                later = at[low < d]
+                if len(later):
+                    out.extend((i, int(x), int(y)) for _, x, y in zip(*ranges(np.zeros(len(later), np.int64), later), strict=True))
     return tuple(np.array(out, np.int64).reshape(-1, 3).T)
 
 

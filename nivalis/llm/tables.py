@@ -1,34 +1,16 @@
-"""Shared helpers: written tables that cut lineage, and small Column helpers."""
+"""Shared helpers of the text operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters that end a word: `[^\x20\x09-\x0D]+` is a word.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Taken from `spark.checkpoint.dir`; only where that is unset (tests) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="nivalis-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+from nivalis.session import shared_dir, written
 
+__all__ = ["WORD", "let", "partitions", "read", "shared_dir", "small_batches", "unused", "written"]
 
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """`df` written once to the shared folder and read again.
-
-    A lost executor costs only a re-read, and what follows doesn't compute `df` again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Characters that end a word: `[^\x20\x09-\x0D]+` is a word.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -41,6 +23,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes not to be a column of `df`."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def let(value: Column, f) -> Column:
     """`f(value)` with `value` evaluated once, however often `f` uses it."""
     return F.element_at(F.transform(F.array(value), f), 1)
