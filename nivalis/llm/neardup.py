@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from nivalis.llm import blocks as B
 from nivalis.llm.blocks import U
 from nivalis.llm.components import components
-from nivalis.llm.tables import partitions, read, small_batches, written
+from nivalis.llm.tables import partitions, read, small_batches, unused, written
 
 WORDS, THRESHOLD = 5, (4, 5)  # similarity is at least 4 / 5
 BANDS, ROWS, STEP = 32, 5, 32
@@ -177,15 +177,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col), F.lit(""))
     body = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.cast("binary").alias("text"))
     sketches = written(body.mapInArrow(_sketch, "doc_id long, node long, n long, sig binary, bands array<long>"))
-    nodes = sketches.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_equal"))
-    bands = sketches.select("node", F.explode("bands").alias("band"))
+    # one row of each text: copies are put together, partly before the shuffle, so that no band and no join sees them
+    nodes = written(sketches.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_equal"), F.max("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    bands = nodes.select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("u"), F.max("node").alias("w")).filter("u <> w").drop("w")
     near = bands.join(shared, "band").select("u", F.col("node").alias("v")).filter("u <> v").distinct()
     comps = components(near)
-    # one row of each text, with its component and the number of tiles that its component is cut into
-    # (copies are put together before the join, so that no task gets all copies of a text)
-    one = sketches.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.first("sig").alias("sig"))
-    one = written(one.join(comps.withColumnRenamed("root", "comp"), "node"))
+    # each text with its component and the number of tiles that its component is cut into
+    one = written(nodes.select("node", "least", "n", "sig").join(comps.withColumnRenamed("root", "comp"), "node"))
     size = one.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / TILE_TEXTS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
     texts = body.withColumnRenamed("node", "t_node").withColumnRenamed("doc_id", "t_id")
     found = one.join(size, "comp").join(texts, (F.col("node") == F.col("t_node")) & F.col("least").eqNullSafe(F.col("t_id")))
@@ -197,7 +196,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = written(meet.mapInArrow(_compare, "node long, root long, links long"))
     linked = links.groupBy("node").agg(F.sum("links").alias("n_links"))
     groups = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    known = nodes.join(groups, "node", "left").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = nodes.select("node", "least", "n_equal").join(groups, "node", "left").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = written(known)
     classes = known.groupBy("root").agg(F.min("least").alias("class_id"))
     known = known.join(classes, "root").select(F.col("node").alias("k_node"), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_equal")
@@ -205,14 +204,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """`docs` with one row of each class: that of the smallest doc_id (one of them, where rows are repeated)."""
-    keep = jaccard_join(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("k_id"), F.col("node").alias("k_node")).agg(F.count("*").alias("k_n"))
-    keep = written(keep)
+    """`docs` with one row of each class: that of the smallest doc_id (one of them, where rows are repeated). Null and empty
+    texts are one class; an empty table stays empty; other columns stay as they are."""
+    kept, node = unused(docs, "kept", "node")
+    found = jaccard_join(docs.select("doc_id", "text")).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    keep = written(found.groupBy(F.col("doc_id").alias(kept), F.col("node").alias(node)).agg(F.count("*").alias("times")))
     own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    out = docs.join(keep.drop("k_n"), F.col("doc_id").eqNullSafe(F.col("k_id")) & (own == F.col("k_node")), "left_semi")
-    if keep.filter("k_n > 1").isEmpty():
+    out = docs.join(keep.drop("times"), F.col("doc_id").eqNullSafe(F.col(kept)) & (own == F.col(node)), "left_semi")
+    if keep.filter("times > 1").isEmpty():
         return out
-    return out.withColumn("_node", own).dropDuplicates(["doc_id", "_node"]).drop("_node")
+    return out.withColumn(node, own).dropDuplicates(["doc_id", node]).drop(node)
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
