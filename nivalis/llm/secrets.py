@@ -1,10 +1,13 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with false-discovery control. DataFrame functions only.
 
-Every run of 20 or more token characters is a candidate. Its encoding (hex, base32, alphanumeric, base64) is inferred,
-and three statistics are taken of it: the chi-squared statistic of its alphabet, the number of runs of character
-classes, and the lag-1 serial correlation of its codes. Each gives a z score against what ordinary words give, whose
-spread narrows with the length; together they give one p value. In each class of lengths the Benjamini-Hochberg rule
-holds the share of false discoveries to `FDR`.
+Every run of 20 or more letters, digits, + and / is a candidate; runs end at _, - and =, so that the value of
+`prefix_value` is tested without the prefix. Its encoding (hex, base32, alphanumeric, base64) is inferred, and three
+statistics are taken of it against even draws from that encoding: the chi-squared statistic of its alphabet, the number of
+runs of character classes, and the lag-1 serial correlation of its codes. The squares of an uneven alphabet, of too few runs and of the correlation add up to
+its distance from randomness. How far ordinary candidates of the same length are is estimated from the corpus (median and lower quartile of
+the distance's logarithm, which secrets hardly move), so that a candidate has one p value, whatever the statistics' dependence;
+in each class of lengths the Benjamini-Hochberg rule holds the share of false discoveries to `FDR`. A candidate that the
+battery itself rejects at 0.1 % is never one. Candidates inside the fixed patterns' matches are tested like all others.
 """
 
 from __future__ import annotations
@@ -20,13 +23,17 @@ from nivalis.llm.tables import let, read, written
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # AKIA[A-Z0-9]+ of 20 or more characters
 HEX = r"[0-9a-f]{24,}"  # [0-9a-f]+ of 24 or more
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 
 FDR = 0.01
 BINS = 400  # of -log10 p, 0.05 wide
-#: What words give: chance that two characters are equal, share of neighbours of different class, serial correlation.
-WORDS = {"coincidence": 0.066, "change": 0.12, "serial": 0.35}
+CLASSES = 32  # of lengths: powers of two
+REJECTED = 16.27  # of chi-squared with three degrees of freedom, 0.1 % are above
+ORDINARY = (-4.8, 0.5)  # median and standard deviation of words' scores, which count as much as PRIOR candidates
+PRIOR = 50
+#: Encodings: letters, share of neighbours of different class (lower, upper, digit, other) in even draws, pattern.
+ENCODINGS = [(16, 15 / 32, "^([0-9a-f]+|[0-9A-F]+)$"), (22, 78 / 121, "^[0-9a-fA-F]+$"), (32, 39 / 128, "^[A-Z2-7]+$"), (36, 65 / 162, "^([a-z]*[0-9]){2}[a-z0-9]*$"), (62, 598 / 961, "^[A-Za-z0-9]+$"), (64, 165 / 256, "")]
 
 
 def matches(text: Column, pattern: str, value_group: int = 0) -> Column:
@@ -51,22 +58,20 @@ def _spans(found: Column, kind: str) -> Column:
 
 
 def battery(s: Column) -> Column:
-    """(p, length_class, uniform_z, runs_z, serial_z) of a candidate: p is small if ordinary words would hardly look so random."""
+    """(length_class, uneven_z, runs_z, serial_z, score) of a candidate; the score is larger the more random it looks."""
 
     def tested(chars):
         n = F.size(chars).cast("double")
+        letters, change = (F.when(F.lit(False), None) for _ in range(2))
+        for size, share, pattern in ENCODINGS:
+            letters, change = letters.when(s.rlike(pattern), float(size)), change.when(s.rlike(pattern), share)
         squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc + F.pow(F.lit(1.0) * (n - F.char_length(F.replace(s, c, F.lit("")))), 2.0))
-        letters = F.when(s.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16.0).when(s.rlike("^[A-Z2-7]+=*$"), 32.0).when(s.rlike("^[A-Za-z0-9]+$"), 62.0).otherwise(64.0)
         chi2 = letters / n * squares - n
-        # as a normal score: against an even alphabet, and against words' rate of coincidences
-        even_z = (F.pow(F.greatest(chi2, F.lit(0.0)) / (letters - 1), 1 / 3) - (1 - 2 / (9 * (letters - 1)))) / F.sqrt(2 / (9 * (letters - 1)))
-        pairs = n * (n - 1) / 2
-        k = WORDS["coincidence"]
-        uniform_z = (pairs * k - (squares - n) / 2) / F.sqrt(pairs * k * (1 - k))
-        classes = F.translate(s, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-", "l" * 26 + "u" * 26 + "d" * 10 + "o" * 5)
+        # Wilson and Hilferty's normal score of the chi-squared statistic
+        uneven_z = (F.pow(F.greatest(chi2, F.lit(0.0)) / (letters - 1), 1 / 3) - (1 - 2 / (9 * (letters - 1)))) / F.sqrt(2 / (9 * (letters - 1)))
+        classes = F.translate(s, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "l" * 26 + "u" * 26 + "d" * 10 + "o" * 2)
         runs = F.char_length(F.regexp_replace(classes, r"(.)\1*", "x")).cast("double")
-        c = WORDS["change"]
-        runs_z = (runs - 1 - c * (n - 1)) / F.sqrt((n - 1) * c * (1 - c))
+        runs_z = (runs - 1 - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change))
         codes = F.transform(chars, lambda ch: F.ascii(ch).cast("double"))
 
         def serial(x):
@@ -75,15 +80,32 @@ def battery(s: Column) -> Column:
             cov = F.aggregate(F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda a, v: a + v)
             return F.when(var > 0, cov / var).otherwise(F.lit(1.0))
 
-        serial_z = (F.lit(WORDS["serial"]) - let(codes, serial)) * F.sqrt(n)
-        z = (uniform_z + runs_z + serial_z) / math.sqrt(3)
-        tail = 1 / (1 + F.exp(F.least(1.5976 * z + 0.07056 * z * z * z, F.lit(700.0))))  # normal upper tail
-        p = F.when((even_z > 4) | (uniform_z < 0), F.lit(1.0)).otherwise(tail)  # not even enough: not random
-        return F.struct(p.alias("p"), F.floor(F.log2(n)).cast("int").alias("length_class"), uniform_z.alias("uniform_z"), runs_z.alias("runs_z"), serial_z.alias("serial_z"))
+        serial_z = let(codes, serial) * F.sqrt(n)
+        far = F.pow(F.greatest(uneven_z, F.lit(0.0)), 2.0) + F.pow(F.least(runs_z, F.lit(0.0)), 2.0) + F.pow(serial_z, 2.0)
+        return F.struct(F.least(F.floor(F.log2(n)), F.lit(CLASSES - 1)).cast("int").alias("length_class"), uneven_z.alias("uneven_z"), runs_z.alias("runs_z"), serial_z.alias("serial_z"), (-F.log1p(far)).alias("score"))
 
     return let(F.split(s, "", F.char_length(s)), tested)
 
 
+def spread(tests: DataFrame) -> list[tuple[float, float]]:
+    """(median, standard deviation) of ordinary candidates' scores for each class of lengths; `tests` has a struct t.
+
+    Secrets lie above the median and hardly touch it and the lower quartile, as long as they are few."""
+    quartiles = F.percentile_approx("t.score", F.array(F.lit(0.25), F.lit(0.5)), F.lit(10_000))
+    rows = {r["c"]: r for r in tests.rollup(F.col("t.length_class").alias("c")).agg(F.count("*").alias("n"), quartiles.alias("q")).collect()}  # a row a class
+
+    def of(c: int | None, prior: tuple[float, float]) -> tuple[float, float]:
+        """A class's own figures, and the prior as if it were so many more candidates."""
+        if c not in rows or not rows[c]["n"]:
+            return prior
+        (low, median), n = rows[c]["q"], rows[c]["n"]
+        own = (median, max((median - low) / 0.6745, 0.2))
+        return tuple((n * x + PRIOR * y) / (n + PRIOR) for x, y in zip(own, prior, strict=True))
+
+    whole = of(None, ORDINARY)
+    return [of(c, whole) for c in range(CLASSES)]
+
+
 def _bin(p: Column) -> Column:
     return F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * 20), F.lit(BINS)).cast("int")
 
@@ -111,13 +133,21 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
     found = docs.select(*rest, F.filter(matches(body, ASSIGN, 1), lambda m: F.char_length(m["value"]) >= 6).alias("_assign"), matches(body, ACCESS).alias("_access"), matches(body, HEX).alias("_hex"), matches(body, CANDIDATE).alias("_more"))
     base = F.array_sort(F.concat(_spans(F.col("_assign"), "assign"), _spans(F.col("_access"), "access"), _spans(F.col("_hex"), "hex")))
-    free = F.filter("_more", lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    tests = F.transform(free, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), battery(m["text"]).alias("test")))
+    tests = F.transform("_more", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), battery(m["text"]).alias("t")))
     kept = written(found.select(*rest, *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]], base.alias("base"), tests.alias("tests")))
-    counts = kept.select(F.explode("tests.test").alias("t")).groupBy(F.col("t.length_class").alias("c"), _bin(F.col("t.p")).alias("b")).agg(F.count("*").alias("n")).collect()  # 32 classes of BINS at most
+    each = kept.select(F.explode("tests.t").alias("t"))
+    ordinary = spread(each)
+    of_class = lambda t, k: F.element_at(F.array(*[F.lit(float(x[k])) for x in ordinary]), t["length_class"] + 1)
+
+    def p(t: Column) -> Column:
+        z = (t["score"] - of_class(t, 0)) / of_class(t, 1)
+        tail = 1 / (1 + F.exp(F.least(1.5976 * z + 0.07056 * z * z * z, F.lit(700.0))))  # the normal upper tail
+        return F.when(t["score"] < -math.log1p(REJECTED), F.lit(1.0)).otherwise(tail)
+
+    counts = each.groupBy(F.col("t.length_class").alias("c"), _bin(p(F.col("t"))).alias("b")).agg(F.count("*").alias("n")).collect()  # CLASSES times BINS at most
     lowest = discoveries([tuple(r) for r in counts])
-    bounds = F.array(*[F.lit(lowest.get(c, BINS + 1)) for c in range(32)])
-    added = F.transform(F.filter("tests", lambda x: _bin(x["test"]["p"]) >= F.element_at(bounds, x["test"]["length_class"] + 1)), lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
+    bounds = F.array(*[F.lit(lowest.get(c, BINS + 1)) for c in range(CLASSES)])
+    added = F.transform(F.filter("tests", lambda x: _bin(p(x["t"])) >= F.element_at(bounds, x["t"]["length_class"] + 1)), lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
     return kept.select(*rest, "n_assign", "n_access", "n_hex", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
