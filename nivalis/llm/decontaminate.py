@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from nivalis.llm import blocks as B
 from nivalis.llm.blocks import U
-from nivalis.llm.tables import read, small_batches, written
+from nivalis.llm.tables import read, small_batches, unused, written
 
 WINDOW, GRAM = 13, 8
 WINDOW_GRAMS = WINDOW - GRAM + 1
@@ -144,10 +144,10 @@ def _scan(benchmark, batches):
             a = b
 
 
-def contaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """(row, doc_id, n_words, spans, items): `spans` are first and end word of what is hit, in pairs; `items` the ids,
-    as strings, of the items found. `row` is that of `docs`, a number of its own for each row; if it has none, one is
-    given where several parts need it, and else it is null.
+    as strings, of the items found. `row` is the column `row_col` of `docs`, a number of its own for each row; if none is
+    named, one is given where several parts need it, and else it is null. Other columns are left out.
 
     Null texts have no words; items without words are never found; a null item id is left out; repeated rows and items
     are judged each for itself; an empty table gives an empty result, an empty benchmark no hits."""
@@ -157,9 +157,10 @@ def contaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, -(-size // PART_BYTES))
     part = F.pmod(F.xxhash64("id", "text"), F.lit(n))
-    if n > 1 and "row" not in docs.columns:
-        docs = written(docs.withColumn("row", F.monotonically_increasing_id()))
-    row = F.col("row").cast("long") if "row" in docs.columns else F.lit(None).cast("long")
+    if n > 1 and row_col is None:
+        (row_col,) = unused(docs, "row")
+        docs = written(docs.withColumn(row_col, F.monotonically_increasing_id()))
+    row = F.lit(None).cast("long") if row_col is None else F.col(row_col).cast("long")
     body = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     out = None
     for k in range(n):  # parts of the benchmark, each of bounded size; one, for a benchmark of some MB
@@ -190,17 +191,19 @@ def _digest(batches):
 _JUDGED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
 
 
-def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def judged(docs: DataFrame, benchmark: DataFrame, row_col: str | None = None) -> DataFrame:
     """(row, doc_id, n_words, n_hit, n_items, items_sha256, contaminated): as `contaminate`, with the hit words counted.
     A document is contaminated if a word is hit and at least one word in twenty."""
-    return contaminate(docs, benchmark).mapInArrow(_digest, "row long, doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return contaminate(docs, benchmark, row_col=row_col).mapInArrow(_digest, "row long, doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs`, with all their columns, without contaminated rows."""
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))  # rows of equal id and text are judged alike
-    bad = judged(rows.select(F.col("_row").alias("row"), "doc_id", "text"), benchmark).filter("contaminated").select(F.col("row").alias("_row")).distinct()
-    return rows.join(written(bad), "_row", "left_anti").drop("_row")
+    """`docs`, with all their columns, without contaminated rows. Rows of null text are kept; rows of equal id and text are judged
+    alike."""
+    (name,) = unused(docs, "row")
+    rows = docs.withColumn(name, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    bad = judged(rows.select(name, "doc_id", "text"), benchmark, name).filter("contaminated").select(F.col("row").alias(name)).distinct()
+    return rows.join(written(bad), name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

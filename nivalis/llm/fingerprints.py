@@ -7,11 +7,13 @@ texts that share K + W - 1 tokens in a row share a kept hash.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
-from nivalis.llm.tables import let, partitions, read
+from nivalis.llm.tables import let, partitions, read, unused
 
 K, W = 5, 8
 TOKEN = r"[^\x20\x09-\x0D]{1,12}"
@@ -57,6 +59,9 @@ def winnow(text: Column) -> Column:
     return let(placed, smallest)
 
 
+RANGE_BYTES = 64 << 20
+
+
 def hashes(kept: Column) -> Column:
     return F.array_distinct(F.transform(kept, lambda v: F.shiftright(v, 31)))
 
@@ -77,41 +82,42 @@ def with_next(docs: DataFrame, id_col: str, values: dict[str, str], prepare=None
     """`docs` with, for each name: column in `values`, that column of the next row in ascending id; after the last: the first.
 
     Ids are cut into ranges that are windows of their own; each range's first row is also put at the end of the range
-    before it. Null ids come first; rows of equal id are ordered by a hash. `prepare` adds columns after `values` are
-    known, and names the columns (a dict) of which the next row's values are then taken too."""
+    before it. Null ids come first; rows of equal id are ordered by a hash. `prepare(rows, is_own)` adds columns after `values`
+    are known, and names the columns (a dict) of which the next row's values are then taken too. There are as many ranges
+    as RANGE_BYTES of `values` need. Other columns stay as they are; columns named in `values` are added."""
     spark = docs.sparkSession
+    k, part, copy, to = unused(docs, "key", "part", "copy", "to")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST))
-    n = 2 * partitions(spark)
+    size = docs.agg(F.sum(sum((F.octet_length(F.col(c).cast("string")) for c in values.values()), F.lit(64)))).first()[0] or 0
+    n = max(2 * partitions(spark), math.ceil(size / RANGE_BYTES))
     got = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10 * n)).first()[0] or []
     bounds = sorted({int(x) for x in got})
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("_key"))) if bounds else F.lit(0)
-    keyed = docs.withColumn("_key", key).withColumn("_part", part)
-    firsts = {r["_part"]: r["k"] for r in keyed.groupBy("_part").agg(F.min("_key").alias("k")).collect()}  # a row for each range
-    if not firsts:
-        firsts = {0: 0}
+    keyed = docs.withColumn(k, key)
+    keyed = keyed.withColumn(part, F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(k))) if bounds else F.lit(0))
+    firsts = {r["p"]: r["k"] for r in keyed.groupBy(F.col(part).alias("p")).agg(F.min(k).alias("k")).collect()} or {0: 0}  # a row for each range
     parts = sorted(firsts)
     before = {p: parts[i - 1] for i, p in enumerate(parts)}
-    first_of = F.element_at(F.array(*[F.lit(firsts.get(p)).cast("long") for p in range(parts[-1] + 1)]), F.col("_part") + 1)
-    before_of = F.element_at(F.array(*[F.lit(before.get(p)).cast("int") for p in range(parts[-1] + 1)]), F.col("_part") + 1)
-    own = F.struct(F.col("_part").alias("p"), F.lit(0).alias("copy"))
+    first_of = F.element_at(F.array(*[F.lit(firsts.get(p)).cast("long") for p in range(parts[-1] + 1)]), F.col(part) + 1)
+    before_of = F.element_at(F.array(*[F.lit(before.get(p)).cast("int") for p in range(parts[-1] + 1)]), F.col(part) + 1)
+    own = F.struct(F.col(part).alias("p"), F.lit(0).alias("copy"))
     again = F.struct(before_of.alias("p"), F.lit(1).alias("copy"))
-    dealt = keyed.withColumn("_to", F.explode(F.when(F.col("_key") == first_of, F.array(own, again)).otherwise(F.array(own)))).withColumn("_copy", F.col("_to.copy")).withColumn("_in", F.col("_to.p"))
-    order = Win.partitionBy("_in").orderBy("_copy", "_key", F.xxhash64(*[F.col(c) for c in values.values()]))
+    dealt = keyed.withColumn(to, F.explode(F.when(F.col(k) == first_of, F.array(own, again)).otherwise(F.array(own)))).withColumn(copy, F.col(f"{to}.copy")).withColumn(to, F.col(f"{to}.p"))
+    order = Win.partitionBy(to).orderBy(copy, k, F.xxhash64(*[F.col(c) for c in values.values()]))
     out = dealt.select("*", *[F.lead(c).over(order).alias(name) for name, c in values.items()])
     if prepare:
-        out, more = prepare(out)
+        out, more = prepare(out, F.col(copy) == 0)
         out = out.select("*", *[F.lead(c).over(order).alias(name) for name, c in more.items()])
-    return out.filter("_copy = 0").drop("_key", "_part", "_to", "_copy", "_in")
+    return out.filter(F.col(copy) == 0).drop(k, part, copy, to)
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
-    def prepare(df):
+    def prepare(df, is_own):
         n = F.char_length("text")
         q = F.floor(n / 4).cast("int")
         df = df.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - q), F.substring(F.col("next_text"), F.lit(1), q)))
-        return df.select("*", winnow(F.col("text")).alias("own"), F.when(F.col("_copy") == 0, winnow(F.col("edited"))).alias("of_edited")), {"of_next": "own"}
+        return df.select("*", winnow(F.col("text")).alias("own"), F.when(is_own, winnow(F.col("edited"))).alias("of_edited")), {"of_next": "own"}
 
     df = with_next(docs, "doc_id", {"next_text": "text"}, prepare)
     return df.select(

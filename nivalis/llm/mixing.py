@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nivalis.llm.tables import WORD, read, written
+from nivalis.llm.tables import WORD, read, unused, written
 
 PHI = 0.6180339887498949
 BLOCK = 64  # words
@@ -114,14 +114,14 @@ def mix(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """`docs`, with all their columns, each row as often as the mix takes its words: once if any are taken, and again if
-    more than half of a second time. Rows of no words are left out."""
-    key = docs.withColumn("_size", n_words(F.col("text"))).withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    taken = mix(key.select(F.col("_key").alias("doc_id"), "source", F.col("_size").alias("size")))[0]
+    more than half of a second time. Rows of no words are left out; rows of equal id and text are taken alike."""
+    key, often, copy = unused(docs, "key", "times", "copy")
+    rows = docs.withColumn(key, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    taken = mix(rows.select(F.col(key).alias("doc_id"), "source", n_words(F.col("text")).alias("size")))[0]
     times = F.when(F.col("taken") > 1.5 * F.col("size"), 2).when(F.col("taken") > 0, 1).otherwise(0)
-    # rows of equal id and text are taken alike
-    times = taken.select(F.col("doc_id").alias("_key"), times.alias("_times")).groupBy("_key").agg(F.max("_times").alias("_times")).filter("_times > 0")
-    out = key.join(written(times), "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return out.drop("_size", "_key", "_times", "_copy")
+    times = taken.select(F.col("doc_id").alias(key), times.alias(often)).groupBy(key).agg(F.max(often).alias(often)).filter(F.col(often) > 0)
+    out = rows.join(written(times), key).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(often))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -360,6 +360,29 @@ def test_secrets(docs, empty, spark):
     assert secrets.scan(empty.select("doc_id", "text")).count() == 0 and secrets.scan(docs.select("doc_id", "text")).count() == len(ROWS)
 
 
+def test_secrets_are_told_from_words(spark):
+    """Planted tokens of several encodings among long ordinary runs: most are found, and hardly anything else."""
+    rng = random.Random(21)
+    b64, syllables = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", ["tion", "heit", "ver", "en", "er", "an", "th", "re", "ing", "ea", "on", "de", "st", "es", "ti"]
+    make = {
+        "base64": lambda: "".join(rng.choices(b64, k=40)), "alnum": lambda: "ghp_" + "".join(rng.choices(b64[:62], k=36)), "hex": lambda: "".join(rng.choices("0123456789ABCDEF", k=48)),
+        "lower": lambda: "sk-" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=32)), "base32": lambda: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=40)),
+    }
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(6, 12)))
+    plain = [word, lambda: word().capitalize() + word(), lambda: "path/to/" + word() + "/" + word(), lambda: "x" * rng.randint(20, 40), lambda: word() + str(rng.randint(1, 99))]
+    rows, where = [], {}
+    for i in range(900):
+        kind = rng.choice(list(make)) if i % 15 == 0 else None
+        token = make[kind]() if kind else rng.choice(plain)()
+        rows.append((i, f"one two {token} three"))
+        if kind:
+            where[i] = (kind, 8 + len(token) - len(re.split("[_-]", token)[-1]), 8 + len(token))
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == 3] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = sum(where[i][1:] in got[i] for i in where)
+    false = sum(bool(x) for i, x in got.items() if i not in where)
+    assert hit >= 0.9 * len(where) and false <= 0.02 * hit + 1, (hit, len(where), false)
+
+
 def test_winnowing(docs, empty, spark):
     rows = docs.select("doc_id", "text", fingerprints.winnow(F.col("text")).alias("kept")).collect()
     cut = re.compile(r"[^\x20\x09-\x0D]{1,12}")
@@ -421,3 +444,43 @@ def test_many_sources(spark, monkeypatch):
     df = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 7).alias("source"), (F.col("id") % 13).alias("size"))
     rows = mixing.mix(df, 8)[0].collect()
     assert len(rows) == 300 and abs(sum(r.taken for r in rows) - 1.5 * sum(r["size"] for r in rows)) < 150
+
+
+NASTY = ["row", "key", "times", "copy", "part", "to", "node", "kept", "score", "shard", "slot", "at", "size", "_size", "_key", "_row", "_node", "_copy", "bucket", "n", "tests"]
+
+
+def test_other_columns_with_clashing_names(docs, spark):
+    """Extra columns come through stages as they are, and change no result."""
+    import corpus_pipeline
+
+    small = docs.filter("doc_id < 20 or doc_id between 200 and 206 or doc_id > 299")
+    rich = small.select("*", *[F.col("doc_id").alias(n) for n in NASTY])
+    bench = spark.createDataFrame([("7", ROWS[7][1]), ("8", None), (None, "x")], "item_id string, text string")
+    stages = {
+        "one_of_each": neardup.one_of_each, "clean": lambda d: decontaminate.clean(d, bench), "mixed": mixing.mixed, "next": lambda d: fingerprints.with_next(d, "doc_id", {"nx": "text"}),
+        "scan": lambda d: secrets.scan(d).select("doc_id", "n_hex", *[c for c in d.columns if c in NASTY and c != "tests"]),
+    }
+    for name, f in stages.items():
+        a, b = f(rich), f(small)
+        kept = [c for c in b.columns if c not in NASTY]
+        assert sorted(map(str, a.select(kept).collect())) == sorted(map(str, b.select(kept).collect())), name
+        extra = [c for c in NASTY if c in a.columns]
+        assert len(extra) >= len(NASTY) - 1 and a.filter(" or ".join(f"`{c}` is distinct from doc_id" for c in extra)).isEmpty(), name
+    assert rich.columns == corpus_pipeline.keep_clean(spark, rich, "/root/testdata/sf0.001").columns
+    out = sharding.external_shuffle(rich, "doc_id", 3)
+    assert out.count() == small.count() and set(NASTY) <= set(out.columns)
+
+
+def test_repeated_rows_and_long_texts(spark):
+    """Repeated rows get equal results, and a text of a megabyte is like any other."""
+    rng = random.Random(31)
+    long = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(160_000))
+    rows = [(1, long), (1, long), (2, "some words here"), (2, "some words here"), (3, None), (3, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scored = language.score_texts(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("score").alias("k"), F.max("n_bytes").alias("b")).collect()
+    assert {(r.doc_id, r.n, r.k) for r in scored} == {(1, 2, 1), (2, 2, 1), (3, 2, 1), (None, 1, 1)} and max(r.b for r in scored) == len(long)
+    assert secrets.scan(docs).count() == 7
+    got = fingerprints.with_next(docs, "doc_id", {"nx": "text"})
+    assert got.count() == 7
+    removed = by_id(phrases.remove_repeats(docs.filter("doc_id = 1 or doc_id = 2")), "n_removed")
+    assert removed == {1: (0,), 2: (0,)}
