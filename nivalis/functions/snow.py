@@ -117,7 +117,7 @@ def freshness(age_minutes: Column) -> Column:
 
 
 def age_text(minutes: Column) -> Column:
-    return F.when(minutes.isNull(), "Never").when(minutes < 1, "Just now").when(minutes < 60, F.concat(F.floor(minutes).cast("string"), F.lit(" min ago"))).when(minutes < 1440, F.format_string("%.1f hrs ago", minutes / 60)).otherwise(F.format_string("%.1f days ago", minutes / 1440))
+    return F.when(minutes.isNull(), "Never").when(minutes < 1, "Just now").when(minutes < 60, F.concat(F.floor(minutes).cast("string"), F.lit(" min ago"))).when(minutes < 1440, F.format_string("%.1f hrs ago", F.bround(minutes / 60, 1))).otherwise(F.format_string("%.1f days ago", F.bround(minutes / 1440, 1)))
 
 
 def nbm_hour(hours: Column) -> Column:

@@ -31,6 +31,12 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def _even(x: str, places: int = 1) -> str:
+    """So many decimal places, halves to even; decimals are those of the number's shortest form."""
+    d, k = f"CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(30, 15))", 10**places
+    return f"r6(CASE WHEN ({d} * {k}) % 1 = 0.5 THEN (floor({d} * {k}) + floor({d} * {k}) % 2) / {k} ELSE round({d}, {places}) END)"
+
+
 # ---- time (A1-A4, J6, J13, J14, W16-W18, F10-F17) ------------------------------------------------------------------------
 
 DAYS = """days AS (SELECT station_id, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM d
@@ -771,12 +777,10 @@ def f36_elevation_class(v):
     return v.resorts.select("id", snow.elevation_class(F.col("elevation")).alias("class"), snow.elevation_estimate(F.col("lat")).alias("estimate"), snow.climate_depth_cm(F.col("lat"), F.lit(3)).alias("climate_depth_cm"), terrain.latitude_normalized(F.col("lat")).alias("latitude_normalized"))
 
 
-@query("f37_freshness", """WITH a AS (SELECT event_id, date_diff('second', date_trunc('second', ts), TIMESTAMP '2024-01-31 00:00:00') / 60 AS m
-    FROM events) SELECT event_id,
-    CASE WHEN m < 30 THEN 'Fresh' WHEN m < 120 THEN 'Recent' WHEN m < 360 THEN 'Stale' ELSE 'Old' END AS freshness,
-CASE WHEN m < 1 THEN 'Just now' WHEN m < 60 THEN CAST(floor(m) AS BIGINT)::VARCHAR || ' min ago' WHEN m < 1440 THEN
-    printf('%.1f hrs ago', round_even(m / 60, 1)) ELSE printf('%.1f days ago', round_even(m / 1440, 1)) END AS age
-    FROM a""")
+@query("f37_freshness", f"""WITH a AS (SELECT event_id, date_diff('second', date_trunc('second', ts), TIMESTAMP '2024-01-31 00:00:00') / 60 AS m FROM events)
+    SELECT event_id, CASE WHEN m < 30 THEN 'Fresh' WHEN m < 120 THEN 'Recent' WHEN m < 360 THEN 'Stale' ELSE 'Old' END AS freshness,
+    CASE WHEN m < 1 THEN 'Just now' WHEN m < 60 THEN CAST(floor(m) AS BIGINT)::VARCHAR || ' min ago'
+    WHEN m < 1440 THEN printf('%.1f hrs ago', {_even("m / 60")}) ELSE printf('%.1f days ago', {_even("m / 1440")}) END AS age FROM a""")
 def f37_freshness(v):
     m = F.timestamp_diff("SECOND", F.date_trunc("second", "ts"), F.lit("2024-01-31 00:00:00").cast("timestamp")) / 60
     return v.table("events").select("event_id", snow.freshness(m).alias("freshness"), snow.age_text(m).alias("age"))
@@ -854,13 +858,6 @@ def j12_status(v):
     return store.status(v.resorts.select(F.col("id").alias("location_id")), v.forecasts, v.surveyed)
 
 
-def _even(x: str) -> str:
-    """One decimal place, halves to even; decimals are those of the number's shortest form."""
-    d = f"CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(30, 15))"
-    return f"r6(CASE WHEN ({d} * 10) % 1 = 0.5 THEN (floor({d} * 10) + floor({d} * 10) % 2) / 10 ELSE round({d}, 1) END)"
-
-
-
 J15 = """WITH b AS (SELECT id AS request_id, h.temp_k AS ht, h.precip_mm AS hp, h.snow_depth_m AS hd, h.categorical_snow AS hc,
     n.temp_k AS nt, n.snow_depth_m / 10 AS nn, n.snow_depth_m AS nd,
     CASE WHEN id % 11 <> 0 THEN 0.5::DOUBLE END AS ld, coalesce(t.slope, 15) AS slope, coalesce(t.aspect,
@@ -1046,13 +1043,16 @@ def a33_outcomes(v):
     return store.outcomes(v.table("orders").select(F.when(F.col("o_orderstatus") == "F", "success").otherwise("error").alias("status"), (F.col("o_orderkey") % 10).alias("records_added")))
 
 
-@query("w11_carried_forward", """WITH w AS (SELECT *, last_value(CASE WHEN day <= 1 AND snow_depth_cm > 0 THEN snow_depth_cm END IGNORE NULLS) OVER o
-    AS base, sum(CASE WHEN day >= 2 THEN new_snow_cm END) OVER o AS fresh FROM weekly
-    WINDOW o AS (PARTITION BY location_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-    SELECT location_id, day, r6(CASE WHEN day <= 1 THEN snow_depth_cm ELSE coalesce(base * pow(0.995::DOUBLE,
-    day - 1) + coalesce(fresh, 0), snow_depth_cm) END) AS snow_depth_cm FROM w""")
+@query("w11_carried_forward", f"""WITH w AS (SELECT *, sum(CASE WHEN day >= 2 THEN new_snow_cm END) OVER o AS fresh,
+    last_value(CASE WHEN day <= 1 AND snow_depth_cm > 0 THEN snow_depth_cm END IGNORE NULLS) OVER o AS base
+    FROM weekly WINDOW o AS (PARTITION BY location_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    d AS (SELECT location_id, day, CASE WHEN day <= 1 THEN snow_depth_cm
+    ELSE coalesce(base * pow(0.995::DOUBLE, day - 1) + coalesce(fresh, 0), snow_depth_cm) END AS d FROM w)
+    SELECT location_id, day, {_even("round(d, 6)", 2)} AS snow_depth_cm FROM d""")
 def w11_carried_forward(v):
-    return forecast.carried_forward(v.weekly).select("location_id", "day", "snow_depth_cm")
+    out = forecast.carried_forward(v.weekly)
+    return out.select("location_id", "day", F.bround(F.round("snow_depth_cm", 6), 2).alias("snow_depth_cm"))
+
 
 @query("w10_snow_events", """WITH o AS (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY date) AS n
     FROM weekly), i AS (SELECT *, n - row_number() OVER (PARTITION BY location_id ORDER BY date) AS i FROM o
