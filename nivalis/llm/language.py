@@ -160,14 +160,20 @@ def is_held_out(doc_id: int) -> bool:
 
 
 def order_of(keys: np.ndarray) -> np.ndarray:
-    """Order of 64-bit keys. Sorting keys with their places in the last bits is faster than sorting places, and right unless
-    two keys differ in those bits alone, which is checked."""
+    """Order of 64-bit keys. Sorting keys with their places in the last bits is faster than sorting places; keys that differ in
+    those bits alone are then put in order among themselves."""
     bits = U(max(len(keys) - 1, 1).bit_length())
     packed = keys >> bits << bits | np.arange(len(keys), dtype=U)
     packed.sort()
     order = (packed & ((U(1) << bits) - U(1))).astype(np.int64)
     found = keys[order]
-    return order if (found[1:] >= found[:-1]).all() else np.argsort(keys, kind="stable")
+    wrong = np.flatnonzero(found[1:] < found[:-1])
+    if len(wrong):
+        top = found >> bits
+        group = np.concatenate(([0], np.cumsum(top[1:] != top[:-1])))
+        at = np.flatnonzero(np.isin(group, group[wrong]))
+        order[at] = order[at][np.lexsort((found[at], group[at]))]
+    return order
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,6 +187,13 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], which
 
 
+def joined(upper: np.ndarray, lower: np.ndarray, n: int) -> np.ndarray:
+    """One key of two, the second below `n`, in the upper bits of 64."""
+    low = max(n - 1, 1).bit_length()
+    high = max(int(upper.max(initial=0)), 1).bit_length()
+    return (upper << U(low) | lower) << U(64 - low - high)
+
+
 def _planes(x: np.ndarray, n: int) -> bytes:
     """The first n bytes of each number, first bytes first, which compresses well."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1)[:, :n].T).tobytes()
@@ -342,9 +355,9 @@ class Sequence:
         one, two = _before(word, self.text, 1, U(3)), _before(word, self.text, 2, U(5))
         rank = np.empty(len(self.code), U)
         rank[np.argsort(self.code)] = np.arange(len(self.code), dtype=U)
-        low = U(max(len(rank) - 1, 1).bit_length())
+        symbol = rank[self.symbol]
         for context in (B.mix64(one + U(101)), B.mix64(one * U(3) + B.mix64(two + U(102)))):
-            first, which = distinct(context >> low << low | rank[self.symbol])  # contexts that differ in the last bits alone are one here
+            first, which = distinct(joined(distinct(context)[1].astype(U), symbol, len(rank)))
             yield context[first], self.code[self.symbol[first]], np.bincount(which, self.own, len(first)), which
 
     def _spelled(self, words: np.ndarray) -> None:
@@ -365,9 +378,8 @@ class Sequence:
             inside = self.place >= back
             before[inside] |= self.byte[np.flatnonzero(inside) - back].astype(U)
             before[~inside] |= U(0x20)
-            context = B.mix64(before + U((200 + back) << 40))
-            first, which = distinct(context >> U(8) << U(8) | self.byte.astype(U))
-            yield context[first], self.byte[first].astype(U) << U(56), np.bincount(which, self.byte_own, len(first)), which
+            first, which = distinct(joined(before, self.byte.astype(U), 256))
+            yield B.mix64(before[first] + U((200 + back) << 40)), self.byte[first].astype(U) << U(56), np.bincount(which, self.byte_own, len(first)), which
 
     def _buckets(self, n: int):
         """Pairs in order of the bucket of their context, and (bucket, from, to)."""
@@ -443,8 +455,7 @@ class Sequence:
 
 INPUTS = {"class": 1 + WORDS_OF_CLASS + WORDS, "word": 1 + WORDS, "byte": ORDERS}
 GATES = 32
-PREFIX = 9  # bits before this one choose the cell of the refinement
-PLACES = (1 << PREFIX) + CODE_BITS
+PREFIX = 9  # so many bits before this one, if there are no more, choose the place of the refinement
 _FINE = (np.arange(256, dtype=np.uint8).view(np.int8) / FINE).astype(np.float32)
 
 
@@ -455,14 +466,14 @@ class Bits:
     def __init__(self, kind: str, depth: int, code: np.ndarray, text: np.ndarray, of_others: bool, states: list[np.ndarray], every: np.ndarray | None = None):
         self.kind, self.depth, self.text = kind, depth, text
         self.bit = (code >> U(63 - depth) & U(1)).astype(bool)
-        self.place = ((code >> U(64 - depth) if depth else np.zeros(len(code), U)) + U((1 << depth) - 1)).astype(np.int32) if depth < PREFIX else np.full(len(code), (1 << PREFIX) + depth, np.int32)
+        self.place = (code >> U(64 - depth)).astype(np.int64) if 0 < depth < PREFIX else 0
         self.odds = np.empty((INPUTS[kind], len(code)), np.float32)
         if every is not None:
-            np.take(_FINE, every.view(np.uint8), out=self.odds[0])
+            np.take(_FINE, every.view(np.uint8), out=self.odds[0], mode="clip")
         for k, x in enumerate(states, INPUTS[kind] - len(states)):
-            np.take(ODDS_OF_OTHERS if of_others else ODDS, x, out=self.odds[k])
+            np.take(ODDS_OF_OTHERS if of_others else ODDS, x, out=self.odds[k], mode="clip")
         gates = GATE_OF_OTHERS if of_others else GATE
-        self.gate = gates[0].take(states[-2]) + gates[1].take(states[-1])
+        self.gate = (gates[0].take(states[-2]) + gates[1].take(states[-1])).astype(np.int64)
 
 
 class Model:
@@ -472,26 +483,33 @@ class Model:
         self.weights = {k: np.full((CODE_BITS, n, GATES), 1 / n, np.float32) for k, n in INPUTS.items()}
         self.weights["word"][:, :, 0] = [1, 0, 0]
         self.trained = {k: np.zeros((CODE_BITS, GATES)) for k in INPUTS}
-        self.near = {k: np.zeros((2, PLACES * CELLS)) for k in INPUTS}  # ones and all
+        # ones and all, for each depth and place
+        self.near = {k: [np.zeros((2, (1 << d if d < PREFIX else 1) * CELLS)) for d in range(CODE_BITS)] for k in INPUTS}
 
     def mixed(self, bits: Bits) -> np.ndarray:
         """Log odds of each bit's value."""
-        z = np.einsum("ij,ij->j", bits.odds, self.weights[bits.kind][bits.depth].take(bits.gate, axis=1))
+        weights = self.weights[bits.kind][bits.depth]
+        z = bits.odds[0] * weights[0].take(bits.gate)
+        for odds, w in zip(bits.odds[1:], weights[1:], strict=True):
+            z += odds * w.take(bits.gate)
         return np.clip(z, -11.9, 11.9, out=z)
 
     @staticmethod
     def cell(bits: Bits, z: np.ndarray) -> np.ndarray:
-        return bits.place * CELLS + (np.where(bits.bit, z, -z) + 12).astype(np.int32)
+        return bits.place * CELLS + (np.where(bits.bit, z, -z) + 12).astype(np.int64)
 
     def train(self, bits: Bits) -> None:
         """Predicts the bits, and learns the weights from the error: steps are as long as the odds' size allows."""
         z = self.mixed(bits)
         cell = self.cell(bits, z)
-        near = self.near[bits.kind]
-        near[0] += np.bincount(cell[bits.bit], minlength=PLACES * CELLS)
-        near[1] += np.bincount(cell, minlength=PLACES * CELLS)
+        near = self.near[bits.kind][bits.depth]
+        near[0] += np.bincount(cell, bits.bit, near.shape[1])
+        near[1] += np.bincount(cell, minlength=near.shape[1])
         error = 1 / (1 + np.exp(z))
-        size = np.bincount(bits.gate, error * (1 - error) * np.einsum("ij,ij->j", bits.odds, bits.odds), GATES) + 4
+        square = bits.odds[0] * bits.odds[0]
+        for odds in bits.odds[1:]:
+            square += odds * odds
+        size = np.bincount(bits.gate, error * (1 - error) * square, GATES) + 4
         w = self.weights[bits.kind][bits.depth]
         for k, odds in enumerate(bits.odds):
             w[k] += np.bincount(bits.gate, error * odds, GATES) / size
@@ -501,16 +519,16 @@ class Model:
         z = self.mixed(bits)
         cell = self.cell(bits, z)
         p = 1 / (1 + np.exp(-z))
-        ones, every = (x.take(cell) for x in self.near[bits.kind])
+        ones, every = (x.take(cell) for x in self.near[bits.kind][bits.depth])
         hits = np.where(bits.bit, ones, every - ones)
         return np.log10(np.clip((p + (hits + 4 * p) / (every + 4)) / 2, 1e-6, 1 - 1e-6))
 
     def learnt(self) -> dict:
-        return {k: [self.weights[k] * self.trained[k][:, None], self.trained[k], self.near[k]] for k in INPUTS}
+        return {k: [self.weights[k] * self.trained[k][:, None], self.trained[k], *self.near[k]] for k in INPUTS}
 
     def use(self, learnt: dict) -> None:
         """Takes the means of what blocks have learnt; where no bit was seen, things stay as they are."""
-        for k, (weighted, trained, near) in learnt.items():
+        for k, (weighted, trained, *near) in learnt.items():
             self.weights[k] = np.where(trained[:, None] > 0, weighted / np.maximum(trained[:, None], 1), self.weights[k]).astype(np.float32)
             self.near[k] = near
 
@@ -528,14 +546,15 @@ def _count(got: list):
     new = [np.unpackbits(np.frombuffer(x[1], np.uint8), count=len(x[3]) // 5) for x in asked]
     edges = np.cumsum([0, *map(len, new)])
     _, number = distinct(np.concatenate([np.cumsum(_joined(x[2], 8, np.uint64)) for x in asked]))
-    keys = number[np.cumsum(np.concatenate(new)) - 1].astype(U) << U(CODE_BITS) | np.concatenate([_joined(x[3], 5, np.uint64) for x in asked])
-    first, which = distinct(keys)
+    number = number[np.cumsum(np.concatenate(new)) - 1]
+    codes = np.concatenate([_joined(x[3], 5, np.uint64) for x in asked])
+    first, which = distinct(joined(number.astype(U), codes, 1 << CODE_BITS))
     counts = np.bincount(which, np.concatenate([_joined(x[4], 4, np.uint32) for x in asked])).astype(np.int64)
     last = (level(counts) << 4)[which]
     depths, states = np.zeros(len(first), np.uint8), []
     seen, there = np.zeros(len(first), np.uint8), np.zeros(len(first), bool)
-    keys, rest = keys[first], np.arange(len(which))
-    for depth, rows, low, high in walk(keys >> U(CODE_BITS), keys << U(64 - CODE_BITS), counts):
+    rest = np.arange(len(which))
+    for depth, rows, low, high in walk(number[first], codes[first] << U(64 - CODE_BITS), counts):
         depths[rows] += 1
         seen[rows] = level(high) << 4 | level(low - high)
         there[:] = False
