@@ -134,22 +134,18 @@ def w16_first_of_day(v):
     return temporal.align(d, "date", "2024-01-01", "2024-01-31", ["station_id"], "event_id").filter("event_id is not null")
 
 
-@query(
-    "f10_calendar",
-    """SELECT o_orderkey, dayofyear(t) AS day_of_year, r6(sin(dayofyear(t) * 2 * pi() / 365.25)) AS day_of_year_sin,
+CALENDAR = """dayofyear(t) AS day_of_year, r6(sin(dayofyear(t) * 2 * pi() / 365.25)) AS day_of_year_sin,
     r6(cos(dayofyear(t) * 2 * pi() / 365.25)) AS day_of_year_cos, month(t) AS month,
     r6(sin(month(t) * 2 * pi() / 12)) AS month_sin, r6(cos(month(t) * 2 * pi() / 12)) AS month_cos,
-    CASE WHEN month(t) IN (12, 1,
-    2) THEN 'winter' WHEN month(t) <= 5 THEN 'spring' WHEN month(t) <= 8 THEN 'summer' ELSE 'fall' END AS season,
-    CAST(month(t) IN (12, 1, 2) AS BIGINT) AS is_winter, CAST(month(t) IN (11, 12, 1, 2, 3,
-    4) AS BIGINT) AS is_snow_season,
+    CASE WHEN month(t) IN (12, 1, 2) THEN 'winter' WHEN month(t) <= 5 THEN 'spring' WHEN month(t) <= 8 THEN 'summer' ELSE 'fall' END AS season,
+    CAST(month(t) IN (12, 1, 2) AS BIGINT) AS is_winter, CAST(month(t) IN (11, 12, 1, 2, 3, 4) AS BIGINT) AS is_snow_season,
     isodow(t) - 1 AS day_of_week, CAST(isodow(t) >= 6 AS BIGINT) AS is_weekend, weekofyear(t) AS week_of_year,
     year(t) + CAST(month(t) >= 10 AS INTEGER) AS water_year,
     CAST(t AS DATE) - make_date(year(t) + CAST(month(t) >= 10 AS INTEGER) - 1, 10, 1) + 1 AS day_of_water_year,
-    r6(least(1, (CAST(t AS DATE) - make_date(year(t) + CAST(month(t) >= 10 AS INTEGER) - 1, 10,
-    1)) / 365.25)) AS water_year_progress
-    FROM (SELECT o_orderkey, o_orderdate AS t FROM orders)""",
-)
+    r6(least(1, (CAST(t AS DATE) - make_date(year(t) + CAST(month(t) >= 10 AS INTEGER) - 1, 10, 1)) / 365.25)) AS water_year_progress"""
+
+
+@query("f10_calendar", f"SELECT o_orderkey, {CALENDAR} FROM (SELECT o_orderkey, o_orderdate AS t FROM orders)")
 def f10_calendar(v):
     return calendar.all_features(v.table("orders").select("o_orderkey", F.col("o_orderdate").alias("datetime"))).drop("datetime")
 
@@ -162,11 +158,11 @@ def f16_to_utc(v):
 # ---- lags and windows (W1-W7, W9, W12, W18) -------------------------------------------------------------------------------
 
 
-def _lags(names: list[str]) -> str:
+def _lags(names: list[str], lags: tuple = (1, 2, 3, 7), windows: tuple = (3, 7, 14)) -> str:
     out = []
     for x in names:
-        out += [f"r6(lag({x}, {n}) OVER o) AS {x}_lag_{n}d" for n in (1, 2, 3, 7)]
-        for n in (3, 7, 14):
+        out += [f"r6(lag({x}, {n}) OVER o) AS {x}_lag_{n}d" for n in lags]
+        for n in windows:
             f = f"OVER (o ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
             out += [f"r6(avg({x}) {f}) AS {x}_roll_mean_{n}d", f"r6(stddev_samp({x}) {f}) AS {x}_roll_std_{n}d", f"r6(min({x}) {f}) AS {x}_roll_min_{n}d", f"r6(max({x}) {f}) AS {x}_roll_max_{n}d", f"r6(sum({x}) {f}) AS {x}_cumsum_{n}d", f"r6({x} - lag({x}, {n}) OVER o) AS {x}_change_{n}d", f"r6(({x} - lag({x}, {n}) OVER o) * 100 / nullif(lag({x}, {n}) OVER o, 0)) AS {x}_pct_change_{n}d"]
     return ", ".join(out)
@@ -458,11 +454,15 @@ def f1_haversine(v):
 COAST_SQL = ", ".join(f"({i}, {y1}::DOUBLE, {x1}::DOUBLE, {y2}::DOUBLE, {x2}::DOUBLE)" for i, ((x1, y1), (x2, y2)) in enumerate(zip(geo.COAST, geo.COAST[1:], strict=False)))
 
 
-@query("j19_coast_distance", f"""WITH seg(i, y1, x1, y2, x2) AS (VALUES {COAST_SQL}), t AS (SELECT r.*, seg.*, greatest(0, least(1,
+#: (id, km) of places.
+COAST_OF = f"""seg(i, y1, x1, y2, x2) AS (VALUES {COAST_SQL}), near_coast AS (SELECT r.*, seg.*, greatest(0, least(1,
     ((lon - x1) * (x2 - x1) + (lat - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t
-    FROM resorts r CROSS JOIN seg), p AS (SELECT id, lat, lon, y1 + t * (y2 - y1) AS py, x1 + t * (x2 - x1) AS px
-    FROM t) SELECT id, r6(min(2 * 6371 * asin(sqrt(pow(sin(radians(py - lat) / 2),
-    2) + cos(radians(lat)) * cos(radians(py)) * pow(sin(radians(px - lon) / 2), 2))))) AS km FROM p GROUP BY id""")
+    FROM {{places}} r CROSS JOIN seg), on_coast AS (SELECT id, lat, lon, y1 + t * (y2 - y1) AS py, x1 + t * (x2 - x1) AS px FROM near_coast),
+    coast AS (SELECT id, min(2 * 6371 * asin(sqrt(pow(sin(radians(py - lat) / 2), 2)
+    + cos(radians(lat)) * cos(radians(py)) * pow(sin(radians(px - lon) / 2), 2)))) AS km FROM on_coast GROUP BY id)"""
+
+
+@query("j19_coast_distance", f"WITH {COAST_OF.format(places='resorts')} SELECT id, r6(km) AS km FROM coast")
 def j19_coast_distance(v):
     return v.resorts.select("id", geo.coast_km(F.col("lat"), F.col("lon")).alias("km"))
 
@@ -1481,7 +1481,18 @@ def m9_train_command(v):
 # ---- joined pipeline (stages 1-7 of training data) ------------------------------------------------------------------------------
 
 
-@query("training_frame")
+@query("training_frame", f"""WITH ok AS (SELECT station_id, datetime, temperature, snow_depth FROM raw_quality WHERE temperature BETWEEN -60 AND 50 AND snow_depth >= 0),
+    dd AS (SELECT station_id, CAST(datetime AS DATE) AS date, avg(temperature) AS temperature, avg(snow_depth) AS snow_depth FROM ok GROUP BY ALL),
+    c AS (SELECT CAST(c AS DATE) AS t FROM generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY) x(c)),
+    al AS (SELECT a.station_id, c.t, dd.temperature, dd.snow_depth FROM (SELECT DISTINCT station_id FROM dd) a CROSS JOIN c
+    LEFT JOIN dd ON dd.station_id = a.station_id AND dd.date = c.t),
+    fe AS (SELECT station_id, t AS date, r6(temperature) AS temperature, r6(snow_depth) AS snow_depth, {CALENDAR},
+    {_lags(["temperature", "snow_depth"], (1, 3), (3, 7))} FROM al WINDOW o AS (PARTITION BY station_id ORDER BY t)),
+    {COAST_OF.format(places="stations")}
+    SELECT fe.*, r6(s.lat) AS lat, r6(s.lon) AS lon, r6(s.elevation) AS elevation, s.state, r6(s.elevation / 1000) AS elevation_km,
+    CASE WHEN s.elevation < 2000 THEN 'low' WHEN s.elevation < 2500 THEN 'mid' WHEN s.elevation < 3000 THEN 'high' ELSE 'alpine' END AS elevation_band,
+    r6(greatest(0, least(1, (s.lat - 31) / 18))) AS latitude_normalized, r6(km) AS distance_to_coast_km
+    FROM fe JOIN stations s ON s.id = fe.station_id JOIN coast ON coast.id = s.id""")
 def training_frame(v):
     """Hourly to daily, aligned, flagged, filtered, with calendar, terrain and lagged features."""
     hourly = v.raw_quality.select("station_id", "datetime", "temperature", "snow_depth")

@@ -44,3 +44,21 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_models_are_of_use(spark):
+    """What has no SQL: errors are below those of saying the mean, stacking isn't worse than its parts, intervals hold the estimate."""
+    from pyspark.sql import functions as F
+
+    from nivalis.plans.views import Views
+
+    spread = Views(spark, SF).preds.agg(F.stddev_pop("y_true")).first()[0]
+    assert QUERIES["m2_boosted_trees"](spark, SF).first().rmse < 0.8 * spread
+    assert QUERIES["m9_train_command"](spark, SF).first().rmse < 0.8 * spread
+    by = {r.model: r.rmse for r in QUERIES["m4_stacking"](spark, SF).collect()}
+    assert by["stacked"] < 1.05 * min(by["ridge"], by["boosted"])
+    whole = QUERIES["a15_metrics"](spark, SF).first()
+    for r in QUERIES["a17_bootstrap"](spark, SF).collect():
+        assert r.lower <= r.estimate <= r.upper and r.estimate == pytest.approx(whole[r.metric], abs=1e-5)
+    s = QUERIES["a29_significance"](spark, SF).first()
+    assert 0 <= s.p <= 1 and s.significant == (s.p < 0.05)
