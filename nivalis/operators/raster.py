@@ -53,9 +53,11 @@ def tpi(dem: DataFrame, radius: int = 10) -> DataFrame:
     return keep.join(out.select("tile", "row", "col", "z", "tpi"), ["tile", "row", "col"])
 
 
-def tile_catalogue(dem: DataFrame) -> DataFrame:
-    """(tile, rows, cols, cells, z_min, z_max)."""
-    return dem.groupBy("tile").agg((F.max("row") - F.min("row") + 1).alias("rows"), (F.max("col") - F.min("col") + 1).alias("cols"), F.count("*").alias("cells"), F.min("z").alias("z_min"), F.max("z").alias("z_max"))
+def tile_catalogue(dem: DataFrame, crs: str = "EPSG:4326") -> DataFrame:
+    """(tile, rows, cols, cells, z_min, z_max), and where cells have lat and lon also (west, south, east, north, crs)."""
+    size = [(F.max("row") - F.min("row") + 1).alias("rows"), (F.max("col") - F.min("col") + 1).alias("cols"), F.count("*").alias("cells"), F.min("z").alias("z_min"), F.max("z").alias("z_max")]
+    bounds = [F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"), F.lit(crs).alias("crs")]
+    return dem.groupBy("tile").agg(*size, *(bounds if {"lat", "lon"} <= set(dem.columns) else []))
 
 
 def tiles_of_boxes(boxes: DataFrame) -> DataFrame:

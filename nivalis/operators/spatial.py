@@ -47,6 +47,15 @@ def _nearest_axis(points: DataFrame, cells: DataFrame, axis: str, size: float =
     return out.select(F.col("v").alias(axis), near.alias(f"cell_{axis}"), low.alias(f"low_{axis}"), high.alias(f"high_{axis}"))
 
 
+def union_grids(frames: list[DataFrame]) -> DataFrame:
+    """Decoded grids one after the other in time (S10): coordinates are named lat and lon, and a variable that a grid lacks is NULL.
+    Rows aren't put in order: sort where they are written."""
+    out = with_lat_lon(frames[0])
+    for d in frames[1:]:
+        out = out.unionByName(with_lat_lon(d), allowMissingColumns=True)
+    return out
+
+
 def nearest_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
     """`points` with the values of the grid cell nearest on each axis; points outside snap to the edge."""
     cells = with_lat_lon(cells)

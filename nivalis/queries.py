@@ -664,10 +664,12 @@ def j18_window_spread(v):
     key = F.col("tile") * 1024 + F.col("row") * 32 + F.col("col")
     return spatial.window_spread(v.dem.select(key.alias("point_id"), "tile", "row", "col"), v.dem)
 
-@query("s12_tile_catalogue", """SELECT tile, max(row) - min(row) + 1 AS rows, max(col) - min(col) + 1 AS cols, count(*) AS cells, min(z) AS z_min,
-    max(z) AS z_max FROM dem GROUP BY 1""")
+@query("s12_tile_catalogue", """SELECT tile, max(row) - min(row) + 1 AS rows, max(col) - min(col) + 1 AS cols, count(*) AS cells,
+    min(z) AS z_min, max(z) AS z_max, r6(min(-110 + col / 32)) AS west, r6(min(tile % 50 - row / 32)) AS south,
+    r6(max(-110 + col / 32)) AS east, r6(max(tile % 50 - row / 32)) AS north, 'EPSG:4326' AS crs FROM dem GROUP BY 1""")
 def s12_tile_catalogue(v):
-    return raster.tile_catalogue(v.dem)
+    c = F.col
+    return raster.tile_catalogue(v.dem.withColumns({"lat": c("tile") % 50 - c("row") / 32, "lon": -110 + c("col") / 32}))
 
 
 @query("s11_tiles", """WITH b AS (SELECT id AS box_id, CAST(floor(lat - 0.6) AS BIGINT) AS s, CAST(floor(lat + 0.6) AS BIGINT) AS n,
@@ -679,10 +681,11 @@ def s11_tiles(v):
     return raster.tiles_of_boxes(v.stations.select(F.col("id").alias("box_id"), (F.col("lon") - 0.6).alias("west"), (F.col("lat") - 0.6).alias("south"), (F.col("lon") + 0.6).alias("east"), (F.col("lat") + 0.6).alias("north")))
 
 
-@query("s10_union_grids", """SELECT time, lat, lon, r6(v) AS v, NULL::DOUBLE AS w FROM grid UNION ALL SELECT time, lat, lon, NULL, r6(v * 2)
-    FROM grid""")
+@query("s10_union_grids", """SELECT time, lat, lon, r6(v) AS v, NULL::DOUBLE AS w FROM grid
+    UNION ALL SELECT time + 365, lat, lon, NULL, r6(v * 2) FROM grid""")
 def s10_union_grids(v):
-    return v.grid.unionByName(v.grid.select("time", "lat", "lon", (F.col("v") * 2).alias("w")), allowMissingColumns=True)
+    later = v.grid.select(F.date_add("time", 365).alias("time"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), (F.col("v") * 2).alias("w"))
+    return spatial.union_grids([v.grid, later])
 
 
 # ---- scalar functions (F2-F9, F18-F43) -----------------------------------------------------------------------------------
@@ -1242,6 +1245,10 @@ def s2_resolved_names(v):
 @query("s13_geojson", """SELECT 'Area ' || id AS name, r6(lat + 0.05) AS lat, r6(lon + 0.05) AS lon, 'US' AS country, state FROM resorts
     WHERE id % 10 <> 0""")
 def s13_geojson(v):
+    return _areas(v)
+
+
+def _areas(v):
     c = F.col
     ring = F.array(*[F.array(c("lon") + x, c("lat") + y) for x, y in ((0, 0), (0.1, 0), (0.1, 0.1), (0, 0.1), (0, 0))])
     geometry = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")))
@@ -1252,6 +1259,10 @@ def s13_geojson(v):
 @query("j16_lift_elevations", """SELECT 'Area ' || a AS name, min(b) AS base_elevation, max(s) AS summit_elevation
     FROM (SELECT id % 50 AS a, elevation AS b, elevation + 300 AS s FROM resorts) GROUP BY 1""")
 def j16_lift_elevations(v):
+    return _lifts(v)
+
+
+def _lifts(v):
     c = F.col
     line = F.array(F.array(c("lon"), c("lat"), c("elevation")), F.array(c("lon"), c("lat"), c("elevation") + 300), F.array(c("lon"), c("lat")))
     geometry = F.to_json(F.struct(F.lit("LineString").alias("type"), line.alias("coordinates")))
@@ -1259,6 +1270,14 @@ def j16_lift_elevations(v):
     return resorts.lift_elevations(v.resorts.select(geometry.alias("geometry"), F.to_json(F.struct(F.array(area).alias("skiAreas"))).alias("properties")))
 
 
+@query("s14_resorts", """WITH l AS (SELECT 'Area ' || id % 50 AS name, min(elevation) AS base_elevation, max(elevation + 300) AS summit_elevation FROM resorts GROUP BY 1)
+    SELECT 'Area ' || id AS name, r6(lat + 0.05) AS lat, r6(lon + 0.05) AS lon, 'US' AS country, state, base_elevation, summit_elevation,
+    summit_elevation - base_elevation AS vertical_drop FROM resorts LEFT JOIN l ON l.name = 'Area ' || id
+    WHERE id % 10 <> 0 AND lat + 0.05 BETWEEN 31 AND 49 AND lon + 0.05 BETWEEN -125 AND -102""")
+def s14_resorts(v):
+    return resorts.resorts(_areas(v), _lifts(v), countries=["US"])
+
+
 # ---- verification (A13-A30, A36, T3, T4, T8) ------------------------------------------------------------------------------------
 
 

@@ -328,3 +328,28 @@ def test_resample_and_z_scores(spark):
     assert [r.temp for r in out] == [5.5, 17.5, 29.5, 41.5]
     z = lagged.sequences(h, ["temp"], 2, "station", "ts", "temp", z_score=True).orderBy("ts").collect()
     assert z[0].target == 1.0 and z[-1].sequence[-1]["temp"] == pytest.approx((47 - 23.5) / math.sqrt((48**2 - 1) / 12))
+
+
+def test_running_totals_and_logs(spark, tmp_path):
+    import datetime as dt
+
+    from nivalis import models
+    from nivalis.sources import stations, store
+
+    rows = [(dt.datetime(2024, 1, 1, h), 1.0, 2.0, float(h * h)) for h in range(1, 5)] + [(dt.datetime(2024, 1, 2, 1), 1.0, 2.0, 7.0)]
+    d = spark.createDataFrame(rows, "time timestamp, lat double, lon double, tp double")
+    out = {str(r.date): r.tp for r in temporal.grid_daily(d, ["tp"], deaccumulate=True).collect()}
+    assert out == {"2024-01-01": 16.0, "2024-01-02": 7.0}
+    for status in ("success", "error"):
+        store.log_row(spark, str(tmp_path / "log"), "hrrr", "2024-01-01 00:00:00", status, 3, 10, None)
+    r = store.outcomes(spark.read.parquet(str(tmp_path / "log"))).first()
+    assert (r.total, r.success, r.failed, r.records) == (2, 1, 1, 6)
+    assert models.load_data(spark, None, 50).count() == 50
+    d.write.parquet(str(tmp_path / "rows"))
+    assert models.load_data(spark, str(tmp_path / "rows")).count() == 5
+    with pytest.raises(ValueError):
+        store.load(spark, str(tmp_path / "rows"), ["absent"])
+    stations.clear()
+    with pytest.raises(ValueError):
+        stations.collect_registered(spark, "resort")
+    assert [r.s for r in spark.createDataFrame([("1050:CO:SNTL",), ("x",)], "i string").select(stations.state_of(F.col("i")).alias("s")).collect()] == ["CO", None]
