@@ -19,7 +19,8 @@ def _order(df: DataFrame, order: str | None) -> str:
 
 
 def features(df: DataFrame, variables: list[str], group: str | None, order: str | None = None, lags=LAGS, windows=WINDOWS, kinds=("lag", "mean", "std", "min_max", "trend", "sum")) -> DataFrame:
-    """W1-W6 in one select; `kinds` chooses. A missing variable is an error; groups don't see each other's rows."""
+    """W1-W6 in one select; `kinds` chooses. A missing variable is an error; groups don't see each other's rows. Without a group, all rows are one
+    task's: only for a single short series."""
     if missing := [v for v in variables if v not in df.columns]:
         raise ValueError(f"no such columns: {missing}")
     w = W.partitionBy(*([group] if group else [])).orderBy(_order(df, order))
@@ -51,7 +52,8 @@ def feature_names(variables: list[str], lags=LAGS, windows=WINDOWS) -> list[str]
 
 
 def difference(df: DataFrame, value: str, rows: int, group: str | None, order: str, name: str) -> DataFrame:
-    """Change over a number of rows, such as the 24-hour pressure tendency."""
+    """Change over a number of rows, such as the 24-hour pressure tendency (W9). Without a group, all rows are one task's: only for
+    a single short series."""
     w = W.partitionBy(*([group] if group else [])).orderBy(order)
     return df.withColumn(name, F.col(value) - F.lag(value, rows).over(w))
 

@@ -43,7 +43,8 @@ def physical(df: DataFrame, limits: dict | None = None) -> DataFrame:
 
 def outliers(df: DataFrame, columns: list[str], method: str = "iqr", threshold: float | None = None, group: list[str] = (), exact: bool = True) -> DataFrame:
     """`<column>_outlier_flag` (W8b), over all rows or by group: outside the quartiles by `threshold` times their distance, or
-    `threshold` standard deviations from the mean. Fewer than 3 values or no spread: none. The statistics are one row a group."""
+    `threshold` standard deviations from the mean. Fewer than 3 values or no spread: none. The statistics are one row a group.
+    Exact quartiles count all distinct values of a group in one task; where those are very many, `exact=False`."""
     k = threshold if threshold is not None else 3.0
     pct = F.percentile if exact else F.percentile_approx
     stats = []
