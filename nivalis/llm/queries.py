@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from nivalis.llm.conversations import op11_prefix_trie
 from nivalis.llm.decontaminate import op1_decontaminate
 from nivalis.llm.fingerprints import op9_fingerprints
 from nivalis.llm.language import op5_language
+from nivalis.llm.licenses import op12_licenses
+from nivalis.llm.merkle import op13_merkle
 from nivalis.llm.mixing import op10_mixing
 from nivalis.llm.neardup import op3_jaccard
 from nivalis.llm.oracles import ORACLE
@@ -27,4 +30,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_fingerprints": op9_fingerprints,
     "op10_mixing": op10_mixing,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_licenses": op12_licenses,
+    "op13_merkle": op13_merkle,
 }
