@@ -1,7 +1,8 @@
 """Mixing sources to target weights: a low-discrepancy source schedule.
 
-Each source's documents, in seeded random order, form a line of words cut into blocks of equal length. Slot t of the
-schedule takes the golden-ratio point frac(t * phi) through the cumulative target weights to a source; the k-th slot of
+Each source's documents, in seeded random order, form a line of words cut into blocks of equal length: BLOCK words, and less for a
+source whose target is below PARTS blocks, so that small sources come near their targets too. Slot t of the schedule takes the
+golden-ratio point frac(t * phi) through the cumulative numbers of blocks that the targets want to a source; the k-th slot of
 a source takes that source's k-th block, and after the last block starts again, twice at most.
 """
 
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from nivalis.llm.tables import WORD, read, unused, written
 
 PHI = 0.6180339887498949
-BLOCK = 64  # words
+BLOCK = 64  # words, at most
+PARTS = 16  # a target is that many blocks at least, if it has the words
 CELLS = 4096  # of the unit interval, for finding a point's source by an equality join
 FEW = 100_000  # sources; up to here (some MB) they are broadcast
 
@@ -25,8 +27,8 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """One row per source: sid (from 1, by code point, null last), source, source_size, target.
+def targets(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = BLOCK) -> DataFrame:
+    """One row per source: sid (from 1, by code point, null last), source, source_size, target, len (words of a block).
 
     Targets share `share` times all words by weight; none is above `most` times its source's size, and what is beyond
     is shared again among the others. The windows here are over one row per source."""
@@ -39,7 +41,8 @@ def targets(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float
     level = (share * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(fill), F.lit(0.0))) / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(fill), F.lit(0.0)))
     by = by.withColumn("level", level).withColumn("full", F.col("cap") <= F.col("level") * F.col("w"))
     rest = F.min(F.when(~F.col("full"), F.struct(F.col("cap") / F.col("w"), "sid", "level"))).over(every)["level"]
-    return by.select("sid", "source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("w") * rest).alias("target"))
+    out = by.select("sid", "source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("w") * rest).alias("target"))
+    return out.withColumn("len", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("target") / PARTS))).cast("long"))
 
 
 def with_sources(df: DataFrame, sources: DataFrame, n_sources: int, salts: int = 64) -> DataFrame:
@@ -62,11 +65,13 @@ def prefix_sums(df: DataFrame, group: str, chunk: str, order: list, value: Colum
     return inner.join(sums, [group, chunk]).withColumn(name, F.col("_in") + F.col("_base")).drop("_in", "_base")
 
 
-def schedule(spark: SparkSession, sources: DataFrame, total: float, block: int = BLOCK) -> DataFrame:
+def schedule(spark: SparkSession, sources: DataFrame, few: bool) -> DataFrame:
     """Slots (t, sid, block, lap): lap is 0 for a block's first use and 1 for its second."""
-    n = math.ceil(total / block)
+    wanted = F.col("target") / F.col("len")
+    total = sources.agg(F.coalesce(F.sum(wanted), F.lit(0.0))).first()[0]
+    n = math.ceil(total)
     ends = W.orderBy("sid").rowsBetween(W.unboundedPreceding, 0)
-    spans = sources.filter("target > 0").withColumn("hi", F.sum("target").over(ends) / F.lit(max(total, 1e-9))).withColumn("lo", F.col("hi") - F.col("target") / F.lit(max(total, 1e-9)))
+    spans = sources.filter("target > 0").withColumn("hi", F.sum(wanted).over(ends) / F.lit(max(total, 1e-9))).withColumn("lo", F.col("hi") - wanted / F.lit(max(total, 1e-9)))
     last = F.max("hi").over(W.partitionBy())
     spans = spans.withColumn("hi", F.when(F.col("hi") == last, F.lit(2.0)).otherwise(F.col("hi"))).withColumn("lo", F.when(F.col("sid") == F.min("sid").over(W.partitionBy()), F.lit(-1.0)).otherwise(F.lag("hi").over(W.orderBy("sid"))))
     cells = spans.withColumn("cell", F.explode(F.sequence(F.greatest(F.floor(F.col("lo") * CELLS), F.lit(0)), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))))
@@ -74,10 +79,14 @@ def schedule(spark: SparkSession, sources: DataFrame, total: float, block: int =
     x = F.pmod(F.floor(F.col("id") / step) * F.lit((step * PHI) % 1.0) + F.pmod(F.col("id"), F.lit(step)) * F.lit(PHI), F.lit(1.0))
     points = spark.range(n).select(F.col("id").alias("t"), x.alias("x")).withColumn("cell", F.floor(F.col("x") * CELLS))
     hit = points.join(cells, "cell").filter((F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi")))
-    hit = hit.select("t", "sid", "source_size", F.floor(F.col("t") / 65536).alias("chunk"))
-    ranked = prefix_sums(hit, "sid", "chunk", ["t"], F.lit(1).cast("long"), "k")
-    blocks = F.ceil(F.col("source_size") / F.lit(float(block)))
-    return ranked.select("t", "sid", F.pmod(F.col("k"), blocks).alias("block"), F.floor(F.col("k") / blocks).alias("lap")).filter("lap < 2")
+    hit = hit.select("t", "sid", F.floor(F.col("t") / 65536).alias("chunk"))
+    ranked = written(prefix_sums(hit, "sid", "chunk", ["t"], F.lit(1).cast("long"), "k").select("t", "sid", "k"))
+    # points fall to a source some times more or less than it wants; no more are taken, and what lacks comes last
+    wants = sources.filter("target > 0").select("sid", "len", F.ceil(F.col("source_size") / F.col("len")).alias("blocks"), F.round(wanted).cast("long").alias("wants"))
+    lacking = wants.join(ranked.groupBy("sid").agg(F.count("*").alias("had")), "sid", "left").withColumn("had", F.coalesce("had", F.lit(0).cast("long"))).filter("had < wants")
+    late = lacking.select("sid", F.explode(F.sequence(F.col("had"), F.col("wants") - 1)).alias("k"), "had").select((F.lit(n) + (F.col("k") - F.col("had")) * F.lit(1 << 32) + F.col("sid")).alias("t"), "sid", "k")
+    kept = ranked.unionByName(late).join(F.broadcast(wants) if few else wants, "sid").filter("k < wants")
+    return kept.select("t", "sid", F.pmod(F.col("k"), F.col("blocks")).alias("block"), F.floor(F.col("k") / F.col("blocks")).alias("lap")).filter("lap < 2")
 
 
 def lines(sized: DataFrame, n_rows: int, seed: int = 5) -> DataFrame:
@@ -96,15 +105,15 @@ def mix(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     sized = written(docs.select("doc_id", "source", F.col("size").cast("long").alias("size")))
     stats = sized.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first()
-    sources = written(targets(sized).coalesce(1))
+    sources = written(targets(sized, block=block).coalesce(1))
     n_sources = sources.count()
     # sums of rows that are equal in doc_id and size may fall on either; written once so that they stay as they fell
     lined = written(lines(with_sources(sized, sources, n_sources), stats["n"]))
-    slots = schedule(spark, sources, 1.5 * stats["s"], block)
-    ids = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))
-    cut = lined.filter("size > 0").select("sid", "doc_id", "start", "size", F.explode(ids).alias("block"))
-    first = F.greatest(F.col("start"), F.col("block") * block)
-    cut = cut.withColumn("first", first - F.col("start")).withColumn("words", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - first)
+    slots = schedule(spark, sources, n_sources <= FEW)
+    ids = F.sequence(F.floor(F.col("start") / F.col("len")), F.floor((F.col("start") + F.col("size") - 1) / F.col("len")))
+    cut = lined.filter("size > 0").select("sid", "doc_id", "start", "size", "len", F.explode(ids).alias("block"))
+    first = F.greatest(F.col("start"), F.col("block") * F.col("len"))
+    cut = cut.withColumn("first", first - F.col("start")).withColumn("words", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("len")) - first)
     pieces = cut.join(slots, ["sid", "block"])
     took = pieces.groupBy(F.col("sid").alias("k_sid"), F.col("doc_id").alias("k_id"), F.col("start").alias("k_start")).agg(F.sum("words").alias("taken"))
     same = (F.col("sid") == F.col("k_sid")) & F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("start") == F.col("k_start")) & (F.col("size") > 0)

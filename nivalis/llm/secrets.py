@@ -3,11 +3,13 @@
 Every run of 20 or more letters, digits, + and / is a candidate; runs end at _, - and =, so that the value of
 `prefix_value` is tested without the prefix. Its encoding (hex, base32, alphanumeric, base64) is inferred, and three
 statistics are taken of it against even draws from that encoding: the chi-squared statistic of its alphabet, the number of
-runs of character classes, and the lag-1 serial correlation of its codes. The squares of an uneven alphabet, of too few runs and of the correlation add up to
-its distance from randomness. How far ordinary candidates of the same length are is estimated from the corpus (median and lower quartile of
-the distance's logarithm, which secrets hardly move), so that a candidate has one p value, whatever the statistics' dependence;
-in each class of lengths the Benjamini-Hochberg rule holds the share of false discoveries to `FDR`. A candidate that the
-battery itself rejects at 0.1 % is never one. Candidates inside the fixed patterns' matches are tested like all others.
+runs of character classes, and the lag-1 serial correlation of its codes. The squares of an uneven alphabet, of too few runs and of the
+correlation add up to its distance from randomness. How the distance of random runs is distributed is known: it doesn't depend on
+the corpus or on the length. In each class of lengths the candidates are taken for a mixture of these and of ordinary ones, whose
+logarithms of distance are normal; its share and the ordinary ones' mean and deviation are fitted to the class's histogram, so that
+any share of secrets will do. A class's nearest candidates are found, up to where the fit says that the share of ordinary ones among
+them reaches `FDR`; a candidate that the battery itself rejects at 0.1 % never is. Candidates inside the fixed patterns' matches are
+tested like all others.
 """
 
 from __future__ import annotations
@@ -26,12 +28,13 @@ HEX = r"[0-9a-f]{24,}"  # [0-9a-f]+ of 24 or more
 CANDIDATE = r"[A-Za-z0-9+/]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 
-FDR = 0.01
-BINS = 400  # of -log10 p, 0.05 wide
+FDR = 0.005
+WIDTH, CAP = 0.05, 4.8  # bins of the distance's logarithm; what is farther than CAP counts as CAP, for it is ordinary anyway
 CLASSES = 32  # of lengths: powers of two
 REJECTED = 16.27  # of chi-squared with three degrees of freedom, 0.1 % are above
-ORDINARY = (-4.8, 0.5)  # median and standard deviation of words' scores, which count as much as PRIOR candidates
+ORDINARY = (4.2, 0.6)  # mean and deviation of words' logarithms, which count as much as PRIOR candidates of a class
 PRIOR = 50
+SHARE = (0.5, 4.5)  # random and ordinary candidates that are added to a class's
 #: Encodings: letters, share of neighbours of different class (lower, upper, digit, other) in even draws, pattern.
 ENCODINGS = [(16, 15 / 32, "^([0-9a-f]+|[0-9A-F]+)$"), (22, 78 / 121, "^[0-9a-fA-F]+$"), (32, 39 / 128, "^[A-Z2-7]+$"), (36, 65 / 162, "^([a-z]*[0-9]){2}[a-z0-9]*$"), (62, 598 / 961, "^[A-Za-z0-9]+$"), (64, 165 / 256, "")]
 
@@ -58,7 +61,7 @@ def _spans(found: Column, kind: str) -> Column:
 
 
 def battery(s: Column) -> Column:
-    """(length_class, uneven_z, runs_z, serial_z, score) of a candidate; the score is larger the more random it looks."""
+    """(length_class, uneven_z, runs_z, serial_z, distance) of a candidate; the distance's logarithm is smaller the more random it looks."""
 
     def tested(chars):
         n = F.size(chars).cast("double")
@@ -82,43 +85,50 @@ def battery(s: Column) -> Column:
 
         serial_z = let(codes, serial) * F.sqrt(n)
         far = F.pow(F.greatest(uneven_z, F.lit(0.0)), 2.0) + F.pow(F.least(runs_z, F.lit(0.0)), 2.0) + F.pow(serial_z, 2.0)
-        return F.struct(F.least(F.floor(F.log2(n)), F.lit(CLASSES - 1)).cast("int").alias("length_class"), uneven_z.alias("uneven_z"), runs_z.alias("runs_z"), serial_z.alias("serial_z"), (-F.log1p(far)).alias("score"))
+        return F.struct(F.least(F.floor(F.log2(n)), F.lit(CLASSES - 1)).cast("int").alias("length_class"), uneven_z.alias("uneven_z"), runs_z.alias("runs_z"), serial_z.alias("serial_z"), F.log1p(far).alias("distance"))
 
     return let(F.split(s, "", F.char_length(s)), tested)
 
 
-def spread(tests: DataFrame) -> list[tuple[float, float]]:
-    """(median, standard deviation) of ordinary candidates' scores for each class of lengths; `tests` has a struct t.
+def random_below(distance: float) -> float:
+    """The share of random runs whose distance's logarithm is below: two squares count on one side only, one on both."""
+    x = math.expm1(distance)
+    one = math.erf(math.sqrt(x / 2))
+    return one / 4 + (1 - math.exp(-x / 2)) / 2 + (one - math.sqrt(2 * x / math.pi) * math.exp(-x / 2)) / 4
 
-    Secrets lie above the median and hardly touch it and the lower quartile, as long as they are few."""
-    quartiles = F.percentile_approx("t.score", F.array(F.lit(0.25), F.lit(0.5)), F.lit(10_000))
-    rows = {r["c"]: r for r in tests.rollup(F.col("t.length_class").alias("c")).agg(F.count("*").alias("n"), quartiles.alias("q")).collect()}  # a row a class
 
-    def of(c: int | None, prior: tuple[float, float]) -> tuple[float, float]:
-        """A class's own figures, and the prior as if it were so many more candidates."""
-        if c not in rows or not rows[c]["n"]:
-            return prior
-        (low, median), n = rows[c]["q"], rows[c]["n"]
-        own = (median, max((median - low) / 0.6745, 0.2))
-        return tuple((n * x + PRIOR * y) / (n + PRIOR) for x, y in zip(own, prior, strict=True))
+def _normal_below(x: float, mean: float, deviation: float) -> float:
+    return 0.5 * math.erfc((mean - x) / deviation / math.sqrt(2))
 
-    whole = of(None, ORDINARY)
-    return [of(c, whole) for c in range(CLASSES)]
 
-
-def _bin(p: Column) -> Column:
-    return F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * 20), F.lit(BINS)).cast("int")
+def mixture(counts: dict[int, int], steps: int = 300) -> tuple[float, float, float]:
+    """(share of random ones, mean and deviation of the ordinary ones) of a class's bins, by expectation and maximisation."""
+    share, (mean, deviation), n = 0.1, ORDINARY, sum(counts.values())
+    for _ in range(steps):
+        random = {}
+        for b in counts:
+            r = share * max(random_below((b + 1) * WIDTH) - random_below(b * WIDTH), 1e-12)
+            o = (1 - share) * max(_normal_below((b + 1) * WIDTH, mean, deviation) - _normal_below(b * WIDTH, mean, deviation), 1e-12)
+            random[b] = r / (r + o)
+        ordinary = {b: c * (1 - random[b]) for b, c in counts.items()}
+        weight, before = sum(ordinary.values()) + PRIOR, (share, mean)
+        share = (n - weight + PRIOR + SHARE[0]) / (n + sum(SHARE))
+        mean = (PRIOR * ORDINARY[0] + sum(w * (b + 0.5) * WIDTH for b, w in ordinary.items())) / weight
+        squares = sum(w * ((b + 0.5) * WIDTH - mean) ** 2 for b, w in ordinary.items())
+        deviation = max(math.sqrt((PRIOR * (ORDINARY[1] ** 2 + (ORDINARY[0] - mean) ** 2) + squares) / weight), 0.2)
+        if abs(share - before[0]) + abs(mean - before[1]) < 1e-7:
+            break
+    return share, mean, deviation
 
 
 def discoveries(counts: list[tuple[int, int, int]], fdr: float = FDR) -> dict[int, int]:
-    """Lowest bin that is discovered, by length class; counts: (class, bin, number of tests). A bin counts as its largest p."""
+    """Highest bin that is found, by length class; counts: (class, bin, number of candidates)."""
     out = {}
     for cls in {c for c, _, _ in counts}:
-        bins = sorted(((b, n) for c, b, n in counts if c == cls), reverse=True)
-        m, so_far = sum(n for _, n in bins), 0
-        for b, n in bins:
-            so_far += n
-            if 10 ** (-b / 20) <= fdr * so_far / m:
+        share, mean, deviation = mixture({b: n for c, b, n in counts if c == cls})
+        for b in range(math.ceil(math.log1p(REJECTED) / WIDTH)):
+            ordinary = (1 - share) * _normal_below((b + 1) * WIDTH, mean, deviation)
+            if ordinary <= fdr * (ordinary + share * random_below((b + 1) * WIDTH)):
                 out[cls] = b
     return out
 
@@ -136,18 +146,12 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     tests = F.transform("_more", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), battery(m["text"]).alias("t")))
     kept = written(found.select(*rest, *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]], base.alias("base"), tests.alias("tests")))
     each = kept.select(F.explode("tests.t").alias("t"))
-    ordinary = spread(each)
-    of_class = lambda t, k: F.element_at(F.array(*[F.lit(float(x[k])) for x in ordinary]), t["length_class"] + 1)
-
-    def p(t: Column) -> Column:
-        z = (t["score"] - of_class(t, 0)) / of_class(t, 1)
-        tail = 1 / (1 + F.exp(F.least(1.5976 * z + 0.07056 * z * z * z, F.lit(700.0))))  # the normal upper tail
-        return F.when(t["score"] < -math.log1p(REJECTED), F.lit(1.0)).otherwise(tail)
-
-    counts = each.groupBy(F.col("t.length_class").alias("c"), _bin(p(F.col("t"))).alias("b")).agg(F.count("*").alias("n")).collect()  # CLASSES times BINS at most
-    lowest = discoveries([tuple(r) for r in counts])
-    bounds = F.array(*[F.lit(lowest.get(c, BINS + 1)) for c in range(CLASSES)])
-    added = F.transform(F.filter("tests", lambda x: _bin(p(x["t"])) >= F.element_at(bounds, x["t"]["length_class"] + 1)), lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
+    at = lambda t: F.least(F.floor(t["distance"] / WIDTH), F.lit(int(CAP / WIDTH))).cast("int")
+    counts = each.groupBy(F.col("t.length_class").alias("c"), at(F.col("t")).alias("b")).agg(F.count("*").alias("n")).collect()  # CLASSES times CAP / WIDTH rows at most
+    highest = discoveries([tuple(r) for r in counts])
+    bounds = F.array(*[F.lit(highest.get(c, -1)) for c in range(CLASSES)])
+    found = F.filter("tests", lambda x: (at(x["t"]) <= F.element_at(bounds, x["t"]["length_class"] + 1)) & (x["t"]["distance"] <= math.log1p(REJECTED)))
+    added = F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
     return kept.select(*rest, "n_assign", "n_access", "n_hex", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
