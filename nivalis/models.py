@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 import json
+import math
+import random
+import re
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Names of columns that say that a feature is missing.
+LACKS = "__lacks_"
+
 
 def temporal_holdout(df: DataFrame, ts: str, test_years: int = 2, cutoff: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Train strictly before the cutoff, test from it on; the cutoff is `test_years` before the last time (M6)."""
@@ -39,21 +46,42 @@ def ridge(train: DataFrame, features: list[str], target: str, alpha: float = 1.0
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error"), model]).fit(train)
 
 
-def boosted(train: DataFrame, features: list[str], target: str, categorical: list[str] = (), validation: str | None = None, **args) -> PipelineModel:
-    """Gradient-boosted trees (M2); `validation` names a boolean column of the rows that stop training early."""
+def boosted(train: DataFrame, features: list[str], target: str, categorical: list[str] = (), validation: str | None = None, rows: float = 1.0, columns: str = "all", **args) -> PipelineModel:
+    """Gradient-boosted trees (M2); `validation` names a boolean column of the rows that stop training early. `rows`: share of
+    rows that a tree sees; `columns`: how many features a split sees ("all", "sqrt", "onethird", or a share such as "0.8").
+
+    Every row has a prediction: a missing feature (NULL or NaN) is 0 and has an indicator beside it, both made in the pipeline; an
+    unknown category is a category. Rows without a target don't train."""
+    return boosted_pipeline(features, target, categorical, validation, **({"subsamplingRate": rows, "featureSubsetStrategy": columns} | args)).fit(train.filter(F.col(target).isNotNull()))
+
+
+def boosted_pipeline(features: list[str], target: str, categorical: list[str] = (), validation: str | None = None, **args) -> Pipeline:
+    """What `boosted` fits."""
     index = [StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep") for c in categorical]
-    cols = [*features, *(f"{c}_index" for c in categorical)]
+    known = [f"__known_{i}" for i in range(len(features))]
+    lacks = [f"{LACKS}{i}" for i in range(len(features))]
+    real = [f"nanvl(CAST(`{c}` AS DOUBLE), NULL)" for c in features]
+    made = [f"coalesce({x}, 0D) AS {k}, CAST({x} IS NULL AS DOUBLE) AS {i}" for x, k, i in zip(real, known, lacks, strict=True)]
+    fill = SQLTransformer(statement=f"SELECT *, {', '.join(made)} FROM __THIS__")
+    join = VectorAssembler(inputCols=[*known, *(f"{c}_index" for c in categorical), *lacks], outputCol="features", handleInvalid="error")
+    drop = SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join([*known, *lacks])}) FROM __THIS__")
     gbt = GBTRegressor(featuresCol="features", labelCol=target, **({"maxIter": 20, "maxDepth": 4, "seed": 1} | args))
     if validation:
         gbt = gbt.setValidationIndicatorCol(validation)
-    return Pipeline(stages=[*index, VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip"), gbt]).fit(train)
+    return Pipeline(stages=[*index, fill, join, drop, gbt])
 
 
 def importance(model: PipelineModel, features: list[str]) -> dict[str, float]:
-    """Feature: importance; of a linear model the size of its coefficients."""
+    """Feature: importance, that of its being missing included; of a linear model the size of its coefficients. `features`: numeric
+    ones, then categorical ones."""
     last = model.stages[-1]
-    values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else abs(last.coefficients.toArray())
-    return dict(zip(features, map(float, values), strict=False))
+    values = list(map(float, last.featureImportances.toArray() if hasattr(last, "featureImportances") else abs(last.coefficients.toArray())))
+    out = dict(zip(features, values, strict=False))
+    columns = next((x.getInputCols() for x in model.stages if isinstance(x, VectorAssembler)), [])
+    for c, more in zip(columns, values, strict=False):
+        if c.startswith(LACKS):
+            out[features[int(c.removeprefix(LACKS))]] += more
+    return out
 
 
 def importance_table(spark: SparkSession, model: PipelineModel, features: list[str]) -> DataFrame:
@@ -158,9 +186,53 @@ def search(train: DataFrame, features: list[str], target: str, grid: dict[str, l
     return tuned.bestModel, history
 
 
+@dataclass(frozen=True)
+class Between:
+    """Numbers from `low` to `high`, both included; `log`: even in their logarithms; `whole`: whole numbers only."""
+
+    low: float
+    high: float
+    log: bool = False
+    whole: bool = False
+
+    def draw(self, rng: random.Random) -> float | int:
+        if self.log and self.low <= 0:
+            raise ValueError("a logarithmic space begins above 0")
+        low, high = (math.log(self.low), math.log(self.high)) if self.log else (self.low, self.high)
+        x = rng.uniform(low, high)
+        x = min(max(math.exp(x) if self.log else x, self.low), self.high)
+        return round(x) if self.whole else x
+
+
+def draws(space: dict[str, Between | list], n: int, seed: int = 42) -> list[dict]:
+    """`n` trials from a declared space: of each parameter a number between bounds, or one of a list."""
+    rng = random.Random(seed)
+    return [{k: v.draw(rng) if isinstance(v, Between) else rng.choice(v) for k, v in space.items()} for _ in range(n)]
+
+
+def searched(train: DataFrame, features: list[str], target: str, space: dict[str, Between | list], n: int = 20, fold: str | None = None, folds: int = 3, metric: str | Evaluator = "rmse", seed: int = 42, at_once: int = 2) -> tuple[PipelineModel, DataFrame]:
+    """Cross-validated random search over boosted trees (M8): (model of the best trial on all rows, history).
+
+    `fold` names a column 0..folds-1, such as `station_folds` makes, so that no station is on both sides; without it
+    rows are dealt at random. history: trial, metric (mean over folds), spread, best, and the parameters as text. Rows with a missing
+    feature take part as in `boosted`."""
+    trials = draws(space, n, seed)
+    pipe = boosted_pipeline(features, target)
+    gbt = pipe.getStages()[-1]
+    maps = [{getattr(gbt, k): v for k, v in t.items()} for t in trials]
+    evaluator = RegressionEvaluator(labelCol=target, metricName=metric) if isinstance(metric, str) else metric
+    rows = train.filter(F.col(target).isNotNull())
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds, seed=seed, parallelism=at_once, **({"foldCol": fold} if fold else {}))
+    tuned = cv.fit(rows.withColumn(fold, F.col(fold).cast("int")) if fold else rows)
+    best = (max if evaluator.isLargerBetter() else min)(range(n), key=tuned.avgMetrics.__getitem__)
+    history = [(i, float(m), float(s), i == best, {k: str(x) for k, x in t.items()}) for i, (m, s, t) in enumerate(zip(tuned.avgMetrics, tuned.stdMetrics, trials, strict=True))]
+    return tuned.bestModel, train.sparkSession.createDataFrame(history, "trial int, metric double, spread double, best boolean, parameters map<string,string>")
+
+
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Batch prediction, with a check of the features' names."""
-    need = next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols()
+    need = [c for s in model.stages if isinstance(s, VectorAssembler) for c in s.getInputCols() if not c.startswith("__")]
+    need += [c for s in model.stages if isinstance(s, SQLTransformer) for c in re.findall(r"CAST\(`([^`]+)` AS DOUBLE\), NULL\) IS NULL", s.getStatement())]
     made = {s.getOutputCol() for s in model.stages if hasattr(s, "getOutputCol")}
     if missing := [c for c in need if c not in df.columns and c not in made]:
         raise ValueError(f"no such columns: {missing}")

@@ -1,4 +1,4 @@
-"""Lagged, rolling and cumulative features: one window partition, one sort. Frames count rows, as the values come."""
+"""Lagged, rolling and cumulative features: one window partition, one sort. Frames count rows, as the values come, or calendar days."""
 
 from __future__ import annotations
 
@@ -18,31 +18,41 @@ def _order(df: DataFrame, order: str | None) -> str:
     raise ValueError("an order column is needed: date, datetime, timestamp or time")
 
 
-def features(df: DataFrame, variables: list[str], group: str | None, order: str | None = None, lags=LAGS, windows=WINDOWS, kinds=("lag", "mean", "std", "min_max", "trend", "sum")) -> DataFrame:
+def features(df: DataFrame, variables: list[str], group: str | None, order: str | None = None, lags=LAGS, windows=WINDOWS, kinds=("lag", "mean", "std", "min_max", "trend", "sum"), frame: str = "rows") -> DataFrame:
     """W1-W6 in one select; `kinds` chooses. A missing variable is an error; groups don't see each other's rows. Without a group, all rows are one
-    task's: only for a single short series."""
+    task's: only for a single short series.
+
+    frame="rows": a window of n is the last n rows, a lag of n the row n before. frame="days": it is all rows of the last n
+    calendar days, and a lag the mean of the values of the day n days before; so a day that is missing is a gap, rows of one day
+    have the same frame, and rows without a date have NULL."""
     if missing := [v for v in variables if v not in df.columns]:
         raise ValueError(f"no such columns: {missing}")
-    w = W.partitionBy(*([group] if group else [])).orderBy(_order(df, order))
-    frame = lambda n: w.rowsBetween(-(n - 1), 0)
+    if frame not in ("rows", "days"):
+        raise ValueError(f"no such frame: {frame}")
+    by = W.partitionBy(*([group] if group else []))
+    day = F.unix_date(F.col(_order(df, order)).cast("date")) if frame == "days" else None
+    w = by.orderBy(_order(df, order) if day is None else day)
+    last = lambda n: w.rowsBetween(-(n - 1), 0) if day is None else w.rangeBetween(-(n - 1), 0)
+    before = lambda x, n: F.lag(x, n).over(w) if day is None else F.avg(x).over(w.rangeBetween(-n, -n))
+    dated = lambda c: c if day is None else F.when(day.isNotNull(), c)
     out: dict[str, Column] = {}
     for v in variables:
         x = F.col(v)
         if "lag" in kinds:
-            out |= {f"{v}_lag_{n}d": F.lag(x, n).over(w) for n in lags}
+            out |= {f"{v}_lag_{n}d": before(x, n) for n in lags}
         for n in windows:
             if "mean" in kinds:
-                out[f"{v}_roll_mean_{n}d"] = F.avg(x).over(frame(n))
+                out[f"{v}_roll_mean_{n}d"] = F.avg(x).over(last(n))
             if "std" in kinds:
-                out[f"{v}_roll_std_{n}d"] = F.stddev_samp(x).over(frame(n))
+                out[f"{v}_roll_std_{n}d"] = F.stddev_samp(x).over(last(n))
             if "min_max" in kinds:
-                out |= {f"{v}_roll_min_{n}d": F.min(x).over(frame(n)), f"{v}_roll_max_{n}d": F.max(x).over(frame(n))}
+                out |= {f"{v}_roll_min_{n}d": F.min(x).over(last(n)), f"{v}_roll_max_{n}d": F.max(x).over(last(n))}
             if "trend" in kinds:
-                past = F.lag(x, n).over(w)
+                past = before(x, n)
                 out |= {f"{v}_change_{n}d": x - past, f"{v}_pct_change_{n}d": F.try_divide((x - past) * 100.0, F.nullif(past.cast("double"), F.lit(0.0)))}
             if "sum" in kinds:
-                out[f"{v}_cumsum_{n}d"] = F.sum(x).over(frame(n))
-    return df.select("*", *[c.alias(n) for n, c in out.items()])
+                out[f"{v}_cumsum_{n}d"] = F.sum(x).over(last(n))
+    return df.select("*", *[dated(c).alias(n) for n, c in out.items()])
 
 
 def feature_names(variables: list[str], lags=LAGS, windows=WINDOWS) -> list[str]:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from nivalis.operators.ranking import exact_quantiles
+
 GOOD, MISSING, BELOW, ABOVE, OUTLIER, TEMPORAL = 0, 1, 2, 4, 8, 16
 #: Physical limits by column name (none: no bound).
 LIMITS = {
@@ -41,26 +43,36 @@ def physical(df: DataFrame, limits: dict | None = None) -> DataFrame:
     return df.select("*", *out)
 
 
-def outliers(df: DataFrame, columns: list[str], method: str = "iqr", threshold: float | None = None, group: list[str] = (), exact: bool = True) -> DataFrame:
+def outliers(df: DataFrame, columns: list[str], method: str = "iqr", threshold: float | None = None, group: list[str] = (), exact: bool = True, few: int = 100_000) -> DataFrame:
     """`<column>_outlier_flag` (W8b), over all rows or by group: outside the quartiles by `threshold` times their distance, or
     `threshold` standard deviations from the mean. Fewer than 3 values or no spread: none. The statistics are one row a group.
-    Exact quartiles count all distinct values of a group in one task; where those are very many, `exact=False`."""
-    k = threshold if threshold is not None else 3.0
-    pct = F.percentile if exact else F.percentile_approx
+    Null groups are a group. Exact quartiles of a group of more than `few` values are found by counting; `exact=False` takes approximate ones."""
+    k, group = threshold if threshold is not None else 3.0, list(group)
+    by = df.groupBy(*group)
+    counted = method == "iqr" and exact and not by.count().filter(F.col("count") > few).isEmpty()
     stats = []
     for c in columns:
         x = F.col(c)
-        if method == "iqr":
+        if counted:
+            low = high = F.lit(None).cast("double")
+        elif method == "iqr":
+            pct = F.percentile if exact else F.percentile_approx
             q1, q3 = pct(x, F.lit(0.25)), pct(x, F.lit(0.75))
             low, high = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
         else:
             s = F.nullif(F.stddev_samp(x), F.lit(0.0))
             low, high = F.avg(x) - k * s, F.avg(x) + k * s
         enough = F.count(x) >= 3
-        stats += [F.when(enough, low).alias(f"_{c}_low"), F.when(enough, high).alias(f"_{c}_high")]
-    group = list(group)
-    one = df.groupBy(*group).agg(*stats)
-    joined = df.join(one, group) if group else df.crossJoin(F.broadcast(one))  # one row
+        stats += [enough.alias(f"_{c}_enough"), F.when(enough, low).alias(f"_{c}_low"), F.when(enough, high).alias(f"_{c}_high")]
+    keys = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)], F.lit(True))
+    one = by.agg(*stats).select(*keys, *[f"_{c}_{x}" for c in columns for x in ("enough", "low", "high")])
+    for c in columns if counted else ():
+        q = exact_quantiles(df, c, [0.25, 0.75], group, few).select(*[F.col(g).alias(f"_h{i}") for i, g in enumerate(group)], F.col("quantiles")[0].alias("_q1"), F.col("quantiles")[1].alias("_q3"))
+        match = reduce(lambda a, b: a & b, [F.col(f"_g{i}").eqNullSafe(F.col(f"_h{i}")) for i in range(len(group))], F.lit(True))
+        far = k * (F.col("_q3") - F.col("_q1"))
+        one = one.join(q, match).withColumns({f"_{c}_low": F.when(F.col(f"_{c}_enough"), F.col("_q1") - far), f"_{c}_high": F.when(F.col(f"_{c}_enough"), F.col("_q3") + far)}).drop("_q1", "_q3", *[f"_h{i}" for i in range(len(group))])
+    joined = df.join(one, same) if group else df.crossJoin(F.broadcast(one))  # one row
     flags = [F.when(F.col(c).isNull(), MISSING).when((F.col(c) < F.col(f"_{c}_low")) | (F.col(c) > F.col(f"_{c}_high")), OUTLIER).otherwise(GOOD).alias(f"{c}_outlier_flag") for c in columns]
     return joined.select(*df.columns, *flags)
 

@@ -1,4 +1,4 @@
-"""Numbers of rows in an order, and running sums, without a task that holds all rows of a group."""
+"""Numbers of rows in an order, running sums and exact quantiles, without a task that holds all rows of a group."""
 
 from __future__ import annotations
 
@@ -63,3 +63,56 @@ def running_sums(df: DataFrame, group: str, place: str, values: dict[str, Column
     for k, s in sums.items():
         out = out.withColumn(k, F.col(k) + F.coalesce(F.col(s), F.lit(0)))
     return out.drop(part, *sums.values())
+
+
+def contiguous_folds(df: DataFrame, order: list[str | Column], k: int, name: str = "fold") -> DataFrame:
+    """`df` with `name` 0..k-1: rows in order are cut into k runs, the first ones a row longer where k doesn't divide their number.
+    Fewer rows than folds is an error."""
+    at, n = _unused(df, "_number", "_rows")
+    out = row_numbers(df, order, name=at, count=n)
+    if (rows := out.count()) < k:
+        raise ValueError(f"{rows} rows are fewer than {k} folds")
+    size, longer = F.floor(F.col(n) / k), F.pmod(n, F.lit(k))
+    edge = longer * (size + 1)
+    fold = F.when(F.col(at) < edge, F.floor(F.col(at) / (size + 1))).otherwise(longer + F.floor((F.col(at) - edge) / size))
+    return out.withColumn(name, fold.cast("int")).drop(at, n)
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: list[float], group: list[str] = (), few: int = 100_000, cells: int = 1024) -> DataFrame:
+    """(group, quantiles): the exact quantiles of `value` (an array, linear between neighbours), as `percentile` has them.
+
+    A group of up to `few` values is sorted in one task. In larger ones, of which there are N / `few` at most, the interval that
+    holds a rank is cut into `cells` parts, each part's values are counted in partial aggregates, and the part with the rank
+    is the next interval, until `few` values or a single one are left. So memory doesn't depend on how many values there are. NULL and NaN
+    count for nothing; a group without values has NULL; null groups are a group; an empty table has no groups."""
+    group = list(group)
+    names = [f"_g{i}" for i in range(len(group))]
+    x = F.col(f"`{value}`").cast("double")
+    rows = df.select(*[F.col(f"`{g}`").alias(a) for g, a in zip(group, names, strict=True)], F.nanvl(x, F.lit(None).cast("double")).alias("_x"))
+    key = F.struct(*names) if names else F.lit(0)
+    rows = rows.select(key.alias("_key"), "_x")
+    sizes = written(rows.groupBy("_key").agg(F.count("_x").alias("n"), F.min("_x").alias("low"), F.max("_x").alias("high")))
+    few = max(few, (sizes.agg(F.sum("n")).first()[0] or 0) // 10_000)  # large groups are 10,000 at most, and broadcast
+    large = sizes.filter(F.col("n") > few)
+    small = rows.join(F.broadcast(large.select("_key")), "_key", "left_anti") if (some := not large.isEmpty()) else rows
+    out = small.groupBy("_key").agg(F.percentile("_x", F.array(*map(F.lit, shares))).alias("quantiles"))
+    if some:
+        place = [(F.col("n") - 1) * F.lit(float(q)) for q in shares]
+        ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p), F.ceil(p)) for p in place])))
+        state = written(large.select("_key", F.explode(ranks).alias("rank"), F.lit(0).cast("long").alias("before"), F.col("n").alias("inside"), "low", "high"))
+        values = rows.filter("_x is not null")
+        while not (wide := state.filter((F.col("inside") > few) & (F.col("low") < F.col("high")))).isEmpty():
+            cell = F.least(F.floor((F.col("_x") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * cells), F.lit(cells - 1))
+            held = values.join(F.broadcast(wide), "_key").filter("_x between low and high")
+            parts = held.groupBy("_key", "rank", "before", cell.alias("cell")).agg(F.count("*").alias("inside"), F.min("_x").alias("low"), F.max("_x").alias("high"))
+            w = W.partitionBy("_key", "rank").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)  # `cells` rows
+            parts = parts.withColumn("before", F.col("before") + F.coalesce(F.sum("inside").over(w), F.lit(0))).filter("before <= rank and rank < before + inside")
+            done = state.filter((F.col("inside") <= few) | (F.col("low") == F.col("high")))
+            state = written(done.unionByName(parts.drop("cell")))
+        left = state.filter("low < high")
+        last = values.join(F.broadcast(left), "_key").filter("_x between low and high").groupBy("_key", "rank", "before").agg(F.sort_array(F.collect_list("_x")).alias("v"))
+        found = state.filter("low = high").select("_key", "rank", F.col("low").alias("v")).unionAll(last.select("_key", "rank", F.element_at("v", (F.col("rank") - F.col("before") + 1).cast("int"))))
+        found = found.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("v")).join(large.select("_key", "n"), "_key")
+        at = lambda p: F.col("v")[F.floor(p)] + (F.col("v")[F.ceil(p)] - F.col("v")[F.floor(p)]) * (p - F.floor(p))
+        out = out.unionByName(found.select("_key", F.array(*map(at, place)).alias("quantiles")))
+    return out.select(*[F.col(f"_key.{a}").alias(g) for g, a in zip(group, names, strict=True)], "quantiles")

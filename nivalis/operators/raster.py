@@ -1,4 +1,7 @@
-"""Slope, aspect, roughness and position index of rasters kept as rows (tile, row, col, z)."""
+"""Slope, aspect, roughness and position index of rasters kept as rows (tile, row, col, z).
+
+A cell's neighbours are those whose row or column is next to its own, so that cells that are missing are holes: what needs one
+is NULL, as where z itself is."""
 
 from __future__ import annotations
 
@@ -8,35 +11,46 @@ from pyspark.sql import functions as F
 
 
 def gradients(dem: DataFrame, cell_m: float = 30.0) -> DataFrame:
-    """`dem` with slope and aspect in degrees: central differences inside, one-sided at edges."""
+    """`dem` with slope and aspect in degrees: central differences inside, one-sided at the tile's edges."""
+    size = dem.groupBy("tile").agg(*[f(a).alias(f"_{a}_{n}") for a in ("row", "col") for n, f in (("first", F.min), ("last", F.max))])
+
     def change(along: str, across: str) -> Column:
         w = W.partitionBy("tile", across).orderBy(along)
-        ahead, back = F.lead("z").over(w), F.lag("z").over(w)
-        steps = ahead.isNotNull().cast("int") + back.isNotNull().cast("int")
-        return F.try_divide(F.coalesce(ahead, F.col("z")) - F.coalesce(back, F.col("z")), steps * cell_m)
+        ahead, back = F.max("z").over(w.rangeBetween(1, 1)), F.max("z").over(w.rangeBetween(-1, -1))
+        z, at = F.col("z"), F.col(along)
+        return F.when(at == F.col(f"_{along}_first"), ahead - z).when(at == F.col(f"_{along}_last"), z - back).otherwise((ahead - back) / 2) / cell_m
 
-    out = dem.withColumn("_dx", change("col", "row")).withColumn("_dy", change("row", "col"))
+    out = dem.join(size, "tile").withColumn("_dx", F.when(F.col("z").isNotNull(), change("col", "row"))).withColumn("_dy", F.when(F.col("z").isNotNull(), change("row", "col")))
     slope = F.degrees(F.atan(F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"))))
     return out.select(*dem.columns, slope.alias("slope"), F.pmod(F.degrees(F.atan2(-F.col("_dx"), F.col("_dy"))), F.lit(360.0)).alias("aspect"))
 
 
+def _reflections(at: Column, first: Column, last: Column, radius: int) -> Column:
+    """All places, from `radius` before `first` to as many after `last`, where a border's mirror shows `at`."""
+    x, n = at - first, last - first + 1
+    turns = F.ceil(radius / (2 * n)).cast("int") + 1
+    places = F.flatten(F.transform(F.sequence(-turns, turns), lambda k: F.array(2 * n * k + x, 2 * n * k - x - 1)))
+    return F.transform(F.filter(places, lambda p: (p >= -radius) & (p < n + radius)), lambda p: p + first)
+
+
 def mirrored(dem: DataFrame, radius: int) -> DataFrame:
-    """`dem` with its borders reflected outward by `radius` cells (the edge cell itself is repeated)."""
-    size = dem.groupBy("tile").agg(F.max("row").alias("_rows"), F.max("col").alias("_cols"))
+    """`dem` with its borders reflected outward by `radius` cells (the edge cell itself is repeated), again and again where the tile
+    is smaller than that."""
+    size = dem.groupBy("tile").agg(*[f(a).alias(f"_{a}_{n}") for a in ("row", "col") for n, f in (("first", F.min), ("last", F.max))])
     out = dem.join(size, "tile")
-    for axis, last in (("row", "_rows"), ("col", "_cols")):
-        x = F.col(axis)
-        low, high = F.when(x < radius, -x - 1), F.when(x > F.col(last) - radius, 2 * F.col(last) + 1 - x)
-        out = out.withColumn(axis, F.explode(F.filter(F.array(x, low, high), lambda v: v.isNotNull())))
-    return out.drop("_rows", "_cols")
+    for axis in ("row", "col"):
+        out = out.withColumn(axis, F.explode(_reflections(F.col(axis), F.col(f"_{axis}_first"), F.col(f"_{axis}_last"), radius)))
+    return out.drop(*[f"_{a}_{n}" for a in ("row", "col") for n in ("first", "last")])
 
 
 def box_mean(dem: DataFrame, radius: int, value: str = "z", name: str = "mean") -> DataFrame:
-    """`dem` with the mean over the square of 2 radius + 1 cells around each: first along columns, then along rows."""
-    across = W.partitionBy("tile", "row").orderBy("col").rowsBetween(-radius, radius)
-    down = W.partitionBy("tile", "col").orderBy("row").rowsBetween(-radius, radius)
+    """`dem` with the mean over the square of 2 radius + 1 cells around each, NULL if one of them is missing: first along columns, then
+    along rows."""
+    across = W.partitionBy("tile", "row").orderBy("col").rangeBetween(-radius, radius)
+    down = W.partitionBy("tile", "col").orderBy("row").rangeBetween(-radius, radius)
     out = dem.withColumn("_s", F.sum(value).over(across)).withColumn("_n", F.count(value).over(across))
-    return out.withColumn(name, F.try_divide(F.sum("_s").over(down), F.sum("_n").over(down))).drop("_s", "_n")
+    n = (2 * radius + 1) ** 2
+    return out.withColumn(name, F.when(F.sum("_n").over(down) == n, F.sum("_s").over(down) / n)).drop("_s", "_n")
 
 
 def roughness(dem: DataFrame, radius: int = 1) -> DataFrame:

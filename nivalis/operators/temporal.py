@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -52,13 +53,51 @@ def resample_daily(df: DataFrame, ts: str, group: list[str] = (), rules: dict |
     return out
 
 
-def resample(df: DataFrame, ts: str, freq: str, group: list[str] = (), rules: dict | None = None, pick: str = "longest") -> DataFrame:
-    """As `resample_daily`, to any fixed length of time such as "6 hours" or "7 days" (A1): `ts` becomes the bin's start."""
+#: Seconds of units of fixed length, and months of the others.
+SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+MONTHS = {"month": 1, "quarter": 3, "year": 12, "water year": 12}
+MONDAY = 4 * 86400  # 1970-01-05
+
+
+def bin_start(ts: Column, freq: str) -> tuple[Column, str]:
+    """(start of the bin that `ts` is in, length as an interval) for a frequency such as "6 hours", "month", "2 quarters" or "water year".
+
+    Bins of fixed length are counted from 1970-01-01 (weeks from a Monday), months and quarters from January, water
+    years from October."""
+    found = re.fullmatch(r"(\d+)?\s*(" + "|".join([*SECONDS, *MONTHS]) + r")s?", freq.strip().lower())
+    if not found or found[1] == "0":
+        raise ValueError(f"no such frequency: {freq}")
+    n, unit = int(found[1] or 1), found[2]
+    if unit in SECONDS:
+        length, zero = n * SECONDS[unit], MONDAY if unit == "week" else 0
+        return F.timestamp_seconds(F.floor((F.unix_seconds(ts) - zero) / length) * length + zero), f"INTERVAL {length} SECONDS"
+    months, shift = n * MONTHS[unit], 9 if unit == "water year" else 0
+    at = F.floor((F.year(ts) * 12 + F.month(ts) - 1 - shift) / months) * months + shift
+    return F.make_date(F.floor(at / 12).cast("int"), (F.pmod(at, F.lit(12)) + 1).cast("int"), F.lit(1)).cast("timestamp"), f"INTERVAL {months} MONTHS"
+
+
+def resample(df: DataFrame, ts: str, freq: str, group: list[str] = (), rules: dict | None = None, values: list[str] | None = None, fill_bins: bool = True, pick: str = "longest", zone: str | None = None) -> DataFrame:
+    """As `resample_daily`, to any frequency (A1): (group, start, values); `ts` becomes the bin's start.
+
+    With `fill_bins` there are all bins between a group's first and last; those without rows have NULL, and sums and
+    counts 0. With `zone` bins are of local time there, and `ts` is its clock: days of 23 and 25 hours are one bin each. Times are
+    UTC. Rows without a time are left out; null groups are a group. An unknown frequency is an error."""
     group = list(group)
-    values = [f.name for f in df.schema.fields if f.name not in (ts, *group) and f.dataType.typeName() in ("double", "float", "integer", "long")]
+    values = values or [f.name for f in df.schema.fields if f.name not in (ts, *group) and f.dataType.typeName() in ("double", "float", "integer", "long")]
     chosen = {v: rule_for(v, rules, pick) for v in values}
     aggs = [(AGGREGATES[r] if isinstance(r, str) else r)(v).alias(v) for v, r in chosen.items()]
-    return df.groupBy(*group, F.window(ts, freq).alias("_w")).agg(*aggs).select(*group, F.col("_w.start").alias(ts), *values)
+    time = F.col(ts).cast("timestamp")
+    start, length = bin_start(F.from_utc_timestamp(time, zone) if zone else time, freq)
+    out = df.filter(F.col(ts).isNotNull()).withColumn(ts, start).groupBy(*group, ts).agg(*aggs)
+    if not fill_bins:
+        return out
+    bins = out.groupBy(*group).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b")).filter("_a is not null")
+    bins = bins.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.explode(F.sequence("_a", "_b", F.expr(length))).alias("_t"))
+    same = F.col("_t") == F.col(ts)
+    for i, g in enumerate(group):
+        same &= F.col(f"_g{i}").eqNullSafe(F.col(g))
+    filled = [F.coalesce(v, F.lit(0)).alias(v) if r in ("sum", "count") else F.col(v) for v, r in chosen.items()]
+    return bins.join(out, same, "left").select(*[F.col(f"_g{i}").alias(g) for i, g in enumerate(group)], F.col("_t").alias(ts), *filled)
 
 
 def grid_daily(df: DataFrame, sums: list[str], ts: str = "time", deaccumulate: bool = False) -> DataFrame:

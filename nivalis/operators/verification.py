@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+
+from nivalis.operators.ranking import exact_quantiles
 from pyspark.sql import types as T
 
 THRESHOLD = 2.5
@@ -69,12 +71,18 @@ def breakdowns(df: DataFrame, elevation_edges=ELEVATION_BANDS, storm_edges=STORM
     return out.withColumn("n_samples", F.coalesce("n_samples", F.lit(0).cast("long")))
 
 
-def residual_summary(df: DataFrame, exact: bool = True) -> DataFrame:
-    """One row of the residuals y_pred - y_true (A22): population spread, skewness, excess kurtosis. Where residuals have very many
-    values, `exact=False` takes an approximate median."""
+def residual_summary(df: DataFrame, exact: bool = True, few: int = 100_000) -> DataFrame:
+    """One row of the residuals y_pred - y_true (A22): population spread, skewness, excess kurtosis. The exact median of more than
+    `few` residuals is found by counting; `exact=False` takes an approximate one."""
     e = F.col("y_pred") - F.col("y_true")
     n, s = F.count(e), F.stddev_pop(e)
-    return df.agg(F.avg(e).alias("mean"), s.alias("std"), (F.percentile if exact else F.percentile_approx)(e, F.lit(0.5)).alias("median"), F.min(e).alias("min"), F.max(e).alias("max"), F.when((n >= 3) & (s > 0), F.skewness(e)).alias("skewness"), F.when((n >= 4) & (s > 0), F.kurtosis(e)).alias("kurtosis"))
+    counted = exact and df.count() > few
+    middle = F.lit(None).cast("double") if counted else (F.percentile if exact else F.percentile_approx)(e, F.lit(0.5))
+    out = df.agg(F.avg(e).alias("mean"), s.alias("std"), middle.alias("median"), F.min(e).alias("min"), F.max(e).alias("max"), F.when((n >= 3) & (s > 0), F.skewness(e)).alias("skewness"), F.when((n >= 4) & (s > 0), F.kurtosis(e)).alias("kurtosis"))
+    if counted:
+        found = exact_quantiles(df.select(e.alias("e")), "e", [0.5], few=few)
+        out = out.crossJoin(F.broadcast(found)).withColumn("median", F.col("quantiles")[0]).drop("quantiles")  # one row each
+    return out
 
 
 def residuals_by(df: DataFrame, *keys) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nivalis import models
 from nivalis.functions import atmosphere, calendar, geo, snow, terrain
-from nivalis.operators import forecast, lagged, quality, raster, spatial, temporal, validation, verification
+from nivalis.operators import forecast, lagged, quality, ranking, raster, spatial, temporal, validation, verification
 from nivalis.plans.views import Views, rounded, sql
 from nivalis.session import new_path, written
 from nivalis.sources import resorts, stations, store
@@ -134,6 +134,54 @@ def w16_first_of_day(v):
     return temporal.align(d, "date", "2024-01-01", "2024-01-31", ["station_id"], "event_id").filter("event_id is not null")
 
 
+FRAMES = ", ".join(
+    [f"r6(avg(value) OVER (w RANGE BETWEEN INTERVAL {n} DAYS PRECEDING AND INTERVAL {n} DAYS PRECEDING)) AS value_lag_{n}d" for n in (1, 7)]
+    + [f"r6({f}(value) OVER (w RANGE BETWEEN INTERVAL {n - 1} DAYS PRECEDING AND CURRENT ROW)) AS value_{name}_{n}d" for n in (3, 14) for name, f in (("roll_mean", "avg"), ("roll_std", "stddev_samp"), ("roll_min", "min"), ("roll_max", "max"), ("cumsum", "sum"))]
+    + [f"r6(value - avg(value) OVER (w RANGE BETWEEN INTERVAL {n} DAYS PRECEDING AND INTERVAL {n} DAYS PRECEDING)) AS value_change_{n}d" for n in (3, 14)]
+    + [f"r6((value - avg(value) OVER (w RANGE BETWEEN INTERVAL {n} DAYS PRECEDING AND INTERVAL {n} DAYS PRECEDING)) * 100 / nullif(avg(value) OVER (w RANGE BETWEEN INTERVAL {n} DAYS PRECEDING AND INTERVAL {n} DAYS PRECEDING), 0)) AS value_pct_change_{n}d" for n in (3, 14)]
+)
+
+
+@query("w1_calendar_frames", f"SELECT event_id, station_id, {FRAMES} FROM (SELECT event_id, station_id, datetime, sqrt(abs(value)) AS value FROM obs) WINDOW w AS (PARTITION BY station_id ORDER BY CAST(datetime AS DATE))")
+def w1_calendar_frames(v):
+    """Several events a day, and days without any."""
+    out = lagged.features(v.obs.select("event_id", "station_id", "datetime", F.sqrt(F.abs("value")).alias("value")), ["value"], "station_id", lags=(1, 7), windows=(3, 14), frame="days")
+    return out.drop("datetime", "value")
+
+
+def _bins(source: str, group: str, bin: str, step: str) -> str:
+    return f"""WITH b AS (SELECT {group}, {bin} AS t, sum(price) AS price, avg(amount) AS amount FROM {source} GROUP BY ALL),
+    every AS (SELECT {group}, unnest(generate_series(a, z, INTERVAL {step})) AS t FROM (SELECT {group}, min(t) AS a, max(t) AS z FROM b GROUP BY 1))
+    SELECT e.{group}, CAST(e.t AS TIMESTAMP) AS t, r6(coalesce(b.price, 0)) AS price, r6(b.amount) AS amount FROM every e LEFT JOIN b ON e.{group} = b.{group} AND e.t = b.t"""
+
+
+_ORDERS = "(SELECT o_custkey, o_orderdate AS d, o_totalprice AS price, o_totalprice AS amount FROM orders)"
+
+
+def _orders(v):
+    return v.table("orders").select("o_custkey", F.col("o_orderdate").cast("timestamp").alias("t"), F.col("o_totalprice").alias("price"), F.col("o_totalprice").alias("amount"))
+
+
+def _resampled(v, freq: str):
+    return temporal.resample(_orders(v), "t", freq, ["o_custkey"], {"price": "sum", "amount": "mean"})
+
+
+@query("a1_months", _bins(_ORDERS, "o_custkey", "date_trunc('month', CAST(d AS TIMESTAMP))", "1 MONTH"))
+def a1_months(v):
+    return _resampled(v, "month")
+
+
+@query("a1_water_years", _bins(_ORDERS, "o_custkey", "date_trunc('year', CAST(d AS TIMESTAMP) + INTERVAL 3 MONTHS) - INTERVAL 3 MONTHS", "12 MONTHS"))
+def a1_water_years(v):
+    return _resampled(v, "water year")
+
+
+@query("a1_six_hours", _bins("(SELECT station_id, datetime, value AS price, value AS amount FROM obs)", "station_id", "time_bucket(INTERVAL 6 HOURS, datetime, TIMESTAMP '1970-01-01')", "6 HOURS"))
+def a1_six_hours(v):
+    d = v.obs.select("station_id", F.col("datetime").alias("t"), F.col("value").alias("price"), F.col("value").alias("amount"))
+    return temporal.resample(d, "t", "6 hours", ["station_id"], {"price": "sum", "amount": "mean"})
+
+
 CALENDAR = """dayofyear(t) AS day_of_year, r6(sin(dayofyear(t) * 2 * pi() / 365.25)) AS day_of_year_sin,
     r6(cos(dayofyear(t) * 2 * pi() / 365.25)) AS day_of_year_cos, month(t) AS month,
     r6(sin(month(t) * 2 * pi() / 12)) AS month_sin, r6(cos(month(t) * 2 * pi() / 12)) AS month_cos,
@@ -340,10 +388,11 @@ def a5_validate_snotel(v):
     return _told(validation.snotel(_snotel(v)))
 
 
-def _ghcn(v):
+def _ghcn(v, obs=None):
+    obs = v.obs if obs is None else obs
     element = F.when(F.col("k") % 2 == 0, "TMAX").otherwise("PRCP")
     flag = F.when(F.col("k") % 7 == 0, "G").when(F.col("k") % 7 == 1, "Q")
-    return v.obs.select("station_id", F.col("datetime").cast("date").alias("date"), element.alias("element"), F.col("value").alias("value"), flag.alias("qflag"), (F.col("value") * 10).alias("value_converted"))
+    return obs.select("station_id", F.col("datetime").cast("date").alias("date"), element.alias("element"), F.col("value").alias("value"), flag.alias("qflag"), (F.col("value") * 10).alias("value_converted"))
 
 
 GHCN = f"""r AS (SELECT count(*) AS total, r6(0) AS missing_pct,
@@ -422,7 +471,7 @@ def a10_validate_resorts(v):
 
 @query("a11_run", f"WITH {GHCN}")
 def a11_run(v):
-    _, report = validation.run(lambda: v.obs, lambda _: _ghcn(v), validation.ghcn)
+    _, report = validation.run(lambda: v.obs, lambda obs: _ghcn(v, obs), validation.ghcn)
     return _told(report)
 
 
@@ -590,11 +639,13 @@ def a38_extraction_stats(v):
     return spatial.extraction_stats(v.field, _points(v))
 
 
-GRAD = """g AS (SELECT tile, row, col, (coalesce(lead(z) OVER x, z) - coalesce(lag(z) OVER x,
-    z)) / nullif((((lead(z) OVER x) IS NOT NULL)::INT + ((lag(z) OVER x) IS NOT NULL)::INT) * 30, 0) AS dx,
-    (coalesce(lead(z) OVER y, z) - coalesce(lag(z) OVER y,
-    z)) / nullif((((lead(z) OVER y) IS NOT NULL)::INT + ((lag(z) OVER y) IS NOT NULL)::INT) * 30, 0) AS dy FROM dem
-    WINDOW x AS (PARTITION BY tile, row ORDER BY col), y AS (PARTITION BY tile, col ORDER BY row))"""
+GRAD = """ends AS (SELECT tile, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM dem GROUP BY 1),
+    nb AS (SELECT dem.*, r0, r1, c0, c1, max(z) OVER (x RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS e,
+    max(z) OVER (x RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS w, max(z) OVER (y RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS s,
+    max(z) OVER (y RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS n FROM dem JOIN ends USING (tile)
+    WINDOW x AS (PARTITION BY tile, row ORDER BY col), y AS (PARTITION BY tile, col ORDER BY row)),
+    g AS (SELECT tile, row, col, z, CASE WHEN col = c0 THEN e - z WHEN col = c1 THEN z - w ELSE (e - w) / 2 END / 30 AS dx,
+    CASE WHEN row = r0 THEN s - z WHEN row = r1 THEN z - n ELSE (s - n) / 2 END / 30 AS dy FROM nb)"""
 
 
 @query("w13_slope_aspect", f"""WITH {GRAD} SELECT tile, row, col, r6(degrees(atan(sqrt(dx * dx + dy * dy)))) AS slope, r6((degrees(atan2(-dx,
@@ -603,19 +654,19 @@ def w13_slope_aspect(v):
     return raster.gradients(v.dem).filter("slope is not null").select("tile", "row", "col", "slope", "aspect")
 
 
-MIRROR = """sz AS (SELECT tile, max(row) AS mr, max(col) AS mc FROM dem GROUP BY 1), pr AS (SELECT tile, r AS row, col, z, mr, mc
-    FROM (SELECT d.*, mr, mc, unnest([d.row, CASE WHEN d.row < {k} THEN -d.row - 1 END,
-    CASE WHEN d.row > mr - {k} THEN 2 * mr + 1 - d.row END]) AS r FROM dem d JOIN sz USING (tile))
-    WHERE r IS NOT NULL), pad AS (SELECT tile, row, c AS col, z
-    FROM (SELECT *, unnest([col, CASE WHEN col < {k} THEN -col - 1 END,
-    CASE WHEN col > mc - {k} THEN 2 * mc + 1 - col END]) AS c FROM pr) WHERE c IS NOT NULL)"""
+MIRROR = """sz AS (SELECT tile, min(row) AS r0, max(row) - min(row) + 1 AS nr, min(col) AS c0, max(col) - min(col) + 1 AS nc FROM dem GROUP BY 1),
+    pr AS (SELECT tile, r0 + unnest(list_filter(flatten(list_transform(range(-30, 31), lambda t: [2 * nr * t + row - r0, 2 * nr * t - (row - r0) - 1])),
+    lambda p: p >= -{k} AND p < nr + {k})) AS row, col, z, c0, nc FROM dem JOIN sz USING (tile)),
+    pad AS (SELECT tile, row, c0 + unnest(list_filter(flatten(list_transform(range(-30, 31), lambda t: [2 * nc * t + col - c0, 2 * nc * t - (col - c0) - 1])),
+    lambda p: p >= -{k} AND p < nc + {k})) AS col, z FROM pr)"""
 
 
 def _box(source: str, value: str, k: int, name: str) -> str:
+    cells = (2 * k + 1) ** 2
     return f"""{name}1 AS (SELECT *, sum({value}) OVER w AS s, count({value}) OVER w AS n FROM {source}
-    WINDOW w AS (PARTITION BY tile, row ORDER BY col ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING)),
-    {name} AS (SELECT * EXCLUDE (s, n), sum(s) OVER w / sum(n) OVER w AS {name}_mean FROM {name}1
-    WINDOW w AS (PARTITION BY tile, col ORDER BY row ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING))"""
+    WINDOW w AS (PARTITION BY tile, row ORDER BY col RANGE BETWEEN {k} PRECEDING AND {k} FOLLOWING)),
+    {name} AS (SELECT * EXCLUDE (s, n), CASE WHEN sum(n) OVER w = {cells} THEN sum(s) OVER w / {cells} END AS {name}_mean FROM {name}1
+    WINDOW w AS (PARTITION BY tile, col ORDER BY row RANGE BETWEEN {k} PRECEDING AND {k} FOLLOWING))"""
 
 
 @query("w14_roughness", f"""WITH {MIRROR.format(k=2)}, {_box('pad', 'z', 1, 'm')}, dev AS (SELECT *, abs(z - m_mean) AS d
@@ -631,12 +682,7 @@ def w15_tpi(v):
     return raster.tpi(v.dem).drop("z")
 
 
-W13 = """a AS (SELECT *, lead(z) OVER c AS e, lag(z) OVER c AS w, lead(z) OVER r AS s, lag(z) OVER r AS n FROM dem
-    WINDOW c AS (PARTITION BY tile, row ORDER BY col), r AS (PARTITION BY tile, col
-    ORDER BY row)), g AS (SELECT *, (coalesce(e, z) - coalesce(w,
-    z)) / nullif(((e IS NOT NULL)::INT + (w IS NOT NULL)::INT) * 30.0, 0) AS dx, (coalesce(s, z) - coalesce(n,
-    z)) / nullif(((s IS NOT NULL)::INT + (n IS NOT NULL)::INT) * 30.0, 0) AS dy
-    FROM a), sa AS (SELECT tile, row, col, z, degrees(atan(sqrt(dx * dx + dy * dy))) AS slope, (degrees(atan2(-dx,
+W13 = f"""{GRAD}, sa AS (SELECT tile, row, col, z, degrees(atan(sqrt(dx * dx + dy * dy))) AS slope, (degrees(atan2(-dx,
     dy)) + 360) % 360 AS aspect FROM g)"""
 
 
@@ -1136,6 +1182,8 @@ def u2_resorts(v):
 @query("u1_registered", """SELECT 'station_snotel_' || id AS location_id, state, elevation FROM stations
     WHERE state IN ('NATION_1', 'NATION_2') AND elevation >= 500""")
 def u1_registered(v):
+    """With providers of its own; those that the caller has registered are put back."""
+    callers = {kind: dict(known) for kind, known in stations.PROVIDERS.items()}
     stations.clear()
     stations.register("station", "snotel", lambda _: v.stations.withColumnRenamed("id", "station_id"))
     stations.register("station", "broken", lambda spark: spark.read.parquet(new_path(spark)))  # there is nothing; it is left out
@@ -1143,6 +1191,8 @@ def u1_registered(v):
         return stations.collect_registered(v.spark, "station", ["NATION_1", "NATION_2"], 500.0).select("location_id", "state", "elevation")
     finally:
         stations.clear()
+        for kind, known in callers.items():
+            stations.PROVIDERS[kind].update(known)
 
 
 @query("p3_state_of_id", "SELECT id, state FROM stations WHERE state IN ('NATION_1', 'NATION_2')")
@@ -1175,19 +1225,29 @@ def u6_states(v):
 @query("t5_by_depth", """SELECT location_id, depth, row_number() OVER (ORDER BY depth DESC, location_id) AS place
     FROM (SELECT location_id, max(snow_depth_cm) AS depth FROM weekly GROUP BY 1)""")
 def t5_by_depth(v):
-    from pyspark.sql import Window as W
-
     d = v.weekly.groupBy("location_id").agg(F.max("snow_depth_cm").alias("depth"))
-    return d.withColumn("place", F.row_number().over(W.orderBy(F.desc("depth"), "location_id")))  # a row a place
+    return ranking.row_numbers(d, [F.desc("depth"), "location_id"], name="n").select("location_id", "depth", (F.col("n") + 1).alias("place"))
 
 
 @query("t6_favourites_first", """SELECT location_id, is_favourite, row_number() OVER (ORDER BY is_favourite DESC, location_id) AS place
     FROM (SELECT id AS location_id, id % 97 = 0 AS is_favourite FROM resorts)""")
 def t6_favourites_first(v):
-    from pyspark.sql import Window as W
-
     d = v.resorts.select(F.col("id").alias("location_id"), (F.col("id") % 97 == 0).alias("is_favourite"))
-    return d.withColumn("place", F.row_number().over(W.orderBy(F.desc("is_favourite"), "location_id")))  # a row a place
+    return ranking.row_numbers(d, [F.desc("is_favourite"), "location_id"], name="n").select("location_id", "is_favourite", (F.col("n") + 1).alias("place"))
+
+
+@query("m4_contiguous_folds", "SELECT l_orderkey, l_linenumber, ntile(7) OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS fold FROM lineitem")
+def m4_contiguous_folds(v):
+    return ranking.contiguous_folds(v.table("lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"], 7)
+
+
+@query("w8b_exact_quartiles", """SELECT l_returnflag, r6(quantile_cont(l_extendedprice, 0.25)) AS q1, r6(quantile_cont(l_extendedprice, 0.5)) AS q2,
+    r6(quantile_cont(l_extendedprice, 0.75)) AS q3 FROM lineitem GROUP BY 1""")
+def w8b_exact_quartiles(v):
+    """By counting, as it is done where a group's values are too many to sort in one task."""
+    q = ranking.exact_quantiles(v.table("lineitem"), "l_extendedprice", [0.25, 0.5, 0.75], ["l_returnflag"], few=100)
+    return q.select("l_returnflag", *[F.col("quantiles")[i].alias(f"q{i + 1}") for i in range(3)])
+
 
 @query("a34_histogram", "SELECT state, count(*) AS n FROM resorts GROUP BY 1")
 def a34_histogram(v):
@@ -1461,6 +1521,25 @@ def m2_boosted_trees(v):
     return _scored(v, fit)
 
 
+@query("f17_dates", "SELECT CAST(d AS DATE) AS date FROM (SELECT min(date) AS a, max(date) AS z FROM daily), generate_series(a, z, INTERVAL 2 DAY) t(d)")
+def f17_dates(v):
+    first, last = v.daily.agg(F.min("date").cast("string"), F.max("date").cast("string")).first()
+    return calendar.dates(v.spark, first, last, "2 days")
+
+
+@query("f40_point_grid", """SELECT r6(a + y * 0.5) AS lat, r6(o + x * 0.5) AS lon, count(r.id) AS resorts FROM (SELECT floor(min(lat)) AS a, floor(min(lon)) AS o,
+    CAST((ceil(max(lat)) - floor(min(lat))) * 2 AS BIGINT) AS ny, CAST((ceil(max(lon)) - floor(min(lon))) * 2 AS BIGINT) AS nx FROM resorts) b,
+    LATERAL (SELECT unnest(range(ny + 1)) AS y), LATERAL (SELECT unnest(range(nx + 1)) AS x)
+    LEFT JOIN resorts r ON floor((r.lat - a) * 2) = y AND floor((r.lon - o) * 2) = x GROUP BY ALL""")
+def f40_point_grid(v):
+    """A grid over all resorts, and how many each of its squares holds."""
+    box = v.resorts.agg(F.floor(F.min("lat")).alias("south"), F.ceil(F.max("lat")).alias("north"), F.floor(F.min("lon")).alias("west"), F.ceil(F.max("lon")).alias("east")).first().asDict()
+    place = lambda d, lat, lon: d.select(F.floor((F.col(lat) - box["south"]) * 2).alias("y"), F.floor((F.col(lon) - box["west"]) * 2).alias("x"), *[c for c in ("lat", "lon") if d is grid])
+    grid = geo.point_grid(v.spark, box, 0.5)
+    held = place(v.resorts, "lat", "lon").groupBy("y", "x").agg(F.count("*").alias("resorts"))
+    return place(grid, "lat", "lon").join(held, ["y", "x"], "left").select("lat", "lon", F.coalesce("resorts", F.lit(0)).alias("resorts"))
+
+
 @query("m3_ensemble", "SELECT station_id, date, r6(sum(0.75 * y_pred + 0.25 * y_base)) AS prediction FROM preds GROUP BY ALL")
 def m3_ensemble(v):
     return models.ensemble(v.preds, {"y_pred": 3.0, "y_base": 1.0}).groupBy("station_id", "date").agg(F.sum("prediction").alias("prediction"))
@@ -1585,7 +1664,7 @@ def st5_stream_upsert(v):
 def st6_stream_freshness(v):
     rows = _stream(v, "orders").select(F.col("o_custkey").alias("location_id"), F.col("o_orderdate").alias("run_time"))
     out, checkpoint = new_path(v.spark), new_path(v.spark)
-    jobs.each_batch(rows, lambda df: jobs.freshness(df, ["location_id"]).write.mode("append").parquet(out), checkpoint).trigger(availableNow=True).start().awaitTermination()
+    jobs.each_batch(rows, jobs.in_folders(out, lambda df: jobs.freshness(df, ["location_id"])), checkpoint).trigger(availableNow=True).start().awaitTermination()
     return v.spark.read.parquet(out).groupBy("location_id").agg(F.max("last_run").alias("last_run"), F.sum("n").alias("n"))
 
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from nivalis.session import no_nan
 
@@ -73,10 +76,41 @@ def completeness(columns=tuple(TARGETS)) -> Column:
     return F.when(n == len(columns), "good").when(n > 0, "partial").otherwise("missing")
 
 
+def by_layout(spark: SparkSession, paths: list[str], at_once: int = 16) -> list[tuple[StructType, list[str]]]:
+    """(columns and types, files) of Parquet files and folders: files that have the same ones together.
+
+    Only a footer is read of each file, some files at once. A file that can't be read is left out with a warning."""
+    files = sorted(spark.read.format("binaryFile").option("ignoreMissingFiles", "true").option("recursiveFileLookup", "true").load(list(paths)).inputFiles())
+
+    def layout(file: str) -> StructType | None:
+        try:
+            return spark.read.parquet(file).schema
+        except Exception as e:  # whatever Spark says of what isn't a Parquet file
+            logging.getLogger(__name__).warning("%s left out: %s", file, str(e).splitlines()[0])
+
+    found: dict[str, tuple[StructType, list[str]]] = {}
+    with ThreadPoolExecutor(at_once) as pool:
+        for file, schema in zip(files, pool.map(layout, files), strict=True):
+            if schema is not None:
+                found.setdefault(schema.json(), (schema, []))[1].append(file)
+    return list(found.values())
+
+
 def read_station_files(spark: SparkSession, paths: list[str], units: str = "auto") -> DataFrame:
-    """Per-station Parquet files as one frame: station from the file's name, metric values, quality label."""
-    raw = spark.read.option("mergeSchema", "true").option("ignoreMissingFiles", "true").parquet(*paths)
-    out = metric(normalized(raw.withColumn("station_id", station_id(F.col("_metadata.file_name")))), units)
+    """Per-station Parquet files as one frame: station from the file's name, metric values, quality label.
+
+    Files are read by layout, each layout with its own names and types of columns; what a file lacks is NULL. Files that can't
+    be read, and those without a time column, are left out with a warning; if none is left, that is an error."""
+    parts = []
+    for schema, files in by_layout(spark, paths):
+        raw = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(*files)
+        try:
+            parts.append(normalized(raw.withColumn("station_id", station_id(F.col("_metadata.file_name")))))
+        except ValueError as e:
+            logging.getLogger(__name__).warning("%s left out: %s", ", ".join(files), e)
+    if not parts:
+        raise ValueError("no station file can be read")
+    out = metric(reduce(DataFrame.unionByName, parts), units)
     return out.withColumn("quality_flag", completeness())
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,9 +45,21 @@ def merged(old: DataFrame | None, new: DataFrame, key: list[str] = KEY, by: str
     return newest(both, list(key), [F.col(by)])
 
 
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return _files(spark, path).exists(_path(spark, path))
+
+
+def _beside(path: str, what: str) -> str:
+    """A path beside `path` that no other writer uses."""
+    return f"{path.rstrip('/')}_{what}_{uuid.uuid4().hex}"
 
 
 def upsert_forecasts(new: DataFrame, path: str) -> None:
@@ -57,9 +71,10 @@ def upsert_forecasts(new: DataFrame, path: str) -> None:
     if _exists(spark, path):
         touched = new.select("run_date").distinct()
         old = spark.read.parquet(path).join(F.broadcast(touched), "run_date", "left_semi")  # some dates
-    side = path.rstrip("/") + "_next"
-    merged(old, new).write.mode("overwrite").parquet(side)
+    side = _beside(path, "next")
+    merged(old, new).write.parquet(side)
     spark.read.parquet(side).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(path)
+    _files(spark, side).delete(_path(spark, side), True)
 
 
 def retained(df: DataFrame, as_of: Column, keep_days: int = 7) -> DataFrame:
@@ -145,12 +160,19 @@ def refreshed(areas: DataFrame, cells: DataFrame, grid: DataFrame, today: str) -
 
 
 def upsert_terrain(new: DataFrame, path: str, key: tuple[str, ...] = ("lat", "lon"), by: str = "fetch_time") -> None:
-    """Writes terrain, keeping the newest of each place (S18); what is kept is written beside the table first."""
+    """Writes terrain, keeping the newest of each place (S18). The new table is written whole beside the old one, and then
+    takes its place by name: at any moment one whole table is there, under a name that no other writer uses."""
     spark = new.sparkSession
     old = spark.read.parquet(path) if _exists(spark, path) else None
-    side = path.rstrip("/") + "_next"
-    merged(old, new, list(key), by).write.mode("overwrite").parquet(side)
-    spark.read.parquet(side).write.mode("overwrite").parquet(path)
+    side, before = _beside(path, "next"), _beside(path, "before")
+    merged(old, new, list(key), by).write.parquet(side)
+    files = _files(spark, path)
+    if old is not None and not files.rename(_path(spark, path), _path(spark, before)):
+        raise OSError(f"{path} can't be put aside; what is new is in {side}")
+    if not files.rename(_path(spark, side), _path(spark, path)):
+        raise OSError(f"{side} can't be put in place; what was there is in {before}")
+    if old is not None:
+        files.delete(_path(spark, before), True)
 
 
 def save(df: DataFrame, path: str) -> None:

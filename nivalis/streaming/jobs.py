@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -67,9 +68,16 @@ def jumps(stream: DataFrame, ts: str, group: str, value: str, limit: float | Non
     return stream.select(group, ts, value).groupBy(group).transformWithStateInPandas(_Jumps(ts, value, limit), f"{group} {kind}, {ts} timestamp, {value} double, flag int", "Append", "None")
 
 
-def each_batch(stream: DataFrame, write: Callable[[DataFrame], None], checkpoint: str) -> DataStreamWriter:
-    """Upserts (ST5) or monitors (ST6) a stream batch by batch; `write` must give the same on a repeated batch."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: write(df))
+def each_batch(stream: DataFrame, write: Callable[[DataFrame], None] | Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
+    """Upserts (ST5) or monitors (ST6) a stream batch by batch. A batch may come again with the same number, after a failure:
+    `write(df)` must give the same then, or `write(df, batch)` may go by the number, as `in_folders` does."""
+    numbered = len(inspect.signature(write).parameters) > 1
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, batch: write(df, batch) if numbered else write(df))
+
+
+def in_folders(path: str, make: Callable[[DataFrame], DataFrame] = lambda df: df) -> Callable[[DataFrame, int], None]:
+    """A writer that puts `make` of each batch into a folder of its own, `batch=<number>`; one that comes again replaces it."""
+    return lambda df, batch: make(df).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def freshness(df: DataFrame, group: list[str]) -> DataFrame:
