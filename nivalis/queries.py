@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nivalis import models
 from nivalis.functions import atmosphere, calendar, geo, snow, terrain
-from nivalis.operators import forecast, lagged, quality, ranking, raster, spatial, temporal, validation, verification
+from nivalis.operators import forecast, lagged, nearest, quality, ranking, raster, spatial, temporal, validation, verification
 from nivalis.plans.views import Views, rounded, sql
 from nivalis.session import new_path, written
 from nivalis.sources import resorts, stations, store
@@ -608,6 +608,13 @@ def t2_five_nearest(v):
     return near.withColumn("more", F.count("*").over(W.partitionBy("place")) - 5).filter("rank <= 5").drop("distance_km")
 
 
+@query("t2_k_nearest", f"""SELECT place, station, r6(km) AS distance_km, rank FROM (SELECT place, station, km, row_number() OVER (PARTITION BY place ORDER BY km,
+    station) AS rank FROM (SELECT r.id AS place, s.id AS station, {KM.format(a='r', b='s')} AS km FROM resorts r CROSS JOIN stations s)) WHERE rank <= 5""")
+def t2_k_nearest(v):
+    """At any distance."""
+    return nearest.k_nearest(v.resorts, v.stations, 5, station_id="id")
+
+
 @query("j21_merge_variables", """SELECT station_id, CAST(datetime AS DATE) AS date, max(value) FILTER (element = 'click') AS click,
     max(value) FILTER (element = 'error') AS error FROM (SELECT station_id, datetime, element, value FROM obs)
     GROUP BY ALL""")
