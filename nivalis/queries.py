@@ -1656,6 +1656,25 @@ def st3_stream_events(v):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
+@query("st4_stream_jumps", """WITH o AS (SELECT station_id, date_trunc('hour', datetime) AS datetime, avg(temperature) AS temperature
+    FROM raw_quality GROUP BY ALL), h AS (SELECT *, date_diff('second', lag(datetime) OVER w,
+    datetime) / 3600 AS hours, lag(temperature) OVER w AS p FROM o WINDOW w AS (PARTITION BY station_id
+    ORDER BY datetime)) SELECT station_id, datetime, r6(temperature) AS temperature,
+    CASE WHEN temperature IS NULL THEN 1 WHEN hours > 0 AND hours <= 1440 AND abs(temperature - p) > hours * 15.0 THEN 16 ELSE 0 END AS flag
+    FROM h WHERE datetime <= (SELECT max(datetime) - INTERVAL 1 HOUR FROM o)""")
+def st4_stream_jumps(v):
+    """Hourly values as a stream, files in no order of time, with the RocksDB state store."""
+    spark = v.spark.newSession()
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    hourly = v.raw_quality.groupBy("station_id", F.date_trunc("hour", "datetime").cast("timestamp").alias("datetime")).agg(F.avg("temperature").alias("temperature"))
+    path, out, checkpoint = new_path(spark), new_path(spark), new_path(spark)
+    hourly.write.parquet(path)
+    stream = jobs.jumps_in_order(spark.readStream.schema(hourly.schema).parquet(path), "datetime", "station_id", "temperature", keep="60 days")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return v.spark.read.schema(stream.schema).parquet(out).withColumn("datetime", F.col("datetime").cast("timestamp_ntz"))
+
+
 @query("st5_stream_upsert", """SELECT run_time, forecast_hour, location_id, max(o_orderkey) AS fetch_time
     FROM (SELECT date_trunc('year', o_orderdate) AS run_time, o_orderkey % 49 AS forecast_hour,
     o_custkey AS location_id, o_orderkey FROM orders) GROUP BY ALL""")

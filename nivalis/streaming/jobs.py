@@ -68,6 +68,62 @@ def jumps(stream: DataFrame, ts: str, group: str, value: str, limit: float | Non
     return stream.select(group, ts, value).groupBy(group).transformWithStateInPandas(_Jumps(ts, value, limit), f"{group} {kind}, {ts} timestamp, {value} double, flag int", "Append", "None")
 
 
+class _InOrder(StatefulProcessor):
+    """Rows wait until the watermark has passed them; then they are compared in order of time. Times are microseconds."""
+
+    def __init__(self, limit: float, keep_us: int):
+        self.limit, self.keep_us = limit, keep_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, value double")
+        self.last = handle.getValueState("last", "at long, value double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            new = [(int(a), None if pd.isna(v) else float(v)) for a, v in zip(pdf["at"], pdf["value"], strict=True)]
+            self.waiting.appendList(new)
+            for ms in {-(-a // 1000) for a, _ in new}:
+                self.handle.registerTimer(ms)
+        yield pd.DataFrame({"key": [], "at": [], "value": [], "flag": []})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get(), key=lambda r: (r[0], r[1] is not None, r[1] or 0.0)) if self.waiting.exists() else []
+        due = [r for r in rows if r[0] <= passed]
+        last, flags = (self.last.get() if self.last.exists() else None), []
+        for at, value in due:
+            hours = (at - last[0]) / 3.6e9 if last else 0.0
+            known = last is not None and last[1] is not None and value is not None and at - last[0] <= self.keep_us
+            flags.append(MISSING if value is None else TEMPORAL if known and hours > 0 and abs(value - last[1]) > hours * self.limit else 0)
+            last = (at, value)
+        if due:
+            left = [tuple(r) for r in rows if r[0] > passed]
+            self.waiting.put(left) if left else self.waiting.clear()
+        if last and last[0] + self.keep_us <= passed:
+            self.last.clear()  # nothing is kept of a group that has been silent so long
+        elif due:
+            self.last.update(last)
+            self.handle.registerTimer(-(-(last[0] + self.keep_us) // 1000))
+        yield pd.DataFrame({"key": [key[0]] * len(due), "at": [r[0] for r in due], "value": [r[1] for r in due], "flag": flags})
+
+    def close(self) -> None:
+        pass
+
+
+def jumps_in_order(stream: DataFrame, ts: str, group: str, value: str, limit: float | None = None, late: str = "1 hour", keep: str = "30 days") -> DataFrame:
+    """(group, ts, value, flag): temporal consistency against the value before in time (ST4), as `quality.temporal` has it, once the watermark
+    has passed a row. Needs the RocksDB state store.
+
+    Rows up to `late` behind the latest are put in order, later ones are left out. The state of a group expires when it has been silent
+    for `keep`, and a value after so long a gap is compared with none. Null groups are a group; rows without a time are left out."""
+    limit = limit if limit is not None else HOURLY_CHANGE[value.lower()]
+    kind, interval = dict(stream.dtypes)[group], pd.Timedelta(keep)
+    rows = stream.filter(F.col(ts).isNotNull()).withWatermark(ts, late).select(F.col(group).alias("key"), F.col(ts).alias("time"), F.unix_micros(ts).alias("at"), F.col(value).cast("double").alias("value"))
+    out = rows.groupBy("key").transformWithStateInPandas(_InOrder(limit, int(interval.total_seconds() * 1e6)), f"key {kind}, at long, value double, flag int", "Append", "EventTime")
+    return out.select(F.col("key").alias(group), F.timestamp_micros("at").alias(ts), F.col("value").alias(value), "flag")
+
+
 def each_batch(stream: DataFrame, write: Callable[[DataFrame], None] | Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
     """Upserts (ST5) or monitors (ST6) a stream batch by batch. A batch may come again with the same number, after a failure:
     `write(df)` must give the same then, or `write(df, batch)` may go by the number, as `in_folders` does."""

@@ -72,3 +72,21 @@ def test_jumps(spark, source, tmp_path):
     want = quality.temporal(batch, "ts", ["station_id"], {"temperature": 2.0})
     a = sorted((r.station_id, r.ts, r.flag) for r in out.filter("ts < '2023-02-01'").collect())
     assert a == sorted((r.station_id, r.ts, r.temperature_temporal_flag) for r in want.collect())
+
+
+def test_jumps_in_order_and_expiry(spark, tmp_path):
+    """Rows of a file come in any order; a row a batch late is put in order; a silent group's state expires."""
+    start = dt.datetime(2023, 1, 1)
+    at = lambda h: start + dt.timedelta(hours=h)
+    files = [[(1, at(3), 30.0), (1, at(0), 10.0), (2, at(0), 1.0)], [(1, at(2), 12.0), (1, at(5), None), (None, at(5), 1.0)], [(1, at(6), 31.0), (1, at(7), 99.0), (2, at(100), 90.0)], [(1, at(200), 0.0)], [(3, at(900), 0.0)]]
+    schema = "station_id int, ts timestamp, temperature double"
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        out = run(spark, jobs.jumps_in_order(stream, "ts", "station_id", "temperature", 2.0, late="4 hours", keep="2 days"), "st4_order", tmp_path)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = {(r.station_id, round((r.ts - start).total_seconds() / 3600)): r.flag for r in out.collect()}
+    assert got == {(1, 0): 0, (1, 2): 0, (1, 3): 16, (1, 5): 1, (1, 6): 0, (1, 7): 16, (1, 200): 0, (2, 0): 0, (2, 100): 0, (None, 5): 0}
