@@ -67,6 +67,21 @@ def tpi(dem: DataFrame, radius: int = 10) -> DataFrame:
     return keep.join(out.select("tile", "row", "col", "z", "tpi"), ["tile", "row", "col"])
 
 
+def elevation_at(points: DataFrame, dem: DataFrame) -> DataFrame:
+    """(point_id, z) of points (point_id, tile, y, x), in rows and columns from the tile's corner, with fractions (J2): interpolated in the
+    square of the point's cell and the next ones to the right and below. Beyond the tile's last row or column the point's own
+    cell counts; with a hole in the square, or outside the tile, z is NULL. Point ids must be unique."""
+    size = dem.groupBy("tile").agg(F.max("row").alias("_rows"), F.max("col").alias("_cols"))
+    at = points.join(size, "tile").select("point_id", "tile", F.floor("y").alias("r"), F.floor("x").alias("c"), (F.col("y") - F.floor("y")).alias("v"), (F.col("x") - F.floor("x")).alias("h"), "_rows", "_cols")
+    right, below = F.col("c") < F.col("_cols"), F.col("r") < F.col("_rows")
+    cell = lambda ok, down, across, w: F.struct((F.col("r") + F.when(ok, down).otherwise(0)).alias("row"), (F.col("c") + F.when(ok, across).otherwise(0)).alias("col"), w.alias("w"))
+    v, h = F.col("v"), F.col("h")
+    square = F.array(cell(F.lit(True), 0, 0, (1 - v) * (1 - h)), cell(right, 0, 1, (1 - v) * h), cell(below, 1, 0, v * (1 - h)), cell(right & below, 1, 1, v * h))
+    corners = at.select("point_id", "tile", F.explode(square).alias("s")).select("point_id", "tile", "s.*")
+    got = corners.join(dem.select("tile", "row", "col", "z"), ["tile", "row", "col"]).groupBy("point_id").agg(F.when(F.count("z") == 4, F.sum(F.col("z") * F.col("w"))).alias("z"))
+    return points.select("point_id").join(got, "point_id", "left")
+
+
 def tile_catalogue(dem: DataFrame, crs: str = "EPSG:4326") -> DataFrame:
     """(tile, rows, cols, cells, z_min, z_max), and where cells have lat and lon also (west, south, east, north, crs)."""
     size = [(F.max("row") - F.min("row") + 1).alias("rows"), (F.max("col") - F.min("col") + 1).alias("cols"), F.count("*").alias("cells"), F.min("z").alias("z_min"), F.max("z").alias("z_max")]

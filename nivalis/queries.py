@@ -717,6 +717,20 @@ def j18_window_spread(v):
     key = F.col("tile") * 1024 + F.col("row") * 32 + F.col("col")
     return spatial.window_spread(v.dem.select(key.alias("point_id"), "tile", "row", "col"), v.dem)
 
+@query("j2_elevation_at", """WITH p AS (SELECT o_orderkey AS id, o_orderkey // 1024 AS tile, (o_orderkey * 7 % 3300) / 100 AS y, (o_orderkey * 13 % 3300) / 100 AS x FROM orders),
+    e AS (SELECT tile, max(row) AS lr, max(col) AS lc FROM dem GROUP BY 1),
+    q AS (SELECT id, tile, floor(y)::BIGINT AS r, floor(x)::BIGINT AS c, y - floor(y) AS v, x - floor(x) AS h, lr, lc FROM p JOIN e USING (tile))
+    SELECT id AS point_id, r6(a.z * (1 - v) * (1 - h) + b.z * (1 - v) * h + f.z * v * (1 - h) + g.z * v * h) AS z FROM p LEFT JOIN q USING (id)
+    LEFT JOIN dem a ON a.tile = q.tile AND a.row = r AND a.col = c
+    LEFT JOIN dem b ON b.tile = q.tile AND b.row = r AND b.col = CASE WHEN c < lc THEN c + 1 ELSE c END
+    LEFT JOIN dem f ON f.tile = q.tile AND f.row = CASE WHEN r < lr THEN r + 1 ELSE r END AND f.col = c
+    LEFT JOIN dem g ON g.tile = q.tile AND g.row = CASE WHEN r < lr AND c < lc THEN r + 1 ELSE r END AND g.col = CASE WHEN r < lr AND c < lc THEN c + 1 ELSE c END""")
+def j2_elevation_at(v):
+    k = F.col("o_orderkey")
+    points = v.table("orders").select(k.alias("point_id"), F.floor(k / 1024).alias("tile"), (k * 7 % 3300 / 100.0).alias("y"), (k * 13 % 3300 / 100.0).alias("x"))
+    return raster.elevation_at(points, v.dem)
+
+
 @query("s12_tile_catalogue", """SELECT tile, max(row) - min(row) + 1 AS rows, max(col) - min(col) + 1 AS cols, count(*) AS cells,
     min(z) AS z_min, max(z) AS z_max, r6(min(-110 + col / 32)) AS west, r6(min(tile % 50 - row / 32)) AS south,
     r6(max(-110 + col / 32)) AS east, r6(max(tile % 50 - row / 32)) AS north, 'EPSG:4326' AS crs FROM dem GROUP BY 1""")

@@ -124,6 +124,14 @@ def test_holes_in_rasters(spark):
     assert all(r.tpi == 0 for r in raster.tpi(small, 5).collect()) and raster.tpi(small, 5).count() == 6  # reflected again and again
 
 
+def test_elevation_at_points(spark):
+    """Inside, at the last column, in the last corner, beside a hole, and outside."""
+    dem = spark.createDataFrame([(0, r, c, float(10 * r + c)) for r in range(4) for c in range(4) if (r, c) != (0, 2)], "tile int, row int, col int, z double")
+    rows = [(1, 0, 1.5, 1.25), (2, 0, 1.5, 3.5), (3, 0, 3.5, 3.5), (4, 0, 0.5, 1.5), (5, 0, 9.0, 1.0), (6, 7, 0.0, 0.0), (7, 0, 3.5, 0.5)]
+    got = {r.point_id: r.z for r in raster.elevation_at(spark.createDataFrame(rows, "point_id int, tile int, y double, x double"), dem).collect()}
+    assert got == {1: 16.25, 2: 15.5, 3: 33.0, 4: None, 5: None, 6: None, 7: 30.25}
+
+
 def test_boosted_predicts_every_row(spark):
     rng = random.Random(1)
     rows = [(rng.choice([None, float("nan"), x]), rng.choice("ab"), 10.0 if x > 0.5 else x) for x in (rng.random() for _ in range(400))]
