@@ -1329,12 +1329,27 @@ def s13_geojson(v):
     return _areas(v)
 
 
-def _areas(v):
+def _area_features(v):
     c = F.col
     ring = F.array(*[F.array(c("lon") + x, c("lat") + y) for x, y in ((0, 0), (0.1, 0), (0.1, 0.1), (0, 0.1), (0, 0))])
-    geometry = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")))
-    props = F.to_json(F.struct(F.when(c("id") % 10 != 0, F.concat(F.lit("Area "), c("id").cast("string"))).alias("name"), F.array(F.struct(F.lit("US").alias("country"))).alias("sources"), c("state")))
-    return resorts.ski_areas(v.resorts.select(geometry.alias("geometry"), props.alias("properties")))
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
+    props = F.struct(F.when(c("id") % 10 != 0, F.concat(F.lit("Area "), c("id").cast("string"))).alias("name"), F.array(F.struct(F.lit("US").alias("country"))).alias("sources"), c("state"))
+    return v.resorts.select("id", geometry.alias("geometry"), props.alias("properties"))
+
+
+def _areas(v):
+    return resorts.ski_areas(_area_features(v).select(F.to_json("geometry").alias("geometry"), F.to_json("properties").alias("properties")))
+
+
+@query("s13_geojson_files", """SELECT 'Area ' || id AS name, r6(lat + 0.05) AS lat, r6(lon + 0.05) AS lon, 'US' AS country, state FROM resorts
+    WHERE id % 10 <> 0""")
+def s13_geojson_files(v):
+    """Written as collections of 500 features at most, and read again."""
+    feature = F.struct(F.lit("Feature").alias("type"), "properties", "geometry")
+    some = _area_features(v).groupBy(F.floor(F.col("id") / 500).alias("k")).agg(F.collect_list(feature).alias("features"))
+    path = new_path(v.spark)
+    some.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")).write.text(path)
+    return resorts.ski_areas(resorts.read_features(v.spark, path))
 
 
 @query("j16_lift_elevations", """SELECT 'Area ' || a AS name, min(b) AS base_elevation, max(s) AS summit_elevation

@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nivalis.functions.geo import WESTERN_US, in_box
+from nivalis.sources.geojson import feature_texts
 
 RINGS = "array<array<array<double>>>"
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """(geometry, properties) as JSON text, a row a feature; geometries nest to different depths, so they stay text."""
-    whole = spark.read.schema("features array<string>").option("multiLine", "true").json(path)
-    one = whole.select(F.explode("features").alias("f"))
-    return one.select(F.get_json_object("f", "$.geometry").alias("geometry"), F.get_json_object("f", "$.properties").alias("properties"))
+def read_features(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(geometry, properties) as JSON text, a row a feature; geometries nest to different depths, so they stay text (S13). A large
+    file is read by many tasks."""
+    return feature_texts(spark, path).select(F.get_json_object("text", "$.geometry").alias("geometry"), F.get_json_object("text", "$.properties").alias("properties"))
 
 
 def centroid(ring: Column) -> Column:
