@@ -53,21 +53,24 @@ def band(x: Column, edges: list) -> Column:
     return out
 
 
-def breakdowns(df: DataFrame, elevation_edges=ELEVATION_BANDS, storm_edges=STORM_BINS) -> DataFrame:
+def breakdowns(df: DataFrame, elevation_edges=ELEVATION_BANDS, storm_edges=STORM_BINS, by: list[str] = ()) -> DataFrame:
     """(breakdown, bucket, metrics) by month, station, elevation band and storm intensity (A18-A21) in one pass; months, bands
-    and storms without rows are there with no samples."""
-    d = df.select("y_true", "y_pred", F.month("date").cast("string").alias("month"), F.col("station_id").cast("string").alias("station"), band(F.col("elevation"), elevation_edges).alias("elevation_band"), band(F.col("y_true"), storm_edges).alias("storm"))
+    and storms without rows are there with no samples. `by` names columns of few values, such as a model, that are kept apart."""
+    by = list(by)
+    d = df.select(*by, "y_true", "y_pred", F.month("date").cast("string").alias("month"), F.col("station_id").cast("string").alias("station"), band(F.col("elevation"), elevation_edges).alias("elevation_band"), band(F.col("y_true"), storm_edges).alias("storm"))
     kinds = ["month", "station", "elevation_band", "storm"]
-    sets = d.groupingSets([[F.col(k)] for k in kinds], *kinds).agg(*metrics(), F.grouping_id().alias("_g"))
+    sets = d.groupingSets([[F.col(x) for x in (*by, k)] for k in kinds], *by, *kinds).agg(*metrics(), F.grouping_id().alias("_g"))
     bits = {k: 2 ** len(kinds) - 1 - 2 ** (len(kinds) - 1 - i) for i, k in enumerate(kinds)}
     which, bucket = F.when(F.lit(False), None), F.when(F.lit(False), None)
     for k, g in bits.items():
         which, bucket = which.when(F.col("_g") == g, k), bucket.when(F.col("_g") == g, F.col(k))
-    out = sets.select(which.alias("breakdown"), bucket.alias("bucket"), "rmse", "mae", "bias", "f1", "n_samples").filter("bucket is not null")
+    out = sets.select(*by, which.alias("breakdown"), bucket.alias("bucket"), "rmse", "mae", "bias", "f1", "n_samples").filter("bucket is not null")
     names = lambda edges: [f"{int(a)}-{'+' if math.isinf(b) else int(b)}" for a, b in zip(edges, edges[1:], strict=False)]
     every = [("month", str(m)) for m in range(1, 13)] + [("elevation_band", x) for x in names(elevation_edges)] + [("storm", x) for x in names(storm_edges)]
     fixed = df.sparkSession.createDataFrame(every, "breakdown string, bucket string")
-    out = fixed.join(out, ["breakdown", "bucket"], "full_outer")
+    if by:  # some buckets for each of few values
+        fixed = df.select(*by).distinct().crossJoin(F.broadcast(fixed))
+    out = fixed.join(out, [*by, "breakdown", "bucket"], "full_outer")
     return out.withColumn("n_samples", F.coalesce("n_samples", F.lit(0).cast("long")))
 
 
@@ -123,15 +126,26 @@ def ranked(table: DataFrame, metric: str) -> DataFrame:
     return table.filter(F.col(metric).isNotNull()).select("model", metric, F.row_number().over(W.orderBy(key, "model")).cast("long").alias("rank"))
 
 
-def report_lines(table: DataFrame, best_by: tuple[str, ...] = ("rmse", "f1")) -> DataFrame:
-    """(section, place, line): a comparison as text (A39): a line a model, rankings, the best. `table` has a row a model."""
-    number = lambda c, n: F.lpad(F.coalesce(F.format_string(f"%.{n}f", c), F.lit("N/A")), 10, " ")
-    whole = F.concat(F.rpad("model", 20, " "), *[x for c in ("rmse", "mae", "bias", "f1") for x in (F.lit(" "), number(c, 3))])
+def _cells(*columns: str) -> list[Column]:
+    number = lambda c: F.lpad(F.when(F.col(c).isNull(), "N/A").otherwise(F.format_string("%.3f", c)), 10, " ")
+    return [x for c in columns for x in (F.lit(" "), number(c))]
+
+
+def report_lines(table: DataFrame, best_by: tuple[str, ...] = ("rmse", "f1"), strata: DataFrame | None = None) -> DataFrame:
+    """(section, place, line): a comparison as text (A39): a line a model, rankings, the best. `table` has a row a model.
+
+    `strata` (model, breakdown, bucket, metrics; `breakdowns(by=["model"])`) adds a section for each model and breakdown, of a line
+    a bucket in order of its name: as many as there are stations, each section numbered for itself."""
+    whole = F.concat(F.rpad("model", 20, " "), *_cells("rmse", "mae", "bias", "f1"))
     out = table.select(F.lit("overall").alias("section"), F.row_number().over(W.orderBy("model")).cast("long").alias("place"), whole.alias("line"))
     for m in best_by:
         r = ranked(table, m)
         out = out.unionByName(r.select(F.lit(f"by {m}").alias("section"), F.col("rank").alias("place"), F.format_string("%d. %s: %.4f", "rank", "model", m).alias("line")))
         out = out.unionByName(r.filter("rank = 1").select(F.lit("best").alias("section"), F.lit(best_by.index(m) + 1).cast("long").alias("place"), F.format_string(f"Best by {m}: %s (%.4f)", "model", m).alias("line")))
+    if strata is not None:
+        place = F.row_number().over(W.partitionBy("model", "breakdown").orderBy("bucket")).cast("long")
+        line = F.concat(F.rpad("bucket", 20, " "), *_cells("rmse", "mae", "bias", "f1"), F.lit(" "), F.lpad(F.col("n_samples").cast("string"), 10, " "))
+        out = out.unionByName(strata.select(F.concat("model", F.lit(" by "), "breakdown").alias("section"), place.alias("place"), line.alias("line")))
     return out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -548,24 +549,30 @@ def j2_bilinear(v):
 
 
 J3 = """SELECT id AS point_id, arg_min(s.cell_id, (s.d, s.cell_id)) AS cell_id
-    FROM (SELECT r.id, s.id AS cell_id, sqrt(pow(r.lat - s.lat, 2) + pow({east}, 2)) AS d FROM stations r CROSS
-    JOIN (SELECT * FROM resorts WHERE elevation > 2000 AND lat < 40) s) s GROUP BY id"""
+    FROM (SELECT r.id, s.id AS cell_id, sqrt(pow(r.lat - s.lat, 2) + pow({east}, 2)) AS d FROM
+    (SELECT id, lat + 0.0137 + CASE WHEN id % 4 = 0 THEN 17.0::DOUBLE ELSE 0 END AS lat, lon + 0.0071 AS lon FROM stations) r CROSS
+    JOIN resorts s) s GROUP BY id"""
 
 
 def _cells(v):
-    """Points in the north are far from any of these."""
-    return v.resorts.filter("elevation > 2000 and lat < 40").withColumnRenamed("id", "cell_id")
+    return v.resorts.withColumnRenamed("id", "cell_id")
+
+
+def _between_cells(v):
+    """The stations, moved off the cells; a quarter of them far to the north of any."""
+    north = F.when(F.col("id") % 4 == 0, 17.0).otherwise(0.0)
+    return v.stations.withColumns({"lat": F.col("lat") + 0.0137 + north, "lon": F.col("lon") + 0.0071}).withColumnRenamed("id", "point_id")
 
 
 @query("j3_curvilinear", J3.format(east="r.lon - s.lon"))
 def j3_curvilinear(v):
-    return spatial.nearest_cell_map(v.stations.withColumnRenamed("id", "point_id"), _cells(v))
+    return spatial.nearest_cell_map(_between_cells(v), _cells(v))
 
 
 @query("j3_on_the_circle", J3.format(east="least(abs(r.lon * 3 - s.lon * 3) % 360, 360 - abs(r.lon * 3 - s.lon * 3) % 360)"))
 def j3_on_the_circle(v):
     around = lambda d: d.withColumn("lon", F.col("lon") * 3)
-    return spatial.nearest_cell_map(around(v.stations).withColumnRenamed("id", "point_id"), around(_cells(v)), circle=True)
+    return spatial.nearest_cell_map(around(_between_cells(v)), around(_cells(v)), circle=True)
 
 
 @query("j4_extract", f"""WITH {AXES} SELECT point_id, time, r6(v) AS era5_v FROM ax LEFT
@@ -1052,12 +1059,12 @@ def _grid(v):
     """Every cell's values for three runs of two models; the second model has no forecasts above 144 hours."""
     runs = v.spark.createDataFrame([(m, d, h) for m, d, hs in (("HRRR", -1, (36,)), ("HRRR", 1, (36,)), ("NBM", 1, (72, 96, 120, 144)), ("NBM", 2, (48, 72))) for h in hs], "model string, d int, forecast_hour int")
     runs = runs.select("model", F.date_add(F.lit("2024-02-01").cast("date"), F.col("d")).cast("timestamp_ntz").alias("run_time"), "forecast_hour")
-    cells = v.resorts.filter("elevation > 2000").select(F.col("id").alias("cell_id"), (F.col("id") % 300 / 100).alias("depth"))
+    cells = v.resorts.select(F.col("id").alias("cell_id"), (F.col("id") % 300 / 100).alias("depth"))
     grid = cells.crossJoin(F.broadcast(runs))  # eight rows for each cell
     return grid.select("model", "run_time", "forecast_hour", "cell_id", F.when(F.col("cell_id") % 5 != 0, F.col("depth") + F.col("forecast_hour")).alias("snow_depth_m"), F.lit(None).cast("double").alias("temp_k"), F.lit(1.5).alias("precip_mm"))
 
 
-REFRESHED = """c AS (SELECT id AS cell_id, lat, lon FROM resorts WHERE elevation > 2000), picked(model, day, run_time,
+REFRESHED = """c AS (SELECT id AS cell_id, lat, lon FROM resorts), picked(model, day, run_time,
     forecast_hour) AS (VALUES ('HRRR', DATE '2024-02-01', TIMESTAMP '2024-01-31', 36), ('HRRR', DATE '2024-02-02',
     TIMESTAMP '2024-02-02', 36), ('NBM', DATE '2024-02-03', TIMESTAMP '2024-02-03', 48), ('NBM', DATE '2024-02-04',
     TIMESTAMP '2024-02-02', 120)),
@@ -1067,7 +1074,7 @@ near AS (SELECT s.id AS location_id, arg_min(c.cell_id, (sqrt(pow(s.lat - c.lat,
 
 def _refreshed(v):
     areas = v.stations.select(F.col("id").alias("location_id"), "lat", "lon")
-    cells = v.resorts.filter("elevation > 2000").select(F.col("id").alias("cell_id"), "lat", "lon")
+    cells = v.resorts.select(F.col("id").alias("cell_id"), "lat", "lon")
     return store.refreshed(areas, cells, _grid(v), "2024-02-01")
 
 
@@ -1078,9 +1085,23 @@ def s23_refreshed(v):
     return _refreshed(v)[0]
 
 
-@query("s24_refresh_report", "SELECT 4 AS days, true AS enough FROM (SELECT count(*) AS n FROM resorts) WHERE n > 0")
+RUNS = """SELECT CASE WHEN fetch_id % 3 = 0 THEN 'HRRR' ELSE 'NBM' END AS model, run_time,
+    CASE WHEN fetch_id % 3 = 0 THEN 12 + 24 * (fetch_id % 2) ELSE 48 + 24 * (fetch_id % 7) END AS forecast_hour FROM forecasts"""
+
+
+@query("s24_refresh_report", f"""WITH g AS ({RUNS}), s(model, ahead, hour, longest, oldest) AS (VALUES
+    {", ".join(f"('{m}', {d}, {h}, {most}, {old})" for m, d, h, most, old in store.SCHEDULE)}),
+    wanted AS (SELECT model, DATE '1996-06-01' + ahead AS day, DATE '1996-06-01' + ahead - CAST(age AS INTEGER) AS run, hour + 24 * age AS forecast_hour
+    FROM s, (SELECT unnest(range(0, 3)) AS age) WHERE age <= oldest AND hour + 24 * age <= longest)
+SELECT count(DISTINCT day) AS days, count(DISTINCT day) >= {store.LEAST_DAYS} AS enough FROM wanted JOIN g ON g.model = wanted.model
+    AND g.run_time = CAST(run AS TIMESTAMP) AND g.forecast_hour = wanted.forecast_hour""")
 def s24_refresh_report(v):
-    return _refreshed(v)[1]
+    """The runs are those of the forecasts of a week, each with the hour that its number gives."""
+    k = F.col("fetch_id")
+    hour = F.when(k % 3 == 0, 12 + 24 * (k % 2)).otherwise(48 + 24 * (k % 7)).cast("int")
+    grid = v.forecasts.select(F.when(k % 3 == 0, "HRRR").otherwise("NBM").alias("model"), "run_time", hour.alias("forecast_hour"), F.col("location_id").alias("cell_id"), "snow_depth_m", "temp_k", "precip_mm")
+    areas = v.stations.select(F.col("id").alias("location_id"), "lat", "lon")
+    return store.refreshed(areas, v.resorts.select(F.col("id").alias("cell_id"), "lat", "lon"), grid, "1996-06-01")[1]
 
 
 @query("s19_insert_absent", "SELECT c_custkey AS location_id FROM customer WHERE NOT c_acctbal > 2000")
@@ -1200,22 +1221,29 @@ def u2_resorts(v):
     return out.join(F.broadcast(out.agg(F.count_distinct("location_id").alias("distinct_ids"))), how="cross").drop("location_id")  # one row
 
 
-@query("u1_registered", """SELECT 'station_snotel_' || id AS location_id, state, elevation FROM stations
-    WHERE state IN ('NATION_1', 'NATION_2') AND elevation >= 500""")
-def u1_registered(v):
-    """With providers of its own; those that the caller has registered are put back."""
+@contextmanager
+def _providers():
+    """A registry without providers; those that the caller has registered are put back."""
     callers = {kind: dict(known) for kind, known in stations.PROVIDERS.items()}
     stations.clear()
-    stations.register("station", "snotel", lambda _: v.stations.withColumnRenamed("id", "station_id"))
-    stations.register("station", "broken", lambda spark: spark.read.parquet(new_path(spark)))  # there is nothing; it is left out
     try:
-        return stations.collect_registered(v.spark, "station", ["NATION_1", "NATION_2"], 500.0).select("location_id", "state", "elevation")
+        yield
     finally:
         stations.clear()
         for kind, known in callers.items():
             stations.PROVIDERS[kind].update(known)
 
 
+@query("u1_registered", """SELECT 'station_snotel_' || id AS location_id, state, elevation FROM stations
+    WHERE state IN ('NATION_1', 'NATION_2') AND elevation >= 500""")
+def u1_registered(v):
+    """With providers of its own."""
+    with _providers():
+        stations.register("station", "snotel", lambda _: v.stations.withColumnRenamed("id", "station_id"))
+        stations.register("station", "broken", lambda spark: spark.read.parquet(new_path(spark)))  # there is nothing; it is left out
+        return stations.collect_registered(v.spark, "station", ["NATION_1", "NATION_2"], 500.0).select("location_id", "state", "elevation")
+
+
 @query("p3_state_of_id", "SELECT id, state FROM stations WHERE state IN ('NATION_1', 'NATION_2')")
 def p3_state_of_id(v):
     named = v.stations.select("id", F.concat_ws(":", F.col("id").cast("string"), "state", F.lit("SNTL")).alias("station_id"))
@@ -1232,6 +1260,20 @@ def u4_location_report(v):
     return r.select("total", "without_place", F.size("by_state").alias("states"), "success")
 
 
+@query("u4_collected", """WITH x AS (SELECT 'station' AS kind, lat, lon FROM stations WHERE elevation >= 500 UNION ALL SELECT 'resort', lat, lon FROM resorts)
+    SELECT kind, count(*) AS locations, r6(sum(lat + 2 * lon)) AS places, false AS success, 1 AS issues FROM x GROUP BY 1""")
+def u4_collected(v):
+    """Stations and resorts of all providers, one of which can't be read: points of each kind, and the report's verdict."""
+    with _providers():
+        stations.register("station", "snotel", lambda _: v.stations.withColumnRenamed("id", "station_id"))
+        stations.register("resort", "osm", lambda _: v.resorts.select(F.concat(F.lit("Area "), F.col("id").cast("string")).alias("name"), "lat", "lon", F.col("elevation").alias("base_elevation"), "state"))
+        stations.register("resort", "broken", lambda spark: spark.read.parquet(new_path(spark)))
+        got = stations.collect_all(v.spark, min_elevation=500.0)
+    points = stations.extraction_points(got.locations).withColumn("kind", F.split("location_id", "_")[0])
+    verdict = got.report.select("success", F.size("issues").alias("issues"))
+    return points.groupBy("kind").agg(F.count("*").alias("locations"), F.sum(F.col("lat") + 2 * F.col("lon")).alias("places")).crossJoin(F.broadcast(verdict))  # one row
+
+
 @query("u5_missing_dates", "SELECT DISTINCT station_id, date + 1 AS date FROM daily EXCEPT SELECT station_id, date FROM daily")
 def u5_missing_dates(v):
     d = v.daily.select("station_id", "date")
@@ -1499,6 +1541,24 @@ UNION ALL SELECT 'best', 1, 'Best by rmse: ' || model || ' (' || printf('%.4f',
 def a39_report(v):
     return verification.report_lines(verification.compare(v.preds, {"a": "y_pred", "b": "y_base"}))
 
+
+def _cell(x: str) -> str:
+    return f"lpad(coalesce(printf('%.3f', {x}), 'N/A'), 10, ' ')"
+
+
+@query("a39_stratified_report", f"""WITH two AS (SELECT 'a' AS model, * FROM preds UNION ALL SELECT 'b', * REPLACE (y_base AS y_pred) FROM preds),
+    s AS ({' UNION ALL '.join(f"SELECT model, '{n}' AS breakdown, {e} AS bucket, {_metrics()} FROM two GROUP BY ALL" for n, e in PARTS)}), x AS ({FIXED}),
+    every AS (SELECT model, breakdown, bucket FROM x, (VALUES ('a'), ('b')) m(model) UNION SELECT model, breakdown, bucket FROM s WHERE bucket IS NOT NULL)
+SELECT model || ' by ' || breakdown AS section, row_number() OVER (PARTITION BY model, breakdown ORDER BY bucket) AS place,
+    rpad(bucket, 20, ' ') || ' ' || {" || ' ' || ".join(map(_cell, ("rmse", "mae", "bias", "f1")))} || ' ' || lpad(coalesce(n_samples, 0)::VARCHAR, 10, ' ') AS line
+    FROM every LEFT JOIN s USING (model, breakdown, bucket)""")
+def a39_stratified_report(v):
+    models = {"a": "y_pred", "b": "y_base"}
+    long = verification.long_predictions(v.preds, models, ["station_id", "date", "elevation"])
+    lines = verification.report_lines(verification.compare(v.preds, models), strata=verification.breakdowns(long, by=["model"]))
+    return lines.filter(F.col("section").rlike("^[ab] by "))
+
+
 @query("a17_bootstrap")
 def a17_bootstrap(v):
     return verification.bootstrap(v.preds)

@@ -6,6 +6,7 @@ import logging
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -176,22 +177,65 @@ def clear() -> None:
         x.clear()
 
 
+def _registered(spark: SparkSession, kind: str) -> tuple[dict[str, DataFrame], list[str]]:
+    """Frames of the registered providers of a kind, and what is wrong with the others. Each is asked for a row, so that
+    one that can't be read at all is found here and doesn't take the others down."""
+    frames, issues = {}, []
+    for name, provider in PROVIDERS[kind].items():
+        try:
+            frame = provider(spark)
+            collect_locations({name: frame}, kind).take(1)
+            frames[name] = frame
+        except Exception as e:  # a provider is any caller's function
+            issues.append(f"{kind} provider {name}: {str(e).splitlines()[0] if str(e) else type(e).__name__}")
+            logging.getLogger(__name__).warning("%s; left out", issues[-1])
+    return frames, issues
+
+
+def _chosen(out: DataFrame, states: list[str] | None, min_elevation: float | None) -> DataFrame:
+    out = out if states is None else out.filter(F.col("state").isin(*states))
+    return out if min_elevation is None else out.filter(F.col("elevation") >= min_elevation)
+
+
 def collect_registered(spark: SparkSession, kind: str, states: list[str] | None = None, min_elevation: float | None = None) -> DataFrame:
     """Rows of all registered providers of a kind (U1, U2, X3), by state and elevation where asked. A provider that fails is left
     out with a warning; without any provider that is an error."""
     if not PROVIDERS[kind]:
         raise ValueError(f"no {kind} providers are registered")
-    frames = {}
-    for name, provider in PROVIDERS[kind].items():
-        try:
-            frames[name] = provider(spark)
-        except Exception as e:  # a provider is any caller's function
-            logging.getLogger(__name__).warning("provider %s left out: %s", name, e)
+    frames, _ = _registered(spark, kind)
     if not frames:
         raise ValueError(f"all {kind} providers failed")
-    out = collect_locations(frames, kind)
-    out = out if states is None else out.filter(F.col("state").isin(*states))
-    return out if min_elevation is None else out.filter(F.col("elevation") >= min_elevation)
+    return _chosen(collect_locations(frames, kind), states, min_elevation)
+
+
+class Collected(NamedTuple):
+    """What all providers gave: `locations` (None if none gave any), the issues of the others, and a report of one row (U4)."""
+
+    locations: DataFrame | None
+    issues: list[str]
+    report: DataFrame
+
+
+def collect_all(spark: SparkSession, states: list[str] | None = None, min_elevation: float | None = None) -> Collected:
+    """Stations and resorts of all registered providers (U4). State and elevation choose among stations only. It is a success if
+    no provider failed and there was one; kinds without providers are left out without an issue."""
+    parts, issues = [], []
+    for kind in PROVIDERS:
+        frames, wrong = _registered(spark, kind)
+        issues += wrong
+        if frames:
+            found = collect_locations(frames, kind)
+            parts.append(_chosen(found, states, min_elevation) if kind == "station" else found)
+    if not parts:
+        empty = spark.createDataFrame([], "location_id string, kind string, source string, name string, lat double, lon double, elevation double, state string")
+        return Collected(None, issues, location_report(empty, issues).withColumn("success", F.lit(False)))
+    out = reduce(DataFrame.unionByName, parts)
+    return Collected(out, issues, location_report(out, issues).withColumn("success", F.lit(not issues)))
+
+
+def extraction_points(locations: DataFrame) -> DataFrame:
+    """(location_id, lat, lon) of the locations that have a place, for lookups in grids (U4)."""
+    return locations.filter("lat is not null and lon is not null").select("location_id", "lat", "lon")
 
 
 def collect_locations(frames: dict[str, DataFrame], kind: str) -> DataFrame:
@@ -209,12 +253,13 @@ def collect_locations(frames: dict[str, DataFrame], kind: str) -> DataFrame:
     return out
 
 
-def location_report(locations: DataFrame) -> DataFrame:
-    """One row: counts in all, by kind, source and state."""
+def location_report(locations: DataFrame, issues: list[str] = ()) -> DataFrame:
+    """One row: counts in all, by kind, source and state (U4, A34), and what went wrong."""
     def counts(c: str) -> DataFrame:
         return locations.groupBy(c).count().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(c, F.lit("unknown")), "count")))).alias(f"by_{c}"))
 
     total = locations.agg(F.count("*").alias("total"), F.count_if(F.col("lat").isNull() | F.col("lon").isNull()).alias("without_place"))
     for c in ("kind", "source", "state"):
         total = total.crossJoin(counts(c))  # one row each
-    return total.withColumn("success", F.col("total") > 0)
+    told = F.array(*map(F.lit, issues)) if issues else F.array().cast("array<string>")
+    return total.withColumn("issues", told).withColumn("success", F.col("total") > 0)

@@ -204,3 +204,49 @@ def test_p_of_known_t(spark):
     for n, t, p in ((11, 2.228139, 0.05), (11, 3.169273, 0.01), (31, 2.042272, 0.05), (5, 2.776445, 0.05)):
         got = spark.createDataFrame([(t, n)], "t double, n long").select(verification.t_test_p("t", "n").alias("p")).first().p
         assert got == pytest.approx(p, abs=1e-5)
+
+
+def test_p_of_known_critical_values(spark):
+    """Student's t at two-sided 5 % and 1 %, from printed tables."""
+    known = [(12.706, 1, 0.05), (2.571, 5, 0.05), (2.228, 10, 0.05), (3.169, 10, 0.01), (2.042, 30, 0.05), (1.980, 120, 0.05), (1.960, 10**7, 0.05), (-2.576, 10**7, 0.01), (0.0, 9, 1.0)]
+    out = spark.createDataFrame([(t, df + 1, p) for t, df, p in known] + [(2.0, 1, None), (None, 9, None)], "t double, n long, p double").select("p", verification.t_test_p("t", "n").alias("got")).collect()
+    for r in out:
+        assert r.got == (r.p if r.p is None else pytest.approx(r.p, rel=2e-3))
+
+
+def test_interval_ends_are_those_of_the_normal_law(spark):
+    r = random.Random(5)
+    e = [r.gauss(1.0, 3.0) for _ in range(4000)]
+    df = spark.createDataFrame([(10.0, 10.0 + x) for x in e], "y_true double, y_pred double")
+    got = {x.metric: x for x in verification.bootstrap(df).collect()}
+    half = 1.96 * statistics.stdev(e) / math.sqrt(len(e))
+    assert got["bias"].lower == pytest.approx(statistics.mean(e) - half, abs=0.12 * half) and got["bias"].upper == pytest.approx(statistics.mean(e) + half, abs=0.12 * half)
+    a = [abs(x) for x in e]
+    half = 1.96 * statistics.stdev(a) / math.sqrt(len(a))
+    assert got["mae"].upper - got["mae"].lower == pytest.approx(2 * half, rel=0.12)
+
+
+def test_collected_locations(spark, caplog):
+    places = lambda *rows: (lambda s: s.createDataFrame([*rows], "station_id string, name string, lat double, lon double, elevation double, state string"))
+    before = {k: dict(v) for k, v in stations.PROVIDERS.items()}
+    stations.clear()
+    try:
+        none = stations.collect_all(spark)
+        assert none.locations is None and none.issues == [] and not none.report.first().success and none.report.first().total == 0
+        stations.register("station", "a", places(("1", "x", 1.0, 2.0, 100.0, "CO"), ("2", "y", None, 2.0, 300.0, "UT"), ("3", None, 1.0, 2.0, 5.0, None)))
+        stations.register("resort", "b", places(("9", "z", 1.0, 2.0, 50.0, None)))
+        whole = stations.collect_all(spark, min_elevation=60.0)
+        r = whole.report.first()
+        assert (r.total, r.without_place, r.by_kind, r.by_state, r.issues, r.success) == (3, 1, {"station": 2, "resort": 1}, {"CO": 1, "UT": 1, "unknown": 1}, [], True)
+        assert stations.extraction_points(whole.locations).count() == 2
+        boom = lambda s: s.range(3).select(F.raise_error(F.lit("no access")).cast("string").alias("station_id"), F.lit(1.0).alias("lat"), F.lit(1.0).alias("lon"), F.lit(1.0).alias("elevation"))
+        stations.register("station", "late", boom)  # plans well, fails when read
+        stations.register("resort", "early", lambda s: 1 / 0)
+        some = stations.collect_all(spark)
+        assert len(some.issues) == 2 and "station provider late" in some.issues[0] and "resort provider early: division by zero" == some.issues[1]
+        r = some.report.first()
+        assert (r.total, len(r.issues), r.success) == (4, 2, False) and stations.collect_registered(spark, "station").count() == 3
+    finally:
+        stations.clear()
+        for k, v in before.items():
+            stations.PROVIDERS[k].update(v)
