@@ -123,6 +123,7 @@ def rows(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
 
 
 def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of a task's rows; where these have a third column, of rows with the same value of it, which numbers the block."""
     from pyspark import TaskContext
 
     part, n, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
@@ -136,7 +137,12 @@ def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBat
         return out
 
     for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        fixed = batch.column(2).to_pylist() if batch.num_columns > 2 else [part] * batch.num_rows
+        for i, text, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), fixed, strict=True):
+            if p != part:
+                if ids:
+                    yield flush()
+                part, n = p, 0
             ids.append(i)
             texts.append(text)
             size += len(text)
@@ -153,6 +159,19 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     return written(body.mapInArrow(lambda x: _pack(x, size), "block long, ids binary, sizes binary, data binary"), "none")
 
 
+def scatter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK_BYTES) -> DataFrame:
+    """As `pack`, but which texts are together, and in what order, depends on the rows alone and not on how they are dealt: by a hash
+    of id and text, for as many blocks as all bytes need. Equal rows may fill more than one."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    body = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("i"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
+    total = body.agg(F.sum(F.octet_length("t") + F.lit(1).cast("long"))).first()[0] or 0
+    n = max(1, -(-total // size))
+    order = body.withColumn("h", F.xxhash64("i", "t")).withColumn("n", F.pmod(F.col("h"), F.lit(n).cast("long")))
+    order = order.repartition(max(partitions(spark), n // 4), "n").sortWithinPartitions("n", "h", "i", "t")
+    return written(order.select("i", "t", "n").mapInArrow(lambda x: _pack(x, 2 * size), "block long, ids binary, sizes binary, data binary"), "none")
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, list[bytes]]]:
     for batch in batches:
         names = batch.schema.names

@@ -12,7 +12,8 @@ per byte.
 What is learnt covers all training texts. Counts of words, and of pairs of a context and the symbol that follows, are
 summed in buckets by hash and told to the blocks that ask for them; they grow with the corpus, and contexts are told apart
 by hashes that grow with it too. Weights and refinements are trained online, in each block from the same beginning, on the
-summed counts without the symbol at hand, and are averaged over blocks; scores are taken with all counts.
+summed counts without the symbol at hand, and are averaged over blocks; scores are taken with all counts. A block's texts are
+chosen by a hash of the row, so that scores depend on the table alone and not on how its rows are dealt.
 """
 
 import heapq
@@ -66,6 +67,15 @@ def level(counts: np.ndarray) -> np.ndarray:
     return _LEVEL.take(np.minimum(counts, LEVELS[-1]))
 
 
+def state(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The state of two counts. Where one is beyond the last level, both are made smaller by the same factor, so that it is their
+    ratio that counts, however large they are."""
+    scale = np.minimum(1, MIDDLE[-1] / np.maximum(np.maximum(own, other), 1))
+    small = (np.rint(np.maximum(x * scale, np.minimum(x, 1))).astype(np.int64) for x in (own, other))
+    high, low = (level(x) for x in small)
+    return high << 4 | low
+
+
 def fine(own: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(FINE * np.log(np.maximum(own, PRIOR) / np.maximum(other, PRIOR))), -127, 127).astype(np.int8)
 
@@ -556,7 +566,7 @@ def _count(got: list):
     rest = np.arange(len(which))
     for depth, rows, low, high in walk(number[first], codes[first] << U(64 - CODE_BITS), counts):
         depths[rows] += 1
-        seen[rows] = level(high) << 4 | level(low - high)
+        seen[rows] = state(high, low - high)
         there[:] = False
         there[rows] = True
         rest = rest[there[which[rest]]]
@@ -587,7 +597,7 @@ def _add(got: list):
     for *_, blob in got:
         for k, v in load(blob)[0].items():
             whole[k] = [x + y for x, y in zip(whole[k], v, strict=True)] if k in whole else v
-    yield 0, 0, 0, dump(whole)
+    yield got[0][0], 0, 0, dump(whole)
 
 
 def _scores(sent):
@@ -614,10 +624,10 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     Scores are log10 probabilities. A null text is an empty one and has one token, the end; a null doc_id is not held
     out. Without training texts, words are spelled with even odds. Equal texts have equal scores. Other columns are left
-    out."""
+    out. Scores don't depend on partitions or on the order of rows."""
     spark = docs.sparkSession
     broadcast = spark.sparkContext.broadcast
-    blocks = B.pack(docs, size=BLOCK_BYTES)
+    blocks = B.scatter(docs, size=BLOCK_BYTES)
     n_blocks = blocks.count()
     n = B.buckets(spark, n_blocks)
     words = written(B.answer(B.ask(blocks, _words, n), _sum), "none")
@@ -633,7 +643,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     told = B.told(blocks, words.unionByName(contexts))
     model = Model()
     whole: dict = {}
-    for r in B.answer(B.ask(told, _learn(head), 16), _add).collect():  # 16 rows of fixed size
+    for r in sorted(B.answer(B.ask(told, _learn(head), 16), _add).collect(), key=lambda x: x["bucket"]):  # 16 rows of fixed size
         for k, x in load(bytes(r["blob"]))[0].items():
             whole[k] = [a + b for a, b in zip(whole[k], x, strict=True)] if k in whole else x
     model.use(whole)

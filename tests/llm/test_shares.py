@@ -1,10 +1,12 @@
-"""Secrets at any share of the candidates, and mixes of many small sources."""
+"""Secrets at any share of the candidates, mixes of many small sources, language scores of any layout and of large counts."""
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from nivalis.llm import mixing, secrets
+from nivalis.llm import language, mixing, secrets
 
 B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 SYLLABLES = ["tion", "heit", "ver", "en", "er", "an", "th", "re", "ing", "ea", "on", "de", "st", "es", "ti"]
@@ -49,3 +51,25 @@ def test_mixed_keeps_tiny_sources(spark):
     docs = spark.createDataFrame([(i, "one two three", f"s{i}") for i in range(40)] + [(100, "w " * 5000, "big"), (101, None, "none"), (102, "", None)], "doc_id long, text string, source string")
     kept = {r.source for r in mixing.mixed(docs).collect()}
     assert len(kept - {"big"}) >= 38 and "big" in kept and not kept & {"none", None}
+
+
+def test_language_does_not_depend_on_the_layout(spark, monkeypatch):
+    """Rows as they are, dealt to few and many partitions, and in reverse; several blocks, repeated rows and null ids."""
+    monkeypatch.setattr(language, "BLOCK_BYTES", 40_000)
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdefgh", k=r.randint(2, 7))) for _ in range(300)]
+    rows = [(i if i % 50 else None, " ".join(r.choices(words, k=r.randint(0, 80))) if i % 41 else None) for i in range(700)]
+    rows += [(7000, "one and the same text " * 40)] * 120
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    told = lambda d: sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.score, r.base_score) for r in language.score_texts(d).collect())
+    want = told(df)
+    assert len(want) == len(rows) and len({x[3] for x in want}) > 500
+    assert told(df.repartition(4)) == want and told(df.coalesce(1).orderBy(F.desc("doc_id"))) == want
+
+
+def test_language_states_keep_the_ratio_of_large_counts():
+    own, other = np.array([10**8, 2 * 10**4, 3, 10**9, 30_000, 0]), np.array([2 * 10**4, 10**8, 2, 10**9, 0, 10**7])
+    odds = language.ODDS[language.state(own, other)]
+    assert odds[0] == -odds[1] and abs(odds[0] - np.log(5000)) < 0.5 and odds[3] == 0
+    assert odds[2] == np.float32(np.log(3.4 / 2.4)) and odds[4] > 11 and odds[5] == -odds[4]
+    assert (language.state(own[2:3], other[2:3]) == (3 << 4 | 2)).all()
