@@ -127,7 +127,8 @@ def ranked(table: DataFrame, metric: str) -> DataFrame:
 
 
 def _cells(*columns: str) -> list[Column]:
-    number = lambda c: F.lpad(F.when(F.col(c).isNull(), "N/A").otherwise(F.format_string("%.3f", c)), 10, " ")
+    """Numbers of three places, halves to even."""
+    number = lambda c: F.lpad(F.when(F.col(c).isNull(), "N/A").otherwise(F.format_string("%.3f", F.bround(c, 3))), 10, " ")
     return [x for c in columns for x in (F.lit(" "), number(c))]
 
 

@@ -1543,7 +1543,7 @@ def a39_report(v):
 
 
 def _cell(x: str) -> str:
-    return f"lpad(coalesce(printf('%.3f', {x}), 'N/A'), 10, ' ')"
+    return f"lpad(coalesce(printf('%.3f', round_even(CAST({x} AS DOUBLE), 3) + 0.0::DOUBLE), 'N/A'), 10, ' ')"
 
 
 @query("a39_stratified_report", f"""WITH two AS (SELECT 'a' AS model, * FROM preds UNION ALL SELECT 'b', * REPLACE (y_base AS y_pred) FROM preds),
