@@ -1,21 +1,27 @@
 """Substring dedup with repeated-phrase automata.
 
-Windows of WINDOW words that recur are confirmed from their exact words, compiled to Aho-Corasick automata over word
-numbers, one for each shard of anchors, and every stretch of text that may hold one is streamed through its automaton.
+First, recurring phrases are confirmed: windows of WINDOW words whose anchor recurs are compared by their exact words, and
+each block is told which of its windows several documents have, and the smallest of these. Then a block compiles what it
+was told to Aho-Corasick automata over word numbers, a shard of at most SHARD windows at a time, and streams all its
+documents whole through each: every removed word is in a match of an automaton.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from nivalis.llm import blocks as B
-from nivalis.llm.repeats import Contexts, covered, ranges, repeated
+from nivalis.llm.repeats import Contexts, among, together, with_anchors
 from nivalis.llm.tables import read
 
 WINDOW, GRAM = 13, 6
+SHARD = 30_000  # windows of an automaton, which is some 40 MB then
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
 
 
@@ -26,54 +32,103 @@ def word_hashes(block: B.Block, start: np.ndarray, end: np.ndarray) -> np.ndarra
 def contexts(block: B.Block) -> Contexts:
     start, end, text = block.words()
     c = Contexts(word_hashes(block, start, end), text, WINDOW, GRAM)
-    c.base = np.searchsorted(text, np.arange(len(block.ids)))  # number of the text's first word
-    c.raw = lambda a, b: block.data[start[a] : end[b - 1]]
-    c.text_of = lambda a, b: c.raw(a, b).split()
+    c.phrase = lambda a, b: b" ".join(block.data[start[a] : end[b - 1]].split())
     return c
 
 
-def locate(key, off, n, doc, pos, texts):
-    """Windows of each context whose words a document of smaller id has too.
-
-    Windows that two documents have are confirmed by their exact words and compiled to an automaton, each with its smallest
-    document; what is told are the automaton's matches in the contexts. Equal contexts are read once."""
+def _send(block: B.Block, replies: list[bytes], n: int) -> Iterator[tuple]:
+    """Contexts whose anchor recurs, equal ones once: the smallest document that has it, and whether others of the block have it."""
+    c = contexts(block)
+    take = among(c, replies)
+    take = take[np.argsort(block.ids[c.text[take]], kind="stable")]
+    first, doc = c.first[take], block.ids[c.text[take]]
+    lead: dict[bytes, int] = {}
+    more = np.zeros(len(take), bool)
+    for i, (a, b, d) in enumerate(zip(first.tolist(), (c.last[take] + WINDOW).tolist(), doc.tolist(), strict=True)):
+        j = lead.setdefault(c.phrase(a, b), i)
+        more[j] |= d != doc[j]
+    texts, send = list(lead), np.fromiter(lead.values(), np.int64, len(lead))
+    for bucket, at in B.split(n, c.key[take][send]):
+        i = send[at]
+        yield bucket, 0, B.dump(c.key[take][i], doc[i], more[i], first[i].astype(np.int32), [texts[k] for k in at.tolist()])
+
+
+def recurring(doc: list[int], more: list[bool], texts: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
+    """(context, first and last window, smallest document) of windows that several documents have, where the context's block has them
+    in a later one. Equal contexts are read once."""
     number: dict[bytes, int] = {}
-    classes: dict[tuple, list[int]] = {}
-    for i, (k, t) in enumerate(zip(key.tolist(), texts, strict=True)):
-        classes.setdefault((k, tuple([number.setdefault(w, len(number)) for w in t.split()])), []).append(i)
-    docs = {c: [int(doc[i]) for i in members] for c, members in classes.items()}
+    classes: dict[bytes, list[int]] = {}
+    for i, t in enumerate(texts):
+        classes.setdefault(t, []).append(i)
     least: dict[tuple, int] = {}
-    recurring = set()
-    for c, ids in docs.items():
-        low, several = min(ids), min(ids) < max(ids)
-        for o in range(len(c[1]) - WINDOW + 1):
-            w = c[1][o : o + WINDOW]
+    several = set()
+    windows = []
+    for t, members in classes.items():
+        words = tuple([number.setdefault(w, len(number)) for w in t.split()])
+        windows.append([words[o : o + WINDOW] for o in range(len(words) - WINDOW + 1)])
+        ids = [doc[i] for i in members]
+        low, others = min(ids), min(ids) < max(ids) or any(more[i] for i in members)
+        for w in windows[-1]:
             x = least.setdefault(w, low)
-            if several or x != low:
-                recurring.add(w)
+            if others or x != low:
+                several.add(w)
                 least[w] = min(x, low)
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for w in recurring:
-        automaton.add_word(w, least[w])
-    out: list[tuple[int, int, int]] = []
-    if recurring:
+    for own, members in zip(windows, classes.values(), strict=True):
+        runs = [(low, [o for o, _ in run]) for low, run in groupby(enumerate(own), lambda x: least[x[1]] if x[1] in several else None) if low is not None]
+        for i in members:
+            for low, at in runs:
+                if low < doc[i] or more[i]:
+                    yield i, at[0], at[-1], low
+
+
+def _confirm(got: list) -> Iterator[tuple]:
+    sent = [(block, *B.load(blob)) for _, block, _, blob in got]
+    block = np.repeat([x[0] for x in sent], [len(x[1]) for x in sent])
+    key, doc, more, first = (np.concatenate([x[k] for x in sent]) for k in range(1, 5))
+    texts = [t for x in sent for t in x[5]]
+    out: dict[int, list] = {}
+    for at in together(key):
+        for i, a, b, low in recurring(doc[at].tolist(), more[at].tolist(), [texts[j] for j in at.tolist()]):
+            j = int(at[i])
+            out.setdefault(int(block[j]), []).append((int(first[j]) + a, int(first[j]) + b, low))
+    for blk, phrases in out.items():
+        yield 0, blk, 0, B.dump(np.array(phrases, np.int64).T)
+
+
+def _automata(codes: list[int], replies: list[bytes]) -> Iterator[ahocorasick.Automaton]:
+    """Of the windows that the block was told, each with the smallest document that has it."""
+    first, last, low = np.concatenate([B.load(x)[0] for x in replies], axis=1)
+    size = last - first + 1
+    at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+    least = dict(zip(at.tolist(), np.repeat(low, size).tolist(), strict=True))
+    told = list(least)
+    for k in range(0, len(told), SHARD):
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for a in told[k : k + SHARD]:
+            automaton.add_word(tuple(codes[a : a + WINDOW]), least[a])
         automaton.make_automaton()
-        for c, members in classes.items():
-            hits = [(end - WINDOW + 1, x) for end, x in automaton.iter(c[1])]
-            if not hits:
-                continue
-            at, low = np.array(hits, np.int64).T
-            for i, d in zip(members, docs[c], strict=True):
-                later = at[low < d]
-                if len(later):
-                    out.extend((i, int(x), int(y)) for _, x, y in zip(*ranges(np.zeros(len(later), np.int64), later), strict=True))
-    return tuple(np.array(out, np.int64).reshape(-1, 3).T)
+        yield automaton
+
+
+def covered(block: B.Block, edge: np.ndarray, replies: list[bytes]) -> np.ndarray:
+    """Which of the block's words are in a window that a document of smaller id has too; text i has words edge[i] to edge[i + 1]."""
+    depth = np.zeros(edge[-1] + 1, np.int64)
+    if replies:
+        number: dict[bytes, int] = {}
+        codes = [number.setdefault(w, len(number)) for w in block.data.split()]
+        texts = [tuple(codes[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        for automaton in _automata(codes, replies):
+            for a, d, text in zip(edge.tolist(), block.ids.tolist(), texts, strict=False):
+                if ends := [a + end for end, low in automaton.iter(text) if low < d]:
+                    depth[np.array(ends) + 1 - WINDOW] += 1
+                    depth[np.array(ends) + 1] -= 1
+    return np.cumsum(depth)[:-1] > 0
 
 
 def _kept(block: B.Block, replies: list[bytes]):
-    start, end, text = block.words()
-    gone = covered(len(start), replies)
+    _, _, text = block.words()
     edge = np.searchsorted(text, np.arange(len(block.ids) + 1))
+    gone = covered(block, edge, replies)
     removed = np.concatenate(([0], np.cumsum(gone)))
     out = [[], [], [], []]
     for i, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
@@ -94,9 +149,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A null text has no words; fewer than WINDOW words are kept; a null doc_id counts as the largest, and rows of equal
     doc_id don't remove each other's words. Other columns are left out; an empty table gives an empty result."""
-    blocks = repeated(B.pack(docs), contexts, locate, WINDOW, False)
-
-    return B.each(blocks, _kept, "doc_id long, n_words long, n_removed long, kept binary", _OUT)
+    blocks = B.pack(docs)
+    n = B.buckets(blocks.sparkSession, blocks.count())
+    confirmed = B.answer(B.ask(with_anchors(blocks, contexts, n), _send, n), _confirm)
+    return B.each(B.told(blocks, confirmed), _kept, "doc_id long, n_words long, n_removed long, kept binary", _OUT)
 
 
 def op7_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

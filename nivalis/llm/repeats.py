@@ -1,4 +1,4 @@
-"""Windows of tokens (words or bytes) that start elsewhere too: what the two operators on repeated text share.
+"""Windows of tokens (words or bytes) that start elsewhere too: how op2 finds them, and what op7 shares of it.
 
 Each window of LENGTH tokens has an anchor: the smallest hash of its grams, the rightmost of equal ones. Equal windows
 have equal anchors, so blocks first ask which anchors occur more than once, and then, for those alone, send the text of
@@ -68,16 +68,31 @@ def _recurring(got: list) -> Iterator[tuple]:
         yield 0, int(block[at[0]]), 0, np.sort(key[at]).tobytes()
 
 
-def _send(contexts: Callable, length: int, same_doc: bool) -> Callable:
-    """same_doc: a later start in the same document counts as later."""
+def among(c: Contexts, replies: list[bytes]) -> np.ndarray:
+    """Which contexts have an anchor that recurs."""
+    known = np.sort(np.concatenate([np.frombuffer(x, U) for x in replies])) if replies else np.zeros(0, U)
+    if not len(known) or not len(c.key):
+        return np.zeros(0, np.int64)
+    found = np.minimum(np.searchsorted(known, c.key), len(known) - 1)
+    return np.flatnonzero(known[found] == c.key)
 
+
+def together(key: np.ndarray) -> Iterator[np.ndarray]:
+    """Where keys are, equal ones together, about AT_ONCE at a time."""
+    order = np.argsort(key, kind="stable")
+    begins = np.flatnonzero(np.diff(key[order], prepend=key[order[0]] ^ U(1)))
+    a = 0
+    while a < len(order):
+        k = np.searchsorted(begins, a + AT_ONCE, "right") - 1
+        b = len(order) if a + AT_ONCE >= len(order) else int(begins[k]) if begins[k] > a else int(begins[k + 1]) if k + 1 < len(begins) else len(order)
+        yield order[a:b]
+        a = b
+
+
+def _send(contexts: Callable, length: int) -> Callable:
     def question(block: Block, replies: list[bytes], n: int):
-        known = np.sort(np.concatenate([np.frombuffer(x, U) for x in replies])) if replies else np.zeros(0, U)
         c = contexts(block)
-        if not len(known) or not len(c.key):
-            return
-        found = np.minimum(np.searchsorted(known, c.key), len(known) - 1)
-        take = np.flatnonzero(known[found] == c.key)
+        take = among(c, replies)
         if not len(take):
             return
         first, end, key, doc = c.first[take], c.last[take] + length, c.key[take], block.ids[c.text[take]]
@@ -89,7 +104,7 @@ def _send(contexts: Callable, length: int, same_doc: bool) -> Callable:
         head[1:] = full[order][1:] != full[order][:-1]
         lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
         send, local = [order[head]], []
-        later = ~head & ((doc[order] > doc[lead]) | (same_doc & (pos[order] > pos[lead])))
+        later = ~head & ((doc[order] > doc[lead]) | (pos[order] > pos[lead]))
         for i, j in zip(order[later].tolist(), lead[later].tolist(), strict=True):
             (local if c.text_of(first[i], end[i]) == c.text_of(first[j], end[j]) else send).append(i)
         own = [np.array(local, np.int64), order[~head & ~later]]
@@ -120,30 +135,28 @@ def _compare(resolve: Callable, length: int) -> Callable:
         key, off, n, doc, pos, first = (np.concatenate([x[k] for x in sent]) for k in range(1, 7))
         texts = [t for x in sent for t in x[7]]
         del sent
-        order = np.argsort(key, kind="stable")
-        begins = np.flatnonzero(np.diff(key[order], prepend=key[order[0]] ^ U(1)))
         out: dict[int, list] = {}
-        a = 0
-        while a < len(order):
-            k = np.searchsorted(begins, a + AT_ONCE, "right") - 1
-            b = len(order) if a + AT_ONCE >= len(order) else int(begins[k]) if begins[k] > a else int(begins[k + 1]) if k + 1 < len(begins) else len(order)
-            at = order[a:b]
+        for at in together(key):
             i, o1, o2 = resolve(key[at], off[at], n[at], doc[at], pos[at], [texts[j] for j in at.tolist()])
             i = at[i]
             for blk, x, y in zip(block[i].tolist(), (first[i] + o1).tolist(), (first[i] + o2 + length).tolist(), strict=True):
                 out.setdefault(blk, []).append((x, y))
-            a = b
         for blk, spans in out.items():
             yield 0, blk, 0, dump(np.array(spans, np.int64).T)
 
     return reply
 
 
-def repeated(blocks: DataFrame, contexts: Callable, resolve: Callable, length: int, same_doc: bool) -> DataFrame:
-    """Blocks with `replies`: dumped arrays of starts and ends of covered tokens."""
+def with_anchors(blocks: DataFrame, contexts: Callable, n: int) -> DataFrame:
+    """Blocks that hold recurring anchors, and which, as `replies`; n buckets are asked."""
+    return B.told(blocks, B.answer(B.ask(blocks, _count(contexts), n), _recurring), "inner")
+
+
+def repeated(blocks: DataFrame, contexts: Callable, resolve: Callable, length: int) -> DataFrame:
+    """Blocks with `replies`: dumped arrays of starts and ends of tokens covered by a window that starts earlier too, in a
+    document of smaller id or in the same one."""
     n = B.buckets(blocks.sparkSession, blocks.count())
-    again = B.answer(B.ask(blocks, _count(contexts), n), _recurring)
-    asked = B.ask(B.told(blocks, again, "inner"), _send(contexts, length, same_doc), n)
+    asked = B.ask(with_anchors(blocks, contexts, n), _send(contexts, length), n)
     return B.told(blocks, B.answer(asked, _compare(resolve, length)))
 
 

@@ -176,7 +176,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A null text is empty; shorter texts are kept; a null doc_id counts as the largest. Rows of equal doc_id are taken
     for one document. Other columns are left out; an empty table gives an empty result."""
-    blocks = repeated(B.pack(docs), contexts, locate, WINDOW, True)
+    blocks = repeated(B.pack(docs), contexts, locate, WINDOW)
     return B.each(blocks, _kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", _OUT)
 
 
