@@ -61,6 +61,7 @@ GATE = (np.array([0, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 6, 6, 7, 7, 7], np.uint8)[_SU
 _OTHERS = (np.array([0, 0, 1, 2, 3, 4, *range(6, 16)])[:, None] * 16 + np.arange(16)).ravel()
 ODDS_OF_OTHERS, GATE_OF_OTHERS = ODDS[_OTHERS], tuple(x[_OTHERS] for x in GATE)
 FINE = 8  # steps of the log odds of all symbols, to a nat
+UNIT = 1 << 24  # a score is a sum of logarithms in multiples of 1 / UNIT, which is exact in any order: equal texts have equal scores wherever they lie in a block
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -608,13 +609,13 @@ def _scores(sent):
         t, m = s.t, len(block.ids)
         total = np.zeros(m)
         for bits in chain(s.symbol_bits(False), s.byte_bits(False)):
-            total += np.bincount(bits.text, model.log10(bits), m)
+            total += np.bincount(bits.text, np.rint(model.log10(bits) * UNIT), m)
         c = t.counts[t.which]
         size = np.bincount(t.text, minlength=m)
         whole = np.log10(n + v + 1)
         base = np.bincount(t.text, np.log10(c + 1) - whole, m) + np.log10(texts + 1) - whole
         found = np.bincount(t.text, c > 0, m).astype(np.int64) + (texts > 0)
-        yield [[block.id(i) for i in range(m)], t.held.tolist(), (size + 1).tolist(), found.tolist(), [n] * m, base.tolist(), total.tolist(), block.sizes.tolist()]
+        yield [[block.id(i) for i in range(m)], t.held.tolist(), (size + 1).tolist(), found.tolist(), [n] * m, base.tolist(), (total / UNIT).tolist(), block.sizes.tolist()]
 
     return score
 
