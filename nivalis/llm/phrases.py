@@ -2,14 +2,14 @@
 
 First, recurring phrases are confirmed: windows of WINDOW words whose anchor recurs are compared by their exact words, and
 each block is told which of its windows several documents have, and the smallest of these. Then a block compiles what it
-was told to Aho-Corasick automata over word numbers, a shard of at most SHARD windows at a time, and streams all its
+was told to Aho-Corasick automata over the digits of words' numbers, a shard of at most SHARD windows at a time, and streams all its
 documents whole through each: every removed word is in a match of an automaton.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import batched, groupby
 
 import ahocorasick
 import numpy as np
@@ -21,7 +21,8 @@ from nivalis.llm.repeats import Contexts, among, together, with_anchors
 from nivalis.llm.tables import read
 
 WINDOW, GRAM = 13, 6
-SHARD = 30_000  # windows of an automaton, which is some 40 MB then
+SHARD = 20_000  # windows of an automaton, which has some 25 MB then
+BASE = 128  # of words' numbers
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
 
 
@@ -95,33 +96,43 @@ def _confirm(got: list) -> Iterator[tuple]:
         yield 0, blk, 0, B.dump(np.array(phrases, np.int64).T)
 
 
-def _automata(codes: list[int], replies: list[bytes]) -> Iterator[ahocorasick.Automaton]:
-    """Of the windows that the block was told, each with the smallest document that has it."""
-    first, last, low = np.concatenate([B.load(x)[0] for x in replies], axis=1)
-    size = last - first + 1
-    at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-    least = dict(zip(at.tolist(), np.repeat(low, size).tolist(), strict=True))
-    told = list(least)
-    for k in range(0, len(told), SHARD):
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for a in told[k : k + SHARD]:
-            automaton.add_word(tuple(codes[a : a + WINDOW]), least[a])
-        automaton.make_automaton()
-        yield automaton
+def _coded(words: list[bytes], at: np.ndarray) -> tuple[str, int]:
+    """Words as numbers, in as few digits each as tell those of windows, which start at `at`, apart; all others are 0. A node of an
+    automaton has at most BASE children, among which it looks one after another."""
+    phrase = np.zeros(len(words) + 1, np.int64)
+    np.add.at(phrase, at, 1)
+    np.subtract.at(phrase, at + WINDOW, 1)
+    number: dict[bytes, int] = {}
+    for i in np.flatnonzero(np.cumsum(phrase)).tolist():
+        number.setdefault(words[i], len(number) + 1)
+    codes = np.array([number.get(w, 0) for w in words], np.int64)
+    width = 1
+    while BASE**width <= len(number):
+        width += 1
+    digits = codes[:, None] // BASE ** np.arange(width)[::-1] % BASE
+    return digits.astype(np.uint8).tobytes().decode("latin-1"), width
 
 
 def covered(block: B.Block, edge: np.ndarray, replies: list[bytes]) -> np.ndarray:
     """Which of the block's words are in a window that a document of smaller id has too; text i has words edge[i] to edge[i + 1]."""
     depth = np.zeros(edge[-1] + 1, np.int64)
     if replies:
-        number: dict[bytes, int] = {}
-        codes = [number.setdefault(w, len(number)) for w in block.data.split()]
-        texts = [tuple(codes[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-        for automaton in _automata(codes, replies):
+        first, last, low = np.concatenate([B.load(x)[0] for x in replies], axis=1)
+        size = last - first + 1
+        at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        coded, width = _coded(block.data.split(), at)
+        least = dict(zip([coded[a * width : (a + WINDOW) * width] for a in at.tolist()], np.repeat(low, size).tolist(), strict=True))
+        texts = [coded[a * width : b * width] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        for shard in batched(least.items(), SHARD):
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+            for window, doc in shard:
+                automaton.add_word(window, doc)
+            automaton.make_automaton()
             for a, d, text in zip(edge.tolist(), block.ids.tolist(), texts, strict=False):
-                if ends := [a + end for end, low in automaton.iter(text) if low < d]:
-                    depth[np.array(ends) + 1 - WINDOW] += 1
-                    depth[np.array(ends) + 1] -= 1
+                ends = np.array([end + 1 for end, doc in automaton.iter(text) if doc < d], np.int64)
+                ends = a + ends[ends % width == 0] // width  # others begin within a word's digits
+                depth[ends - WINDOW] += 1
+                depth[ends] -= 1
     return np.cumsum(depth)[:-1] > 0
 
 
