@@ -105,22 +105,24 @@ def _coded(words: list[bytes], at: np.ndarray) -> tuple[str, int]:
     number: dict[bytes, int] = {}
     for i in np.flatnonzero(np.cumsum(phrase)).tolist():
         number.setdefault(words[i], len(number) + 1)
-    codes = np.array([number.get(w, 0) for w in words], np.int64)
+    codes = np.array([number.get(w, 0) for w in words], np.int32)
     width = 1
     while BASE**width <= len(number):
         width += 1
-    digits = codes[:, None] // BASE ** np.arange(width)[::-1] % BASE
-    return digits.astype(np.uint8).tobytes().decode("latin-1"), width
+    digits = np.empty((len(codes), width), np.uint8)
+    for k in range(width):
+        digits[:, width - 1 - k] = codes // BASE**k % BASE
+    return digits.tobytes().decode("latin-1"), width
 
 
-def covered(block: B.Block, edge: np.ndarray, replies: list[bytes]) -> np.ndarray:
+def covered(block: B.Block, words: list[bytes], edge: np.ndarray, replies: list[bytes]) -> np.ndarray:
     """Which of the block's words are in a window that a document of smaller id has too; text i has words edge[i] to edge[i + 1]."""
     depth = np.zeros(edge[-1] + 1, np.int64)
     if replies:
         first, last, low = np.concatenate([B.load(x)[0] for x in replies], axis=1)
         size = last - first + 1
         at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-        coded, width = _coded(block.data.split(), at)
+        coded, width = _coded(words, at)
         least = dict(zip([coded[a * width : (a + WINDOW) * width] for a in at.tolist()], np.repeat(low, size).tolist(), strict=True))
         texts = [coded[a * width : b * width] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
         for shard in batched(least.items(), SHARD):
@@ -129,7 +131,10 @@ def covered(block: B.Block, edge: np.ndarray, replies: list[bytes]) -> np.ndarra
                 automaton.add_word(window, doc)
             automaton.make_automaton()
             for a, d, text in zip(edge.tolist(), block.ids.tolist(), texts, strict=False):
-                ends = np.array([end + 1 for end, doc in automaton.iter(text) if doc < d], np.int64)
+                found = [end + 1 for end, doc in automaton.iter(text) if doc < d]
+                if not found:
+                    continue
+                ends = np.array(found)
                 ends = a + ends[ends % width == 0] // width  # others begin within a word's digits
                 depth[ends - WINDOW] += 1
                 depth[ends] -= 1
@@ -139,12 +144,12 @@ def covered(block: B.Block, edge: np.ndarray, replies: list[bytes]) -> np.ndarra
 def _kept(block: B.Block, replies: list[bytes]):
     _, _, text = block.words()
     edge = np.searchsorted(text, np.arange(len(block.ids) + 1))
-    gone = covered(block, edge, replies)
+    every = block.data.split()
+    gone = covered(block, every, edge, replies)
     removed = np.concatenate(([0], np.cumsum(gone)))
     out = [[], [], [], []]
     for i, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
-        s, size = int(block.starts[i]), int(block.sizes[i])
-        words = block.data[s : s + size].split()
+        words = every[a:b]
         if n := int(removed[b] - removed[a]):
             words = [w for w, x in zip(words, gone[a:b].tolist(), strict=True) if not x]
         out[0].append(block.id(i))
