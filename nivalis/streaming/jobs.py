@@ -82,10 +82,14 @@ class _InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
             new = [(int(a), None if pd.isna(v) else float(v)) for a, v in zip(pdf["at"], pdf["value"], strict=True)]
-            self.waiting.appendList(new)
-            for ms in {-(-a // 1000) for a, _ in new}:
-                self.handle.registerTimer(ms)
-        yield pd.DataFrame({"key": [], "at": [], "value": [], "flag": []})
+            if new:
+                self.waiting.appendList(new)
+                self._wake(new)
+        return iter(())
+
+    def _wake(self, rows: list[tuple]) -> None:
+        """One timer, for the first of the rows that wait: what it finds due is done at once, and what it leaves gets the next."""
+        self.handle.registerTimer(-(-min(r[0] for r in rows) // 1000))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
@@ -99,7 +103,11 @@ class _InOrder(StatefulProcessor):
             last = (at, value)
         if due:
             left = [tuple(r) for r in rows if r[0] > passed]
-            self.waiting.put(left) if left else self.waiting.clear()
+            if left:
+                self.waiting.put(left)
+                self._wake(left)
+            else:
+                self.waiting.clear()
         if last and last[0] + self.keep_us <= passed:
             self.last.clear()  # nothing is kept of a group that has been silent so long
         elif due:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +91,51 @@ def test_jumps_in_order_and_expiry(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     got = {(r.station_id, round((r.ts - start).total_seconds() / 3600)): r.flag for r in out.collect()}
     assert got == {(1, 0): 0, (1, 2): 0, (1, 3): 16, (1, 5): 1, (1, 6): 0, (1, 7): 16, (1, 200): 0, (2, 0): 0, (2, 100): 0, (None, 5): 0}
+
+
+def test_a_group_waits_with_one_timer():
+    """Each row had a timer of its own, which is a call from Spark to Python for every hour of every station."""
+
+    class State:
+        rows, timers = None, []
+
+        def exists(self):
+            return self.rows is not None
+
+        def get(self):
+            return self.rows
+
+        def clear(self):
+            self.rows = None
+
+        def put(self, rows):
+            self.rows = rows
+
+        update = put
+
+        def appendList(self, rows):
+            self.rows = (self.rows or []) + rows
+
+        def getListState(self, *_):
+            return State()
+
+        getValueState = getListState
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+    class At:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    hour, handle = 3_600_000, State()
+    p = jobs._InOrder(2.0, 60 * 24 * hour * 1000)
+    p.init(handle)
+    rows = pd.DataFrame({"at": [h * hour * 1000 for h in (5, *range(500, 5, -1))], "value": 1.0})
+    assert [*p.handleInputRows((1,), iter([rows]), None)] == [] and handle.timers == [5 * hour]
+    first = pd.concat(p.handleExpiredTimer((1,), At(100 * hour), None))
+    assert len(first) == 96 and 101 * hour in handle.timers  # the first row that still waits
+    assert len(pd.concat(p.handleExpiredTimer((1,), At(500 * hour), None))) == 400 and len(handle.timers) <= 4
