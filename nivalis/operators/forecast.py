@@ -65,8 +65,8 @@ def predicted(df: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
     source = F.when(have_h, "HRRR").when(have_n, "NBM").when(have_l, "persistence").otherwise("none")
     return df.select(
-        "request_id", source.alias("source"), F.bround(F.greatest(zero, depth), 1).alias("snow_depth_cm"), F.bround(F.greatest(zero, fresh), 1).alias("new_snow_cm"),
-        F.greatest(F.lit(0.01), F.least(F.lit(0.99), p)).alias("probability"), F.bround(F.greatest(zero, fresh - half), 1).alias("ci_lower"), F.bround(fresh + half, 1).alias("ci_upper"),
+        "request_id", source.alias("source"), snow.half_even(F.greatest(zero, depth), 1).alias("snow_depth_cm"), snow.half_even(F.greatest(zero, fresh), 1).alias("new_snow_cm"),
+        F.greatest(F.lit(0.01), F.least(F.lit(0.99), p)).alias("probability"), snow.half_even(F.greatest(zero, fresh - half), 1).alias("ci_lower"), snow.half_even(fresh + half, 1).alias("ci_upper"),
     )
 
 

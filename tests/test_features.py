@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from nivalis import models
 from nivalis.functions import calendar, geo, snow
-from nivalis.operators import lagged, quality, raster, temporal, verification
+from nivalis.operators import forecast, lagged, quality, raster, temporal, verification
 from nivalis.operators.ranking import contiguous_folds, exact_quantiles
 from nivalis.sources import stations, store
 from nivalis.streaming import jobs
@@ -256,3 +256,9 @@ def test_status_without_a_normal(spark):
     rows = [(0.0, 0.0, "Normal"), (1.0, 0.0, "Normal"), (-1.0, 0.0, "Well Below Normal"), (None, 0.0, "Well Below Normal"), (3.0, 2.0, "Above Normal"), (-3.0, -2.0, "Normal"), (1.0, None, "Well Below Normal")]
     d = spark.createDataFrame(rows, "v double, n double, want string")
     assert all(r.got == r.want for r in d.select("want", snow.quotient_status(F.col("v"), F.col("n")).alias("got")).collect())
+
+
+def test_amounts_that_are_nearly_halves(spark):
+    d = spark.range(1).select(F.lit("r").alias("request_id"), *[F.lit(x).cast("double").alias(c) for c, x in {"hrrr_temp_k": None, "hrrr_precip_mm": None, "hrrr_depth_m": None, "hrrr_categorical": None, "nbm_temp_k": 270.0, "nbm_new_m": 1.23 / 10, "nbm_depth_m": 1.23, "last_depth_m": None, "slope": 40.0, "aspect": 180.0}.items()])
+    r = forecast.predicted(d).first()
+    assert (r.new_snow_cm, r.ci_lower, r.ci_upper) == (11.1, 6.2, 16.0)  # 6.1499999999999995 is a half to 15 decimals
