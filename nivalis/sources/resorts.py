@@ -18,26 +18,38 @@ def read_features(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def centroid(ring: Column) -> Column:
-    """(lon, lat) of a closed ring by the shoelace formula; of a flat one the mean of its points."""
-    n = F.size(ring)
-    pairs = F.zip_with(F.slice(ring, F.lit(1), n - 1), F.slice(ring, F.lit(2), n - 1), lambda p, q: F.struct((p[0] * q[1] - q[0] * p[1]).alias("a"), (p[0] + q[0]).alias("x"), (p[1] + q[1]).alias("y")))
-    total = lambda f: F.aggregate(pairs, F.lit(0.0), lambda acc, s: acc + f(s))
-    area = total(lambda s: s["a"])
-    mean = lambda k: F.aggregate(ring, F.lit(0.0), lambda acc, p: acc + p[k]) / n
-    pick = lambda k, name: F.when(F.abs(area) > 1e-12, F.try_divide(total(lambda s: s[name] * s["a"]), 3 * area)).otherwise(mean(k))
-    return F.struct(pick(0, "x").alias("lon"), pick(1, "y").alias("lat"))
+    """(lon, lat) of a closed ring by the shoelace formula; of a flat one the mean of its points. One pass over the ring, which is
+    evaluated once however dear it is."""
+    names = ("n", "px", "py", "area", "ax", "ay", "mx", "my")
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in names])
+
+    def step(acc, p):
+        old = {c: acc[c] for c in names}
+        cross = F.when(old["n"] == 0, 0.0).otherwise(old["px"] * p[1] - p[0] * old["py"])
+        new = {"n": old["n"] + 1, "px": p[0], "py": p[1], "area": old["area"] + cross, "ax": old["ax"] + (old["px"] + p[0]) * cross, "ay": old["ay"] + (old["py"] + p[1]) * cross, "mx": old["mx"] + p[0], "my": old["my"] + p[1]}
+        return F.struct(*[x.alias(c) for c, x in new.items()])
+
+    def place(acc):
+        pick = lambda s, m: F.when(F.abs(acc["area"]) > 1e-12, F.try_divide(acc[s], 3 * acc["area"])).otherwise(F.try_divide(acc[m], acc["n"]))
+        return F.struct(pick("ax", "mx").alias("lon"), pick("ay", "my").alias("lat"))
+
+    return F.aggregate(ring, zero, step, place)
 
 
 def ski_areas(features: DataFrame) -> DataFrame:
-    """(name, lat, lon, country, state): named areas with a geometry (S13, S14). The country falls back to the first source's."""
+    """(name, lat, lon, country, state): named areas with a geometry (S13, S14). The country falls back to the first source's.
+
+    A geometry is parsed in a generator, into which no filter or other column is moved, so once a row."""
     get = lambda p: F.get_json_object("properties", p)
     kind = F.get_json_object("geometry", "$.type")
     point = F.from_json(F.get_json_object("geometry", "$.coordinates"), "array<double>")
     ring = F.when(kind == "Polygon", F.from_json(F.get_json_object("geometry", "$.coordinates"), RINGS)[0]).when(kind == "MultiPolygon", F.from_json(F.get_json_object("geometry", "$.coordinates[0]"), RINGS)[0])
     place = F.when(kind == "Point", F.struct(point[0].alias("lon"), point[1].alias("lat"))).otherwise(centroid(ring))
     country = F.coalesce(get("$.location.localized.en.country"), get("$.country"), get("$.sources[0].country"))
-    out = features.filter("geometry is not null").select(get("$.name").alias("name"), place.alias("p"), country.alias("country"), F.coalesce(get("$.location.localized.en.region"), get("$.state")).alias("state"))
-    return out.filter("name is not null and p.lat is not null").select("name", "p.lat", "p.lon", "country", "state")
+    state = F.coalesce(get("$.location.localized.en.region"), get("$.state"))
+    out = features.filter("geometry is not null").select(get("$.name").alias("name"), country.alias("country"), state.alias("state"), F.inline(F.array(place)))
+    return out.filter("name is not null and lat is not null").select("name", "lat", "lon", "country", "state")
+
 
 
 def lift_elevations(lifts: DataFrame) -> DataFrame:

@@ -61,3 +61,13 @@ def test_a_large_file_is_many_tasks_work(spark, tmp_path, cuts):
     got = resorts.ski_areas(resorts.read_features(spark, str(tmp_path)))
     total = lambda d: d.agg(F.count("*"), F.count_distinct("name"), F.sum(F.xxhash64("name", "lat", "lon").cast("decimal(38,0)"))).first()
     assert total(got) == total(want) and total(got)[0] == 100_000
+
+
+def test_geometries_are_parsed_once(spark):
+    """However often coordinates are used, a row's plan parses them once: no filter or column has a copy of it."""
+    d = spark.createDataFrame([('{"type":"Polygon","coordinates":[[[0,0],[2,0],[2,2],[0,2],[0,0]]]}', '{"name":"a"}'), ('{"type":"Polygon","coordinates":[[[1,1],[3,3],[1,1]]]}', '{"name":"flat"}'), ('{"type":"Polygon","coordinates":[[]]}', '{"name":"none"}'), (None, '{"name":"b"}')], "geometry string, properties string")
+    out = resorts.ski_areas(d.repartition(2))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") + plan.count("jsontostructs(") <= 4  # a point (either coordinate), a polygon, a polygon of several
+    got = {r.name: (r.lat, r.lon) for r in out.collect()}
+    assert got == {"a": (1.0, 1.0), "flat": (pytest.approx(5 / 3), pytest.approx(5 / 3))}
