@@ -262,3 +262,20 @@ def test_amounts_that_are_nearly_halves(spark):
     d = spark.range(1).select(F.lit("r").alias("request_id"), *[F.lit(x).cast("double").alias(c) for c, x in {"hrrr_temp_k": None, "hrrr_precip_mm": None, "hrrr_depth_m": None, "hrrr_categorical": None, "nbm_temp_k": 270.0, "nbm_new_m": 1.23 / 10, "nbm_depth_m": 1.23, "last_depth_m": None, "slope": 40.0, "aspect": 180.0}.items()])
     r = forecast.predicted(d).first()
     assert (r.new_snow_cm, r.ci_lower, r.ci_upper) == (11.1, 6.2, 16.0)  # 6.1499999999999995 is a half to 15 decimals
+
+
+def test_draws_are_those_of_cumulative_probabilities():
+    import numpy as np
+
+    h = np.random.default_rng(3).integers(0, 2**64, (50, 20_000), dtype=np.uint64)
+    u = h * np.uint64(0xBF58476D1CE4E5B9)
+    u = (u ^ (u >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    u = ((u ^ (u >> np.uint64(29))) >> np.uint64(11)).astype(float) / 2.0**53
+    want, p = np.zeros(u.shape), math.exp(-1)
+    c = p
+    for j in range(1, 12):
+        want += u > c
+        p /= j
+        c += p
+    got = verification.poisson_draws(h)
+    assert (got == want).all() and got.mean() == pytest.approx(1, abs=0.01) and got.var() == pytest.approx(1, abs=0.01)
