@@ -129,7 +129,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     taken = mix(rows.select(F.col(key).alias("doc_id"), "source", n_words(F.col("text")).alias("size")))[0]
     times = F.when(F.col("taken") > 1.5 * F.col("size"), 2).when(F.col("taken") > 0, 1).otherwise(0)
     times = taken.select(F.col("doc_id").alias(key), times.alias(often)).groupBy(key).agg(F.max(often).alias(often)).filter(F.col(often) > 0)
-    out = rows.join(written(times), key).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(often))))
+    # merged at every size: a small table's broadcast would hide what the documents' shuffle takes
+    out = rows.join(written(times).hint("merge"), key).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(often))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -73,3 +73,10 @@ def test_language_states_keep_the_ratio_of_large_counts():
     assert odds[0] == -odds[1] and abs(odds[0] - np.log(5000)) < 0.5 and odds[3] == 0
     assert odds[2] == np.float32(np.log(3.4 / 2.4)) and odds[4] > 11 and odds[5] == -odds[4]
     assert (language.state(own[2:3], other[2:3]) == (3 << 4 | 2)).all()
+
+
+def test_documents_are_merged_at_every_size(spark):
+    from nivalis.llm import mixing
+
+    docs = spark.createDataFrame([(i, "a b c d", "s") for i in range(20)], "doc_id long, text string, source string")
+    assert "strategy=merge" in mixing.mixed(docs)._jdf.queryExecution().optimizedPlan().toString()
