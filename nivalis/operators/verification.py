@@ -133,12 +133,22 @@ def _cells(*columns: str) -> list[Column]:
     return [x for c in columns for x in (F.lit(" "), number(c))]
 
 
+def _printed(c: str) -> Column:
+    """A number of three places by its binary value, as C's printf has it: -0.3765 is a little more than a half."""
+
+    @F.pandas_udf("string")
+    def text(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: f"{v:.3f}")
+
+    return F.lpad(F.when(F.col(c).isNull(), "N/A").otherwise(text(F.coalesce(c, F.lit(0.0)))), 10, " ")
+
+
 def report_lines(table: DataFrame, best_by: tuple[str, ...] = ("rmse", "f1"), strata: DataFrame | None = None) -> DataFrame:
     """(section, place, line): a comparison as text (A39): a line a model, rankings, the best. `table` has a row a model.
 
     `strata` (model, breakdown, bucket, metrics; `breakdowns(by=["model"])`) adds a section for each model and breakdown, of a line
     a bucket in order of its name: as many as there are stations, each section numbered for itself."""
-    whole = F.concat(F.rpad("model", 20, " "), *_cells("rmse", "mae", "bias", "f1"))
+    whole = F.concat(F.rpad("model", 20, " "), *[x for c in ("rmse", "mae", "bias", "f1") for x in (F.lit(" "), _printed(c))])
     out = table.select(F.lit("overall").alias("section"), F.row_number().over(W.orderBy("model")).cast("long").alias("place"), whole.alias("line"))
     for m in best_by:
         r = ranked(table, m)
