@@ -19,8 +19,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from nivalis.session import written
+
 #: Names of columns that say that a feature is missing.
 LACKS = "__lacks_"
+#: How many equal rows a row of `counted` stands for.
+ROWS = "__rows"
+
+
+def counted(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Distinct rows of the columns and, as ROWS, how many there are of each, written to the shared folder: training makes many passes,
+    and measured values have few combinations, however many rows. Where all rows differ it is as long as `df`."""
+    n = F.sum(ROWS) if ROWS in df.columns else F.count("*")
+    return written(df.groupBy(*dict.fromkeys(columns)).agg(n.cast("double").alias(ROWS)))
 
 
 def temporal_holdout(df: DataFrame, ts: str, test_years: int = 2, cutoff: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -40,9 +51,16 @@ def station_folds(df: DataFrame, station: str, k: int, seed: int = 42) -> DataFr
 
 
 def ridge(train: DataFrame, features: list[str], target: str, alpha: float = 1.0) -> PipelineModel:
-    """Ridge on standardised features (M1). Rows with NULLs must be dropped before: nothing is imputed."""
-    s = train.agg(F.stddev_pop(target), F.count("*")).first()
-    model = LinearRegression(featuresCol="features", labelCol=target, solver="normal", elasticNetParam=0.0, standardization=True, regParam=alpha * (s[0] or 0.0) / max(s[1], 1))
+    """Ridge on standardised features (M1). Rows with NULLs must be dropped before: nothing is imputed. Rows of `counted` weigh as
+    many as they stand for."""
+    if ROWS in train.columns:
+        n, mean = train.agg(F.sum(ROWS), F.sum(F.col(target) * F.col(ROWS)) / F.sum(ROWS)).first()
+        s = train.agg(F.sqrt(F.sum((F.col(target) - F.lit(mean)) ** 2 * F.col(ROWS)) / F.lit(n)), F.lit(n)).first()
+    else:
+        s = train.agg(F.stddev_pop(target), F.count("*")).first()
+    model = LinearRegression(featuresCol="features", labelCol=target, solver="normal", elasticNetParam=0.0, standardization=True, regParam=alpha * (s[0] or 0.0) / max(s[1] or 0, 1))
+    if ROWS in train.columns:
+        model = model.setWeightCol(ROWS)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error"), model]).fit(train)
 
 
@@ -51,8 +69,21 @@ def boosted(train: DataFrame, features: list[str], target: str, categorical: lis
     rows that a tree sees; `columns`: how many features a split sees ("all", "sqrt", "onethird", or a share such as "0.8").
 
     Every row has a prediction: a missing feature (NULL or NaN) is 0 and has an indicator beside it, both made in the pipeline; an
-    unknown category is a category. Rows without a target don't train."""
-    return boosted_pipeline(features, target, categorical, validation, **({"subsamplingRate": rows, "featureSubsetStrategy": columns} | args)).fit(train.filter(F.col(target).isNotNull()))
+    unknown category is a category. Rows without a target don't train.
+
+    Equal rows train as one that weighs as many, which gives the same sums in every node; not so where `rows` draws among them or
+    `args` have rules for single rows."""
+    pipe = boosted_pipeline(features, target, categorical, validation, **({"subsamplingRate": rows, "featureSubsetStrategy": columns} | args))
+    train = train.filter(F.col(target).isNotNull())
+    if rows < 1 or {"minInstancesPerNode", "weightCol", "subsamplingRate"} & set(args):
+        if ROWS in train.columns:
+            raise ValueError("these arguments want single rows, not those of `counted`")
+        return pipe.fit(train)
+    *before, gbt = pipe.getStages()
+    index = Pipeline(stages=before[: len(categorical)]).fit(train)  # categories are in order of their rows
+    rest = Pipeline(stages=[*before[len(categorical) :], gbt.setWeightCol(ROWS)])
+    known = [x.getOutputCol() for x in index.stages]
+    return PipelineModel([*index.stages, *rest.fit(counted(index.transform(train), [*features, *known, target, *([validation] if validation else [])])).stages])
 
 
 def boosted_pipeline(features: list[str], target: str, categorical: list[str] = (), validation: str | None = None, **args) -> Pipeline:
@@ -108,14 +139,27 @@ def _median(cols: list):
 
 def filled(df: DataFrame, columns: list[str]) -> DataFrame:
     """NULL and NaN become the column's mean, and without any value 0 (M4): of predictions only, never of data."""
-    real = {c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in columns}
-    mean = df.agg(*[F.coalesce(F.avg(x), F.lit(0.0)).alias(c) for c, x in real.items()]).first()  # one row
-    return df.withColumns({c: F.coalesce(x, F.lit(mean[c])) for c, x in real.items()})
+    return _with_means(df, _means(df, columns))
+
+
+def _real(c: str):
+    return F.nanvl(F.col(c), F.lit(None).cast("double"))
+
+
+def _means(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    n = F.col(ROWS) if ROWS in df.columns else F.lit(1.0)
+    mean = lambda x: F.sum(x * n) / F.sum(F.when(x.isNotNull(), n))
+    return df.agg(*[F.coalesce(mean(_real(c)), F.lit(0.0)).alias(c) for c in columns]).first().asDict()  # one row
+
+
+def _with_means(df: DataFrame, means: dict[str, float]) -> DataFrame:
+    return df.withColumns({c: F.coalesce(_real(c), F.lit(m)) for c, m in means.items()})
 
 
 def stacked(df: DataFrame, features: list[str], target: str, fold: str, fitters: dict, alpha: float = 1.0, with_features: bool = False):
     """Out-of-fold predictions of each fitter, and a ridge on them (M4): (meta model, base models, out-of-fold frame). Predictions
-    that are missing become their column's mean. `with_features`: the ridge has the features too."""
+    that are missing become their column's mean. `with_features`: the ridge has the features too. `df` may be `counted`, if all fitters
+    heed ROWS as those here do."""
     k = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]  # a value a fold
     oof = None
     for i in k:
@@ -124,8 +168,10 @@ def stacked(df: DataFrame, features: list[str], target: str, fold: str, fitters:
             part = fit(df.filter(F.col(fold) != i), features, target).transform(part).withColumnRenamed("prediction", name).drop("features")
         oof = part if oof is None else oof.unionByName(part)
     names = list(fitters)
-    oof = filled(oof, names)
-    return ridge(oof, names + (list(features) if with_features else []), target, alpha), {n: fit(df, features, target) for n, fit in fitters.items()}, oof
+    inputs = names + (list(features) if with_features else [])
+    rows = counted(oof, [*inputs, target])  # each row is predicted once
+    means = _means(rows, names)
+    return ridge(_with_means(rows, means), inputs, target, alpha), {n: fit(df, features, target) for n, fit in fitters.items()}, _with_means(oof, means)
 
 
 def stacked_predictions(meta: PipelineModel, base: dict[str, PipelineModel], df: DataFrame, name: str = "prediction") -> DataFrame:
