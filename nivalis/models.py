@@ -31,7 +31,7 @@ def counted(df: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct rows of the columns and, as ROWS, how many there are of each, written to the shared folder: training makes many passes,
     and measured values have few combinations, however many rows. Where all rows differ it is as long as `df`."""
     n = F.sum(ROWS) if ROWS in df.columns else F.count("*")
-    return written(df.groupBy(*dict.fromkeys(columns)).agg(n.cast("double").alias(ROWS)))
+    return written(df.groupBy(*[F.col(f"`{c}`") for c in dict.fromkeys(columns)]).agg(n.cast("double").alias(ROWS)))
 
 
 def temporal_holdout(df: DataFrame, ts: str, test_years: int = 2, cutoff: str | None = None) -> tuple[DataFrame, DataFrame]:
