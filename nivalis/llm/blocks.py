@@ -159,7 +159,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     return written(body.mapInArrow(lambda x: _pack(x, size), "block long, ids binary, sizes binary, data binary"), "none")
 
 
-def scatter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK_BYTES) -> DataFrame:
+def scatter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK_BYTES, path: str | None = None) -> DataFrame:
     """As `pack`, but which texts are together, and in what order, depends on the rows alone and not on how they are dealt: by a hash
     of id and text, for as many blocks as all bytes need. Equal rows may fill more than one."""
     spark = docs.sparkSession
@@ -169,7 +169,7 @@ def scatter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     n = max(1, -(-total // size))
     order = body.withColumn("h", F.xxhash64("i", "t")).withColumn("n", F.pmod(F.col("h"), F.lit(n).cast("long")))
     order = order.repartition(max(partitions(spark), n // 4), "n").sortWithinPartitions("n", "h", "i", "t")
-    return written(order.select("i", "t", "n").mapInArrow(lambda x: _pack(x, 2 * size), "block long, ids binary, sizes binary, data binary"), "none")
+    return written(order.select("i", "t", "n").mapInArrow(lambda x: _pack(x, 2 * size), "block long, ids binary, sizes binary, data binary"), "none", path)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, list[bytes]]]:

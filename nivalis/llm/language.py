@@ -19,6 +19,7 @@ chosen by a hash of the row, so that scores depend on the table alone and not on
 import heapq
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -29,12 +30,14 @@ from pyspark.sql import functions as F
 from nivalis.llm import blocks as B
 from nivalis.llm.blocks import U, dump, load
 from nivalis.llm.tables import read, written
+from nivalis.session import new_path, remove, short_shuffles
 
 CLASSES = 256
 SUBS = 16  # groups of a class
 UNKNOWN, END, START = CLASSES, CLASSES + 1, CLASSES + 2
 KINDS = CLASSES + 2  # classes, UNKNOWN and END
 BLOCK_BYTES = 4 << 20
+PARTS = 8  # of the blocks, and of the buckets; one after another
 STEP = 1 << 13  # symbols or bytes that are predicted with the same weights
 PRIOR = 0.4
 CELLS = 24
@@ -620,18 +623,29 @@ def _scores(sent):
     return score
 
 
+def _part(col: str, n: int):
+    return F.pmod(F.shiftright(F.col(col).cast("long"), 32 if col == "block" else 0), F.lit(n)).cast("int").alias("part")
+
+
 def score_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes), one row for each row of `docs`.
 
     Scores are log10 probabilities. A null text is an empty one and has one token, the end; a null doc_id is not held
     out. Without training texts, words are spelled with even odds. Equal texts have equal scores. Other columns are left
-    out. Scores don't depend on partitions or on the order of rows."""
+    out. Scores don't depend on partitions or on the order of rows. They are computed at once, and written."""
+    with short_shuffles(docs.sparkSession):
+        return _score_texts(docs)
+
+
+def _score_texts(docs: DataFrame) -> DataFrame:
+    """Blocks ask, learn and score by parts, so that what is shuffled at a time is a small share of what is kept; what
+    isn't needed any more is deleted."""
     spark = docs.sparkSession
-    broadcast = spark.sparkContext.broadcast
-    blocks = B.scatter(docs, size=BLOCK_BYTES)
+    broadcast, folder = spark.sparkContext.broadcast, new_path(spark)
+    blocks = B.scatter(docs, size=BLOCK_BYTES, path=f"{folder}/blocks")
     n_blocks = blocks.count()
-    n = B.buckets(spark, n_blocks)
-    words = written(B.answer(B.ask(blocks, _words, n), _sum), "none")
+    n, parts = B.buckets(spark, n_blocks), min(max(n_blocks // 4, 1), PARTS)
+    words = written(B.answer(B.ask(blocks, _words, n), _sum), "none", f"{folder}/words")
     stats = [load(bytes(r["blob"])) for r in words.filter("kind = 2").select("blob").collect()]  # of all buckets, a row for each group
     texts, v, tokens, single = (int(sum(x[k] for x in stats)) for k in range(4))
     mass = np.zeros(CLASSES * SUBS, np.int64)
@@ -640,15 +654,31 @@ def score_texts(docs: DataFrame) -> DataFrame:
     tokens, v = tokens + texts, v + (texts > 0)
     head = broadcast(Heads(mass, single, texts))
     words = words.filter("kind = 0")
-    contexts = written(B.answer(B.ask(B.told(blocks, words), _pairs(head, min(64, 40 + n_blocks.bit_length())), n), _count), "none")
-    told = B.told(blocks, words.unionByName(contexts))
+    some = lambda df, k: df.filter(_part("block", parts) == k)
+    question = _pairs(head, min(64, 40 + n_blocks.bit_length()))
+    asked = []
+    for k in range(parts):
+        ask = B.ask(B.told(some(blocks, k), some(words, k)), question, n)
+        asked.append(written(ask.select("*", _part("bucket", parts)), "none", f"{folder}/asked-{k}", "part"))
+    contexts = []
+    for k in range(parts):
+        got = B.answer(reduce(DataFrame.unionByName, asked).filter(F.col("part") == k).drop("part"), _count)
+        contexts.append(written(got.select("*", _part("block", parts)), "none", f"{folder}/contexts-{k}", "part"))
+        for i in range(parts):
+            remove(spark, f"{folder}/asked-{i}/part={k}")
+    replies = lambda k: reduce(DataFrame.unionByName, contexts).filter(F.col("part") == k).drop("part").unionByName(some(words, k))
+    told = [B.told(some(blocks, k), replies(k)) for k in range(parts)]
     model = Model()
     whole: dict = {}
-    for r in sorted(B.answer(B.ask(told, _learn(head), 16), _add).collect(), key=lambda x: x["bucket"]):  # 16 rows of fixed size
-        for k, x in load(bytes(r["blob"]))[0].items():
-            whole[k] = [a + b for a, b in zip(whole[k], x, strict=True)] if k in whole else x
+    for x in told:
+        for r in sorted(B.answer(B.ask(x, _learn(head), 16), _add).collect(), key=lambda x: x["bucket"]):  # 16 rows of fixed size
+            for k, x in load(bytes(r["blob"]))[0].items():
+                whole[k] = [a + b for a, b in zip(whole[k], x, strict=True)] if k in whole else x
     model.use(whole)
-    return B.each(told, _scores(broadcast((head.value, model, texts, v, tokens))), _SCHEMA, _OUT)
+    score = _scores(broadcast((head.value, model, texts, v, tokens)))
+    scored = [written(B.each(x, score, _SCHEMA, _OUT)) for x in told]
+    remove(spark, folder)
+    return reduce(DataFrame.unionByName, scored)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,15 +33,33 @@ def new_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """`df` written once to the shared folder and read again.
+def written(df: DataFrame, codec: str = "zstd", path: str | None = None, by: str | None = None) -> DataFrame:
+    """`df` written once to the shared folder and read again; each value of the column `by` has a folder.
 
     A lost executor costs only a re-read, and what follows doesn't compute `df` again."""
-    spark, path = df.sparkSession, new_path(df.sparkSession)
-    df.write.option("compression", codec).parquet(path)
+    spark, path = df.sparkSession, path or new_path(df.sparkSession)
+    df.write.option("compression", codec).partitionBy(*[by] if by else []).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table, or a folder of one, that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What actions shuffle is deleted when they end: for steps that are each run once and written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def no_nan(df: DataFrame) -> DataFrame:
     """NaN becomes NULL in all float columns: every source adapter does this, and no operator sees NaN."""
     return df.select(*[F.nanvl(f.name, F.lit(None).cast(f.dataType)).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in df.schema.fields])

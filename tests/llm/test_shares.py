@@ -1,11 +1,13 @@
 """Secrets at any share of the candidates, mixes of many small sources, language scores of any layout and of large counts."""
 
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from nivalis import session
 from nivalis.llm import language, mixing, secrets
 
 B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -67,6 +69,26 @@ def test_language_does_not_depend_on_the_layout(spark, monkeypatch):
     assert told(df.repartition(4)) == want and told(df.coalesce(1).orderBy(F.desc("doc_id"))) == want
 
 
+def test_language_leaves_nothing_but_scores(spark, monkeypatch, tmp_path):
+    """Blocks, questions, replies and what was shuffled are deleted; the number of parts changes no score."""
+    monkeypatch.setattr(language, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(session, "shared_dir", lambda s: f"file://{tmp_path}")
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    r = random.Random(8)
+    df = spark.createDataFrame([(i, " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(400))) for i in range(300)], "doc_id long, text string")
+    before = files()
+    found = language.score_texts(df)
+    for _ in range(50):  # files are deleted soon after
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 300 * 400
+    want = sorted(found.collect())
+    monkeypatch.setattr(language, "PARTS", 1)
+    assert len(want) == 300 and sorted(language.score_texts(df).collect()) == want
+
+
 def test_language_states_keep_the_ratio_of_large_counts():
     own, other = np.array([10**8, 2 * 10**4, 3, 10**9, 30_000, 0]), np.array([2 * 10**4, 10**8, 2, 10**9, 0, 10**7])
     odds = language.ODDS[language.state(own, other)]
