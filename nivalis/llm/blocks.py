@@ -104,7 +104,7 @@ class Block:
     def words(self, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end of each word, and the text it is in."""
         a, b = runs(~space[self.bytes])
-        return a, b, np.searchsorted(self.starts, a, "right") - 1
+        return a, b, np.repeat(np.arange(len(self.starts)), np.diff(np.searchsorted(a, self.starts), append=len(a)))
 
 
 # ---- rows ----------------------------------------------------------------------------------------------------------

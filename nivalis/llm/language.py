@@ -179,12 +179,15 @@ def order_of(keys: np.ndarray) -> np.ndarray:
     bits = U(max(len(keys) - 1, 1).bit_length())
     packed = keys >> bits << bits | np.arange(len(keys), dtype=U)
     packed.sort()
-    order = (packed & ((U(1) << bits) - U(1))).astype(np.int64)
+    packed &= (U(1) << bits) - U(1)
+    order = packed.view(np.int64)
     found = keys[order]
     wrong = np.flatnonzero(found[1:] < found[:-1])
     if len(wrong):
         top = found >> bits
-        group = np.concatenate(([0], np.cumsum(top[1:] != top[:-1])))
+        group = np.zeros(len(keys), np.int32)
+        np.cumsum(top[1:] != top[:-1], out=group[1:])
+        del top
         at = np.flatnonzero(np.isin(group, group[wrong]))
         order[at] = order[at][np.lexsort((found[at], group[at]))]
     return order
@@ -192,8 +195,15 @@ def order_of(keys: np.ndarray) -> np.ndarray:
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(where the first of each distinct key is, in order of key; which of them each key is)."""
-    order = order_of(keys)
-    found = keys[order]
+    bits = max(len(keys) - 1, 1).bit_length()
+    if not len(keys) or int(keys.max()).bit_length() + bits > 64:
+        order = order_of(keys)
+        found = keys[order]
+    else:
+        found = keys << U(bits) | np.arange(len(keys), dtype=U)
+        found.sort()
+        order = (found & U((1 << bits) - 1)).view(np.int64)
+        found >>= U(bits)
     new = np.ones(len(keys), bool)
     new[1:] = found[1:] != found[:-1]
     which = np.empty(len(keys), np.int64)
@@ -202,10 +212,8 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def joined(upper: np.ndarray, lower: np.ndarray, n: int) -> np.ndarray:
-    """One key of two, the second below `n`, in the upper bits of 64."""
-    low = max(n - 1, 1).bit_length()
-    high = max(int(upper.max(initial=0)), 1).bit_length()
-    return (upper << U(low) | lower) << U(64 - low - high)
+    """One key of two, the second below `n`, of as few bits as hold them."""
+    return upper << U(max(n - 1, 1).bit_length()) | lower
 
 
 def _planes(x: np.ndarray, n: int) -> bytes:
@@ -325,7 +333,8 @@ class Sequence:
 
     `symbol` has, for each word and each text's end, a row of `code` and `length`: distinct words, UNKNOWN and END; `own` says
     whether it is in the counts. `byte` has the bytes of the words that are spelled. `pairs` are, for each context of
-    symbols and then of bytes, where to find what is told about it before each of them."""
+    symbols and then of bytes, which of its pairs is at each of them (at each of `some_bytes`, which `of_some` has for each byte); `at`,
+    where to find what is told about them."""
 
     def __init__(self, block: B.Block, replies: list[bytes], heads: Heads):
         t = self.t = Tokens(block)
@@ -338,21 +347,27 @@ class Sequence:
         self.code[:d] |= t.tail >> self.head_length[:d].astype(U)
         self.length = self.head_length.copy()
         self.length[:d] += t.tail_length
-        at = np.searchsorted(t.text, np.arange(n), "right")  # an END after each text's words
+        word = np.arange(len(t.text)) + t.text  # places of words; an END comes after each text's
+        end = np.searchsorted(t.text, np.arange(n), "right") + np.arange(n)
+
+        def ended(of_words, of_ends):
+            out = np.empty(len(word) + n, np.int64)
+            out[word], out[end] = of_words, of_ends
+            return out
+
         known = t.counts[t.which] > 1
-        self.text = np.insert(t.text, at, np.arange(n))
-        self.symbol = np.insert(np.where(known, t.which, d), at, d + 1)
+        self.text = ended(t.text, np.arange(n))
+        self.symbol = ended(np.where(known, t.which, d), d + 1)
         self.own = ~t.held[self.text]
         self.cls = heads.cls[self.head]
         self.class_length = heads.class_length[self.cls]
-        parts = [*self._classes(np.insert(t.cls, at, END)), *self._words(np.insert(t.hash, at, U(7)))]
+        parts = [*self._classes(ended(t.cls, END)), *self._words(ended(t.which, d))]
         self._spelled(np.flatnonzero(~known))
         parts += self._bytes()
         self.pairs = [x[3] for x in parts]
-        sizes = [len(x[0]) for x in parts]
+        self.edges = np.cumsum([0, *(len(x[0]) for x in parts)])
         self.asked = [np.concatenate([x[k] for x in parts]) for k in range(3)]  # context, code, own count
-        for x, a in zip(self.pairs, np.cumsum(sizes) - sizes, strict=True):
-            x += a
+        del t.bytes, t.start, t.end, t.hash, t.cls, self.place
 
     def _classes(self, cls: np.ndarray):
         """(context, code, count, pair before each symbol) of pairs of a class and the class of the symbol."""
@@ -365,13 +380,17 @@ class Sequence:
             yield B.mix64((there // KINDS).astype(U) + U(back << 32)), self.heads.classes[there % KINDS], np.bincount(number[x], self.own, len(there)), number[x]
 
     def _words(self, word: np.ndarray):
-        """The same of pairs of one or two words and the symbol."""
-        one, two = _before(word, self.text, 1, U(3)), _before(word, self.text, 2, U(5))
+        """The same of pairs of one or two words and the symbol. A word is the number of a distinct one; END and no word are the last."""
+        d = len(self.t.distinct)
+        one, two = _before(word, self.text, 1, d + 1), _before(word, self.text, 2, d + 2)
+        hashes = np.concatenate((self.t.distinct, np.array([7, 3, 5], U)))
         rank = np.empty(len(self.code), U)
         rank[np.argsort(self.code)] = np.arange(len(self.code), dtype=U)
         symbol = rank[self.symbol]
-        for context in (B.mix64(one + U(101)), B.mix64(one * U(3) + B.mix64(two + U(102)))):
-            first, which = distinct(joined(distinct(context)[1].astype(U), symbol, len(rank)))
+        of_one = B.mix64(hashes + U(101))
+        of_two = B.mix64((hashes * U(3))[one] + B.mix64(hashes + U(102))[two])
+        for context, number in ((of_one[one], distinct(of_one)[1][one]), (of_two, distinct(of_two)[1])):
+            first, which = distinct(joined(number.astype(U), symbol, len(rank)))
             yield context[first], self.code[self.symbol[first]], np.bincount(which, self.own, len(first)), which
 
     def _spelled(self, words: np.ndarray) -> None:
@@ -385,15 +404,20 @@ class Sequence:
         self.byte_text, self.byte_own = t.text[w], ~t.held[t.text[w]]
 
     def _bytes(self):
-        """The same of pairs of one to four bytes before, in the word, and the byte."""
-        before = np.zeros(len(self.byte), U)
+        """The same of pairs of one to four bytes before, in the word, and the byte. The last of them tell all others."""
+        before = [np.zeros(len(self.byte), U)]
         for back in range(1, ORDERS + 1):
-            before = before << U(8)
             inside = self.place >= back
-            before[inside] |= self.byte[np.flatnonzero(inside) - back].astype(U)
-            before[~inside] |= U(0x20)
-            first, which = distinct(joined(before, self.byte.astype(U), 256))
-            yield B.mix64(before[first] + U((200 + back) << 40)), self.byte[first].astype(U) << U(56), np.bincount(which, self.byte_own, len(first)), which
+            last = np.full(len(self.byte), 0x20, U)
+            last[inside] = self.byte[np.flatnonzero(inside) - back]
+            before.append(before[-1] << U(8) | last)
+        some, of = distinct(joined(before[-1], self.byte.astype(U), 256))
+        byte, own = self.byte[some].astype(U), np.bincount(of, self.byte_own, len(some))
+        self.some_bytes, self.of_some = some, of
+        for back in range(1, ORDERS + 1):
+            x = before[back][some]
+            first, which = distinct(joined(x, byte, 256))
+            yield B.mix64(x[first] + U((200 + back) << 40)), byte[first] << U(56), np.bincount(which, own, len(first)), which
 
     def _buckets(self, n: int):
         """Pairs in order of the bucket of their context, and (bucket, from, to)."""
@@ -414,24 +438,26 @@ class Sequence:
             yield bucket, 0, dump(n, np.packbits(new[a:b]).tobytes(), _planes(np.diff(x, prepend=U(0)), 8), _planes(code[a:b] >> U(64 - CODE_BITS), 5), _planes(count[a:b].astype(np.uint32), 4))
 
     def told(self, replies: list[bytes]) -> None:
-        """`states` has, for each depth and pair, what the pair's context has seen there; `last`, what it has deeper."""
+        """`states` has, for each pair and depth, what the pair's context has seen there; in the last column, what it has deeper."""
         got = [x[1:] for x in map(load, replies) if x[0] == "contexts"]
         size = len(self.asked[0])
-        self.last, self.states, self.odds = np.zeros(size, np.uint8), [], []
-        deep = np.zeros(size, np.uint8)
+        last, deep, self.odds = np.zeros(size, np.uint8), np.zeros(size, np.uint8), []
+        self.at = np.arange(size)
         if got:
             order, buckets = self._buckets(got[0][0])
-            place = np.empty(size, np.int64)
-            place[order] = np.arange(size)
-            self.pairs = [place[x] for x in self.pairs]
+            self.at[order] = np.arange(size)
+            del order
             at = {bucket: slice(a, b) for bucket, a, b in buckets}
-            for _, bucket, last, depths, _ in got:
-                self.last[at[bucket]], deep[at[bucket]] = np.frombuffer(last, np.uint8), np.frombuffer(depths, np.uint8)
-            self.states = [self.last.copy() for _ in range(int(deep.max(initial=0)))]
-            for _, bucket, _, _, states in got:
-                rows, a = deep[at[bucket]], at[bucket].start
-                for depth, x in enumerate(states):
-                    self.states[depth][a + np.flatnonzero(rows > depth)] = np.frombuffer(x, np.uint8)
+            for _, bucket, deeper, depths, _ in got:
+                last[at[bucket]], deep[at[bucket]] = np.frombuffer(deeper, np.uint8), np.frombuffer(depths, np.uint8)
+        self.asked = []
+        self.states = np.repeat(last, int(deep.max(initial=0)) + 1).reshape(size, -1)
+        for _, bucket, _, _, states in got:
+            rows, own = deep[at[bucket]], self.states[at[bucket]].reshape(-1)
+            there = np.arange(len(rows))
+            for depth, x in enumerate(states):
+                there = there[rows[there] > depth]
+                own[there * self.states.shape[1] + depth] = np.frombuffer(x, np.uint8)
         h, head, tail = self.heads, self.head, self.length - self.head_length
         for depth in range(len(h.low)):
             self.odds.append(fine(h.high[depth], h.low[depth] - h.high[depth])[head])
@@ -442,27 +468,47 @@ class Sequence:
                 r = rows[self.head_length[rows] + k == depth]
                 self.odds[depth][r] = x[r]
 
-    def _state(self, depth: int, pair: np.ndarray) -> np.ndarray:
-        return (self.states[depth] if depth < len(self.states) else self.last).take(pair)
+    def _seen(self, k: int, rows: np.ndarray, depths: int) -> np.ndarray:
+        """For each depth, what is told about the rows' pairs of the k-th context."""
+        told = self.states.take(self.at[self.edges[k] : self.edges[k + 1]], 0)
+        if depths < told.shape[1] - 1:
+            told[:, depths] = told[:, -1]
+            told = np.ascontiguousarray(told[:, : depths + 1])
+        return np.ascontiguousarray(told.take(self.pairs[k].take(rows), 0, mode="clip").T)
 
     def symbol_bits(self, learn: bool) -> Iterator["Bits"]:
         """Bits of the class, of which all contexts know something, and bits of the word, of which some do."""
         rows = np.flatnonzero(self.own) if learn else np.arange(len(self.symbol))
-        length, class_length = self.length[self.symbol], self.class_length[self.symbol]
-        for depth in range(int(length.max(initial=0))):
-            rows = rows[length[rows] > depth]
-            of_class = class_length[rows] > depth
-            for kind, part in (("class", rows[of_class]), ("word", rows[~of_class])):
-                for at in np.split(part, range(STEP, len(part), STEP)) if len(part) else []:
-                    s = self.symbol[at]
-                    states = [self._state(depth, x[at]) for x in (self.pairs[: WORDS_OF_CLASS + WORDS] if kind == "class" else self.pairs[WORDS_OF_CLASS : WORDS_OF_CLASS + WORDS])]
-                    yield Bits(kind, depth, self.code[s], self.text[at], learn, states, self.odds[depth].take(s))
+        symbol, text = self.symbol[rows], self.text[rows]
+        code, length, class_length = self.code[symbol], self.length.astype(np.uint8)[symbol], self.class_length.astype(np.uint8)[symbol]
+        deepest, deepest_class = int(length.max(initial=0)), int(class_length.max(initial=0))
+        seen = [self._seen(k, rows, deepest_class if k < WORDS_OF_CLASS else deepest) for k in range(WORDS_OF_CLASS + WORDS)]
+        odds = np.ascontiguousarray(np.stack(self.odds[:deepest], 1).take(symbol, 0).T) if deepest else np.zeros((0, 0), np.int8)
+        for depth in range(deepest):
+            of_class = class_length > depth
+            here = [x[min(depth, len(x) - 1)] for x in seen]
+            for kind, part, states in (("class", of_class, here), ("word", (length > depth) & ~of_class, here[WORDS_OF_CLASS:])):
+                for at in _steps(part):
+                    yield Bits(kind, depth, code[at], text, at, learn, [x[at] for x in states], odds[depth][at])
 
     def byte_bits(self, learn: bool) -> Iterator["Bits"]:
-        rows = np.flatnonzero(self.byte_own) if learn else np.arange(len(self.byte))
+        """Bits of the bytes to learn from; to score, of each of the longest pairs once, as if it were a text."""
+        rows = np.flatnonzero(self.byte_own) if learn else self.some_bytes
+        code, text, some = self.byte[rows].astype(U) << U(56), np.arange(len(rows)), self.of_some[rows]
+        seen = [self._seen(k, some, 8) for k in range(len(self.pairs) - ORDERS, len(self.pairs))]
         for depth in range(8):
-            for at in np.split(rows, range(STEP, len(rows), STEP)) if len(rows) else []:
-                yield Bits("byte", depth, self.byte[at].astype(U) << U(56), self.byte_text[at], learn, [self._state(depth, x[at]) for x in self.pairs[-ORDERS:]])
+            here = [x[min(depth, len(x) - 1)] for x in seen]
+            for at in _steps(np.ones(len(rows), bool)):
+                yield Bits("byte", depth, code[at], text, at, learn, [x[at] for x in here])
+
+
+def _steps(flags: np.ndarray) -> Iterator[slice | np.ndarray]:
+    """Where flags are True, STEP at a time."""
+    if flags.all():
+        yield from (slice(a, a + STEP) for a in range(0, len(flags), STEP))
+    else:
+        rows = np.flatnonzero(flags)
+        yield from (rows[a : a + STEP] for a in range(0, len(rows), STEP))
 
 
 # ---- mixing --------------------------------------------------------------------------------------------------------
@@ -477,8 +523,8 @@ class Bits:
     """Bits of one depth: the log odds that each context gives their values, which gate chooses the weights, the place of
     the refinement."""
 
-    def __init__(self, kind: str, depth: int, code: np.ndarray, text: np.ndarray, of_others: bool, states: list[np.ndarray], every: np.ndarray | None = None):
-        self.kind, self.depth, self.text = kind, depth, text
+    def __init__(self, kind: str, depth: int, code: np.ndarray, texts: np.ndarray, at: slice | np.ndarray, of_others: bool, states: list[np.ndarray], every: np.ndarray | None = None):
+        self.kind, self.depth, self.texts, self.at = kind, depth, texts, at
         self.bit = (code >> U(63 - depth) & U(1)).astype(bool)
         self.place = (code >> U(64 - depth)).astype(np.int64) if 0 < depth < PREFIX else 0
         self.odds = np.empty((INPUTS[kind], len(code)), np.float32)
@@ -487,7 +533,11 @@ class Bits:
         for k, x in enumerate(states, INPUTS[kind] - len(states)):
             np.take(ODDS_OF_OTHERS if of_others else ODDS, x, out=self.odds[k], mode="clip")
         gates = GATE_OF_OTHERS if of_others else GATE
-        self.gate = (gates[0].take(states[-2]) + gates[1].take(states[-1])).astype(np.int64)
+        self.gate = (gates[0].take(states[-2], mode="clip") + gates[1].take(states[-1], mode="clip")).astype(np.int64)
+
+    @property
+    def text(self) -> np.ndarray:
+        return self.texts[self.at]
 
 
 class Model:
@@ -503,9 +553,9 @@ class Model:
     def mixed(self, bits: Bits) -> np.ndarray:
         """Log odds of each bit's value."""
         weights = self.weights[bits.kind][bits.depth]
-        z = bits.odds[0] * weights[0].take(bits.gate)
+        z = bits.odds[0] * weights[0].take(bits.gate, mode="clip")
         for odds, w in zip(bits.odds[1:], weights[1:], strict=True):
-            z += odds * w.take(bits.gate)
+            z += odds * w.take(bits.gate, mode="clip")
         return np.clip(z, -11.9, 11.9, out=z)
 
     @staticmethod
@@ -517,8 +567,9 @@ class Model:
         z = self.mixed(bits)
         cell = self.cell(bits, z)
         near = self.near[bits.kind][bits.depth]
-        near[0] += np.bincount(cell, bits.bit, near.shape[1])
-        near[1] += np.bincount(cell, minlength=near.shape[1])
+        seen = np.bincount(2 * cell + bits.bit, minlength=2 * near.shape[1])
+        near[0] += seen[1::2]
+        near[1] += seen[::2] + seen[1::2]
         error = 1 / (1 + np.exp(z))
         square = bits.odds[0] * bits.odds[0]
         for odds in bits.odds[1:]:
@@ -533,7 +584,7 @@ class Model:
         z = self.mixed(bits)
         cell = self.cell(bits, z)
         p = 1 / (1 + np.exp(-z))
-        ones, every = (x.take(cell) for x in self.near[bits.kind][bits.depth])
+        ones, every = (x.take(cell, mode="clip") for x in self.near[bits.kind][bits.depth])
         hits = np.where(bits.bit, ones, every - ones)
         return np.log10(np.clip((p + (hits + 4 * p) / (every + 4)) / 2, 1e-6, 1 - 1e-6))
 
@@ -557,29 +608,37 @@ def _pairs(sent, bits: int):
 def _count(got: list):
     """What a bucket's contexts have seen, for each pair that was asked about."""
     asked = [load(x[3]) for x in got]
+    got = [(x[0], x[1], a[0]) for x, a in zip(got, asked, strict=True)]
     new = [np.unpackbits(np.frombuffer(x[1], np.uint8), count=len(x[3]) // 5) for x in asked]
     edges = np.cumsum([0, *map(len, new)])
-    _, number = distinct(np.concatenate([np.cumsum(_joined(x[2], 8, np.uint64)) for x in asked]))
-    number = number[np.cumsum(np.concatenate(new)) - 1]
+    contexts = np.concatenate([np.cumsum(_joined(x[2], 8, np.uint64)) for x in asked])
     codes = np.concatenate([_joined(x[3], 5, np.uint64) for x in asked])
+    own = np.concatenate([_joined(x[4], 4, np.uint32) for x in asked])
+    del asked
+    _, number = distinct(contexts)
+    del contexts
+    number = number.astype(np.uint32)[np.cumsum(np.concatenate(new)) - 1]
     first, which = distinct(joined(number.astype(U), codes, 1 << CODE_BITS))
-    counts = np.bincount(which, np.concatenate([_joined(x[4], 4, np.uint32) for x in asked])).astype(np.int64)
+    number, codes = number[first], codes[first] << U(64 - CODE_BITS)
+    which = which.astype(np.int32)
+    counts = np.bincount(which, own).astype(np.int64)
+    del new, own
     last = (level(counts) << 4)[which]
     depths, states = np.zeros(len(first), np.uint8), []
     seen, there = np.zeros(len(first), np.uint8), np.zeros(len(first), bool)
-    rest = np.arange(len(which))
-    for depth, rows, low, high in walk(number[first], codes[first] << U(64 - CODE_BITS), counts):
+    del first
+    rest = np.arange(len(which), dtype=np.int32)
+    for depth, rows, low, high in walk(number, codes, counts):
         depths[rows] += 1
         seen[rows] = state(high, low - high)
         there[:] = False
         there[rows] = True
         rest = rest[there[which[rest]]]
-        states.append((rest, seen[which[rest]]))
+        states.append((np.searchsorted(rest, edges), seen[which[rest]]))
     depths = depths[which]
-    cuts = [np.searchsorted(rest, edges) for rest, _ in states]
-    for i, (bucket, block, *_) in enumerate(got):
+    for i, (bucket, block, n) in enumerate(got):
         a, b = edges[i], edges[i + 1]
-        yield bucket, block, 0, dump("contexts", asked[i][0], bucket, last[a:b].tobytes(), depths[a:b].tobytes(), [x[c[i] : c[i + 1]].tobytes() for (_, x), c in zip(states, cuts, strict=True) if c[i] < c[i + 1]])
+        yield bucket, block, 0, dump("contexts", n, bucket, last[a:b].tobytes(), depths[a:b].tobytes(), [x[c[i] : c[i + 1]].tobytes() for c, x in states if c[i] < c[i + 1]])
 
 
 def _learn(sent):
@@ -610,14 +669,17 @@ def _scores(sent):
         s = Sequence(block, replies, heads)
         s.told(replies)
         t, m = s.t, len(block.ids)
-        total = np.zeros(m)
-        for bits in chain(s.symbol_bits(False), s.byte_bits(False)):
-            total += np.bincount(bits.text, np.rint(model.log10(bits) * UNIT), m)
-        c = t.counts[t.which]
+        of_symbol, of_byte = np.zeros(len(s.symbol)), np.zeros(len(s.some_bytes))
+        for bits in s.symbol_bits(False):
+            of_symbol[bits.at] += np.rint(model.log10(bits) * UNIT)
+        for bits in s.byte_bits(False):
+            of_byte[bits.at] += np.rint(model.log10(bits) * UNIT)
+        total = np.bincount(s.text, of_symbol, m) + np.bincount(s.byte_text, of_byte[s.of_some], m)
+        c = t.counts
         size = np.bincount(t.text, minlength=m)
         whole = np.log10(n + v + 1)
-        base = np.bincount(t.text, np.log10(c + 1) - whole, m) + np.log10(texts + 1) - whole
-        found = np.bincount(t.text, c > 0, m).astype(np.int64) + (texts > 0)
+        base = np.bincount(t.text, (np.log10(c + 1) - whole)[t.which], m) + np.log10(texts + 1) - whole
+        found = np.bincount(t.text, (c > 0)[t.which], m).astype(np.int64) + (texts > 0)
         yield [[block.id(i) for i in range(m)], t.held.tolist(), (size + 1).tolist(), found.tolist(), [n] * m, base.tolist(), (total / UNIT).tolist(), block.sizes.tolist()]
 
     return score

@@ -233,6 +233,14 @@ def test_paths_are_exact():
         assert not any(g[j] == g[i] and bits[j][: deepest[i]] == bits[i][: deepest[i]] for j in range(300) if j != i)
 
 
+def test_distinct_keys_of_any_length():
+    r = np.random.default_rng(2)
+    for keys in (r.integers(0, 50, 1000), r.integers(0, 1 << 40, 1000) >> 35, np.repeat(r.integers(1 << 62, 1 << 63, 300), 3) ^ r.integers(0, 4, 900), np.zeros(0, int), np.array([1 << 62])):
+        first, which = language.distinct(keys.astype(np.uint64))
+        want, at = np.unique(keys, return_inverse=True)
+        assert (keys[first] == want).all() and (which == at).all()
+
+
 def _rounds(blocks, n=3):
     """What the job does, without Spark: (heads, model, sequences)."""
 
