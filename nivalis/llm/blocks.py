@@ -34,12 +34,12 @@ BASE = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> U(33))
-    x = x * U(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> U(33))
-    x = x * U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> U(33))
+def mix64(x: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    x = np.bitwise_xor(x, x >> U(33), out=out)
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x *= U(factor)
+        x ^= x >> U(33)
+    return x
 
 
 BYTES = mix64(np.arange(1, 257, dtype=U))
@@ -67,6 +67,12 @@ class Prefix:
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.down[start]
 
+    def all(self, n: int) -> np.ndarray:
+        """The hashes of all spans of n values, of which there is one at least."""
+        out = self.sums[n:] - self.sums[:-n]
+        out *= self.down[: len(out)]
+        return out
+
 
 def smallest(values: np.ndarray, w: int) -> np.ndarray:
     """Of each w consecutive values, where the smallest is; the rightmost of equal ones."""
@@ -110,12 +116,23 @@ class Block:
 # ---- rows ----------------------------------------------------------------------------------------------------------
 
 
+_small, _wide = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
+
+
+def squeezed(data: bytes) -> bytes:
+    return _small.compress(data)
+
+
+def unsqueezed(blob: bytes) -> bytes:
+    return _wide.decompress(blob)
+
+
 def dump(*values) -> bytes:
-    return zstandard.ZstdCompressor(1).compress(pickle.dumps(values, 5))
+    return squeezed(pickle.dumps(values, 5))
 
 
 def load(blob: bytes) -> tuple:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+    return pickle.loads(unsqueezed(blob))
 
 
 def rows(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
@@ -181,9 +198,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, list[byt
             yield Block(x["block"], np.frombuffer(x["ids"], np.int64), np.frombuffer(x["sizes"], np.int64), data), x.get("replies") or []
 
 
-def buckets(spark: SparkSession, n_blocks: int) -> int:
-    """As many buckets that what blocks ask one about fits a task, however many partitions there are."""
-    return max(partitions(spark), n_blocks // 4)
+def buckets(spark: SparkSession, n_blocks: int, blocks: int = 4) -> int:
+    """As many buckets, one for so many `blocks`, that what blocks ask one about fits a task, however many partitions there are."""
+    return max(partitions(spark), n_blocks // blocks)
 
 
 def ask(blocks: DataFrame, question: Callable, n: int) -> DataFrame:
@@ -201,7 +218,7 @@ def ask(blocks: DataFrame, question: Callable, n: int) -> DataFrame:
 def answer(asked: DataFrame, reply: Callable) -> DataFrame:
     """`reply(rows)` gets all (bucket, block, kind, blob) of one bucket, and yields (bucket, block, kind, blob).
 
-    A task holds one bucket at a time: rows come in order of buckets, sorted by Spark."""
+    A task holds one bucket at a time: rows come in order of buckets, sorted by Spark. Buckets are dealt to tasks in turn."""
 
     def run(batches):
         rows_of = (x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("bucket", "block", "kind", "blob")), strict=True))
@@ -210,7 +227,7 @@ def answer(asked: DataFrame, reply: Callable) -> DataFrame:
             for i in range(0, len(out), 1000):
                 yield rows(_ASK, [list(c) for c in zip(*out[i : i + 1000], strict=True)])
 
-    return asked.repartition(partitions(asked.sparkSession), "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, ASK)
+    return asked.repartitionById(partitions(asked.sparkSession), "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, ASK)
 
 
 def told(blocks: DataFrame, replies: DataFrame, how: str = "left") -> DataFrame:

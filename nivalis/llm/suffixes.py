@@ -1,8 +1,8 @@
 """Suffix-array dedup: hash-compared suffix sort of texts' bytes.
 
-Suffixes are ordered by mergesort. Two suffixes are compared by binary search, over prefix polynomial hashes, for the
-length they share, and then by the next byte; equal neighbours in the order are windows that occur more than once.
-What the hashes call equal is verified byte by byte. All merges of a pass, and all comparisons of a step, are done
+Suffixes are ordered by a quicksort of strings. Two suffixes are compared by binary search, over prefix polynomial hashes,
+for the length they share, and then by the next byte; equal neighbours in the order are windows that occur more than once.
+What the hashes call equal is verified byte by byte. All groups of a round, and all comparisons of a step, are done
 together on arrays.
 """
 
@@ -20,13 +20,20 @@ from nivalis.llm.repeats import Contexts, covered, ranges, repeated
 from nivalis.llm.tables import read
 
 WINDOW, GRAM = 100, 24
+BLOCK_BYTES = 8 << 20  # larger blocks send fewer messages, and what recurs in one is sent once
+WINDOWS = 2_000_000  # that are sorted in one go, or one of each context
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
 def contexts(block: B.Block) -> Contexts:
-    text = np.repeat(np.arange(len(block.ids), dtype=np.int32), block.sizes + 1)
-    text[block.starts + block.sizes] = -1 - np.arange(len(block.ids), dtype=np.int32)  # what parts the texts is in none
-    c = Contexts(B.BYTES[block.bytes], text, WINDOW, GRAM)
+    """Contexts of a block, made for some of its texts at a time."""
+    parts, begins = [], np.flatnonzero(np.diff(block.starts // B.BLOCK_BYTES, prepend=-1)).tolist()
+    for i, j in zip(begins, [*begins[1:], len(block.ids)], strict=True):
+        begin, end, number = int(block.starts[i]), int(block.starts[j - 1] + block.sizes[j - 1]) + 1, np.arange(i, j, dtype=np.int32)
+        text = np.repeat(number, block.sizes[i:j] + 1)
+        text[block.starts[i:j] + block.sizes[i:j] - begin] = -1 - number  # what parts the texts is in none
+        parts.append((Contexts(B.BYTES[block.bytes[begin:end]], text, WINDOW, GRAM), begin))
+    c = Contexts.joined(parts)
     c.base = block.starts
     c.raw = c.text_of = lambda a, b: block.data[a:b]
     return c
@@ -38,42 +45,50 @@ class Suffixes:
     def __init__(self, data: np.ndarray, length: int = WINDOW):
         self.data, self.length, self.prefix = data, length, B.Prefix(B.BYTES[data])
 
-    def less(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """-1, 0 or 1 for each pair of suffixes."""
-        out = np.zeros(len(a), np.int8)
-        rest = np.flatnonzero(self.prefix.spans(a, a + self.length) != self.prefix.spans(b, b + self.length))
-        a, b = a[rest], b[rest]
-        lo, hi = np.zeros(len(a), np.int64), np.full(len(a), self.length - 1)  # shared bytes: lo at least, hi at most
+    def _against(self, a: np.ndarray, p: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether suffixes equal others, `p`; and for the rest the bytes they share with these, `lo` at least."""
+        sums, down = self.prefix.sums, self.prefix.down
+        a_sum, a_down, p_sum, p_down = sums[a], down[a], sums[p], down[p]
+        same = (sums[a + self.length] - a_sum) * a_down == (sums[p + self.length] - p_sum) * p_down
+        rest = np.flatnonzero(~same)
+        a, p, lo, a_sum, a_down, p_sum, p_down = (x[rest] for x in (a, p, lo, a_sum, a_down, p_sum, p_down))
+        hi = np.full(len(a), self.length - 1)
         while (lo < hi).any():
             mid = (lo + hi + 1) >> 1
-            same = self.prefix.spans(a, a + mid) == self.prefix.spans(b, b + mid)
-            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-        out[rest] = np.where(self.data[a + lo] < self.data[b + lo], -1, 1)
-        return out
+            equal = (sums[a + mid] - a_sum) * a_down == (sums[p + mid] - p_sum) * p_down
+            lo, hi = np.where(equal, mid, lo), np.where(equal, hi, mid - 1)
+        return same, lo
 
     def sort(self, start: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Order of the suffixes within each group; equal `group` values must be neighbours."""
-        order = np.arange(len(start))
-        first = np.flatnonzero(np.diff(group, prepend=group[0] - 1)) if len(group) else order
-        size = np.diff(np.append(first, len(group)))
-        base, size = np.repeat(first, size), np.repeat(size, size)
-        width = 1
-        while (size > width).any():
-            at = np.flatnonzero(size > width)
-            rank = at - base[at]
-            run = rank // width
-            other = run ^ 1  # the run that this one is merged with
-            begin = np.minimum(other * width, size[at])
-            lo, hi = begin.copy(), np.minimum(begin + width, size[at])
-            mine, right = start[order[at]], (run & 1).astype(bool)
-            while (act := np.flatnonzero(lo < hi)).size:
-                mid = (lo[act] + hi[act]) >> 1
-                c = self.less(start[order[base[at[act]] + mid]], mine[act])
-                before = (c < 0) | (right[act] & (c == 0))  # of equal ones the left run's come first
-                lo[act], hi[act] = np.where(before, mid + 1, lo[act]), np.where(before, hi[act], mid)
-            place = base[at] + (run & ~1) * width + (rank - run * width) + (lo - begin)
-            order[place] = order[at].copy()
-            width *= 2
+        """Order of the suffixes within each group; equal `group` values must be neighbours. Equal suffixes stay in order.
+
+        A group is parted by what its members share with one of them and by the next byte. Members of a part share at least
+        one byte more than those of its group, so that there are at most as many rounds as bytes, and mostly a few."""
+        order, at = np.arange(len(start)), np.arange(len(start))
+        part, shared = np.cumsum(np.diff(group, prepend=group[:1]) != 0), np.zeros(len(start), np.int64)
+        while len(at):
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            size = np.diff(np.append(first, len(at)))
+            alone = np.repeat(size == 1, size)
+            if alone.any():
+                at, part, shared = at[~alone], part[~alone], shared[~alone]
+                continue
+            number = np.repeat(np.arange(len(first)), size)
+            mine = start[order[at]]
+            pivot = mine[first + (size >> 1)][number]
+            same, common = self._against(mine, pivot, shared)
+            place = np.full(len(at), self.length << 8)  # before the pivot, equal to it, behind it
+            rest = np.flatnonzero(~same)
+            own, other = self.data[mine[rest] + common], self.data[pivot[rest] + common]
+            place[rest] = np.where(own < other, common, 2 * self.length - common) << 8 | own
+            key = number * (self.length << 10) + place
+            by = np.argsort(key, kind="stable")
+            order[at] = order[at[by]]
+            key = key[by]
+            more = np.zeros(len(at), np.int64)
+            more[rest] = common + 1
+            keep = ~same[by]
+            at, shared, part = at[keep], more[by][keep], np.cumsum(np.diff(key, prepend=-1) != 0)[keep]
         return order
 
 
@@ -120,26 +135,35 @@ def locate(key, off, n, doc, pos, texts):
         return _exact(texts, doc, pos)
     all_i, all_a, all_b = [order[late]], [np.zeros(late.sum(), np.int64)], [n[order[late]].astype(np.int64) - 1]
     rep = np.sort(order[head | same])
-    # their windows, in groups of equal anchor and equal distance from it
-    c = np.repeat(rep, n[rep])
-    o = np.arange(len(c)) - np.repeat(np.cumsum(n[rep]) - n[rep], n[rep])
-    dist = off[c] - o
-    by = np.lexsort((dist, key[c]))
-    c, o, dist = c[by], o[by], dist[by]
-    new = np.ones(len(c), bool)
-    new[1:] = (key[c][1:] != key[c][:-1]) | (dist[1:] != dist[:-1])
-    group = np.cumsum(new)
-    many = np.bincount(group)[group] > 1
-    c, o, group = c[many], o[many], group[many]
-    if len(c):
+    # their windows, in groups of equal anchor and equal distance from it; some distances at a time where there are many windows
+    off, n = off.astype(np.int64), n.astype(np.int64)
+    far = int(off[rep].max()) + 1
+    step = max(1, far * WINDOWS // max(int(n[rep].sum()), WINDOWS))
+    for near in range(0, far, step):
+        begins = np.maximum(off[rep] - near - step + 1, 0)
+        many = np.maximum(np.minimum(off[rep] - near + 1, n[rep]) - begins, 0)
+        c = np.repeat(rep, many)
+        o = np.arange(len(c)) + np.repeat(begins - np.cumsum(many) + many, many)
+        dist = off[c] - o
+        by = np.lexsort((dist, key[c]))
+        c, o, dist = c[by], o[by], dist[by]
+        new = np.ones(len(c), bool)
+        new[1:] = (key[c][1:] != key[c][:-1]) | (dist[1:] != dist[:-1])
+        group = np.cumsum(new)
+        many = np.bincount(group)[group] > 1
+        c, o, group = c[many], o[many], group[many]
         start = begin[c] + o
         rank = s.sort(start, group)
         c, o, start, group = c[rank], o[rank], start[rank], group[rank]
         h = s.prefix.spans(start, start + WINDOW)
         head = np.ones(len(c), bool)
         head[1:] = (group[1:] != group[:-1]) | (h[1:] != h[:-1])
+        if head.all():
+            continue
         d, p, who = _earliest(head, doc[c], pos[c] + o)
         hit = np.flatnonzero((doc[c] > d) | (pos[c] + o > p))
+        if not len(hit):
+            continue
         hit = hit[np.lexsort((o[hit], c[hit]))]
         # runs of windows whose earlier equals are neighbours too are verified as one span
         i, x, j, y = c[hit], o[hit], c[who[hit]], o[who[hit]]
@@ -158,11 +182,10 @@ def locate(key, off, n, doc, pos, texts):
 def _kept(block: B.Block, replies: list[bytes]):
     gone = covered(len(block.data), replies)
     out = [[], [], [], [], []]
-    total = np.concatenate(([0], np.cumsum(gone)))
     for i, (s, size) in enumerate(zip(block.starts.tolist(), block.sizes.tolist(), strict=True)):
         text, spans = block.data[s : s + size], 0
-        if n := int(total[s + size] - total[s]):
-            own = gone[s : s + size]
+        own = gone[s : s + size]
+        if n := int(np.count_nonzero(own)):
             spans = len(B.runs(own)[0])
             text = block.bytes[s : s + size][~own].tobytes()
         for column, x in zip(out, (block.id(i), size, n, spans, hashlib.sha256(text).hexdigest()), strict=True):
@@ -176,7 +199,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A null text is empty; shorter texts are kept; a null doc_id counts as the largest. Rows of equal doc_id are taken
     for one document. Other columns are left out; an empty table gives an empty result."""
-    blocks = repeated(B.pack(docs), contexts, locate, WINDOW)
+    blocks = repeated(B.pack(docs, size=BLOCK_BYTES), contexts, locate, WINDOW)
     return B.each(blocks, _kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", _OUT)
 
 

@@ -103,6 +103,40 @@ def test_suffix_sort_and_fallback():
     assert flat(suffixes.locate(key, off, n, doc, pos, texts)) <= flat(suffixes._exact(texts, doc, pos))
 
 
+def test_suffixes_that_share_an_anchor_but_no_window(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    anchor = bytes(rng.integers(0, 256, 24, dtype=np.uint8))
+    some = [bytes(rng.integers(97, 99, 76, dtype=np.uint8)) for _ in range(40)]
+    texts = [some[i % 20] + anchor + some[20 + i] for i in range(20)]  # 77 windows each, none of which is another's
+    one = lambda k: (np.ones(k, np.uint64), np.full(k, 76), np.full(k, 77), np.arange(k), np.zeros(k, np.int64))
+    assert [len(x) for x in suffixes.locate(*one(20), texts)] == [0, 0, 0]
+    again = [*texts, some[3][30:] + anchor + some[23][:54] + b"~" * 22]  # the first windows are text 3's
+    off, n = np.append(np.full(20, 76), 46), np.append(np.full(20, 77), 47)
+    arguments = np.ones(21, np.uint64), off, n, np.arange(21), np.zeros(21, np.int64), again
+    flat = lambda x: {(int(i), o) for i, a, b in zip(*x, strict=True) for o in range(int(a), int(b) + 1)}
+    want = flat(suffixes._exact(again, *arguments[3:5]))
+    assert want == {(20, o) for o in range(25)} == flat(suffixes.locate(*arguments))
+    monkeypatch.setattr(suffixes, "WINDOWS", 60)  # some distances at a time
+    assert want == flat(suffixes.locate(*arguments))
+
+
+def test_suffixes_contexts_by_parts(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    texts = [bytes(rng.integers(97, 100, int(k), dtype=np.uint8)) for k in rng.integers(0, 900, 40)] + [b"", b"ab" * 700]
+    block = suffixes.B.Block(0, np.arange(42), np.array([len(t) for t in texts]), b"\n".join([*texts, b""]))
+    whole = suffixes.contexts(block)
+    monkeypatch.setattr(suffixes.B, "BLOCK_BYTES", 500)
+    parts = suffixes.contexts(block)
+    for name in ("key", "first", "last", "anchor", "text", "whole"):
+        assert getattr(whole, name).tolist() == getattr(parts, name).tolist() and len(whole.key) > 100
+    covers = np.concatenate([np.arange(a, b + 1) for a, b in zip(parts.first, parts.last, strict=True)])  # each window is in one context
+    assert sorted(covers.tolist()) == [s + o for s, t in zip(block.starts.tolist(), texts, strict=True) for o in range(len(t) - 99)]
+
+
 def test_decontaminate(spark, docs, empty, monkeypatch):
     items = [(1, ROWS[41][1]), (2, "solo"), (3, None), (4, "..."), (5, " ".join(SPACE.findall(ROWS[5][1])[:9])), (None, ROWS[4][1]), (10, ROWS[0][1].upper())]
     word, low = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), {i: i + 32 for i in range(65, 91)}
